@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .compression_quality import quality_scores
 from .packing import pack
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -33,10 +34,15 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES = {
     "op4_packing": op4_packing,
     "op7_simhash": op7_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_compression_quality": op10_compression_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
