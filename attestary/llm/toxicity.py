@@ -3,7 +3,8 @@
 Categories are predicted one after the other by logistic regression on the words of a text; each model also gets the
 probabilities of the categories before it. For training these are out-of-fold predictions, so a later model learns
 from probabilities as good as those it will see. The last category is the verdict, `toxic`, from the labels; those
-before it are kinds of toxic language, which a labelled text has if it is toxic and uses a seed word of the kind."""
+before it are kinds of toxic language, which a labelled text has if it is toxic and uses a seed word of the kind, and `unlisted`, which is toxic without any.
+A text's features are its words and their beginnings, so that inflected words of any language share what they learn."""
 
 from __future__ import annotations
 
@@ -21,7 +22,9 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
     "degradation": ("scum", "trash", "garbage", "vermin", "filth", "worthless"),
     "contempt": ("pathetic", "disgusting", "despicable", "hate", "revolting"),
 }
-VERDICT = "toxic"
+UNLISTED, VERDICT = "unlisted", "toxic"
+#: Lengths of word beginnings that count as features.
+STEMS = (4, 5, 6)
 _WORD = re.compile(r"\w+").findall
 
 
@@ -36,6 +39,14 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD((text or "").lower()))
 
 
+def features_of(word: str) -> list[str]:
+    return [word, *("^" + word[:n] for n in STEMS if len(word) >= n)]
+
+
+def with_stems(words: set[str]) -> set[str]:
+    return {f for w in words for f in features_of(w)}
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -102,17 +113,20 @@ def _vocabulary(words: list[set[str]], toxic: np.ndarray, size: int, least: int)
     return {w: i for i, w in enumerate(best)}
 
 
-def fit(rows: list[tuple[str, int]], categories=None, size: int = 512, least: int = 5, folds: int = 4, ridge: float = 2e-3) -> ChainModel:
+def fit(rows: list[tuple[str, int]], categories=None, size: int = 1024, least: int = 5, folds: int = 4, ridge: float = 2e-4) -> ChainModel:
     """rows: (text, toxic 0 or 1) of a bounded sample; equal texts stay in one fold and count once."""
     categories = CATEGORIES if categories is None else categories
     seen: dict[str, int] = {}
     for t, y in rows:
         seen[t or ""] = max(seen.get(t or "", 0), int(y))
     words, toxic = [words_of(t) for t in seen], np.array(list(seen.values()), float)
-    model = ChainModel(_vocabulary(words, toxic, size, least))
-    x = _Rows(words, model.vocabulary)
+    features = [with_stems(ws) for ws in words]
+    model = ChainModel(_vocabulary(features, toxic, size, least))
+    x = _Rows(features, model.vocabulary)
+    listed = {n: np.array([not ws.isdisjoint(seeds) for ws in words], float) for n, seeds in categories.items()}
     for name, target in [
-        *((n, toxic * np.array([not ws.isdisjoint(seeds) for ws in words], float)) for n, seeds in categories.items()),
+        *((n, toxic * own) for n, own in listed.items()),
+        (UNLISTED, toxic * np.all([own == 0 for own in listed.values()], axis=0)),
         (VERDICT, toxic),
     ]:
         model.weights.append(_fit_linear(x, target, ridge))
@@ -125,15 +139,22 @@ def fit(rows: list[tuple[str, int]], categories=None, size: int = 512, least: in
     return model
 
 
-def probabilities(texts, model: ChainModel) -> np.ndarray:
-    """By text and category, each from the words and the categories before it."""
+def probabilities(texts, model: ChainModel, known: dict[str, tuple[int, ...]] | None = None, most: int = 500_000) -> np.ndarray:
+    """By text and category, each from the features and the categories before it. known: remembers words' features."""
     texts, v, out = list(texts), model.vocabulary, []
+    known = {} if known is None else known
     z = np.zeros((len(texts), len(model.weights)))
-    by_word = np.stack([w[: len(v)] for w in model.weights], axis=1) if model.weights else np.zeros((0, 0))
+    by_feature = np.stack([w[: len(v)] for w in model.weights], axis=1)
     for i, t in enumerate(texts):
-        hit = [v[w] for w in words_of(t) if w in v]
-        if hit:
-            z[i] = by_word[hit].sum(axis=0)
+        words = words_of(t)
+        new = words.difference(known)
+        if len(known) + len(new) > most:
+            known.clear()
+            new = words
+        for w in new:
+            known[w] = tuple(v[f] for f in features_of(w) if f in v)
+        if hit := list(set().union(*map(known.__getitem__, words))):
+            z[i] = by_feature[hit].sum(axis=0)
     for k, w in enumerate(model.weights):
         z[:, k] += w[-1] + sum(w[len(v) + j] * p for j, p in enumerate(out))
         out.append(_sigmoid(z[:, k]))
@@ -155,9 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000) -> Chai
 def toxicity_column(text: Column, model: ChainModel) -> Column:
     """A struct of all categories' probabilities, p_<category>."""
 
+    known: dict[str, tuple[int, ...]] = {}  # by worker
+
     @F.pandas_udf(", ".join(f"p_{n} double" for n in model.names))
     def chain(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(probabilities(s, model), columns=[f"p_{n}" for n in model.names])
+        return pd.DataFrame(probabilities(s, model, known), columns=[f"p_{n}" for n in model.names])
 
     return chain(text)
 
