@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .compression_quality import quality_scores
+from .decontamination import contaminated
 from .packing import pack
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -24,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=5, least=0.8)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=1)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -45,6 +50,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op7_simhash": op7_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
