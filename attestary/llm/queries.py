@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_conversations
 from .common import table
 from .compression_quality import quality_scores
 from .decontamination import contaminated
@@ -13,6 +14,7 @@ from .packing import pack
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
+from .warc import read_archives, write_archives
 
 
 def _vocabulary(name: str) -> str:
@@ -34,6 +36,28 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.sql("SELECT -7L AS conv_id, * FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)").withColumn("text", F.lit(said))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = read_conversations(format_conversations(turns))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = read_archives(write_archives(table(spark, sf_dir, "pages"), least_bytes=0))
+    digest = F.when(F.col("valid"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload's digest is wrong")).cast("string"))
+    return back.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,9 +76,28 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op5_chat_format": op5_chat_format,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_compression_quality": op10_compression_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, v.turn, v.role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+        ), e AS (
+            SELECT *, length(replace(replace(replace(text, '\', '\e'), '### ', '\h'), '</turn>', '\c')) + 7 AS chars,
+                   lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS DISTINCT FROM role AS opens
+            FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(chars + CASE WHEN opens THEN length(replace(replace(replace(replace(replace(role, '\', '\e'), '### ', '\h'), '</turn>', '\c'),
+                   chr(10), '\n'), ':', '\d')) + 7 ELSE 0 END)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
+}
