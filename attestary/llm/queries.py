@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .chat import format_conversations, read_conversations
 from .common import table
 from .compression_quality import quality_scores
@@ -63,6 +64,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -79,6 +85,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
+    "op8_ann": op8_ann,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_compression_quality": op10_compression_quality,
 }
