@@ -1,12 +1,20 @@
-"""A training corpus from documents: five filtering and packing stages over the operators of attestary.llm."""
+"""A training corpus from documents in five stages, each one operator of attestary.llm."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from attestary.llm.common import table, written
+from attestary.llm.decontamination import without_benchmark
+from attestary.llm.packing import pack
 from attestary.llm.simhash import deduplicated
 from attestary.llm.suffix_dedup import without_repeats
+from attestary.llm.toxicity import without_toxic
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain finds toxic go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +27,25 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return without_repeats(docs)
 
 
-STAGES = [("simhash", near_dedup), ("suffix_dedup", suffix_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, word for word or with other numbers and names, go."""
+    return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left becomes training sequences of 2048 ids."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontaminate),
+    ("packing", pack_sequences),
+]
 
 #: SQL can't express classifiers, suffix arrays or tokenizers; tests compare the stages with brute force.
 ORACLE_SQL = None
