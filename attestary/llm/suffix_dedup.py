@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -315,25 +316,19 @@ def without_repeats(docs: DataFrame, length: int = 200, gram: int = 64) -> DataF
     spans = repeated_spans(base.select(F.col(uid).alias("uid"), utf8("text").alias("text")), length, gram)
     raw, found = fresh("raw", [*docs.columns, uid]), fresh("spans", docs.columns)
     spans = spans.withColumnRenamed("uid", uid).withColumnRenamed("spans", found)
-    cut = base.join(spans, uid, "left").withColumn(raw, _rest(utf8("text"), F.col(found)))
+    cut = base.join(spans, uid, "left").withColumn(raw, F.pandas_udf(_rest, "string")(utf8("text"), F.col(f"{found}.lo"), F.col(f"{found}.hi")))
     text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.col(raw))
     return cut.where(F.col(found).isNull() | (F.length(raw) > 0)).withColumn("text", text).select(*docs.columns)
 
 
-def _rest(text, spans):
-    import pandas as pd
 
-    @F.pandas_udf("string")
-    def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(raw: bytes, ranges) -> str:
-            if ranges is None:
-                return ""
-            gone = np.zeros(len(raw) + 1, np.int32)
-            for r in ranges:
-                gone[r["lo"]] += 1
-                gone[r["hi"]] -= 1
-            return np.frombuffer(raw, np.uint8)[np.cumsum(gone[:-1]) == 0].tobytes().decode("utf-8", "ignore")
+def _rest(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+    def one(raw: bytes, starts, ends) -> str:
+        if starts is None:
+            return ""
+        gone = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(gone, np.asarray(starts, np.int64), 1)
+        np.add.at(gone, np.asarray(ends, np.int64), -1)
+        return np.frombuffer(raw, np.uint8)[np.cumsum(gone[:-1]) == 0].tobytes().decode("utf-8", "ignore")
 
-        return pd.Series([one(a, b) for a, b in zip(text, spans)])
-
-    return rest(text, spans)
+    return pd.Series([one(*x) for x in zip(text, lo, hi)])
