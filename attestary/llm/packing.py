@@ -22,51 +22,56 @@ from .common import byte_spans, utf8
 #: A sequence id is the partition's number in the upper bits and a running number below.
 PARTITION_BITS = 40
 _MODELS: dict[str, WordIds] = {}
-#: Words of these characters have a plain lower case, are normalised already and split as below; others, and what may
-#: be a special token, go through the whole tokenizer.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+#: Texts of ASCII and Latin letters have a plain lower case, are normalised already and split as below; the words of
+#: others, and what may be a special token, go through the whole tokenizer.
+_SPACE = " \t\n\x0b\x0c\r"
+_ODD = re.compile(rf"[^{_SPACE}!-~À-ÖØ-öø-ÿ]|<\|").search
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]|<\|").search
+_SPLIT = re.compile(rf"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}a-z0-9ß-öø-ÿ]+").findall
 
 
 class WordIds:
-    """Token ids by the tokenizer file, remembered for strings without white space.
+    """Token ids by the tokenizer file, remembered for pre-tokens.
 
     White space is never part of a pre-token of such a tokenizer and its normaliser works within words, so the ids of a
-    text are those of its words in turn, and a word's are those of its pre-tokens. At most `most` words are remembered;
-    then the table starts anew."""
+    text are those of its words in turn, and a word's are those of its pre-tokens. At most `most` of these are
+    remembered; then the table starts anew."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.part = Tokenizer(self.whole.model)
-        self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
-
-    @staticmethod
-    def _encoded(tokenizer, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        text = [w.decode("utf-8") for w in new]
-        plain = [i for i, t in enumerate(text) if _PLAIN(t) and "<|" not in t]
-        split = [_SPLIT(text[i].lower()) for i in plain]
-        parts = list({p for ps in split for p in ps})
-        ids = dict(zip(parts, self._encoded(self.part, parts)))
-        self.known.update((new[i], b"".join([ids[p] for p in ps])) for i, ps in zip(plain, split))
-        rest = sorted(set(range(len(new))).difference(plain))
-        self.known.update(zip([new[i] for i in rest], self._encoded(self.whole, [text[i] for i in rest])))
+        self.part.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False),
+        ])
+
+    def _learn(self, new: list[str]) -> None:
+        """Pre-tokens, many to a call: white space keeps them apart, and each has one id at least."""
+        for lo in range(0, len(new), 4000):
+            words = new[lo : lo + 4000]
+            e = self.part.encode(" ".join(words), add_special_tokens=False)
+            ends = np.flatnonzero(np.diff(np.array(e.word_ids, np.int32), append=-1)) + 1
+            raw, ends = np.array(e.ids, "<u4").tobytes(), (4 * ends).tolist()
+            self.known.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def _odd(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit numbers."""
-        words = [t.split() for t in texts]
-        all_ = set().union(*words)
+        plain = [t.decode("utf-8") for t in texts]
+        odd = {i: t for i, t in enumerate(plain) if (_CONTROL if t.isascii() else _ODD)(t)}
+        parts = [[] if i in odd else _SPLIT(t.lower()) for i, t in enumerate(plain)]
+        all_ = set().union(*parts)
         new = all_.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = all_
         self._learn(list(new))
         get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        return [self._odd(odd[i]) if i in odd else b"".join(map(get, ps)) for i, ps in enumerate(parts)]
 
 
 def cuts(n: int, capacity: int, grain: int) -> list[int]:
@@ -143,8 +148,8 @@ def _pack(path: str, capacity: int, grain: int, end_id: int):
         for batch in batches:
             data, at = byte_spans(batch.column(1))
             raw = data.tobytes()
-            for lo in range(0, batch.num_rows, 256):
-                hi = min(lo + 256, batch.num_rows)
+            for lo in range(0, batch.num_rows, 512):
+                hi = min(lo + 512, batch.num_rows)
                 docs = batch.column(0)[lo:hi].to_pylist()
                 for doc, ids in zip(docs, words.ids([raw[at[i] : at[i + 1]] for i in range(lo, hi)])):
                     ids += end
