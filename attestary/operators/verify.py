@@ -31,21 +31,28 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return q.join(pages, "url", "left").select(*quotes.columns, status.alias("status"))
 
 
-def _grams(rows: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, grams): the k-word strings of a text."""
+def _grams(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, grams): the n-word strings of a text."""
     words_ = rows.select(key, F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("words"))
-    return NGram(n=k, inputCol="words", outputCol="grams").transform(words_).select(key, "grams").where(F.size("grams") > 0)
+    return NGram(n=n, inputCol="words", outputCol="grams").transform(words_).select(key, "grams").where(F.size("grams") > 0)
 
 
 def quote_search(quotes: DataFrame, texts: DataFrame, k: int = 6) -> DataFrame:
     """quotes(quote_id, quote), texts(text_id, text) -> (quote_id, text_id): which texts contain which quotes, word for word.
 
-    Candidates come from an equi-join on one k-word string of each quote, its first; a quote of fewer words has none
-    and is left out. Only strings that some quote has are kept of the texts, before any text is joined again."""
-    # the first word may follow a sign without a blank and the last may go on: strings inside the quote are whole words
-    q = _grams(quotes, "quote_id", "quote", k).select("quote_id", F.element_at("grams", F.least(F.lit(2), F.size("grams"))).alias("gram"))
-    found = _grams(texts, "text_id", "text", k).select("text_id", F.explode(F.array_distinct("grams")).alias("gram"))
-    pairs = found.join(q.select("gram", "quote_id"), "gram").select("text_id", "quote_id").distinct()
+    Candidates come from an equi-join on one string of inner words of each quote, k of them or as many as it has: its first
+    and last word may go on in a text, inner ones are whole words there. Quotes under three words are no evidence and
+    left out. Only strings that some quote has are kept of the texts before any text is joined again."""
+    inner = F.least(F.lit(k), words(F.col("quote")) - 2).alias("inner")
+    quotes = quotes.select("quote_id", "quote", inner).where("inner > 0")
+    pairs = None
+    for n in sorted(r.inner for r in quotes.select("inner").distinct().collect()):
+        own = _grams(quotes.where(F.col("inner") == n), "quote_id", "quote", n).select("quote_id", F.element_at("grams", 2).alias("gram"))
+        found = _grams(texts, "text_id", "text", n).select("text_id", F.explode(F.array_distinct("grams")).alias("gram"))
+        part = found.join(own, "gram").select("text_id", "quote_id").distinct()
+        pairs = part if pairs is None else pairs.unionByName(part)
+    if pairs is None:
+        return quotes.limit(0).join(texts.limit(0), F.lit(True)).select("quote_id", "text_id")
     return (
         pairs.join(quotes.select("quote_id", "quote"), "quote_id").join(texts.select("text_id", "text"), "text_id")
         .where(F.col("text").contains(F.col("quote"))).select("quote_id", "text_id")
@@ -75,3 +82,39 @@ def verified_fraction(works: DataFrame) -> DataFrame:
     """(problem_id, status) -> the verified share by problem, to two digits."""
     share = F.avg(F.when(F.col("status") == "verified", 1.0).otherwise(0.0))
     return works.groupBy("problem_id").agg(F.coalesce(F.bround(share, 2), F.lit(0.0)).alias("verified_fraction"))
+
+
+def advantage_check(claims: DataFrame, files: DataFrame, self_rated: tuple[str, ...] = ()) -> DataFrame:
+    """claims(path, quote, ...), files(path, text) -> claims with why_not (no profile file, short quote, not found, or null)
+    and basis: self_rating if the file is one of self-ratings, else profile."""
+    texts = files.select("path", normal_column(F.col("text")).alias("normal"))
+    q = claims.withColumn("norm", normal_quote(normal_column(F.col("quote"))))
+    why = (
+        F.when(F.col("normal").isNull(), "not a profile file").when(words(F.col("quote")) < MIN_QUOTE_WORDS, "quote too short")
+        .when(~states(F.col("normal"), F.col("norm")), "quote not found")
+    )
+    basis = F.when(F.col("path").isin(*self_rated), "self_rating").otherwise("profile")
+    return q.join(texts, "path", "left").select(*claims.columns, why.alias("why_not"), F.when(why.isNull(), basis).alias("basis"))
+
+
+def solution_check(solutions: DataFrame, top: DataFrame) -> DataFrame:
+    """solutions(challenge_id, team, score, quote, verified), top(challenge_id, team, score) -> kept: its evidence is
+    verified; score_kept: the quote states the score, or the leaderboard has the same team, in any case, with the same."""
+    rows = solutions.withColumn("_figs", figures_column(F.col("quote"))).withColumn("_team", F.lower("team"))
+    board = top.select("challenge_id", F.lower("team").alias("_team"), F.col("score").alias("_score")).distinct()
+    board = board.groupBy("challenge_id", "_team").agg(F.collect_set("_score").alias("_scores"))
+    on_board = F.coalesce(F.exists("_scores", lambda x: same_number(F.col("score"), x)), F.lit(False))
+    out = rows.join(board, ["challenge_id", "_team"], "left").withColumns({
+        "kept": F.col("verified"), "score_kept": F.col("verified") & (stated(F.col("score"), F.col("_figs")) | on_board),
+    })
+    return out.drop("_figs", "_team", "_scores")
+
+
+def baseline_check(rows: DataFrame) -> DataFrame:
+    """rows(value, quote, verified): none, evidence not verified, not stated, or accepted."""
+    figs = rows.withColumn("_figs", figures_column(F.coalesce("quote", F.lit(""))))
+    verdict = (
+        F.when(F.col("value").isNull(), "none").when(~F.coalesce("verified", F.lit(False)), "evidence not verified")
+        .when(~stated(F.col("value"), F.col("_figs")), "not stated").otherwise("accepted")
+    )
+    return figs.withColumn("baseline_check", verdict).drop("_figs")

@@ -11,6 +11,8 @@ from ..functions import money, quotes as q, urls
 from ..operators import candidates as cand
 from ..operators import challenge, discover, items, opportunity, problems, sessions, sources, value, verify, views
 from ..sources import payloads, records
+from ..sources.staging import staging
+from ..streaming import feeds
 from .bindings import bound, given, twin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -706,3 +708,151 @@ def html_to_text(spark, d):
 def parse_amounts(spark, d):
     rows = bound(spark, d, "problem_sources").select("problem_id", "pos", F.explode(money.amounts_column(F.col("stated"), value.default_currency(F.col("source_id")))).alias("a"))
     return rows.select("problem_id", "pos", "a.*")
+
+
+@query("""SELECT 'g' AS source_id, 'https://www.grants.gov/search-results-detail/' || p_partkey AS url, p_name AS title,
+ 'Title: ' || p_name || chr(10) || 'Agency: ' || p_brand || chr(10) || 'Opportunity number: ' || p_size || chr(10) || 'Status: ' || chr(10) || 'Close date: ' || chr(10) || 'Award ceiling: ' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '$5k' END || chr(10) || 'Estimated total funding: ' || chr(10) || chr(10) || p_type AS text
+ FROM part WHERE p_partkey % 3 <> 0""")
+def items_from_grants(spark, d):
+    p, none = given(spark, d, "part"), F.lit(None).cast("string")
+    hits = p.select(F.lit("g").alias("source_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("agency"), F.col("p_size").alias("number"), none.alias("status"), none.alias("close_date"))
+    details = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 != 0, "$5k").alias("ceiling"), none.alias("funding"), F.col("p_type").alias("description"))
+    return payloads.grants(hits, details)
+
+
+@query("""SELECT p_partkey AS url, 0 AS pos, '10.1234/a' || (p_partkey % 10) AS doi FROM part UNION ALL SELECT p_partkey, 1, '10.5555/' || p_size FROM part""")
+def items_from_dois(spark, d):
+    a, b = F.concat(F.lit("10.1234/a"), F.col("p_partkey") % 10), F.concat(F.lit("10.5555/"), "p_size")
+    text = F.concat(F.lit("see "), a, F.lit("), "), b, F.lit("; and again "), a, F.lit("."))
+    return payloads.dois(given(spark, d, "part").select(F.col("p_partkey").alias("url"), text.alias("text")))
+
+
+@query("SELECT p_partkey AS doi, p_name AS abstract FROM part")
+def abstracts(spark, d):
+    w = given(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("p", "w"))
+    by_word = w.groupBy("p_partkey", "w").agg(F.collect_list("p").alias("ps"))
+    return payloads.abstracts(by_word.groupBy(F.col("p_partkey").alias("doi")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted")))
+
+
+@query("""SELECT 's' AS source_id, 'https://t.example/#' || CASE WHEN p_partkey % 2 = 0 THEN 'k' || p_partkey ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') END AS url, p_name AS title, p_name || chr(10) || p_type AS text FROM part""")
+def items_from_sections(spark, d):
+    key = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(' id="k'), "p_partkey", F.lit('"'))).otherwise("")
+    html = F.concat(F.lit("<body><section></section><section"), key, F.lit("><h2>"), "p_name", F.lit("</h2><script>x()</script><p>"), "p_type", F.lit("</p></section></body>"))
+    return payloads.sections(given(spark, d, "part").select(F.lit("s").alias("source_id"), F.lit("https://t.example/").alias("url"), html.alias("html")))
+
+
+@query("SELECT p_partkey AS source_id, unnest([p_name, p_type, p_brand]) AS node FROM part")
+def items_from_sessions(spark, d):
+    leaf = lambda *c: F.struct(F.array(*[F.col(x) for x in c]).alias("talks"))
+    body = F.to_json(F.struct(F.struct(leaf("p_name", "p_type").alias("mon"), leaf("p_brand").alias("tue")).alias("days")))
+    return payloads.nested(given(spark, d, "part").select(F.col("p_partkey").alias("source_id"), body.alias("body")), "days.*.talks")
+
+
+@query("""WITH l AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS pos, 'https://c.example/c/' || (l_partkey % 200) AS href, l_returnflag = 'R' AS f FROM lineitem WHERE l_partkey % 3 <> 0),
+ g AS (SELECT page, href, min(pos) AS pos, bool_or(f) AS finished FROM l GROUP BY ALL) SELECT page, href, finished FROM g QUALIFY row_number() OVER (PARTITION BY page, finished ORDER BY pos, href) <= 20""")
+def listing_links(spark, d):
+    href = F.when(F.col("l_partkey") % 3 == 0, "https://c.example/about").otherwise(F.concat(F.lit("https://c.example/c/"), F.col("l_partkey") % 200))
+    links = given(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), href.alias("href"), F.lit("Open").alias("text"), (F.col("l_returnflag") == "R").alias("heading_finished"))
+    return payloads.listing_links(links, "/c/", 20)
+
+
+@query(twin("board") + """ SELECT challenge_id, pos::INT AS pos, CASE WHEN is_baseline THEN NULL ELSE pos END::INT AS rank, team, round_even(score, 3) AS score, is_baseline FROM board WHERE pos <= 30 AND pos % 5 <> 0 AND challenge_id % 9 <> 0""")
+def leaderboard_rows(spark, d):
+    score = F.when(F.col("pos") % 5 == 0, "-").otherwise(F.format_string("%.3f", F.bround("score", 3)))
+    name = F.when(F.col("is_baseline"), F.concat(F.lit('<b title="Baseline">Baseline</b> '), "team")).otherwise(F.col("team"))
+    tr = F.concat(F.lit("<tr><td>"), F.when(F.col("is_baseline"), "").otherwise(F.col("pos").cast("string")), F.lit("</td><td>"), name, F.lit("</td><td> "), score, F.lit("</td></tr>"))
+    rows = bound(spark, d, "board").where("pos <= 30").groupBy("challenge_id").agg(F.array_sort(F.collect_list(F.struct("pos", tr.alias("tr")))).alias("rows"))
+    kind = F.when(F.col("challenge_id") % 9 == 0, "<th>Score</th>").otherwise('<th class="score-title">Score</th>')
+    html = F.concat(F.lit("<table><tr><th>#</th><th>Participants</th>"), kind, F.lit("</tr>"), F.array_join("rows.tr", ""), F.lit("</table>"))
+    return payloads.leaderboard_rows(rows.select("challenge_id", html.alias("html")))[0]
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 2 AND l_suppkey % 3 = 1 THEN 'not per occurrence' WHEN l_linenumber % 4 = 3 AND l_quantity > 1 AND l_suppkey % 3 = 2 THEN 'share outside 0 to 1'
+  WHEN l_linenumber % 4 = 0 AND l_suppkey % 3 = 1 THEN 'unit rescales the count' WHEN l_returnflag = 'A' THEN NULL WHEN l_returnflag = 'N' THEN 'evidence not verified'
+  WHEN l_linenumber % 4 = 3 AND l_suppkey % 3 <> 2 THEN 'figure not in quote' WHEN l_linenumber % 2 = 1 THEN CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE NULL END END AS reason FROM lineitem WHERE l_linenumber % 4 <> 1 AND l_linenumber % 4 <> 3""")
+def estimate_rows(spark, d):
+    k, s = F.col("l_linenumber") % 4, F.col("l_suppkey") % 3
+    unit = F.when(k == 0, F.when(s == 1, "million sites").otherwise("sites")).otherwise(F.when(s == 1, "USD/year").otherwise("GBP/incident"))
+    quote = F.when(k == 0, F.concat(F.lit("about "), F.col("l_quantity").cast("int"), F.lit(" sites"))).otherwise(F.concat(F.lit("costs £"), F.col("l_quantity").cast("int"), F.lit(" each")))
+    rows = given(spark, d, "lineitem").where("l_linenumber % 2 = 0").select("l_orderkey", "l_linenumber", F.when(k == 0, "affected_units").otherwise("cost_per_occurrence").alias("quantity"),
+        F.col("l_quantity").alias("low"), F.lit(None).cast("double").alias("high"), unit.alias("unit"), F.when(F.col("l_returnflag") == "A", "explicit_assumption").otherwise("source").alias("basis"), F.lit("we assume").alias("assumption"),
+        quote.alias("quote"), F.when(F.col("l_returnflag") == "N", "unfetchable").otherwise("verified").alias("verification"), F.lit(None).cast("string").alias("company"))
+    return value.estimate_rows(rows).select("l_orderkey", "l_linenumber", "reason")
+
+
+@query(twin("board") + """ SELECT challenge_id, pos, pos % 3 <> 0 AS kept, pos % 3 <> 0 AND (pos % 2 = 0 OR challenge_id % 2 = 0) AS score_kept FROM board WHERE NOT is_baseline AND pos <= 20""")
+def solution_check(spark, d):
+    b = bound(spark, d, "board").where("not is_baseline and pos <= 20").withColumn("score", F.round("score", 4))
+    told = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("it reached "), F.format_string("%.4f", "score"), F.lit(" at last"))).otherwise("no figure here")
+    s = b.select("challenge_id", "pos", F.upper("team").alias("team"), "score", told.alias("quote"), (F.col("pos") % 3 != 0).alias("verified"))
+    return verify.solution_check(s, b.where("challenge_id % 2 = 0").select("challenge_id", "team", "score")).select("challenge_id", "pos", "kept", "score_kept")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'none' WHEN o_custkey % 4 = 1 THEN 'evidence not verified' WHEN o_custkey % 4 = 2 THEN 'accepted' ELSE 'not stated' END AS baseline_check FROM orders""")
+def baseline_check(spark, d):
+    k = F.col("o_custkey") % 4
+    rows = given(spark, d, "orders").select("o_orderkey", F.when(k != 0, F.col("o_orderkey") * 1.0).alias("value"), (k != 1).alias("verified"), F.when(k == 2, F.concat(F.lit("a baseline of "), "o_orderkey")).otherwise("nothing").alias("quote"))
+    return verify.baseline_check(rows).select("o_orderkey", "baseline_check")
+
+
+@query("""SELECT item_id, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'not a profile file' WHEN contains(d.text, b.text) THEN NULL ELSE 'quote not found' END AS why_not,
+ CASE WHEN doc_id % 7 <> 0 AND contains(d.text, b.text) THEN 'profile' END AS basis FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+def advantage_check(spark, d):
+    docs = given(spark, d, "documents")
+    claims = docs.select("doc_id", F.col("doc_id").alias("path"), (F.col("doc_id") % 40).alias("item_id")).join(given(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id")
+    return verify.advantage_check(claims, docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), "text")).select("item_id", "doc_id", "why_not", "basis")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE strftime(o_orderdate, '%Y-%m') >= '1997-06' GROUP BY 1")
+def candidates_by_month(spark, d):
+    path = staging(spark, "months")
+    records.write_by_month(given(spark, d, "orders"), "o_orderdate", path)
+    return records.read_since(spark, path, "1997-06").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+
+
+@query()
+def verify_quotes(spark, d):
+    """The title of every page as a quote against its own page and against the next one."""
+    p = given(spark, d, "pages")
+    text = payloads.pages(p.select("url", "html"))
+    quotes_ = text.select("url", F.substring_index(F.substring("text", 1, 80), " ", 6).alias("quote"))
+    return verify.verify_quotes(quotes_, verify.page_texts(p.select("url", "html")).withColumn("ok", F.lit(True)))
+
+
+@query()
+def page_items(spark, d):
+    return payloads.pages(given(spark, d, "pages").select("url", "html")).select(urls.item_id(F.col("url")).alias("item_id"), "title", F.length("text").alias("chars"))
+
+
+@query(twin("scan_log") + _HEALTH + " SELECT source_id, seq, scans, items_seen, consecutive_failures, candidates, dry_scans FROM h QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) = 1")
+def stream_source_health(spark, d):
+    """The scan log as a stream of three batches; each source's last state."""
+    log, path = bound(spark, d, "scan_log").select("source_id", "seq", "outcome"), staging(spark, "health")
+    third = log.agg(F.max("seq") / 3).first()[0] or 0
+    for k in range(3):
+        log.where((F.col("seq") > (k * third if k else -1)) & (F.col("seq") <= (k + 1) * third + (k == 2))).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    scans = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    sink = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+    feeds.source_health(scans).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start().awaitTermination()
+    return sources.latest(spark.read.parquet(f"{path}/out").drop("batch")).select("source_id", "seq", "scans", "items_seen", "consecutive_failures", "candidates", "dry_scans")
+
+
+@query(ORACLE["upsert_items"])
+def stream_upsert(spark, d):
+    """Two snapshots as two micro-batches; the table after the second."""
+    path, columns = staging(spark, "upsert"), ["url", "source_id", "title", "text", "finished", "at"]
+    for k in (1, 2):
+        bound(spark, d, f"snapshot_{k}").withColumn("at", F.lit(k)).select(columns).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    raw = spark.readStream.schema("url string, source_id string, title string, text string, finished boolean, at int").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    feeds.upsert_stream(raw, f"{path}/items", f"{path}/c").awaitTermination()
+    out = spark.read.parquet(f"{path}/items/batch=1")
+    return out.select("item_id", "finished", "revision", "content_hash", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen"), "status")
+
+
+@query(ORACLE["candidate_outcome"])
+def stream_superseded(spark, d):
+    path, c = staging(spark, "superseded"), bound(spark, d, "candidates").select("candidate_id", "doc_id", "revision")
+    c.write.parquet(f"{path}/in")
+    late = feeds.guarded(spark.readStream.schema(c.schema).parquet(f"{path}/in"), bound(spark, d, "item_state"), "doc_id").select("candidate_id", "outcome")
+    late.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import extract_column
+from ..functions.urls import slug
 
 _GREENHOUSE = "jobs array<struct<absolute_url string, title string, updated_at string, content string>>"
 _LEVER = "array<struct<hostedUrl string, text string, createdAt bigint, openingPlain string, descriptionPlain string, additionalPlain string, lists array<struct<text string, content string>>>>"
@@ -75,3 +76,85 @@ def pages(raw: DataFrame) -> DataFrame:
     """(url, html) -> (url, title, text, links); the title falls back to the URL."""
     x = extract_column(F.col("html"), F.col("url"))
     return raw.select("url", x.alias("x")).select("url", F.coalesce(F.nullif("x.title", F.lit("")), "url").alias("title"), "x.text", "x.links")
+
+
+def grants(hits: DataFrame, details: DataFrame) -> DataFrame:
+    """hits(source_id, id, title, agency, number, status, close_date), details(id, ceiling, funding, description) -> items
+    whose text is a fixed block of fields; what is missing is empty."""
+    e = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    field = lambda label, c: F.concat(F.lit(f"{label}: "), e(c))
+    text = F.concat_ws("\n", field("Title", "title"), field("Agency", "agency"), field("Opportunity number", "number"), field("Status", "status"),
+                       field("Close date", "close_date"), field("Award ceiling", "ceiling"), field("Estimated total funding", "funding"), F.lit(""), e("description"))
+    url = F.concat(F.lit("https://www.grants.gov/search-results-detail/"), "id")
+    return hits.join(details, "id").select("source_id", url.alias("url"), e("title").alias("title"), text.alias("text"))
+
+
+def dois(pages_: DataFrame) -> DataFrame:
+    """(url, text) -> (url, pos, doi): distinct, in order of appearance, without closing marks."""
+    found = F.regexp_extract_all("text", F.lit(r"\b10\.\d{4,9}/[^\s\"<>]+"), F.lit(0))
+    clean = F.array_distinct(F.transform(found, lambda x: F.rtrim(x, F.lit(".,;)"))))
+    return pages_.select("url", F.posexplode(clean).alias("pos", "doi"))
+
+
+def abstracts(works: DataFrame) -> DataFrame:
+    """works(doi, inverted map<string, array<int>>) -> the abstract: words by their places."""
+    at = F.flatten(F.transform(F.map_entries("inverted"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    return works.select("doi", F.array_join(F.transform(F.array_sort(at), lambda x: x["w"]), " ").alias("abstract"))
+
+
+def sections(raw: DataFrame) -> DataFrame:
+    """(source_id, url, html) -> an item for each `<section>` with text: keyed by its id, else by its heading's slug."""
+    found = raw.select("source_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<section\b[^>]*>.*?</section>"), F.lit(0))).alias("s"))
+    key = F.regexp_extract("s", r'(?is)^<section\b[^>]*\bid="([^"]+)"', 1)
+    title = F.trim(F.regexp_replace(F.regexp_extract("s", r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1), "<[^>]*>", ""))
+    key = F.when(key != "", key).otherwise(slug(title))
+    text = extract_column(F.col("s"), F.col("url"))["text"]
+    return found.select("source_id", F.concat("url", F.lit("#"), key).alias("url"), title.alias("title"), text.alias("text"), key.alias("key")).where("key <> '' and text <> ''").drop("key")
+
+
+def nested(raw: DataFrame, path: str) -> DataFrame:
+    """(source_id, body JSON) -> (source_id, node JSON): what a dotted path leads to; `*` goes to all elements of a list or
+    all values of an object, missing keys lead nowhere, and a list at the end gives its elements."""
+    rows = raw.select("source_id", F.col("body").alias("node"))
+    as_list = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.map_values(F.from_json(c, "map<string, string>")))
+    for step in path.split("."):
+        if step == "*":
+            rows = rows.select("source_id", F.explode(as_list(F.col("node"))).alias("node"))
+        else:
+            rows = rows.select("source_id", F.get_json_object("node", f"$['{step}']").alias("node")).where("node is not null")
+    last = F.when(F.col("node").startswith("["), F.from_json("node", "array<string>")).otherwise(F.array("node"))
+    return rows.select("source_id", F.explode(last).alias("node"))
+
+
+def listing_links(links: DataFrame, pattern: str, most: int) -> DataFrame:
+    """links(page, pos, href, text, heading_finished) -> child pages: those that match the pattern, once each by page, finished
+    if any of their links says so or stands below a finished heading; at most `most` finished and `most` open ones."""
+    own = links.where(F.col("href").rlike(pattern)).groupBy("page", "href").agg(
+        F.min("pos").alias("pos"), F.bool_or(F.col("heading_finished") | F.lower("text").contains("finished")).alias("finished")
+    )
+    ranked = own.groupBy("page", "finished").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "href"))), 1, most).alias("first"))
+    return ranked.select("page", "finished", F.explode("first").alias("x")).select("page", "x.href", "finished")
+
+
+def leaderboard_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(challenge_id, html) of a leaderboard table with columns #, Participants and a score column (class score-title) ->
+    (rows (challenge_id, pos, rank, team, score, is_baseline), bad (challenge_id, error)). Rows without a score are left out."""
+    cells = lambda row, tag: F.transform(
+        F.regexp_extract_all(row, F.lit(rf"(?is)<{tag}\b[^>]*>.*?</{tag}>"), F.lit(0)), lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>|\s+", " "))
+    )
+    rows = raw.select("challenge_id", F.regexp_extract_all("html", F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0)).alias("tr"))
+    head = F.element_at("tr", 1)
+    rows = rows.where(F.size("tr") > 0).select(
+        "challenge_id", "tr", cells(head, "th").alias("names"),
+        F.transform(F.regexp_extract_all(head, F.lit(r"(?is)<th\b[^>]*>"), F.lit(0)), lambda x: x.rlike("score-title")).alias("is_score"),
+    )
+    at = rows.withColumns({"c": F.array_position("is_score", True), "r": F.array_position("names", "#"), "t": F.array_position("names", "Participants")})
+    ok = (F.coalesce(F.col("c"), F.lit(0)) > 0) & (F.coalesce(F.col("r"), F.lit(0)) > 0) & (F.coalesce(F.col("t"), F.lit(0)) > 0)
+    body = at.where(ok).select("challenge_id", "c", "r", "t", F.posexplode(F.slice("tr", 2, 100_000)).alias("pos", "row")).withColumn("cells", cells(F.col("row"), "td"))
+    get = lambda i: F.get("cells", F.col(i) - 1)
+    score = F.when(get("c").rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), get("c").cast("double"))
+    baseline = F.col("row").contains('title="Baseline"')
+    team = F.when(baseline, F.regexp_replace(get("t"), r"^Baseline\s+", "")).otherwise(get("t"))
+    out = body.select("challenge_id", (F.col("pos") + 1).alias("pos"), F.try_to_number(F.when(get("r").rlike(r"^\d{1,9}$"), get("r")), F.lit("999999999")).cast("int").alias("rank"), team.alias("team"), score.alias("score"), baseline.alias("is_baseline"))
+    out = out.where(F.col("score").isNotNull() & (F.col("is_baseline") | F.col("rank").isNotNull()))
+    return out, raw.join(at.where(ok).select("challenge_id"), "challenge_id", "left_anti").select("challenge_id", F.lit("no primary score column").alias("error"))
