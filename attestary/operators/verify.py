@@ -33,7 +33,7 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 
 def _grams(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, grams): the n-word strings of a text."""
-    words_ = rows.select(key, F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("words"))
+    words_ = rows.select(key, F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "").alias("words"))
     return NGram(n=n, inputCol="words", outputCol="grams").transform(words_).select(key, "grams").where(F.size("grams") > 0)
 
 

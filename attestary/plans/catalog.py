@@ -372,7 +372,7 @@ def best_tier_payment(spark, d):
     return problems.best_tier_payment(bound(spark, d, "problem_sources"), value.tier_rank(F.col("tier")))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE l_suppkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'USD/year' WHEN 2 THEN 'USD/incident' END AS usd_unit, CASE l_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.27 WHEN 2 THEN 1.08 END AS rate,
+@query("""SELECT l_orderkey, l_linenumber, CASE l_suppkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'USD/year' WHEN 2 THEN 'USD/incident' END AS usd_unit, (CASE l_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.27 WHEN 2 THEN 1.08 END)::DOUBLE AS rate,
  CASE l_suppkey % 4 WHEN 1 THEN 'year' WHEN 2 THEN 'incident' END AS period FROM lineitem""")
 def money_units(spark, d):
     unit = F.element_at(F.array(F.lit("USD"), F.lit(" gbp / Year"), F.lit("EUR per incident"), F.lit("CHF/year")), (F.col("l_suppkey") % 4 + 1).cast("int"))
@@ -477,7 +477,7 @@ def unsupported_claims(spark, d):
 # ---- challenges
 
 @query(twin("board") + """ SELECT challenge_id, pos, CASE metric WHEN 'Accuracy' THEN 'higher_is_better' WHEN 'Log Loss' THEN 'lower_is_better' WHEN 'RMSE' THEN 'lower_is_better' WHEN 'Mean Average Precision' THEN 'higher_is_better' WHEN 'F1' THEN 'higher_is_better' END AS direction,
- CASE metric WHEN 'Score' THEN NULL WHEN 'Log Loss' THEN 0.0 WHEN 'RMSE' THEN 0.0 ELSE 1.0 END AS ceiling FROM board""")
+ CASE metric WHEN 'Score' THEN NULL WHEN 'Log Loss' THEN 0.0::DOUBLE WHEN 'RMSE' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ceiling FROM board""")
 def metric_bounds(spark, d):
     return bound(spark, d, "board").select("challenge_id", "pos", challenge.metric_bounds(F.col("metric")).alias("b")).select("challenge_id", "pos", "b.*")
 
