@@ -88,7 +88,7 @@ def title_filter(items: DataFrame, include: Column, exclude: Column) -> DataFram
 def queue(items: DataFrame, tiers: DataFrame, limit: int) -> DataFrame:
     """The next items to extract: by tier (Z if the source is unknown), first_seen and id."""
     return (
-        items.where(F.col("status") == QUEUED).join(F.broadcast(tiers.limit(100_000)), "source_id", "left")
+        items.where(F.col("status") == QUEUED).join(tiers, "source_id", "left")
         .select("item_id", "source_id", F.coalesce("tier", F.lit("Z")).alias("tier"), "first_seen")
         .orderBy("tier", "first_seen", "item_id").limit(limit)
     )

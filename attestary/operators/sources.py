@@ -86,3 +86,9 @@ def failure_log(*parts: DataFrame) -> DataFrame:
         p = p.select(F.coalesce("source_id", F.lit("*")).alias("source_id"), F.coalesce(F.col("item_id").cast("string"), F.lit("*")).alias("item_id"), "error")
         out = p if out is None else out.unionByName(p)
     return out
+
+
+def first_of_each(rows: DataFrame, key: str, most: int, *order: str) -> DataFrame:
+    """The first `most` rows of each key; every task keeps no more than that of a key before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")

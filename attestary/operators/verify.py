@@ -118,3 +118,38 @@ def baseline_check(rows: DataFrame) -> DataFrame:
         .when(~stated(F.col("value"), F.col("_figs")), "not stated").otherwise("accepted")
     )
     return figs.withColumn("baseline_check", verdict).drop("_figs")
+
+
+def candidate_verified(rows: DataFrame) -> DataFrame:
+    """rows(text, unsolved, evidence, ptype, pay_evidence) with verified: each required quote is stated in the item's text.
+    The evidence is required if an unsolved signal is present, the payment's if a type is stated; an empty required quote
+    is not stated, and without any the row counts as verified."""
+    norm = rows.withColumns({
+        "_text": normal_column(F.col("text")), "_q1": normal_quote(normal_column(F.col("evidence"))), "_q2": normal_quote(normal_column(F.col("pay_evidence"))),
+    })
+    asks = F.coalesce(F.col("ptype"), F.lit("none_stated")) != "none_stated"
+    first = ~F.coalesce("unsolved", F.lit(False)) | states(F.col("_text"), F.col("_q1"))
+    return norm.withColumn("verified", first & (~asks | states(F.col("_text"), F.col("_q2")))).drop("_text", "_q1", "_q2")
+
+
+def wtp_check(rows: DataFrame) -> DataFrame:
+    """rows(signal, quote, verification) of willingness to pay, quote and verification null if the evidence is out of range:
+    adds check: evidence not verified, amount not in quote, or accepted."""
+    rows = rows.withColumn("_quotes", F.array(F.coalesce("quote", F.lit("")))).withColumn("_none", F.array().cast("array<double>"))
+    out = unsupported_amounts(rows, "signal", "_quotes", "_none")
+    verdict = (
+        F.when(~F.coalesce(F.col("verification") == "verified", F.lit(False)), "evidence not verified")
+        .when(F.size("unsupported") > 0, "amount not in quote").otherwise("accepted")
+    )
+    return out.withColumn("check", verdict).drop("_quotes", "_none", "unsupported")
+
+
+def backing(quotes: DataFrame, fields: DataFrame, values: DataFrame) -> DataFrame:
+    """What an opportunity's numbers may rest on, by problem: quotes(problem_id, quote, verified) that are verified,
+    fields(problem_id, text, inferred) that are stated and not inferred, and the ends of values(problem_id, low, high)."""
+    told = quotes.where("verified").select("problem_id", F.col("quote").alias("text")).unionByName(fields.where("not inferred").select("problem_id", "text"))
+    texts = told.groupBy("problem_id").agg(F.array_sort(F.collect_set("text")).alias("texts"))
+    ends = values.select("problem_id", F.array_compact(F.array("low", "high")).alias("numbers"))
+    return texts.join(ends, "problem_id", "full").select(
+        "problem_id", F.coalesce("texts", F.array().cast("array<string>")).alias("texts"), F.coalesce("numbers", F.array().cast("array<double>")).alias("numbers")
+    )

@@ -110,4 +110,4 @@ def assign_ids(wanted: DataFrame, known: DataFrame, prefix: str = "OPP-") -> Dat
     start = known.agg(F.coalesce(F.max("number"), F.lit(0)).alias("start"))
     numbered = new.join(ahead.select("part", "ahead"), "part").crossJoin(F.broadcast(start)).select("problem_id", (F.col("start") + F.col("ahead") + F.col("at") + 1).alias("number"))
     both = old.where("number is not null").select("problem_id", "number").unionByName(numbered)
-    return both.select("problem_id", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), 4, "0")).alias("opportunity_id"))
+    return both.select("problem_id", F.concat(F.lit(prefix), F.when(F.col("number") < 1000, F.lpad(F.col("number").cast("string"), 4, "0")).otherwise(F.col("number").cast("string"))).alias("opportunity_id"))

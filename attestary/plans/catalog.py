@@ -174,8 +174,7 @@ def ordered_distinct(spark, d):
 def capped_per_source(spark, d):
     docs = given(spark, d, "documents").select("doc_id", "source")
     fresh = docs.join(docs.where("doc_id % 3 = 0").select("doc_id"), "doc_id", "left_anti")
-    first = fresh.groupBy("source").agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 5).alias("ids"))
-    return first.select(F.explode("ids").alias("doc_id"), "source")
+    return sources.first_of_each(fresh, "source", 5, "doc_id")
 
 
 # ---- candidates
@@ -609,12 +608,12 @@ def record_history(spark, d):
     return views.record_history(runs, "run", "state").select("problem_id", "run", "revision", F.array_join("history.state", "").alias("history"))
 
 
-@query("""WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS number FROM orders WHERE o_orderkey % 4 = 0), w AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0),
+@query("""WITH k AS (SELECT o_orderkey, (o_orderkey // 4 + 1) AS number FROM orders WHERE o_orderkey % 4 = 0), w AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0),
  n AS (SELECT o_orderkey, (SELECT max(number) FROM k) + row_number() OVER (ORDER BY o_orderkey) AS number FROM w WHERE o_orderkey NOT IN (SELECT o_orderkey FROM k))
  SELECT o_orderkey AS problem_id, 'OPP-' || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 4, '0') ELSE number::VARCHAR END AS opportunity_id FROM (SELECT * FROM n UNION ALL SELECT * FROM k)""")
 def assign_opp_ids(spark, d):
     o = given(spark, d, "orders").select(F.col("o_orderkey").alias("problem_id"))
-    known = o.where("problem_id % 4 = 0").join(o.where("problem_id % 4 = 0").groupBy().agg(F.array_sort(F.collect_list("problem_id")).alias("all")), how="cross").select("problem_id", F.array_position("all", F.col("problem_id")).alias("number"))
+    known = o.where("problem_id % 4 = 0").withColumn("number", F.expr("problem_id div 4 + 1"))
     return views.assign_ids(o.where("problem_id % 2 = 0").withColumn("request", F.col("problem_id")), known)
 
 
@@ -856,3 +855,33 @@ def stream_superseded(spark, d):
     late = feeds.guarded(spark.readStream.schema(c.schema).parquet(f"{path}/in"), bound(spark, d, "item_state"), "doc_id").select("candidate_id", "outcome")
     late.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
+
+
+@query("""SELECT doc_id, (doc_id % 2 <> 0 OR contains(d.text, b.text)) AND (doc_id % 3 <> 0 OR doc_id % 9 <> 0) AS verified FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.text <> ''""")
+def candidate_verified(spark, d):
+    docs = given(spark, d, "documents").where("text <> ''").withColumn("item_id", F.col("doc_id") % 40)
+    rows = docs.join(given(spark, d, "benchmark").select("item_id", F.col("text").alias("evidence")), "item_id").withColumns({
+        "unsolved": F.col("doc_id") % 2 == 0, "ptype": F.when(F.col("doc_id") % 3 == 0, "grant").otherwise("none_stated"), "pay_evidence": F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("text"))})
+    return verify.candidate_verified(rows).select("doc_id", "verified")
+
+
+@query(f"SELECT page_id AS item_id, (unnest(range(0, page_id % 4 + 1)))::INT AS pos, unnest({_LINKS}) AS link FROM pages WHERE page_id >= 60 AND page_id % 2 = 0")
+def recent_refs(spark, d):
+    return items.links_of(_linked(spark, d).where("item_id % 2 = 0"), _t(60), "first_seen", "links")
+
+
+@query(twin("problem_sources") + """ SELECT problem_id, pos, CASE WHEN pos % 3 = 0 THEN 'evidence not verified' WHEN pos % 2 = 0 AND stated <> '' AND l_linenumber % 4 < 2 THEN 'amount not in quote' ELSE 'accepted' END AS "check" FROM problem_sources""")
+def wtp_check(spark, d):
+    rows = bound(spark, d, "problem_sources").select("problem_id", "pos", F.col("stated").alias("signal"), F.when(F.col("pos") % 2 == 0, "another text").otherwise(F.col("stated")).alias("quote"), F.when(F.col("pos") % 3 != 0, "verified").alias("verification"))
+    return verify.wtp_check(rows).select("problem_id", "pos", "check")
+
+
+@query(twin("problem_sources", "assessments") + """, t AS (SELECT DISTINCT problem_id, stated AS text FROM problem_sources WHERE stated <> '' AND pos % 2 = 1 UNION SELECT problem_id, ptype FROM problem_sources WHERE tier <> 'C'),
+ g AS (SELECT problem_id, string_agg(text, '|' ORDER BY text) AS texts FROM t GROUP BY 1)
+ SELECT coalesce(g.problem_id, a.problem_id) AS problem_id, coalesce(texts, '') AS texts, CASE WHEN low IS NULL THEN 0 ELSE 2 END AS n_numbers FROM g FULL JOIN assessments a USING (problem_id)""")
+def backing(spark, d):
+    s = bound(spark, d, "problem_sources")
+    quotes_ = s.where("stated <> ''").select("problem_id", F.col("stated").alias("quote"), (F.col("pos") % 2 == 1).alias("verified"))
+    fields = s.select("problem_id", F.col("ptype").alias("text"), (F.col("tier") == "C").alias("inferred"))
+    out = verify.backing(quotes_, fields, bound(spark, d, "assessments").select("problem_id", "low", "high"))
+    return out.select("problem_id", F.array_join("texts", "|").alias("texts"), F.size("numbers").alias("n_numbers"))

@@ -3,7 +3,7 @@ shapes that can't be read give no item and are listed by `unreadable`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import extract_column
@@ -132,8 +132,8 @@ def listing_links(links: DataFrame, pattern: str, most: int) -> DataFrame:
     own = links.where(F.col("href").rlike(pattern)).groupBy("page", "href").agg(
         F.min("pos").alias("pos"), F.bool_or(F.col("heading_finished") | F.lower("text").contains("finished")).alias("finished")
     )
-    ranked = own.groupBy("page", "finished").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "href"))), 1, most).alias("first"))
-    return ranked.select("page", "finished", F.explode("first").alias("x")).select("page", "x.href", "finished")
+    w = Window.partitionBy("page", "finished").orderBy("pos", "href")  # each task keeps its own first `most` before the shuffle
+    return own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("page", "href", "finished")
 
 
 def leaderboard_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
