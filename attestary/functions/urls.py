@@ -72,3 +72,18 @@ def job_board(url: Column) -> Column:
 def slug(text: Column, most: int = 80) -> Column:
     """Lower case; runs of anything but a-z and 0-9 become one hyphen; cut to `most` characters."""
     return F.substring(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), 1, most)
+
+
+def talk_url(page: Column, key: Column) -> Column:
+    """The address of one talk of a page: its key as one more parameter."""
+    return F.concat(page, F.when(page.contains("?"), F.lit("&")).otherwise(F.lit("?")), F.lit("talk="), _encoded(key))
+
+
+def absolute(base: Column, href: Column) -> Column:
+    """A link as seen from a page: absolute ones as they are, others from the host or from the page's folder."""
+    root = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
+    folder = F.regexp_replace(_part(base, 3), "[^/]*$", "")
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(_part(base, 1), F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), href))
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import canonical_url, host, is_bloglike, job_board
+from ..functions.urls import absolute, canonical_url, host, is_bloglike, job_board, slug
 
 
 def job_boards(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -24,3 +24,12 @@ def unmapped(links: DataFrame, known_hosts: DataFrame, ignored: tuple[str, ...]
     first = rows.groupBy("host").agg(F.min(F.struct("at", "url")).alias("r")).join(known_hosts.select("host"), "host", "left_anti")
     out = first.select("host", F.col("r.at").alias("at"), canonical_url(F.col("r.url")).alias("url"), is_bloglike(F.col("r.url")).alias("bloglike"))
     return out if most is None else out.orderBy("at", "host").limit(most)
+
+
+def feeds(pages: DataFrame) -> DataFrame:
+    """pages(url, html) -> (url, feed, source_id): the first RSS or Atom link that a page names as its alternate."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
+    fit = F.filter(tags, lambda t: t.rlike(r'(?i)\brel="?alternate\b') & t.rlike(r'(?i)\btype="?application/(rss|atom)\+xml') & t.rlike(r'(?i)\bhref="[^"]+"'))
+    href = F.regexp_extract(F.get(fit, 0), r'(?i)\bhref="([^"]+)"', 1)
+    source = F.concat(F.lit("rss-"), slug(host(F.col("url"))))
+    return pages.where(F.size(fit) > 0).select("url", absolute(F.col("url"), href).alias("feed"), source.alias("source_id"))

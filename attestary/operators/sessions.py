@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,12 @@ def task_states(log: DataFrame) -> DataFrame:
     return rows.groupBy("task_id", "item").agg(
         F.min("line_no").alias("first_line"), F.max_by("state", "line_no").alias("state"), F.max_by("result", "line_no").alias("result")
     )
+
+
+def task_errors(log: DataFrame) -> DataFrame:
+    """log(task_id, line_no, line) -> (task_id, error, fix): the last `ERROR: ` line, with the next line if it is a `Fix: `."""
+    after = F.lead("line").over(Window.partitionBy("task_id").orderBy("line_no"))
+    fix = F.when(F.col("after").startswith("Fix: "), F.substring("after", 6, 100_000)).otherwise("")
+    rows = log.withColumn("after", after).where(F.col("line").startswith("ERROR: "))
+    last = rows.groupBy("task_id").agg(F.max_by(F.struct(F.substring("line", 8, 100_000).alias("error"), fix.alias("fix")), "line_no").alias("r"))
+    return last.select("task_id", "r.*")

@@ -92,3 +92,13 @@ def first_of_each(rows: DataFrame, key: str, most: int, *order: str) -> DataFram
     """The first `most` rows of each key; every task keeps no more than that of a key before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def override(state: DataFrame, orders: DataFrame) -> DataFrame:
+    """orders(source_id, wanted): a status set by hand; back to active also clears the failures and the dry counter."""
+    j = state.join(orders, "source_id", "left")
+    clear = F.coalesce(F.col("wanted") == "active", F.lit(False))
+    zero = lambda c: F.when(clear, 0).otherwise(F.col(c))
+    return j.withColumns({
+        "status": F.coalesce("wanted", "status"), "consecutive_failures": zero("consecutive_failures"), "dry_scans": zero("dry_scans"),
+    }).drop("wanted")

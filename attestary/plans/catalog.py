@@ -885,3 +885,33 @@ def backing(spark, d):
     fields = s.select("problem_id", F.col("ptype").alias("text"), (F.col("tier") == "C").alias("inferred"))
     out = verify.backing(quotes_, fields, bound(spark, d, "assessments").select("problem_id", "low", "high"))
     return out.select("problem_id", F.array_join("texts", "|").alias("texts"), F.size("numbers").alias("n_numbers"))
+
+
+@query("SELECT p_partkey, 'https://t.example/' || CASE WHEN p_partkey % 2 = 0 THEN '?d=1&' ELSE '?' END || 'talk=' || replace(p_name, ' ', '+') AS url FROM part")
+def talk_urls(spark, d):
+    page = F.concat(F.lit("https://t.example/"), F.when(F.col("p_partkey") % 2 == 0, "?d=1").otherwise(""))
+    return given(spark, d, "part").select("p_partkey", urls.talk_url(page, F.col("p_name")).alias("url"))
+
+
+@query("""SELECT 'https://h' || p_size || '.example/blog/' || p_partkey AS url, CASE p_partkey % 3 WHEN 0 THEN 'https://h' || p_size || '.example/feed' WHEN 1 THEN 'https://h' || p_size || '.example/blog/f.xml' END AS feed,
+ 'rss-h' || p_size || '-example' AS source_id FROM part WHERE p_partkey % 3 < 2""")
+def discover_feeds(spark, d):
+    k = F.col("p_partkey") % 3
+    link = F.concat(F.lit('<head><link rel="stylesheet" href="s.css"><link rel="alternate" type="'), F.when(k == 1, "application/atom+xml").when(k == 0, "application/rss+xml").otherwise("text/html"), F.lit('" href="'), F.when(k == 0, "/feed").otherwise("f.xml"), F.lit('"></head>'))
+    return discover.feeds(given(spark, d, "part").select(F.concat(F.lit("https://h"), "p_size", F.lit(".example/blog/"), "p_partkey").alias("url"), link.alias("html")))
+
+
+@query(twin("scan_log") + _HEALTH + """, l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) = 1)
+ SELECT source_id, CASE user_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'retired' ELSE 'candidate' END AS status, CASE WHEN user_id % 4 = 0 THEN 0 ELSE consecutive_failures END AS consecutive_failures, CASE WHEN user_id % 4 = 0 THEN 0 ELSE dry_scans END AS dry_scans FROM l""")
+def manual_override(spark, d):
+    state = sources.latest(sources.health(bound(spark, d, "scan_log"))).withColumn("status", F.lit("candidate"))
+    orders = state.where("user_id % 4 < 2").select("source_id", F.when(F.col("user_id") % 4 == 0, "active").otherwise("retired").alias("wanted"))
+    return sources.override(state, orders).select("source_id", "status", "consecutive_failures", "dry_scans")
+
+
+@query("""WITH l AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'ERROR: e' || event_id WHEN event_type = 'view' THEN 'Fix: f' || event_id ELSE 'line' END AS line FROM events),
+ n AS (SELECT *, lead(line) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM l), e AS (SELECT * FROM n WHERE line LIKE 'ERROR: %' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+ SELECT user_id AS task_id, substr(line, 8) AS error, CASE WHEN after LIKE 'Fix: %' THEN substr(after, 6) ELSE '' END AS fix FROM e""")
+def task_errors(spark, d):
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("ERROR: e"), "event_id")).when(F.col("event_type") == "view", F.concat(F.lit("Fix: f"), "event_id")).otherwise("line")
+    return sessions.task_errors(given(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("line_no"), line.alias("line")))

@@ -158,3 +158,14 @@ def leaderboard_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = body.select("challenge_id", (F.col("pos") + 1).alias("pos"), F.try_to_number(F.when(get("r").rlike(r"^\d{1,9}$"), get("r")), F.lit("999999999")).cast("int").alias("rank"), team.alias("team"), score.alias("score"), baseline.alias("is_baseline"))
     out = out.where(F.col("score").isNotNull() & (F.col("is_baseline") | F.col("rank").isNotNull()))
     return out, raw.join(at.where(ok).select("challenge_id"), "challenge_id", "left_anti").select("challenge_id", F.lit("no primary score column").alias("error"))
+
+
+def atom(raw: DataFrame, most: int) -> DataFrame:
+    """Atom: the first `most` entries, then those without a link go; content before summary, published before updated."""
+    schema = "entry array<struct<title string, link array<struct<_href string>>, summary string, content string, published string, updated string>>"
+    entries = raw.select("source_id", F.posexplode(F.from_xml("body", schema)["entry"]).alias("pos", "e")).where(F.col("pos") < most)
+    link = F.get("e.link._href", 0)
+    return entries.where(link.isNotNull()).select(
+        "source_id", link.alias("url"), F.coalesce("e.title", F.lit("")).alias("title"), F.coalesce("e.published", "e.updated").alias("published"),
+        F.coalesce("e.content", "e.summary", F.lit("")).alias("text"),
+    )

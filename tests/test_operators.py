@@ -135,3 +135,11 @@ def test_payloads(spark):
     got = payloads.items(raw).collect()
     assert [(r.url, r.title, r.published, r.text) for r in got] == [("h", "T", "1970-01-01T00:00:00Z", "L\nx")]
     assert payloads.unreadable(raw).count() == 1
+
+
+def test_feeds(spark):
+    rss = "<rss><channel><item><title>no link</title></item><item><link>l</link><title>t</title></item><item><link>late</link></item></channel></rss>"
+    atom = '<feed><entry><title>a</title><link href="h"/><summary>s</summary><content>c</content><updated>u</updated></entry><entry><title>b</title></entry></feed>'
+    raw = lambda body: spark.createDataFrame([("s", body)], "source_id string, body string")
+    assert [(r.url, r.title) for r in payloads.feed(raw(rss), 2).collect()] == [("l", "t")]
+    assert [tuple(r)[1:] for r in payloads.atom(raw(atom), 5).collect()] == [("h", "a", "u", "c")]
