@@ -43,10 +43,6 @@ def features_of(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in STEMS if len(word) >= n)]
 
 
-def with_stems(words: set[str]) -> set[str]:
-    return {f for w in words for f in features_of(w)}
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -54,11 +50,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class _Rows:
     """Texts by words, sparse, and the earlier categories' probabilities beside them; the last weight is the offset."""
 
-    def __init__(self, words: list[set[str]], vocabulary: dict[str, int]):
-        hits = [[vocabulary[w] for w in ws if w in vocabulary] for ws in words]
-        self.n, self.width = len(words), len(vocabulary)
+    def __init__(self, features: list[np.ndarray], place: np.ndarray, width: int):
+        """features: by text its feature numbers; place: by feature number the weight it has, or -1."""
+        hits = [h[h >= 0] for h in (place[f] for f in features)]
+        self.n, self.width = len(features), width
         self.row = np.repeat(np.arange(self.n), [len(h) for h in hits])
-        self.word = np.array([w for h in hits for w in h], np.int64)
+        self.word = np.concatenate(hits) if hits else np.empty(0, np.int64)
         self.more = np.empty((self.n, 0))
 
     def only(self, chosen: np.ndarray) -> _Rows:
@@ -80,7 +77,7 @@ class _Rows:
 def _fit_linear(x: _Rows, y: np.ndarray, ridge: float, rounds: int = 150) -> np.ndarray:
     """Ridge logistic regression by accelerated gradient steps; the offset, the last weight, is not shrunk."""
     w = np.zeros(x.width + x.more.shape[1] + 1)
-    share = min(max(float(y.mean()), 1e-4), 1 - 1e-4) if len(y) else 0.5
+    share = min(max(float(y.mean()) if len(y) else 0.0, 1e-4), 1 - 1e-4)
     w[-1] = np.log(share / (1 - share))
     if not len(y) or y.min() == y.max():
         return w
@@ -97,20 +94,28 @@ def _fit_linear(x: _Rows, y: np.ndarray, ridge: float, rounds: int = 150) -> np.
     return w
 
 
-def _vocabulary(words: list[set[str]], toxic: np.ndarray, size: int, least: int) -> dict[str, int]:
-    """The words whose frequency differs most between toxic and other texts, by a z score."""
-    seen: dict[str, list[int]] = {}
-    for ws, y in zip(words, toxic):
-        for w in ws:
-            seen.setdefault(w, [0, 0])[int(y)] += 1
+def _chosen(features: list[np.ndarray], names: list[str], toxic: np.ndarray, size: int, least: int) -> list[int]:
+    """The features whose frequency differs most between toxic and other texts, by a z score."""
+    seen = np.zeros((2, len(names)))
+    for f, y in zip(features, toxic):
+        seen[int(y), f] += 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    p = seen.sum(axis=0) / (n0 + n1)
+    z = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
+    enough = np.flatnonzero(seen.sum(axis=0) >= least)
+    return sorted(enough.tolist(), key=lambda i: (-z[i], names[i]))[:size]
+
 
-    def z(c):
-        p = (c[0] + c[1]) / (n0 + n1)
-        return abs(c[1] / n1 - c[0] / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
+class _Numbered:
+    """Texts as sorted arrays of feature numbers; strings are kept once for all texts."""
 
-    best = sorted((w for w, c in seen.items() if sum(c) >= least), key=lambda w: (-z(seen[w]), w))[:size]
-    return {w: i for i, w in enumerate(best)}
+    def __init__(self):
+        self.number, self.of_word = {}, {}
+
+    def features(self, words: set[str]) -> np.ndarray:
+        for w in words.difference(self.of_word):
+            self.of_word[w] = [self.number.setdefault(f, len(self.number)) for f in features_of(w)]
+        return np.unique(np.fromiter((i for w in words for i in self.of_word[w]), np.int32))
 
 
 def fit(rows: list[tuple[str, int]], categories=None, size: int = 1024, least: int = 5, folds: int = 4, ridge: float = 2e-4) -> ChainModel:
@@ -119,11 +124,19 @@ def fit(rows: list[tuple[str, int]], categories=None, size: int = 1024, least: i
     seen: dict[str, int] = {}
     for t, y in rows:
         seen[t or ""] = max(seen.get(t or "", 0), int(y))
-    words, toxic = [words_of(t) for t in seen], np.array(list(seen.values()), float)
-    features = [with_stems(ws) for ws in words]
-    model = ChainModel(_vocabulary(features, toxic, size, least))
-    x = _Rows(features, model.vocabulary)
-    listed = {n: np.array([not ws.isdisjoint(seeds) for ws in words], float) for n, seeds in categories.items()}
+    toxic, numbered = np.array(list(seen.values()), float), _Numbered()
+    features, listed = [], {n: np.zeros(len(seen)) for n in categories}
+    for i, t in enumerate(seen):
+        words = words_of(t)
+        features.append(numbered.features(words))
+        for n, seeds in categories.items():
+            listed[n][i] = not words.isdisjoint(seeds)
+    names = list(numbered.number)
+    chosen = _chosen(features, names, toxic, size, least)
+    model = ChainModel({names[i]: k for k, i in enumerate(chosen)})
+    place = np.full(len(names), -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    x = _Rows(features, place, len(chosen))
     for name, target in [
         *((n, toxic * own) for n, own in listed.items()),
         (UNLISTED, toxic * np.all([own == 0 for own in listed.values()], axis=0)),
@@ -139,7 +152,7 @@ def fit(rows: list[tuple[str, int]], categories=None, size: int = 1024, least: i
     return model
 
 
-def probabilities(texts, model: ChainModel, known: dict[str, tuple[int, ...]] | None = None, most: int = 500_000) -> np.ndarray:
+def probabilities(texts, model: ChainModel, known: dict[str, tuple[int, ...]] | None = None, most: int = 150_000) -> np.ndarray:
     """By text and category, each from the features and the categories before it. known: remembers words' features."""
     texts, v, out = list(texts), model.vocabulary, []
     known = {} if known is None else known

@@ -85,8 +85,8 @@ def test_toxicity_chain_on_held_out_rows(spark):
             words[5] = ["idiot", "scum", "pathetic", "verachtlich"][i // 3 % 4]
         rows.append((i, " ".join(words), int(bad)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    labels = df.where("doc_id % 4 <> 0").select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (7, None), (8, 5)], "doc_id long, toxic int"))
-    got = toxicity.toxicity(df, labels).join(df.select("doc_id", "toxic"), "doc_id").where("doc_id % 4 = 0")
+    labels = df.where("doc_id % 5 <> 0").select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (7, None), (8, 5)], "doc_id long, toxic int"))
+    got = toxicity.toxicity(df, labels).join(df.select("doc_id", "toxic"), "doc_id").where("doc_id % 5 = 0")
     assert got.where("is_toxic = (toxic = 1)").count() >= 0.97 * got.count()
     assert {c for c in got.columns if c.startswith("p_")} == {"p_insult", "p_degradation", "p_contempt", "p_unlisted", "p_toxic"}
     kept = toxicity.without_toxic(docs(spark, "you idiot", "w1 w2 w3", extra=True), labels.join(df.drop("toxic"), "doc_id", "left").select("doc_id", "toxic"))
