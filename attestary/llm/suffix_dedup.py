@@ -23,6 +23,8 @@ from .common import byte_spans, fresh, longs, slices, utf8, written
 
 _MULTIPLIERS = np.random.default_rng(9).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _FAR = np.uint64(2**64 - 1)
+#: Bytes of text that numpy works on at once; what it needs beside them is about a hundred times as much.
+_SLICE = 1 << 20
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -85,7 +87,7 @@ def _runs(length: int, gram: int):
         for batch in batches:
             uid = np.asarray(batch.column(0))
             data, offsets = byte_spans(batch.column(1))
-            for lo, hi in slices(offsets, 1 << 22):
+            for lo, hi in slices(offsets, _SLICE):
                 base = offsets[lo]
                 part, at = data[base : offsets[hi]], offsets[lo : hi + 1] - base
                 text, start, n, key, again = split_runs(part, at, length, gram)
@@ -268,29 +270,33 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, hot: int
 def _remove(places: tuple[int, int], keep_rest: int):
     """places: of the text and the spans among the columns."""
 
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, at = byte_spans(batch.column(places[0]))
+        data, at = data[at[0] : at[-1]], at - at[0]
+        spans = batch.column(places[1])
+        both = spans.flatten()
+        lo, hi = (np.asarray(both.field(c)) if len(both) else np.empty(0, np.int64) for c in ("lo", "hi"))
+        of = np.repeat(np.arange(batch.num_rows), np.asarray(spans.value_lengths().fill_null(0)))
+        delta = np.zeros(len(data) + 1, np.int32)
+        np.add.at(delta, at[of] + lo, 1)
+        np.add.at(delta, at[of] + hi, -1)
+        gone = np.cumsum(delta[:-1], dtype=np.int32) > 0
+        edge = gone.copy()
+        edge[1:] &= ~gone[:-1]
+        starts = at[:-1][np.diff(at) > 0]
+        edge[starts] = gone[starts]
+        total, runs = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(edge))
+        ends, kept = (at - total[at]).astype(np.int32), data[~gone]
+        rest = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(kept)])
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[:keep_rest], longs(np.diff(at)), longs(np.diff(total[at])), longs(np.diff(runs[at])), rest],
+            names=[*batch.schema.names[:keep_rest], "n_bytes", "n_removed", "n_spans", "kept"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = byte_spans(batch.column(places[0]))
-            spans = batch.column(places[1])
-            lo = np.asarray(spans.flatten().field("lo")) if len(spans.flatten()) else np.empty(0, np.int64)
-            hi = np.asarray(spans.flatten().field("hi")) if len(lo) else lo
-            of = np.repeat(np.arange(batch.num_rows), np.asarray(spans.value_lengths().fill_null(0)))
-            delta = np.zeros(len(data) + 1, np.int32)
-            np.add.at(delta, at[of] + lo, 1)
-            np.add.at(delta, at[of] + hi, -1)
-            gone = np.cumsum(delta[:-1]) > 0
-            edge = gone.copy()
-            edge[1:] &= ~gone[:-1]
-            starts = at[:-1][np.diff(at) > 0]
-            edge[starts] = gone[starts]
-            total, runs = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(edge))
-            kept = data[~gone]
-            ends = at - total[at]
-            rest = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(kept)])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:keep_rest], longs(np.diff(at)), longs(np.diff(total[at])), longs(np.diff(runs[at])), rest],
-                names=[*batch.schema.names[:keep_rest], "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            for lo, hi in slices(byte_spans(batch.column(places[0]))[1], 4 * _SLICE):
+                yield cut(batch.slice(lo, hi - lo))
 
     return run
 
