@@ -65,3 +65,13 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64, copy=False), pa.int64())
+
+
+def bounded(rows: Iterator, text: str, most_bytes: int) -> Iterator:
+    """Rows of a sample in order, without those whose text no longer fits into what the driver may hold of all."""
+    held = 0
+    for r in rows:
+        n = len(r[text] or "")
+        if held + n <= most_bytes:
+            held += n
+            yield r

@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 
 @dataclass(frozen=True)
 class QualityModel:
@@ -105,9 +107,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_bytes: int = 100_000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_bytes: int = 100_000, most_total: int = 64_000_000) -> QualityModel:
     """Fit on at most `most_labelled` labelled texts, half of each label where there are as many, in the order of a hash
-    of their ids; of each, the first `most_bytes` bytes serve for learning (scores read whole texts)."""
+    of their ids; of each, the first `most_bytes` bytes serve for learning (scores read whole texts), and `most_total` bytes in all."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
     order = F.xxhash64("doc_id", F.lit(10))
@@ -121,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_by
         .select("doc_id", "r.*").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
     )
     share = known.agg(F.avg("label")).first()[0]
-    model = fit([(bytes(r.text), r.label) for r in rows.toLocalIterator()])
+    model = fit([(bytes(r.text), r.label) for r in bounded(rows.toLocalIterator(), "text", most_total)])
     if share is None or not 0 < share < 1:
         return model
     # the sample is balanced, the table is not: move the prior

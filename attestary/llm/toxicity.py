@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: Kinds of toxic language and seed words that mark them in texts labelled toxic. More can be given as a parameter.
 CATEGORIES: dict[str, tuple[str, ...]] = {
     "insult": ("idiot", "moron", "stupid", "dumb", "fool", "loser", "clown", "imbecile"),
@@ -174,16 +176,16 @@ def probabilities(texts, model: ChainModel, known: dict[str, tuple[int, ...]] |
     return np.stack(out, axis=1)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000) -> ChainModel:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_chars: int = 64_000_000) -> ChainModel:
     """Fit on at most `most_labelled` labelled texts, half of them toxic where there are as many, in the order of a hash
-    of their ids."""
+    of their ids; texts that would take the sample above `most_chars` characters are left out of it."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     order = F.xxhash64("doc_id", F.lit(2))
     pick = known.where("label = 1").orderBy(order, "doc_id").limit(most_labelled // 2).unionByName(
         known.where("label = 0").orderBy(order, "doc_id").limit(most_labelled // 2)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "text")
-    return fit([(r.text, r.label) for r in rows.select("text", "label").toLocalIterator()])
+    return fit([(r.text, r.label) for r in bounded(rows.select("text", "label").toLocalIterator(), "text", most_chars)])
 
 
 def toxicity_column(text: Column, model: ChainModel) -> Column:
