@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, quotes as q, urls
@@ -166,7 +166,16 @@ def recent_links(spark, d):
 
 @query(f"SELECT page_id AS item_id, array_to_string(list_distinct({_LINKS} || {_LINKS}), ' ') AS links FROM pages WHERE page_id % 4 = 0")
 def ordered_distinct(spark, d):
-    rows = _linked(spark, d).where("item_id % 4 = 0")
+    return _ordered_distinct(_linked(spark, d).where("item_id % 4 = 0"))
+
+
+@query()
+def ordered_distinct_whole(spark, d):
+    """ordered_distinct of all items."""
+    return _ordered_distinct(_linked(spark, d))
+
+
+def _ordered_distinct(rows):
     return rows.select("item_id", F.array_join(F.array_distinct(F.concat("links", "links")), " ").alias("links"))
 
 
@@ -307,6 +316,13 @@ def profile_digest(spark, d):
     return records.digests(given(spark, d, "documents").where(F.length("text") < 3000).select(F.col("source").alias("profile_id"), path.alias("path"), "text"))
 
 
+@query()
+def profile_digest_whole(spark, d):
+    """A digest over all files of a profile, whatever their length."""
+    path = F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    return records.digests_in_levels(given(spark, d, "documents").select(F.col("source").alias("profile_id"), path.alias("path"), "text"))
+
+
 @query("""SELECT 'greenhouse-' || n_nationkey AS source_id, 'https://boards-api.greenhouse.io/v1/boards/' || n_nationkey || '/jobs?content=true' AS api, min(p_partkey) AS origin
  FROM part JOIN nation ON n_nationkey = p_partkey % 25 WHERE n_nationkey >= 5 GROUP BY n_nationkey""")
 def discover_jobboards(spark, d):
@@ -418,13 +434,22 @@ def _tfidf_sql() -> str:
  SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 5"""
 
 
-@query(_tfidf_sql())
-def shortlist(spark, d):
-    docs = given(spark, d, "documents").where("n_chars < 2000")
+def _shortlist(docs):
     out = problems.shortlist(docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "text"), docs.where("doc_id % 10 <> 0").select("doc_id", "text"))
     return out.withColumn("score", F.round("score", 6))
 
 
+@query(_tfidf_sql())
+def shortlist(spark, d):
+    return _shortlist(given(spark, d, "documents").where("n_chars < 2000"))
+
+
+@query()
+def shortlist_whole(spark, d):
+    """shortlist over all documents; its twin holds only those under 2,000 characters."""
+    return _shortlist(given(spark, d, "documents"))
+
+
 @query(twin("candidates") + """, m AS (SELECT *, CASE WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN 'prob-' || (doc_id % 20) ELSE 'prob-' || replace(candidate_id, 'cand-', '') END AS problem_id, doc_id % 3 = 1 AND doc_id % 2 = 1 AS invalid FROM candidates)
  SELECT problem_id, count(*) AS revision, arg_min(statement, doc_id) AS statement, string_agg(candidate_id, ',' ORDER BY doc_id) AS sources, count_if(invalid) AS invalid_merges FROM m GROUP BY 1""")
 def merge_problems(spark, d):
@@ -443,16 +468,38 @@ def quote_corpus_join(spark, d):
     return verify.quote_search(b, given(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
 
 
+def _quotes(spark, d, name):
+    return given(spark, d, "benchmark").select("item_id", F.col("text").alias(name))
+
+
+def _dealt(spark, d, docs, name):
+    """Documents with a benchmark item each, dealt in turn over the whole benchmark."""
+    item = Window.orderBy("item_id")  # the benchmark is small beside the documents; only its ids go to this one task
+    ids = given(spark, d, "benchmark").select("item_id").distinct().withColumn("turn", F.row_number().over(item) - 1)
+    n = ids.agg(F.count("*").alias("n"))
+    turns = docs.crossJoin(F.broadcast(n)).withColumn("turn", F.expr("pmod(doc_id, n)")).drop("n")
+    return turns.join(ids, "turn").drop("turn").join(_quotes(spark, d, name), "item_id")
+
+
 @query("""SELECT b.item_id, d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN 'unfetchable' WHEN contains(d.text, b.text) THEN 'verified' ELSE 'quote_not_found' END AS status
  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
 def verify_quotes_plain(spark, d):
     docs = given(spark, d, "documents").select("doc_id", F.col("doc_id").alias("url"), "text")
-    b = given(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    asked = docs.select("doc_id", "url", (F.col("doc_id") % 40).alias("item_id")).join(b, "item_id")
+    return _verify_quotes_plain(docs, docs.select("doc_id", "url", (F.col("doc_id") % 40).alias("item_id")).join(_quotes(spark, d, "quote"), "item_id"))
+
+
+def _verify_quotes_plain(docs, asked):
     pages = docs.select("url", q.normal_column(F.col("text")).alias("normal"), (F.col("doc_id") % 5 != 0).alias("ok"))
     return verify.verify_quotes(asked, pages).select("item_id", "doc_id", "status")
 
 
+@query()
+def verify_quotes_plain_whole(spark, d):
+    """verify_quotes_plain with documents dealt over the whole benchmark; its twin asks 40 items."""
+    docs = given(spark, d, "documents").select("doc_id", F.col("doc_id").alias("url"), "text")
+    return _verify_quotes_plain(docs, _dealt(spark, d, docs.select("doc_id", "url"), "quote"))
+
+
 @query("SELECT l_orderkey AS problem_id, round_even(avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END), 2) AS verified_fraction FROM lineitem GROUP BY 1")
 def verified_fraction(spark, d):
     rows = given(spark, d, "lineitem").select(F.col("l_orderkey").alias("problem_id"), F.when(F.col("l_returnflag") == "N", "verified").otherwise("quote_not_found").alias("status"))
@@ -646,7 +693,17 @@ def dossier(spark, d):
 @query(twin("sessions") + """ SELECT session_id, count_if(tool = 'WebSearch') AS searches, count_if(tool = 'WebFetch') AS fetches, coalesce(string_agg(left(text, 20), '|' ORDER BY line_no) FILTER (tool = 'WebSearch'), '') AS queries,
  count_if(tool = 'WebSearch') >= 2 AS sufficient FROM sessions WHERE role = 'assistant' GROUP BY 1""")
 def search_summary(spark, d):
-    calls = bound(spark, d, "sessions").where("role = 'assistant'").select("session_id", "line_no", "tool", F.substring("text", 1, 20).alias("query"))
+    return _search_summary(spark, d, F.substring("text", 1, 20))
+
+
+@query()
+def search_summary_whole(spark, d):
+    """search_summary with whole queries; its twin holds 20 characters."""
+    return _search_summary(spark, d, F.col("text"))
+
+
+def _search_summary(spark, d, text):
+    calls = bound(spark, d, "sessions").where("role = 'assistant'").select("session_id", "line_no", "tool", text.alias("query"))
     return sessions.search_summary(calls, 2).withColumn("queries", F.array_join("queries", "|"))
 
 
@@ -659,7 +716,17 @@ def session_usage(spark, d):
 
 @query(twin("sessions") + " SELECT session_id, arg_max(left(text, 30), line_no) AS value FROM sessions WHERE role = 'assistant' AND line_no % 4 <> 3 GROUP BY 1")
 def accepted_output(spark, d):
-    s = bound(spark, d, "sessions").where("role = 'assistant'").select("session_id", F.col("line_no").alias("block"), "line_no", F.substring("text", 1, 30).alias("value"))
+    return _accepted_output(spark, d, F.substring("text", 1, 30))
+
+
+@query()
+def accepted_output_whole(spark, d):
+    """accepted_output with whole texts; its twin holds 30 characters."""
+    return _accepted_output(spark, d, F.col("text"))
+
+
+def _accepted_output(spark, d, text):
+    s = bound(spark, d, "sessions").where("role = 'assistant'").select("session_id", F.col("line_no").alias("block"), "line_no", text.alias("value"))
     return sessions.accepted_output(s, s.where("line_no % 4 <> 3"))
 
 
@@ -757,10 +824,20 @@ def listing_links(spark, d):
 
 @query(twin("board") + """ SELECT challenge_id, pos::INT AS pos, CASE WHEN is_baseline THEN NULL ELSE pos END::INT AS rank, team, round_even(score, 3) AS score, is_baseline FROM board WHERE pos <= 30 AND pos % 5 <> 0 AND challenge_id % 9 <> 0""")
 def leaderboard_rows(spark, d):
+    return _leaderboard_rows(bound(spark, d, "board").where("pos <= 30"))
+
+
+@query()
+def leaderboard_rows_whole(spark, d):
+    """leaderboard_rows over all rows of every board; its twin holds the first 30."""
+    return _leaderboard_rows(bound(spark, d, "board"))
+
+
+def _leaderboard_rows(board):
     score = F.when(F.col("pos") % 5 == 0, "-").otherwise(F.format_string("%.3f", F.bround("score", 3)))
     name = F.when(F.col("is_baseline"), F.concat(F.lit('<b title="Baseline">Baseline</b> '), "team")).otherwise(F.col("team"))
     tr = F.concat(F.lit("<tr><td>"), F.when(F.col("is_baseline"), "").otherwise(F.col("pos").cast("string")), F.lit("</td><td>"), name, F.lit("</td><td> "), score, F.lit("</td></tr>"))
-    rows = bound(spark, d, "board").where("pos <= 30").groupBy("challenge_id").agg(F.array_sort(F.collect_list(F.struct("pos", tr.alias("tr")))).alias("rows"))
+    rows = board.groupBy("challenge_id").agg(F.array_sort(F.collect_list(F.struct("pos", tr.alias("tr")))).alias("rows"))
     kind = F.when(F.col("challenge_id") % 9 == 0, "<th>Score</th>").otherwise('<th class="score-title">Score</th>')
     html = F.concat(F.lit("<table><tr><th>#</th><th>Participants</th>"), kind, F.lit("</tr>"), F.array_join("rows.tr", ""), F.lit("</table>"))
     return payloads.leaderboard_rows(rows.select("challenge_id", html.alias("html")))[0]
@@ -770,18 +847,43 @@ def leaderboard_rows(spark, d):
   WHEN l_linenumber % 4 = 0 AND l_suppkey % 3 = 1 THEN 'unit rescales the count' WHEN l_returnflag = 'A' THEN NULL WHEN l_returnflag = 'N' THEN 'evidence not verified'
   WHEN l_linenumber % 4 = 3 AND l_suppkey % 3 <> 2 THEN 'figure not in quote' WHEN l_linenumber % 2 = 1 THEN CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE NULL END END AS reason FROM lineitem WHERE l_linenumber % 4 <> 1 AND l_linenumber % 4 <> 3""")
 def estimate_rows(spark, d):
+    return _estimate_rows(given(spark, d, "lineitem").where("l_linenumber % 2 = 0"))
+
+
+@query()
+def estimate_rows_whole(spark, d):
+    """estimate_rows with all line numbers; its twin holds the even ones, which are counts and costs only."""
+    return _estimate_rows(given(spark, d, "lineitem"))
+
+
+def _estimate_rows(lines):
     k, s = F.col("l_linenumber") % 4, F.col("l_suppkey") % 3
+    share, often = k == 3, k == 1
     unit = F.when(k == 0, F.when(s == 1, "million sites").otherwise("sites")).otherwise(F.when(s == 1, "USD/year").otherwise("GBP/incident"))
+    unit = F.when(share, "share").when(often, F.when(s == 1, "per month").otherwise("per year")).otherwise(unit)
     quote = F.when(k == 0, F.concat(F.lit("about "), F.col("l_quantity").cast("int"), F.lit(" sites"))).otherwise(F.concat(F.lit("costs £"), F.col("l_quantity").cast("int"), F.lit(" each")))
-    rows = given(spark, d, "lineitem").where("l_linenumber % 2 = 0").select("l_orderkey", "l_linenumber", F.when(k == 0, "affected_units").otherwise("cost_per_occurrence").alias("quantity"),
-        F.col("l_quantity").alias("low"), F.lit(None).cast("double").alias("high"), unit.alias("unit"), F.when(F.col("l_returnflag") == "A", "explicit_assumption").otherwise("source").alias("basis"), F.lit("we assume").alias("assumption"),
+    quote = F.when(share, F.concat(F.lit("a share of "), F.round(F.col("l_discount") * 100).cast("int"), F.lit("%"))).when(often, F.concat(F.lit("happens "), F.col("l_quantity").cast("int"), F.lit(" times a year"))).otherwise(quote)
+    quantity = F.when(k == 0, "affected_units").when(often, "frequency_per_year").when(share, "addressable_share").otherwise("cost_per_occurrence")
+    low = F.when(share & (s == 2), F.col("l_quantity")).when(share, F.col("l_discount")).otherwise(F.col("l_quantity"))
+    rows = lines.select("l_orderkey", "l_linenumber", quantity.alias("quantity"),
+        low.alias("low"), F.lit(None).cast("double").alias("high"), unit.alias("unit"), F.when(F.col("l_returnflag") == "A", "explicit_assumption").otherwise("source").alias("basis"), F.lit("we assume").alias("assumption"),
         quote.alias("quote"), F.when(F.col("l_returnflag") == "N", "unfetchable").otherwise("verified").alias("verification"), F.lit(None).cast("string").alias("company"))
     return value.estimate_rows(rows).select("l_orderkey", "l_linenumber", "reason")
 
 
 @query(twin("board") + """ SELECT challenge_id, pos, pos % 3 <> 0 AS kept, pos % 3 <> 0 AND (pos % 2 = 0 OR challenge_id % 2 = 0) AS score_kept FROM board WHERE NOT is_baseline AND pos <= 20""")
 def solution_check(spark, d):
-    b = bound(spark, d, "board").where("not is_baseline and pos <= 20").withColumn("score", F.round("score", 4))
+    return _solution_check(bound(spark, d, "board").where("not is_baseline and pos <= 20"))
+
+
+@query()
+def solution_check_whole(spark, d):
+    """solution_check over all rows of every board; its twin holds the first 20."""
+    return _solution_check(bound(spark, d, "board").where("not is_baseline"))
+
+
+def _solution_check(rows):
+    b = rows.withColumn("score", F.round("score", 4))
     told = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("it reached "), F.format_string("%.4f", "score"), F.lit(" at last"))).otherwise("no figure here")
     s = b.select("challenge_id", "pos", F.upper("team").alias("team"), "score", told.alias("quote"), (F.col("pos") % 3 != 0).alias("verified"))
     return verify.solution_check(s, b.where("challenge_id % 2 = 0").select("challenge_id", "team", "score")).select("challenge_id", "pos", "kept", "score_kept")
@@ -802,6 +904,14 @@ def advantage_check(spark, d):
     return verify.advantage_check(claims, docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), "text")).select("item_id", "doc_id", "why_not", "basis")
 
 
+@query()
+def advantage_check_whole(spark, d):
+    """advantage_check with documents dealt over the whole benchmark; its twin asks 40 items."""
+    docs = given(spark, d, "documents")
+    claims = _dealt(spark, d, docs.select("doc_id", F.col("doc_id").alias("path")), "quote")
+    return verify.advantage_check(claims, docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), "text")).select("item_id", "doc_id", "why_not", "basis")
+
+
 @query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE strftime(o_orderdate, '%Y-%m') >= '1997-06' GROUP BY 1")
 def candidates_by_month(spark, d):
     path = staging(spark, "months")
@@ -860,7 +970,17 @@ def stream_superseded(spark, d):
 @query("""SELECT doc_id, (doc_id % 2 <> 0 OR contains(d.text, b.text)) AND (doc_id % 3 <> 0 OR doc_id % 9 <> 0) AS verified FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.text <> ''""")
 def candidate_verified(spark, d):
     docs = given(spark, d, "documents").where("text <> ''").withColumn("item_id", F.col("doc_id") % 40)
-    rows = docs.join(given(spark, d, "benchmark").select("item_id", F.col("text").alias("evidence")), "item_id").withColumns({
+    return _candidate_verified(docs.join(_quotes(spark, d, "evidence"), "item_id"))
+
+
+@query()
+def candidate_verified_whole(spark, d):
+    """candidate_verified with documents dealt over the whole benchmark, empty and null texts included; its twin asks 40 items."""
+    return _candidate_verified(_dealt(spark, d, given(spark, d, "documents"), "evidence"))
+
+
+def _candidate_verified(rows):
+    rows = rows.withColumns({
         "unsolved": F.col("doc_id") % 2 == 0, "ptype": F.when(F.col("doc_id") % 3 == 0, "grant").otherwise("none_stated"), "pay_evidence": F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("text"))})
     return verify.candidate_verified(rows).select("doc_id", "verified")
 

@@ -150,7 +150,7 @@ def leaderboard_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     at = rows.withColumns({"c": F.array_position("is_score", True), "r": F.array_position("names", "#"), "t": F.array_position("names", "Participants")})
     ok = (F.coalesce(F.col("c"), F.lit(0)) > 0) & (F.coalesce(F.col("r"), F.lit(0)) > 0) & (F.coalesce(F.col("t"), F.lit(0)) > 0)
-    body = at.where(ok).select("challenge_id", "c", "r", "t", F.posexplode(F.slice("tr", 2, 100_000)).alias("pos", "row")).withColumn("cells", cells(F.col("row"), "td"))
+    body = at.where(ok).select("challenge_id", "c", "r", "t", F.posexplode(F.slice("tr", F.lit(2), F.size("tr"))).alias("pos", "row")).withColumn("cells", cells(F.col("row"), "td"))
     get = lambda i: F.get("cells", F.col(i) - 1)
     score = F.when(get("c").rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), get("c").cast("double"))
     baseline = F.col("row").contains('title="Baseline"')

@@ -36,3 +36,20 @@ def digests(files: DataFrame) -> DataFrame:
     """files(profile_id, path, text) -> one SHA-256 for each profile, over paths and texts in path order."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda f: F.concat(f["path"], F.lit("\0"), f["text"], F.lit("\0")))
     return files.groupBy("profile_id").agg(F.sha2(F.array_join(parts, "").cast("binary"), 256).alias("digest"), F.sum(F.length("text")).alias("chars"))
+
+
+def digests_in_levels(files: DataFrame) -> DataFrame:
+    """files(profile_id, path, text) -> (profile_id, digest, chars) over all files, of any length and number; null texts
+    count as empty.
+
+    The rule: a file's hash is SHA-256 of path, NUL, text, NUL; files fall into 4,096 groups by the first 12 bits of their
+    path's SHA-256; a group's hash is SHA-256 of its files' hashes in order of path and hash; the digest is SHA-256 of the
+    groups' hashes in the order of the groups. So no row holds more than one text or a group's short hashes."""
+    text = F.coalesce("text", F.lit(""))
+    own = files.select(
+        "profile_id", "path", F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 3).alias("part"),
+        F.sha2(F.concat("path", F.lit("\0"), text, F.lit("\0")).cast("binary"), 256).alias("hash"), F.length(text).alias("n"),
+    )
+    level = lambda c, key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, c))), lambda x: x[c]), "").cast("binary"), 256)
+    groups = own.groupBy("profile_id", "part").agg(level("hash", ["path"]).alias("hash"), F.sum("n").alias("n"))
+    return groups.groupBy("profile_id").agg(level("hash", ["part"]).alias("digest"), F.sum("n").alias("chars"))

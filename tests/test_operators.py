@@ -1,10 +1,15 @@
 import datetime
+import hashlib
 
 from pyspark.sql import functions as F
 
 from attestary.operators import candidates, challenge, items, problems, sources, value, verify, views
+from attestary.plans import catalog
+from attestary.plans.bindings import bound
 from attestary.sources import payloads, records
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_upsert_is_idempotent_and_follows_changes(spark):
     raw = lambda *rows: items.with_identity(spark.createDataFrame(rows, "url string, source_id string, title string, text string, finished boolean"))
@@ -143,3 +148,43 @@ def test_feeds(spark):
     raw = lambda body: spark.createDataFrame([("s", body)], "source_id string, body string")
     assert [(r.url, r.title) for r in payloads.feed(raw(rss), 2).collect()] == [("l", "t")]
     assert [tuple(r)[1:] for r in payloads.atom(raw(atom), 5).collect()] == [("h", "a", "u", "c")]
+
+
+def test_leaderboard_keeps_rows_past_100_000(spark):
+    row = "concat('<tr><td>', id + 1, '</td><td>t', id, '</td><td>0.5</td></tr>')"
+    head = '<table><tr><th>#</th><th>Participants</th><th class="score-title">Score</th></tr>'
+    raw = spark.range(100_005).selectExpr(f"{row} AS tr").agg(F.concat(F.lit(head), F.array_join(F.collect_list("tr"), ""), F.lit("</table>")).alias("html"))
+    assert payloads.leaderboard_rows(raw.select(F.lit(1).alias("challenge_id"), "html"))[0].count() == 100_005
+
+
+def test_digests_in_levels_see_every_file(spark):
+    files = [("p", "a", "x" * 5000), ("p", "b", "short"), ("q", "a", None)]
+    digest = lambda rows: {r.profile_id: (r.digest, r.chars) for r in records.digests_in_levels(spark.createDataFrame(rows, "profile_id string, path string, text string")).collect()}
+    own = lambda path, text: hashlib.sha256(f"{path}\0{text}\0".encode()).hexdigest()
+    parts = {}
+    for _, path, text in files[:2]:
+        parts.setdefault(hashlib.sha256(path.encode()).hexdigest()[:3], []).append((path, own(path, text)))
+    groups = "".join(hashlib.sha256("".join(h for _, h in sorted(parts[k])).encode()).hexdigest() for k in sorted(parts))
+    assert digest(files)["p"] == (hashlib.sha256(groups.encode()).hexdigest(), 5005)
+    assert digest(files) == digest(files[::-1]) != digest([("p", "a", "x" * 4999 + "y"), *files[1:]])
+
+
+def test_whole_queries_leave_nothing_out(spark):
+    t = lambda name: catalog.given(spark, SF, name)
+    run = lambda name: catalog.QUERIES[f"{name}_whole"](spark, SF)
+    docs, board, items_ = t("documents"), bound(spark, SF, "board"), t("benchmark").select("item_id").distinct().count()
+    long = [r.doc_id for r in docs.where("n_chars >= 2000 and doc_id % 10 <> 0").collect()]
+    assert run("shortlist").where(F.col("doc_id").isin(long)).count() > 0
+    assert run("profile_digest").agg(F.sum("chars")).first()[0] == docs.agg(F.sum(F.length("text"))).first()[0]
+    assert run("estimate_rows").count() == t("lineitem").count()
+    reasons = {r.reason for r in run("estimate_rows").where("l_linenumber % 2 = 1").select("reason").distinct().collect()}
+    assert {None, "share outside 0 to 1", "not per year"} <= reasons
+    assert run("leaderboard_rows").count() == board.where("pos % 5 <> 0 and challenge_id % 9 <> 0").count()
+    assert run("solution_check").count() == board.where("not is_baseline").count()
+    for name in ("verify_quotes_plain", "advantage_check"):
+        assert run(name).select("item_id").distinct().count() == min(items_, docs.count())
+        assert run(name).count() == docs.count()
+    assert run("candidate_verified").count() == docs.count()
+    assert run("ordered_distinct").count() == t("pages").count()
+    assert run("accepted_output").agg(F.max(F.length("value"))).first()[0] > 30
+    assert run("search_summary").where("length(queries) > 20 * searches + searches").count() > 0
