@@ -3,8 +3,10 @@
 Texts become token templates: numbers, names and units turn into typed placeholders, words into lower case. Windows of
 `window` template tokens of the benchmark are hash-joined with those of the documents; a fixed-size bitmap of the
 benchmark's window hashes, 2 MB whatever their number, keeps the other windows of the documents from being shuffled.
-Windows that lie on one diagonal must fill the benchmark's placeholders consistently: one value for one value, both
-ways. So a question whose numbers or names were exchanged is found, and a mere likeness of form is not."""
+Windows that lie on one diagonal must fill the benchmark's placeholders consistently: one value of the item has one value
+in the document; windows with a value that has several there don't count. So a question whose numbers or names were
+exchanged is found, and a mere likeness of form is not. Items of one template that repeat their values in other places
+are compared each on its own."""
 
 from __future__ import annotations
 
@@ -98,18 +100,27 @@ def _bit(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(_BUCKETS * _BUCKET_BITS - 1)).astype(np.int64)
 
 
-_WINDOWS = "id long, at int, of int, hash long, slots array<string>, template long"
+_WINDOWS = "id long, at int, of int, hash long, slots array<string>, template long, pattern long"
+
+
+def _digest(data: bytes) -> int:
+    return xxhash.xxh64_intdigest(data) - (1 << 63)
+
+
+def _value(slot: np.ndarray, tokens: list[str], p: int) -> str:
+    return f"{_SLOTS[int(slot[p])]}{tokens[p].lower()}"
 
 
 def _windows(window: int, bitmap: np.ndarray | None):
-    """(id, text) -> windows: place, number of windows of the text, hash, placeholders' values by place in the window
-    and the whole template's hash. With a bitmap only windows that it has."""
+    """(id, text) -> windows: place, number of windows of the text, hash, placeholders' values by place in the window,
+    the whole template's hash, and a hash of which of its placeholders have equal values. With a bitmap only windows that
+    it has, and the text's own hash in place of the last two."""
     names = [c.split()[0] for c in _WINDOWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[] for _ in names]
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens, slot, h = templates.of(text or "")
                 hashes = window_hashes(h, window)
@@ -119,13 +130,18 @@ def _windows(window: int, bitmap: np.ndarray | None):
                     places = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7)) & 1)
                 if not len(places):
                     continue
-                template = xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
+                if bitmap is None:
+                    seen: dict[str, int] = {}
+                    equal = [seen.setdefault(_value(slot, tokens, p), len(seen)) for p in np.flatnonzero(slot >= 0).tolist()]
+                    template, pattern = _digest(h.tobytes()), _digest(np.array(equal, np.int64).tobytes())
+                else:
+                    template = pattern = _digest((text or "").encode())
                 for p in places.tolist():
-                    own = [f"{k}{_SLOTS[int(slot[p + k])]}{tokens[p + k].lower()}" for k in range(window) if slot[p + k] >= 0]
-                    for c, v in zip(cols, (id_, p, len(hashes), int(hashes[p].view(np.int64)), own, template)):
+                    own = [_value(slot, tokens, p + k) for k in range(window) if slot[p + k] >= 0]
+                    for c, v in zip(cols, (id_, p, len(hashes), int(hashes[p].view(np.int64)), own, template, pattern)):
                         c.append(v)
             if cols[0]:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64())
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     return run
@@ -148,27 +164,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, least:
     each document and benchmark template of which it holds at least the share `least` of the windows.
 
     Items with one template (equal but for numbers, names and units) are one class: item_id is its least, item_ids all
-    of it; windows that occur several times in an item count by place. exact: the values are the class's least item's too.
+    of it; windows that occur several times in an item count by place. Within a class, items with the same equalities among
+    their values have one representative, the least; the best of them counts. exact: its values are the document's too.
     Null and empty texts and those under `window` tokens have no windows and match nothing; null ids stay null,
     repeated rows give one result, and empty tables an empty one."""
     items = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_windows(window, None), _WINDOWS), "items")
     classes = items.groupBy("template").agg(F.min("id").alias("item_id"), F.array_sort(F.collect_set("id")).alias("item_ids"))
-    own = items.join(classes, "template").where("id <=> item_id").select(
-        "template", "hash", F.col("at").alias("item_at"), "of", F.col("slots").alias("item_slots")
-    ).dropDuplicates(["template", "item_at"])
+    least_of = items.groupBy("template", "pattern").agg(F.min("id").alias("least"))
+    own = items.join(least_of, ["template", "pattern"]).where("id <=> least").select(
+        "template", "pattern", "hash", F.col("at").alias("item_at"), "of", F.col("slots").alias("item_slots")
+    ).dropDuplicates(["template", "pattern", "item_at"])
     bitmap = _bitmap(items)
     hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_windows(window, bitmap), _WINDOWS)
     met = hits.select(F.col("id").alias("doc_id"), F.col("template").alias("text"), "at", "hash", "slots").join(own, "hash")
-    lines = met.groupBy("doc_id", "text", "template", (F.col("at") - F.col("item_at")).alias("diagonal"), "of").agg(
-        F.collect_set("item_at").alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("pairs"),
+    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    lines = met.groupBy("doc_id", "text", "template", "pattern", (F.col("at") - F.col("item_at")).alias("diagonal"), "of").agg(
+        F.collect_set(F.struct("item_at", pairs.alias("pairs"))).alias("windows")
     )
-    value = lambda side: F.array_distinct(F.transform("pairs", lambda p: F.regexp_replace(p[side], "^[0-9]+", "")))
-    both = F.array_distinct(F.transform("pairs", lambda p: F.struct(F.regexp_replace(p["i"], "^[0-9]+", ""), F.regexp_replace(p["d"], "^[0-9]+", ""))))
-    lines = lines.where((F.size(both) == F.size(value("i"))) & (F.size(both) == F.size(value("d"))))
-    exact = F.size(both) == F.size(F.filter(both, lambda p: p["col1"] == p["col2"]))
+    both = F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"])))
+    lines = lines.withColumn("both", both)
+    # the item's values that have several values in the document: in order of the pairs, those that follow themselves
+    items_of = F.transform(F.array_sort("both"), lambda p: p["i"])
+    lines = lines.withColumn("several", F.array_distinct(F.filter(F.zip_with(items_of, F.slice(items_of, F.lit(2), F.size("both")), lambda a, b: F.when(a == b, a)), lambda a: a.isNotNull())))
+    kept = F.filter("windows", lambda w: ~F.exists(w["pairs"], lambda p: F.array_contains("several", p["i"])))
+    exact = F.forall("both", lambda p: p["i"] == p["d"])
     found = (
-        lines.withColumn("exact", exact).groupBy("doc_id", "text", "template", "of")
+        lines.select("doc_id", "text", "template", "pattern", "of", F.transform(kept, lambda w: w["item_at"]).alias("places"), exact.alias("exact"))
+        .where(F.size("places") > 0).groupBy("doc_id", "text", "template", "pattern", "of")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("exact").alias("exact"))
         .withColumn("containment", F.col("n") / F.col("of")).where(F.col("containment") >= least)
     )

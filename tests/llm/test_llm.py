@@ -115,6 +115,18 @@ def test_decontamination(spark):
     assert decontamination.contaminated(d, bench.limit(0)).count() == 0
 
 
+def test_decontamination_compares_each_pattern_of_values(spark):
+    one, two = "There are 2 cats and 2 dogs near the old barn today", "There are 3 cats and 5 dogs near the old barn today"
+    apart, same = "Give me 3 apples and 5 pears from the lower shelf now", "Give me 4 apples and 4 pears from the lower shelf now"
+    long = "We saw 7 boats " + " ".join(f"word{chr(97 + i)}" for i in range(60)) + " and 7 boats again"
+    bench = spark.createDataFrame([(1, one), (2, two), (3, apart), (4, long)], "item_id long, text string")
+    d = docs(spark, one, two, same, long.replace("and 7 boats", "and 8 boats"), same.replace("4 pears", "6 geese"))
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(d, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    assert got[2, 1].item_ids == [1, 2] and got[2, 1].exact and got[2, 1].containment == 1
+    assert not got[3, 3].exact and 0.8 <= got[4, 4].containment < 1
+
+
 def test_decontamination_finds_all_verbatim_items(spark):
     d, b = corpus(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = {(r.doc_id, r.item_id) for r in b.join(d, d.text.contains(b.text)).collect()}
