@@ -6,7 +6,11 @@ benchmark's window hashes, 2 MB whatever their number, keeps the other windows o
 Windows that lie on one diagonal must fill the benchmark's placeholders consistently: one value of the item has one value
 in the document; windows with a value that has several there don't count. So a question whose numbers or names were
 exchanged is found, and a mere likeness of form is not. Items of one template that repeat their values in other places
-are compared each on its own."""
+are compared each on its own.
+
+A word with a capital may be a name or stand at the start of a sentence, and a copy may have lost its stops or capitals.
+So every text has three streams of windows, and the best one counts: capitals are names unless a sentence starts there;
+all capitals are names; none are, and case doesn't count but in words that are all capitals."""
 
 from __future__ import annotations
 
@@ -33,6 +37,8 @@ _WORD, _NUMBER, _TITLE, _STOP, _UNIT, _SIGN = range(6)
 _SLOTS = {_NUMBER: "<number>", _TITLE: "<name>", _UNIT: "<unit>", _SIGN: "<unit>"}
 _SLOT_HASH = np.array([xxhash.xxh64_intdigest(_SLOTS.get(k, ""), 3) for k in range(6)], np.uint64)
 _MULTIPLIERS = np.random.default_rng(3).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+#: Keeps the windows of the three streams apart.
+_SALTS = np.random.default_rng(4).integers(1 << 62, 1 << 63, 4, dtype=np.uint64) * np.array([0, 1, 1, 1], np.uint64)
 _BUCKETS, _BUCKET_BITS = 512, 32768
 
 
@@ -45,13 +51,15 @@ class Templates:
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.kind, self.hash = np.empty(1 << 12, np.int8), np.empty(1 << 12, np.uint64)
+        self.kind, self.capital = np.empty(1 << 12, np.int8), np.empty(1 << 12, bool)
+        self.hash, self.cased = np.empty(1 << 12, np.uint64), np.empty(1 << 12, np.uint64)
 
     def _learn(self, new: set[str]) -> None:
         n = len(self.number)
         if n + len(new) > len(self.kind):
             size = 2 * (n + len(new))
-            self.kind, self.hash = np.resize(self.kind, size), np.resize(self.hash, size)
+            self.kind, self.capital = np.resize(self.kind, size), np.resize(self.capital, size)
+            self.hash, self.cased = np.resize(self.hash, size), np.resize(self.cased, size)
         for i, t in enumerate(new, n):
             if t in ".!?\n":
                 kind = _STOP
@@ -64,9 +72,12 @@ class Templates:
             else:
                 kind = _TITLE if t[0].isupper() and (len(t) == 1 or not t.isupper()) else _WORD
             self.kind[i], self.hash[i], self.number[t] = kind, xxhash.xxh64_intdigest(t.lower(), 3), i
+            shout = len(t) > 1 and t.isupper()
+            self.capital[i] = kind in (_TITLE, _WORD) and t[0].isupper()
+            self.cased[i] = xxhash.xxh64_intdigest(t, 3) if shout else self.hash[i]
 
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(tokens without sentence ends, slot kind or -1 of each, template hash of each)."""
+    def of(self, text: str, window: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """(tokens without sentence ends, by stream (slot kind or -1 of each, template hash of each, window hashes))."""
         tokens = _TOKEN(text)
         new = set(tokens).difference(self.number)
         if len(self.number) + len(new) > self.most:
@@ -76,12 +87,28 @@ class Templates:
         at = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
         kind = self.kind[at]
         before = np.append(np.int8(_STOP), kind[:-1])
-        slot = np.full(len(kind), -1, np.int8)
-        is_slot = (kind == _NUMBER) | (kind == _SIGN) | ((kind == _TITLE) & (before != _STOP)) | ((kind == _UNIT) & (before == _NUMBER))
-        slot[is_slot] = kind[is_slot]
         keep = np.flatnonzero(kind != _STOP)
-        h = np.where(is_slot, _SLOT_HASH[kind], self.hash[at])[keep]
-        return [tokens[i] for i in keep.tolist()] if is_slot.any() else [], slot[keep], h
+        start = (before == _STOP)[keep]
+        unit_here = (before == _NUMBER)[keep]
+        at, kind = at[keep], kind[keep]
+        after = np.append(False, kind[:-1] == _NUMBER)
+        low, fixed = self.hash[at], (kind == _NUMBER) | (kind == _SIGN)
+        capital = self.capital[at]
+        streams = []
+        for k, (names, units) in enumerate((((kind == _TITLE) & ~start, unit_here), (capital, after), (None, after))):
+            is_slot = fixed | ((kind == _UNIT) & units)
+            slot = np.where(is_slot, kind, np.int8(-1))
+            if names is not None:
+                slot[names] = _TITLE
+            h = np.where(slot >= 0, _SLOT_HASH[slot], low if k < 2 else self.cased[at])
+            hashes = window_hashes(h, window) ^ _SALTS[k]
+            if k == 1 and len(hashes):  # what is placeholders only has no form: it must be the same word for word
+                run = np.append(0, np.cumsum(slot >= 0))
+                bare = np.flatnonzero(run[window:] - run[:-window] == window)
+                if len(bare):
+                    hashes[bare] = window_hashes(low, window)[bare] ^ _SALTS[3]
+            streams.append((slot, h, hashes))
+        return [tokens[i] for i in keep.tolist()] if (streams[1][0] >= 0).any() else [], streams
 
 
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
@@ -100,7 +127,7 @@ def _bit(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(_BUCKETS * _BUCKET_BITS - 1)).astype(np.int64)
 
 
-_WINDOWS = "id long, at int, of int, hash long, slots array<string>, template long, pattern long"
+_WINDOWS = "id long, at int, of int, hash long, slots array<string>, template long, form long"
 
 
 def _digest(data: bytes) -> int:
@@ -113,8 +140,8 @@ def _value(slot: np.ndarray, tokens: list[str], p: int) -> str:
 
 def _windows(window: int, bitmap: np.ndarray | None):
     """(id, text) -> windows: place, number of windows of the text, hash, placeholders' values by place in the window,
-    the whole template's hash, and a hash of which of its placeholders have equal values. With a bitmap only windows that
-    it has, and the text's own hash in place of the last two."""
+    the first stream's whole template's hash, and a hash of the window's stream, its template and which of its placeholders
+    have equal values. With a bitmap only windows that it has, and the text's own hash in place of the last two."""
     names = [c.split()[0] for c in _WINDOWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,24 +149,26 @@ def _windows(window: int, bitmap: np.ndarray | None):
         for batch in batches:
             cols: list[list] = [[] for _ in names]
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, slot, h = templates.of(text or "")
-                hashes = window_hashes(h, window)
-                places = np.arange(len(hashes))
-                if bitmap is not None:
-                    bit = _bit(hashes)
-                    places = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7)) & 1)
-                if not len(places):
-                    continue
-                if bitmap is None:
-                    seen: dict[str, int] = {}
-                    equal = [seen.setdefault(_value(slot, tokens, p), len(seen)) for p in np.flatnonzero(slot >= 0).tolist()]
-                    template, pattern = _digest(h.tobytes()), _digest(np.array(equal, np.int64).tobytes())
-                else:
-                    template = pattern = _digest((text or "").encode())
-                for p in places.tolist():
-                    own = [_value(slot, tokens, p + k) for k in range(window) if slot[p + k] >= 0]
-                    for c, v in zip(cols, (id_, p, len(hashes), int(hashes[p].view(np.int64)), own, template, pattern)):
-                        c.append(v)
+                tokens, streams = templates.of(text or "", window)
+                template = form = None
+                for stream, (slot, h, hashes) in enumerate(streams):
+                    places = np.arange(len(hashes))
+                    if bitmap is not None:
+                        bit = _bit(hashes)
+                        places = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7)) & 1)
+                    if not len(places):
+                        continue
+                    if bitmap is None:
+                        seen: dict[str, int] = {}
+                        equal = [seen.setdefault(_value(slot, tokens, p), len(seen)) for p in np.flatnonzero(slot >= 0).tolist()]
+                        template = _digest(streams[0][1].tobytes())
+                        form = _digest(bytes([stream]) + h.tobytes() + np.array(equal, np.int64).tobytes())
+                    elif template is None:
+                        template = form = _digest((text or "").encode())
+                    for p in places.tolist():
+                        own = [_value(slot, tokens, p + k) for k in range(window) if slot[p + k] >= 0]
+                        for c, v in zip(cols, (id_, p, len(hashes), int(hashes[p].view(np.int64)), own, template, form)):
+                            c.append(v)
             if cols[0]:
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
@@ -165,20 +194,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, least:
 
     Items with one template (equal but for numbers, names and units) are one class: item_id is its least, item_ids all
     of it; windows that occur several times in an item count by place. Within a class, items with the same equalities among
-    their values have one representative, the least; the best of them counts. exact: its values are the document's too.
+    their values have one representative by stream, the least; the best of them counts. exact: the
+    values are the class's least item's too.
     Null and empty texts and those under `window` tokens have no windows and match nothing; null ids stay null,
     repeated rows give one result, and empty tables an empty one."""
     items = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_windows(window, None), _WINDOWS), "items")
     classes = items.groupBy("template").agg(F.min("id").alias("item_id"), F.array_sort(F.collect_set("id")).alias("item_ids"))
-    least_of = items.groupBy("template", "pattern").agg(F.min("id").alias("least"))
-    own = items.join(least_of, ["template", "pattern"]).where("id <=> least").select(
-        "template", "pattern", "hash", F.col("at").alias("item_at"), "of", F.col("slots").alias("item_slots")
-    ).dropDuplicates(["template", "pattern", "item_at"])
+    least_of = items.groupBy("template", "form").agg(F.min("id").alias("least"))
+    own = items.join(least_of, ["template", "form"]).where("id <=> least").join(classes.select("template", "item_id"), "template").select(
+        "template", "form", "hash", F.col("at").alias("item_at"), "of", F.col("slots").alias("item_slots"), F.col("least").eqNullSafe(F.col("item_id")).alias("lead")
+    ).dropDuplicates(["template", "form", "item_at"])
     bitmap = _bitmap(items)
     hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_windows(window, bitmap), _WINDOWS)
     met = hits.select(F.col("id").alias("doc_id"), F.col("template").alias("text"), "at", "hash", "slots").join(own, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    lines = met.groupBy("doc_id", "text", "template", "pattern", (F.col("at") - F.col("item_at")).alias("diagonal"), "of").agg(
+    lines = met.groupBy("doc_id", "text", "template", "form", (F.col("at") - F.col("item_at")).alias("diagonal"), "of", "lead").agg(
         F.collect_set(F.struct("item_at", pairs.alias("pairs"))).alias("windows")
     )
     both = F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"])))
@@ -187,10 +217,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, least:
     items_of = F.transform(F.array_sort("both"), lambda p: p["i"])
     lines = lines.withColumn("several", F.array_distinct(F.filter(F.zip_with(items_of, F.slice(items_of, F.lit(2), F.size("both")), lambda a, b: F.when(a == b, a)), lambda a: a.isNotNull())))
     kept = F.filter("windows", lambda w: ~F.exists(w["pairs"], lambda p: F.array_contains("several", p["i"])))
-    exact = F.forall("both", lambda p: p["i"] == p["d"])
+    exact = F.col("lead") & F.forall("both", lambda p: p["i"] == p["d"])
     found = (
-        lines.select("doc_id", "text", "template", "pattern", "of", F.transform(kept, lambda w: w["item_at"]).alias("places"), exact.alias("exact"))
-        .where(F.size("places") > 0).groupBy("doc_id", "text", "template", "pattern", "of")
+        lines.select("doc_id", "text", "template", "form", "of", F.transform(kept, lambda w: w["item_at"]).alias("places"), exact.alias("exact"))
+        .where(F.size("places") > 0).groupBy("doc_id", "text", "template", "form", "of")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("exact").alias("exact"))
         .withColumn("containment", F.col("n") / F.col("of")).where(F.col("containment") >= least)
     )

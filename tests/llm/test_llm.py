@@ -123,10 +123,20 @@ def test_decontamination_compares_each_pattern_of_values(spark):
     d = docs(spark, one, two, same, long.replace("and 7 boats", "and 8 boats"), same.replace("4 pears", "6 geese"))
     got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(d, bench).collect()}
     assert set(got) == {(1, 1), (2, 1), (3, 3), (4, 4)}
-    assert got[2, 1].item_ids == [1, 2] and got[2, 1].exact and got[2, 1].containment == 1
+    assert got[2, 1].item_ids == [1, 2] and not got[2, 1].exact and got[2, 1].containment == 1
     assert not got[3, 3].exact and 0.8 <= got[4, 4].containment < 1
 
 
+def test_decontamination_whatever_stops_and_capitals(spark):
+    item = "Natalia sold clips to 48 friends in April. Natalia then sold half as many in May. How many did Natalia sell?"
+    lines = "The shop is open.\nEach day 30 people come in.\nThen half of them leave.\nHow many people are still there?"
+    bench = spark.createDataFrame([(1, item), (2, lines), (3, "Who Wrote The Great Gatsby Novel And When")], "item_id long, text string")
+    d = docs(spark, item.replace("Natalia", "Anna"), item.replace(". ", " "), lines.replace(".\n", " ").replace("?", ""), lines.lower(), item.lower(),
+             "Our Friends From The Old Green House Are Here", item.replace("sold", "took").replace("many", "few"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 1)}
+
+
 def test_decontamination_finds_all_verbatim_items(spark):
     d, b = corpus(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = {(r.doc_id, r.item_id) for r in b.join(d, d.text.contains(b.text)).collect()}
