@@ -6,7 +6,7 @@ reaches `width` * R / 2 to both sides, and a larger R only adds what lies betwee
 that falls into the windows of `least` share of the projections is verified with its exact cosine. A vector within R
 does so almost surely, so a query is done with a block when its k-th best verified distance is at most R.
 
-Queries in blocks meet all vectors in blocks: a task holds one block of each, and only k rows of a pair leave it."""
+Queries in blocks meet all vectors in blocks: a task holds one block of each, and only k ids of a pair leave it."""
 
 from __future__ import annotations
 
@@ -23,11 +23,19 @@ def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
+def _best(places: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids, each by its best row, nearest first, ties to the smaller id."""
+    order = np.lexsort((ids[places], -scores))
+    first = np.unique(ids[places[order]], return_index=True)[1]
+    order = order[np.sort(first)[:k]]
+    return places[order], scores[order]
+
+
 class CollisionIndex:
     """The sorted projections of one block of vectors."""
 
-    def __init__(self, vectors: np.ndarray, m: int, seed: int = 8):
-        self.x = vectors
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, m: int, seed: int = 8):
+        self.x, self.distinct = vectors, len(np.unique(ids))
         unit = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], m))
         at = unit @ self.lines
@@ -35,14 +43,14 @@ class CollisionIndex:
         self.sorted = np.sort(at, axis=0).T.copy()
 
     def search(self, q: np.ndarray, ids: np.ndarray, own_id: int, k: int, width: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k best of the block, nearest first, ties to the smaller id."""
+        """(places, cosines) of the k best ids of the block, each by its best row, nearest first, ties to the smaller id."""
         m, n = self.sorted.shape
         at = (q / np.sqrt((q * q).sum())) @ self.lines
         count = np.zeros(n, np.int16)
         lo = hi = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, at)])
         verified = np.zeros(n, bool)
         places, scores = np.empty(0, np.int64), np.empty(0)
-        radius, others = FIRST_RADIUS, n - int((ids == own_id).sum())
+        radius, others = FIRST_RADIUS, self.distinct - bool((ids == own_id).any())
         while True:
             reach = width * radius / 2
             lo2 = np.array([np.searchsorted(s, v - reach) for s, v in zip(self.sorted, at)])
@@ -56,8 +64,7 @@ class CollisionIndex:
             if len(fresh):
                 places = np.append(places, fresh)
                 scores = np.append(scores, cosine(self.x[fresh], q))
-                best = np.lexsort((ids[places], -scores))[:k]
-                places, scores = places[best], scores[best]
+                places, scores = _best(places, scores, ids, k)
             enough = len(places) >= min(k, others)
             # the chord between unit vectors is at most 2, so at radius 2 everything has been in reach
             if enough and (not len(places) or 2 - 2 * scores[-1] <= radius * radius) or radius > 2:
@@ -65,9 +72,7 @@ class CollisionIndex:
             radius *= GROWTH
         if len(places) < min(k, others):  # windows missed some of the last few: take all
             rest = np.flatnonzero(ids != own_id)
-            all_scores = cosine(self.x[rest], q)
-            best = np.lexsort((ids[rest], -all_scores))[:k]
-            places, scores = rest[best], all_scores[best]
+            places, scores = _best(rest, cosine(self.x[rest], q), ids, k)
         return places, scores
 
 
@@ -78,7 +83,7 @@ def _search(k: int, m: int, width: float, least: float):
             ids = block["vec_id"].to_numpy(np.int64)
             by_size = {}
             for n, rows in block.groupby(block["v"].map(len)).indices.items():
-                by_size[n] = (ids[rows], CollisionIndex(np.stack(block["v"].to_numpy()[rows]).astype(np.float64), m))
+                by_size[n] = (ids[rows], CollisionIndex(np.stack(block["v"].to_numpy()[rows]).astype(np.float64), ids[rows], m))
             for qid, v in zip(queries["vec_id"], queries["v"]):
                 if len(v) in by_size:
                     own, index = by_size[len(v)]

@@ -328,6 +328,22 @@ def test_ann_recall_and_edges(spark):
     assert ann.nearest(df.limit(0), asked).count() == 0
 
 
+def test_ann_repeated_ids_take_one_place(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((300, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    rows += [(7, [float(x) for x in base[0] + 0.01 * (j + 1) * rng.standard_normal(16)]) for j in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scores = {}
+    for i, v in rows[1:]:
+        scores[i] = max(scores.get(i, -2.0), float(ann.cosine(np.array([v]), base[0])[0]))
+    want = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+    for block in (32_768, 60):
+        got = ann.nearest(df, df.where("vec_id = 0"), 5, least=0.01, width=4.0, block_rows=block).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == want and want[0] == 7
+        assert all(abs(r.score - scores[r.vec_id]) < 1e-12 for r in got)
+
+
 # ---- suffix arrays
 
 
