@@ -460,6 +460,25 @@ def merge_problems(spark, d):
     return out.withColumn("sources", F.array_join("sources.candidate_id", ","))
 
 
+@query(twin("candidates", "problems") + """, m AS (SELECT c.*, doc_id % 3 = 1 AS asked, doc_id % 3 = 1 AND doc_id % 2 = 0 AND p.problem_id IS NOT NULL AS ok FROM candidates c LEFT JOIN problems p ON p.problem_id = 'prob-' || (doc_id % 20)),
+ n AS (SELECT CASE WHEN ok THEN 'prob-' || (doc_id % 20) ELSE 'prob-' || replace(candidate_id, 'cand-', '') END AS problem_id, count(*) AS n, arg_min(m.statement, doc_id) AS statement, string_agg(candidate_id, ',' ORDER BY doc_id) AS sources,
+  string_agg(CASE WHEN ok THEN 'merged' ELSE 'new' END, ',' ORDER BY doc_id) AS log, count_if(asked AND NOT ok) AS invalid_merges FROM m GROUP BY 1)
+ SELECT coalesce(p.problem_id, n.problem_id) AS problem_id, coalesce(p.revision, 0) + coalesce(n.n, 0) AS revision, coalesce(p.statement, n.statement) AS statement,
+ concat_ws(',', replace(p.problem_id, 'prob-', 'cand-'), n.sources) AS sources, concat_ws(',', CASE WHEN p.problem_id IS NOT NULL THEN 'new' END, n.log) AS log, coalesce(n.invalid_merges, 0) AS invalid_merges
+ FROM problems p FULL JOIN n ON n.problem_id = p.problem_id""")
+def merge_problems_stored(spark, d):
+    """A second increment: the candidates merge into problems that are stored with one source and log entry each."""
+    c = bound(spark, d, "candidates").withColumn("seq", F.col("doc_id"))
+    target = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("prob-"), F.col("doc_id") % 20))
+    listed = F.when(F.col("doc_id") % 2 == 0, F.array(target)).otherwise(F.array().cast("array<string>"))
+    answers = c.select("candidate_id", target.alias("merge_with"), listed.alias("shortlist"), F.lit("same subject").alias("reason"), F.lit(None).cast("boolean").alias("evidence_verified"))
+    old, no = F.regexp_replace("problem_id", "^prob-", "cand-").alias("candidate_id"), F.lit(None).cast("boolean").alias("evidence_verified")
+    log = F.array(F.struct(old, F.lit("new").alias("decision"), F.lit("first").alias("reason"), no)).alias("merge_log")
+    stored = bound(spark, d, "problems").select("problem_id", "revision", "statement", no, F.array(F.struct(old, F.lit("old").alias("source_id"))).alias("sources"), log)
+    out = problems.merge_stored(c.select("candidate_id", "statement", "source_id", "seq"), answers, stored)
+    return out.select("problem_id", "revision", "statement", F.array_join("sources.candidate_id", ",").alias("sources"), F.array_join("merge_log.decision", ",").alias("log"), "invalid_merges")
+
+
 # ---- verification
 
 @query("SELECT b.item_id AS quote_id, d.doc_id AS text_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")

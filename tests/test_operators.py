@@ -188,3 +188,26 @@ def test_whole_queries_leave_nothing_out(spark):
     assert run("ordered_distinct").count() == t("pages").count()
     assert run("accepted_output").agg(F.max(F.length("value"))).first()[0] > 30
     assert run("search_summary").where("length(queries) > 20 * searches + searches").count() > 0
+
+
+def test_merge_keeps_stored_problems(spark):
+    stored = spark.createDataFrame(
+        [("prob-a", 3, "stored text", True, [("cand-a", "s0")], [("cand-a", "new", "first", True)]), ("prob-b", 1, "other", None, [("cand-b", "s0")], [("cand-b", "new", "first", None)])],
+        "problem_id string, revision long, statement string, evidence_verified boolean, sources array<struct<candidate_id string, source_id string>>, "
+        "merge_log array<struct<candidate_id string, decision string, reason string, evidence_verified boolean>>",
+    )
+    c = spark.createDataFrame([("cand-2", "second", "s2", 2), ("cand-1", "first", "s1", 1), ("cand-3", "third", "s3", 3), ("cand-4", "fourth", "s4", 4)], "candidate_id string, statement string, source_id string, seq long")
+    answers = spark.createDataFrame(
+        [("cand-1", "prob-a", ["prob-a"], "r1", False), ("cand-2", "prob-a", ["prob-a"], "r2", None), ("cand-3", "prob-b", ["prob-a"], "r3", True), ("cand-4", None, None, "r4", None)],
+        "candidate_id string, merge_with string, shortlist array<string>, reason string, evidence_verified boolean",
+    )
+    got = {r.problem_id: r for r in problems.merge_stored(c, answers, stored).collect()}
+    a, three = got["prob-a"], got["prob-3"]
+    assert set(got) == {"prob-a", "prob-b", "prob-3", "prob-4"}
+    assert (a.revision, a.statement, a.evidence_verified) == (5, "stored text", True)
+    assert [tuple(x) for x in a.sources] == [("cand-a", "s0"), ("cand-1", "s1"), ("cand-2", "s2")]
+    assert [tuple(x) for x in a.merge_log[1:]] == [("cand-1", "merged", "r1", False), ("cand-2", "merged", "r2", None)]
+    assert (three.revision, three.statement, three.evidence_verified, three.invalid_merges) == (1, "third", True, 1)
+    assert (got["prob-b"].revision, len(got["prob-b"].merge_log), got["prob-b"].invalid_merges) == (1, 1, 0)
+    again = problems.merge_stored(c.limit(0), answers, problems.merge_stored(c, answers, stored).drop("invalid_merges"))
+    assert {r.problem_id: (r.revision, r.sources) for r in again.collect()} == {k: (r.revision, r.sources) for k, r in got.items()}
