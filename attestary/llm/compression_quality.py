@@ -107,9 +107,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_bytes: int = 100_000, most_total: int = 64_000_000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_total: int = 64_000_000) -> QualityModel:
     """Fit on at most `most_labelled` labelled texts, half of each label where there are as many, in the order of a hash
-    of their ids; of each, the first `most_bytes` bytes serve for learning (scores read whole texts), and `most_total` bytes in all."""
+    of their ids; whole texts, and `most_total` bytes in all."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
     order = F.xxhash64("doc_id", F.lit(10))
@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_by
     )
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
-        .select("doc_id", "label", F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, most_bytes).alias("text"))
+        .select("doc_id", "label", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+        .where(F.length("text") <= most_total)  # longer ones would be left out on the driver
         .groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("r"))
         .select("doc_id", "r.*").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
     )

@@ -411,6 +411,19 @@ def test_quality_edges(spark):
     assert compression_quality.quality_scores(docs(spark).limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(600)]
+    text = lambda lo, hi, size: " ".join(words[i] for i in rng.integers(lo, hi, size // 8))
+    same = text(0, 200, 101_000)
+    rows = [(i, f"{same} {text(200, 400, 40_000) if i % 2 else text(400, 600, 40_000)}", i % 2) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = compression_quality.train(d, d.select("doc_id", "quality"))
+    asked = spark.createDataFrame([(text(200, 400, 4000),), (text(400, 600, 4000),)], "text string")
+    good, bad = (r.s for r in asked.select(compression_quality.score_column(F.col("text"), model).alias("s")).collect())
+    assert good > 0.8 and bad < 0.2
+
+
 # ---- queries
 
 
