@@ -957,11 +957,11 @@ def stream_source_health(spark, d):
     """The scan log as a stream of three batches; each source's last state."""
     log, path = bound(spark, d, "scan_log").select("source_id", "seq", "outcome"), staging(spark, "health")
     third = log.agg(F.max("seq") / 3).first()[0] or 0
-    for k in range(3):
-        log.where((F.col("seq") > (k * third if k else -1)) & (F.col("seq") <= (k + 1) * third + (k == 2))).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    scans = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     sink = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
-    feeds.source_health(scans).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start().awaitTermination()
+    for k in range(3):  # each in a folder and a run of its own, so a batch may have any number of files
+        log.where((F.col("seq") > (k * third if k else -1)) & (F.col("seq") <= (k + 1) * third + (k == 2))).write.parquet(f"{path}/in/{k}")
+        scans = spark.readStream.schema(log.schema).parquet(f"{path}/in/*")
+        feeds.source_health(scans).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start().awaitTermination()
     return sources.latest(spark.read.parquet(f"{path}/out").drop("batch")).select("source_id", "seq", "scans", "items_seen", "consecutive_failures", "candidates", "dry_scans")
 
 
@@ -970,9 +970,9 @@ def stream_upsert(spark, d):
     """Two snapshots as two micro-batches; the table after the second."""
     path, columns = staging(spark, "upsert"), ["url", "source_id", "title", "text", "finished", "at"]
     for k in (1, 2):
-        bound(spark, d, f"snapshot_{k}").withColumn("at", F.lit(k)).select(columns).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    raw = spark.readStream.schema("url string, source_id string, title string, text string, finished boolean, at int").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    feeds.upsert_stream(raw, f"{path}/items", f"{path}/c").awaitTermination()
+        bound(spark, d, f"snapshot_{k}").withColumn("at", F.lit(k)).select(columns).write.parquet(f"{path}/in/{k}")
+        raw = spark.readStream.schema("url string, source_id string, title string, text string, finished boolean, at int").parquet(f"{path}/in/*")
+        feeds.upsert_stream(raw, f"{path}/items", f"{path}/c").awaitTermination()
     out = spark.read.parquet(f"{path}/items/batch=1")
     return out.select("item_id", "finished", "revision", "content_hash", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen"), "status")
 

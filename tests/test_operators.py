@@ -211,3 +211,14 @@ def test_merge_keeps_stored_problems(spark):
     assert (got["prob-b"].revision, len(got["prob-b"].merge_log), got["prob-b"].invalid_merges) == (1, 1, 0)
     again = problems.merge_stored(c.limit(0), answers, problems.merge_stored(c, answers, stored).drop("invalid_merges"))
     assert {r.problem_id: (r.revision, r.sources) for r in again.collect()} == {k: (r.revision, r.sources) for k, r in got.items()}
+
+
+def test_streams_stage_each_batch_with_its_own_partitions(spark, tmp_path, monkeypatch):
+    one = {name: catalog.QUERIES[name](spark, SF).collect() for name in ("stream_source_health", "stream_upsert")}
+    monkeypatch.setattr(catalog, "bound", lambda s, d, name: bound(s, d, name).repartition(4))
+    monkeypatch.setattr(catalog, "staging", lambda s, what: f"{tmp_path}/{what}")
+    for name, folder, batches in (("stream_source_health", "health", 3), ("stream_upsert", "upsert", 2)):
+        got = catalog.QUERIES[name](spark, SF).collect()
+        assert sorted(got, key=str) == sorted(one[name], key=str)
+        assert len(list((tmp_path / folder / "in").rglob("part-*.parquet"))) > batches
+        assert len(list((tmp_path / folder).glob("[oi][ut]*/batch=*"))) == batches
