@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Only where that is unset
-    (tests, single machine) a local temporary folder is set instead."""
+    """A new folder under spark.checkpoint.dir, which all executors share. Only where that is unset and Spark runs in
+    this one machine's process (tests) a local temporary folder is set instead; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
@@ -67,11 +71,17 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64, copy=False), pa.int64())
 
 
-def bounded(rows: Iterator, text: str, most_bytes: int) -> Iterator:
-    """Rows of a sample in order, without those whose text no longer fits into what the driver may hold of all."""
-    held = 0
-    for r in rows:
-        n = len(r[text] or "")
-        if held + n <= most_bytes:
-            held += n
-            yield r
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that, when it ends, gives back what the allocators of its worker still hold: Spark keeps workers
+    for later stages, which would otherwise add theirs to it."""
+
+    @wraps(run)
+    def own(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return own

@@ -6,6 +6,7 @@ that the dictionaries have not seen (cross-fitted in two halves)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import tidy
 
 
 @dataclass(frozen=True)
@@ -93,13 +94,13 @@ def fit(rows: list[tuple[bytes, int]], size: int = 112_640, level: int = 3, bloc
 
 
 def score_column(text: Column, model: QualityModel, level: int = 3, block: int = 512) -> Column:
-    @F.pandas_udf("double")
-    def score(s: pd.Series) -> pd.Series:
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sizes = _Sizes(model.good, model.bad, level, block) if model.good else None
-        d = np.array([sizes.difference((t or "").encode()) if sizes else 0.0 for t in s], float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(model.slope * d + model.offset, -30, 30))))
+        for s in texts:
+            d = np.array([sizes.difference((t or "").encode()) if sizes else 0.0 for t in s], float)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(model.slope * d + model.offset, -30, 30))))
 
-    return score(text)
+    return F.pandas_udf(tidy(score), "double")(text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -107,9 +108,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_total: int = 64_000_000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000) -> QualityModel:
     """Fit on at most `most_labelled` labelled texts, half of each label where there are as many, in the order of a hash
-    of their ids; whole texts, and `most_total` bytes in all."""
+    of their ids; whole texts, whatever their length."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
     order = F.xxhash64("doc_id", F.lit(10))
@@ -119,12 +120,11 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_to
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
         .select("doc_id", "label", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-        .where(F.length("text") <= most_total)  # longer ones would be left out on the driver
         .groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("r"))
         .select("doc_id", "r.*").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
     )
     share = known.agg(F.avg("label")).first()[0]
-    model = fit([(bytes(r.text), r.label) for r in bounded(rows.toLocalIterator(), "text", most_total)])
+    model = fit([(bytes(r.text), r.label) for r in rows.toLocalIterator()])
     if share is None or not 0 < share < 1:
         return model
     # the sample is balanced, the table is not: move the prior

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, written
+from .common import longs, tidy, written
 
 #: Words that are units when they follow a number (fixed values).
 UNITS = frozenset(
@@ -45,7 +45,7 @@ _BUCKETS, _BUCKET_BITS = 512, 32768
 class Templates:
     """Token templates of texts. What is known of at most `most` tokens is remembered."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         self.most = most
         self._clear()
 
@@ -198,14 +198,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, least:
     values are the class's least item's too.
     Null and empty texts and those under `window` tokens have no windows and match nothing; null ids stay null,
     repeated rows give one result, and empty tables an empty one."""
-    items = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_windows(window, None), _WINDOWS), "items")
+    items = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(tidy(_windows(window, None)), _WINDOWS), "items")
     classes = items.groupBy("template").agg(F.min("id").alias("item_id"), F.array_sort(F.collect_set("id")).alias("item_ids"))
     least_of = items.groupBy("template", "form").agg(F.min("id").alias("least"))
     own = items.join(least_of, ["template", "form"]).where("id <=> least").join(classes.select("template", "item_id"), "template").select(
         "template", "form", "hash", F.col("at").alias("item_at"), "of", F.col("slots").alias("item_slots"), F.col("least").eqNullSafe(F.col("item_id")).alias("lead")
     ).dropDuplicates(["template", "form", "item_at"])
     bitmap = _bitmap(items)
-    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_windows(window, bitmap), _WINDOWS)
+    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_windows(window, bitmap)), _WINDOWS)
     met = hits.select(F.col("id").alias("doc_id"), F.col("template").alias("text"), "at", "hash", "slots").join(own, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     lines = met.groupBy("doc_id", "text", "template", "form", (F.col("at") - F.col("item_at")).alias("diagonal"), "of", "lead").agg(

@@ -9,69 +9,144 @@ sequences whose lengths are powers of two, which need no padding."""
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_spans, utf8
+from .common import byte_spans, slices, tidy, utf8
 
 #: A sequence id is the partition's number in the upper bits and a running number below.
 PARTITION_BITS = 40
+#: Bytes of text that are split into words at once.
+_SLICE = 1 << 22
 _MODELS: dict[str, WordIds] = {}
-#: Texts of ASCII and Latin letters have a plain lower case, are normalised already and split as below; the words of
-#: others, and what may be a special token, go through the whole tokenizer.
+#: Texts of ASCII and Latin letters have a plain lower case, are normalised already and split as below; others, and what
+#: may hold a special token, go through the whole tokenizer.
 _SPACE = " \t\n\x0b\x0c\r"
-_ODD = re.compile(rf"[^{_SPACE}!-~À-ÖØ-öø-ÿ]|<\|").search
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]|<\|").search
 _SPLIT = re.compile(rf"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}a-z0-9ß-öø-ÿ]+").findall
+#: Bytes by kind: 0 plain, 1 starts a pair that must be looked at, 2 never plain. Latin letters are C3 and one more byte.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*_SPACE.encode(), *range(0x20, 0x7F), *range(0x80, 0xC0)]] = 0
+_KIND[[0x3C, 0xC3]] = 1
+_PAIRS = ((0x3C, 0x7C), (0xC3, 0x97), (0xC3, 0xB7))  # <|, and two signs among the letters
+
+#: What byte-level vocabularies write for a Latin letter: its two bytes, those without a sign of their own from 256 on.
+_UNSIGNED = [*range(33), *range(127, 161), 173]
+_AS_BYTES = {0xC0 + k: "Ã" + chr(256 + _UNSIGNED.index(0x80 + k) if 0x80 + k in _UNSIGNED else 0x80 + k) for k in range(64)}
+
+
+def odd_texts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """By text of UTF-8 bytes and offsets: does it hold anything that is not plain?"""
+    kind = _KIND[data]
+    bad = np.flatnonzero(kind == 2)
+    first = np.flatnonzero(kind == 1)
+    first = first[first + 1 < len(data)]
+    for a, b in _PAIRS:
+        bad = np.append(bad, first[(data[first] == a) & (data[first + 1] == b)])
+    return np.bincount(np.searchsorted(at, bad, side="right") - 1, minlength=len(at) - 1) > 0
 
 
 class WordIds:
-    """Token ids by the tokenizer file, remembered for pre-tokens.
+    """Token ids by the tokenizer file, a BPE that marks the ends of words.
 
     White space is never part of a pre-token of such a tokenizer and its normaliser works within words, so the ids of a
-    text are those of its words in turn, and a word's are those of its pre-tokens. At most `most` of these are
-    remembered; then the table starts anew."""
+    text are those of its words in turn, and a word's are those of its pre-tokens. Arrow splits a slice into words and
+    numbers the different ones; only these are looked at in Python, and the slice's ids are gathered by their numbers.
+    The ids of about `most` words and pre-tokens are remembered, then those of the last slice only, and none after a
+    task's end."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         self.whole, self.most, self.known = Tokenizer.from_file(path), most, {}
+        suffix, vocabulary = self.whole.model.end_of_word_suffix, self.whole.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # by id: the last of a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.part = Tokenizer(self.whole.model)
-        self.part.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(),
-            pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False),
-        ])
+        self.part.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
-    def _learn(self, new: list[str]) -> None:
+    def forget(self) -> None:
+        self.known = {}
+
+    def _learned(self, new: list[str], signs: dict[int, str] | None = None) -> dict[str, bytes]:
         """Pre-tokens, many to a call: white space keeps them apart, and each has one id at least."""
-        for lo in range(0, len(new), 4000):
-            words = new[lo : lo + 4000]
-            e = self.part.encode(" ".join(words), add_special_tokens=False)
-            ends = np.flatnonzero(np.diff(np.array(e.word_ids, np.int32), append=-1)) + 1
-            raw, ends = np.array(e.ids, "<u4").tobytes(), (4 * ends).tolist()
-            self.known.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-
-    def _odd(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """For each UTF-8 text its ids as little-endian unsigned 32-bit numbers."""
-        plain = [t.decode("utf-8") for t in texts]
-        odd = {i: t for i, t in enumerate(plain) if (_CONTROL if t.isascii() else _ODD)(t)}
-        parts = [[] if i in odd else _SPLIT(t.lower()) for i, t in enumerate(plain)]
-        all_ = set().union(*parts)
-        new = all_.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = all_
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [self._odd(odd[i]) if i in odd else b"".join(map(get, ps)) for i, ps in enumerate(parts)]
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(new), 16_384):
+            words = new[lo : lo + 16_384]
+            text = " ".join(words)
+            ids = self.part.encode_batch_fast([text.translate(signs) if signs else text], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(words):
+                raise ValueError("the tokenizer's vocabulary doesn't tell where words end")
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            out.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        known = self.known
+        own = list(map(known.get, words))
+        new = [i for i, ids in enumerate(own) if ids is None]
+        parts = [_SPLIT(words[i]) for i in new]
+        pieces = set(chain.from_iterable(parts)).difference(known)
+        plain = [p for p in pieces if p.isascii()]
+        known |= self._learned(plain)
+        known |= self._learned(list(pieces.difference(plain)), _AS_BYTES)
+        for i, p in zip(new, parts):
+            if len(p) == 1:
+                own[i] = known[p[0]]
+            else:
+                own[i] = known[words[i]] = b"".join([known[x] for x in p])
+        if len(known) > self.most:
+            self.known = dict(zip(words, own))
+        return own
+
+    def _odd(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _batch(self, texts: pa.Array) -> list[np.ndarray]:
+        data, at = byte_spans(texts)
+        data, at = data[at[0] : at[-1]], at - at[0]
+        odd = odd_texts(data, at)
+        plain = pc.utf8_lower(pc.if_else(pa.array(odd), "", texts.cast(pa.string())))
+        words = pc.ascii_split_whitespace(plain)
+        coded = words.flatten().dictionary_encode()
+        own = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool, start = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
+        code = np.asarray(coded.indices)
+        n = size[code]
+        end = np.append(0, np.cumsum(n))
+        ids = pool[np.repeat(start[code] - end[:-1], n) + np.arange(end[-1])]
+        end = end[np.asarray(words.offsets) - words.offsets[0].as_py()]
+        return [self._odd(texts[i].as_py().decode()) if odd[i] else ids[end[i] : end[i + 1]] for i in range(len(texts))]
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """For each UTF-8 text (binary) its ids, in turn; a text above the slice is cut at white space."""
+        for lo, hi in slices(byte_spans(texts)[1], _SLICE):
+            part = texts[lo:hi]
+            if hi == lo + 1 and len(long := part[0].as_py()) > _SLICE:
+                yield np.concatenate([self._batch(pa.array([x], pa.binary()))[0] for x in _at_spaces(long, _SLICE)])
+            else:
+                yield from self._batch(part)
+
+
+def _at_spaces(text: bytes, most: int) -> Iterator[bytes]:
+    """A text in stretches that start with white space, of about `most` bytes or one word."""
+    lo, space = 0, re.compile(rf"[{_SPACE}]".encode())
+    while lo < len(text):
+        cut = space.search(text, lo + most)
+        hi = cut.start() if cut else len(text)
+        yield text[lo:hi]
+        lo = hi
 
 
 def cuts(n: int, capacity: int, grain: int) -> list[int]:
@@ -145,26 +220,24 @@ def _pack(path: str, capacity: int, grain: int, end_id: int):
         words = _MODELS[path] if path in _MODELS else _MODELS.setdefault(path, WordIds(path))
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << PARTITION_BITS)
         placed: list[tuple] = []
-        for batch in batches:
-            data, at = byte_spans(batch.column(1))
-            raw = data.tobytes()
-            for lo in range(0, batch.num_rows, 512):
-                hi = min(lo + 512, batch.num_rows)
-                docs = batch.column(0)[lo:hi].to_pylist()
-                for doc, ids in zip(docs, words.ids([raw[at[i] : at[i + 1]] for i in range(lo, hi)])):
-                    ids += end
-                    n, start = len(ids) // 4, 0
+        try:
+            for batch in batches:
+                for doc, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1))):
+                    raw, start = ids.tobytes() + end, 0
+                    n = len(raw) // 4
                     for length in cuts(n, capacity, grain):
                         # an open bin holds its own ids only, not whole documents
-                        own = (doc, _Part(ids[4 * start : 4 * (start + length)], start), n)
+                        own = (doc, _Part(raw[4 * start : 4 * (start + length)], start), n)
                         placed += bins.put((own, start, length))
                         start += length
-                if len(placed) >= 4000:
-                    yield rows(placed)
-                    placed = []
-        placed += bins.finish()
-        for lo in range(0, len(placed), 4000):
-            yield rows(placed[lo : lo + 4000])
+                    if len(placed) >= 4000:
+                        yield rows(placed)
+                        placed = []
+            placed += bins.finish()
+            for lo in range(0, len(placed), 4000):
+                yield rows(placed[lo : lo + 4000])
+        finally:
+            words.forget()
 
     return run
 
@@ -189,5 +262,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, grain: int = 64,
     stay null; repeated rows are packed each; an empty table gives an empty result. Sequences are gapless from 0; no
     sequence exceeds `capacity`, which must be a power of two."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(
-        _pack(tokenizer, capacity, grain, end_id), _OUT
+        tidy(_pack(tokenizer, capacity, grain, end_id)), _OUT
     )

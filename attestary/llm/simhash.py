@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_spans, fresh, longs, utf8, written
+from .common import byte_spans, fresh, longs, tidy, utf8, written
 from .components import connected_components
 
 BITS = 64
@@ -55,9 +55,9 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = byte_spans(batch.column(1))
-            raw, out = data.tobytes() if len(data) else b"", np.zeros(batch.num_rows, dtype="<u8")
+            raw, out = memoryview(data), np.zeros(batch.num_rows, dtype="<u8")
             for i in range(batch.num_rows):
-                h = _shingle_hashes(raw[at[i] : at[i + 1]], shingle)
+                h = _shingle_hashes(bytes(raw[at[i] : at[i + 1]]), shingle)
                 if len(h):
                     ones = np.zeros(BITS, np.int64)
                     for k in range(0, len(h), step):
@@ -72,7 +72,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, fp long), a row for each row. Null and empty texts: 0."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(
-        _fingerprints(shingle), "doc_id long, fp long"
+        tidy(_fingerprints(shingle)), "doc_id long, fp long"
     )
 
 
@@ -92,7 +92,7 @@ def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """(number, share of ones by bit, correlation matrix) over all fingerprints; 2081 sums reach the driver."""
-    cells = fps.select("fp").mapInArrow(_bit_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = fps.select("fp").mapInArrow(tidy(_bit_counts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     got = {r.cell: r.n for r in cells.collect()}
     n, joint = got.get(-1, 0), np.zeros((BITS, BITS))
     for cell, x in got.items():
@@ -263,8 +263,8 @@ def links(fps: DataFrame, distance: int = 4, most_in_block: int = 8192) -> DataF
     task holds an unbounded one and no pair is lost."""
     groups, thresholds = plan(*bit_statistics(fps), distance)
     fps = fps.select("fp")
-    probes = fps.mapInArrow(_probes(groups, thresholds), _PROBE)
-    at_home = fps.mapInArrow(_probes(groups, [min(t, 0) for t in thresholds]), _PROBE)
+    probes = fps.mapInArrow(tidy(_probes(groups, thresholds)), _PROBE)
+    at_home = fps.mapInArrow(tidy(_probes(groups, [min(t, 0) for t in thresholds])), _PROBE)
     most_probes = max(sum(comb(len(b), k) for k in range(t + 1)) for b, t in zip(groups, thresholds))
     heavy = at_home.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") * 2 * most_probes >= most_in_block)
     near = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
@@ -286,7 +286,7 @@ def links(fps: DataFrame, distance: int = 4, most_in_block: int = 8192) -> DataF
             F.explode(F.when(F.col("k").isNull(), F.array(bucket)).otherwise(pairs)).alias("bucket"), "fp", "own"
         )
     return (
-        cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify(distance), "a long, b long")
+        cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_verify(distance)), "a long, b long")
     )
 
 

@@ -13,18 +13,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_spans, fresh, longs, slices, utf8, written
+from .common import byte_spans, fresh, longs, slices, tidy, utf8, written
 
 _MULTIPLIERS = np.random.default_rng(9).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _FAR = np.uint64(2**64 - 1)
 #: Bytes of text that numpy works on at once; what it needs beside them is about a hundred times as much.
-_SLICE = 1 << 20
+_SLICE = 1 << 19
+#: Bytes of shards' texts that are indexed together.
+_FAMILY = 1 << 24
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -85,7 +87,6 @@ def split_runs(data: np.ndarray, at: np.ndarray, length: int, gram: int):
 def _runs(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid = np.asarray(batch.column(0))
             data, offsets = byte_spans(batch.column(1))
             for lo, hi in slices(offsets, _SLICE):
                 base = offsets[lo]
@@ -95,7 +96,7 @@ def _runs(length: int, gram: int):
                     raw, digest = part.tobytes(), xxhash.xxh3_64_intdigest
                     kind = np.array([digest(raw[a:b]) for a, b in zip(start.tolist(), (start + n + length - 1).tolist())], np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [longs(uid[lo + text]), longs(start - at[text]), pa.array(n.astype(np.int32)), longs(key), longs(kind), pa.array(again)],
+                        [batch.column(0).take(longs(lo + text)), longs(start - at[text]), pa.array(n.astype(np.int32)), longs(key), longs(kind), pa.array(again)],
                         names=["uid", "start", "n", "key", "kind", "again"],
                     )
 
@@ -212,19 +213,37 @@ class SuffixLevels:
 
 
 def _index(length: int):
-    """All pieces of a partition's shards -> the window ranges that occur more than once, of kinds that occur once."""
+    """The pieces of a partition's shards, sorted by shard -> the window ranges that occur more than once, of kinds that occur once.
+    Shards are indexed together until they hold _FAMILY bytes; a shard is never parted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, pieces = SuffixLevels(length), []
+        family, pieces, last = SuffixLevels(length), [], None
         for batch in batches:
             data, at = byte_spans(batch.column(5))
-            n = np.diff(at) - length + 1
-            starts = np.repeat(at[:-1] - at[0] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            base = family.used
-            family.add(data[at[0] : at[-1]], starts)
+            shard = np.asarray(batch.column(1))
             alone = ~np.asarray(batch.column(4).to_numpy(zero_copy_only=False), bool)
             key, kind, first = (np.asarray(batch.column(i)) for i in (0, 2, 3))
-            pieces.append(np.stack([key, kind, first, at[:-1] - at[0] + base, n])[:, alone])
+            edge = np.flatnonzero(np.append(len(shard) > 0 and shard[0] != last, shard[1:] != shard[:-1]))
+            lo = 0
+            while lo < len(shard):
+                # up to the first shard that no longer fits, then in a new family
+                bound = at[lo] + _FAMILY - family.used
+                over = edge[(edge > lo if family.used == 0 else edge >= lo) & (at[edge] >= bound)]
+                hi = int(over[0]) if len(over) else len(shard)
+                if hi > lo:
+                    n = np.diff(at[lo : hi + 1]) - length + 1
+                    starts = np.repeat(at[lo:hi] - at[lo] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                    base = family.used
+                    family.add(data[at[lo] : at[hi]], starts)
+                    pieces.append(np.stack([key[lo:hi], kind[lo:hi], first[lo:hi], at[lo:hi] - at[lo] + base, n])[:, alone[lo:hi]])
+                if hi < len(shard):
+                    yield from found(family, pieces)
+                    family, pieces = SuffixLevels(length), []
+                lo = hi
+            last = shard[-1] if len(shard) else last
+        yield from found(family, pieces)
+
+    def found(family: SuffixLevels, pieces: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not pieces:
             return
         key, kind, first, place, n = np.concatenate(pieces, axis=1)
@@ -240,33 +259,69 @@ def _index(length: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, hot: int = 2000) -> DataFrame:
-    """texts(uid long, text binary) -> (uid, spans array<struct<lo, hi>>): byte ranges under repeated windows."""
-    runs = written(texts.mapInArrow(_runs(length, gram), "uid long, start long, n int, key long, kind long, again boolean"), "runs")
-    twice = runs.groupBy("key").agg(F.count("*").alias("k"), F.max("again").alias("again")).where("k > 1 or again")
-    runs = written(runs.join(twice.select("key"), "key", "left_semi"), "shared-runs")
+def _each_window(length: int):
+    """(text, runs) -> every window of the runs by a 128-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, digest = batch.column(0), xxhash.xxh3_128_intdigest
+            for i, runs in enumerate(batch.column(1).to_pylist()):
+                text = texts[i].as_py()
+                for r in runs:
+                    n, at = r["n"], r["start"]
+                    both = np.array([divmod(digest(text[p : p + length]), 1 << 64) for p in range(at, at + n)], np.uint64)
+                    same = [pa.array(np.full(n, r[c])) for c in ("key", "kind", "repeated")]
+                    yield pa.RecordBatch.from_arrays([*same, longs(np.arange(n)), longs(both[:, 0]), longs(both[:, 1])], names=["key", "kind", "repeated", "at", "a", "b"])
+
+    return run
+
+
+_SPLIT_GRAM = 160
+
+
+def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, hot: int = 2000, hottest: int = 20_000) -> DataFrame:
+    """texts(uid of any type, text binary) -> (uid, spans array<struct<lo, hi>>): byte ranges under repeated windows. Rows of one uid must
+    have one text.
+
+    Keys under which more than `hot` different texts meet are split by a longer gram. Above `hottest` that may not part
+    them either, as a long passage in ever new surroundings; there each window is counted by its own hash, in an
+    aggregation that sums up before it shuffles. So no shard grows with the corpus."""
+    uid = texts.schema["uid"].dataType.simpleString()
+    runs = written(texts.mapInArrow(tidy(_runs(length, gram)), f"uid {uid}, start long, n int, key long, kind long, again boolean"), "runs")
+    # small tables of keys are written, so that the adaptive join can split a key with very many rows on the other side
+    twice = written(runs.groupBy("key").agg(F.count("*").alias("k"), F.max("again").alias("again")).where("k > 1 or again").select("key"), "shared-keys")
+    runs = written(runs.join(twice, "key", "left_semi"), "shared-runs")
     kinds = written(
         runs.groupBy("key", "kind").agg(F.count("*").alias("k"), F.max("again").alias("again"), F.min(F.struct("uid", "start", "n")).alias("one")), "kinds"
     )
-    of_key = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
+    of_key = written(kinds.groupBy("key").agg(F.count("*").alias("kinds")), "key-kinds")
     open_ = kinds.join(of_key, "key").where("kinds > 1 or (k = 1 and again)")
-    wanted = open_.groupBy(F.col("one.uid").alias("uid")).agg(
-        F.collect_list(
-            F.struct("key", "kind", F.col("one.start").alias("start"), F.col("one.n").alias("n"), (F.col("k") > 1).alias("repeated"), (F.col("kinds") > hot).alias("hot"))
-        ).alias("runs")
-    )
-    pieces = (
-        texts.dropDuplicates(["uid"]).join(wanted, "uid").select("text", "runs").mapInArrow(_cut(length, min(length - length // 5, 160) // 8 * 8), _PIECE_DDL)
+    one = F.struct("key", "kind", F.col("one.start").alias("start"), F.col("one.n").alias("n"), (F.col("k") > 1).alias("repeated"), (F.col("kinds") > hot).alias("hot"))
+    by_uid = lambda rows: rows.groupBy(F.col("one.uid").alias("uid")).agg(F.collect_list(one).alias("runs"))
+    own = texts.dropDuplicates(["uid"])
+    pieces = own.join(by_uid(open_.where(F.col("kinds") <= hottest)), "uid").select("text", "runs").mapInArrow(
+        tidy(_cut(length, min(length - length // 5, _SPLIT_GRAM) // 8 * 8)), _PIECE_DDL
     )
-    parts = pieces.repartition("shard").mapInArrow(_index(length), "key long, kind long, lo long, hi long")
+    parts = pieces.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(_index(length)), "key long, kind long, lo long, hi long")
     whole = kinds.where("k > 1").select("key", "kind", F.lit(0).cast("long").alias("lo"), F.col("one.n").cast("long").alias("hi"))
     found = parts.unionByName(whole)
+    if not of_key.where(F.col("kinds") > hottest).isEmpty():
+        most = own.join(by_uid(open_.where(F.col("kinds") > hottest)), "uid").select("text", "runs")
+        each = written(most.mapInArrow(tidy(_each_window(length)), "key long, kind long, repeated boolean, at long, a long, b long"), "windows")
+        again = written(each.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "window-counts")
+        found = found.unionByName(each.where("not repeated").join(again, ["a", "b"], "left_semi").select("key", "kind", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi")))
     spans = runs.join(found, ["key", "kind"]).select(
         "uid", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi")
     )
     return spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
+def _identity(doc_id: str, text: Column) -> Column:
+    """A row's name by id and text: two 64-bit hashes in 16 bytes."""
+    hashes = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(doc_id, text), F.xxhash64(text, F.lit(9), doc_id))]
+    return F.unhex(F.concat(*hashes))
+
+
 def _remove(places: tuple[int, int], keep_rest: int):
     """places: of the text and the spans among the columns."""
 
@@ -295,46 +350,55 @@ def _remove(places: tuple[int, int], keep_rest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(byte_spans(batch.column(places[0]))[1], 4 * _SLICE):
+            for lo, hi in slices(byte_spans(batch.column(places[0]))[1], 2 * _SLICE):
                 yield cut(batch.slice(lo, hi - lo))
 
     return run
 
 
+def _left_over(columns: list[str], text: str):
+    """Rows of `columns` with raw bytes and spans behind -> the rows whose text keeps a byte, with what it keeps."""
+    cut = _remove((len(columns), len(columns) + 1), len(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = columns.index(text)
+        for batch in cut(batches):
+            removed, rest = batch.column(len(columns) + 1), batch.column(len(columns) + 3)
+            stays = pc.or_(pc.equal(removed, 0), pc.greater(pc.binary_length(rest), 0))
+            own = [
+                old if not n else new.decode("utf-8", "ignore")
+                for old, n, new in zip(batch.column(at).to_pylist(), removed.to_pylist(), rest.to_pylist())
+            ]
+            cols = batch.columns[: len(columns)]
+            cols[at] = pa.array(own, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=columns).filter(stays)
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept binary), a row for each row.
 
     Each byte under a string of `length` bytes that starts anywhere else too goes, judged on the input; matches never
     cross documents. Null and empty texts have no bytes; texts shorter than `length` stay whole; repeated rows count as
     documents of their own, so all their bytes go; null ids stay null; an empty table gives an empty result."""
-    base = docs.select("doc_id", utf8("text").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    base = docs.select("doc_id", utf8("text").alias("text")).withColumn("uid", _identity("doc_id", F.col("text")))
     spans = repeated_spans(base.select("uid", "text"), length, gram)
     return base.join(spans, "uid", "left").select("doc_id", "text", "spans").mapInArrow(
-        _remove((1, 2), 1), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+        tidy(_remove((1, 2), 1)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
 
 def without_repeats(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
     """The documents, each with what remains of its text (bytes of a character that was cut are dropped), other columns
-    unchanged; one that has lost all its bytes goes."""
-    uid = fresh("uid", docs.columns)
-    base = docs.withColumn(uid, F.xxhash64("doc_id", utf8("text")))
-    spans = repeated_spans(base.select(F.col(uid).alias("uid"), utf8("text").alias("text")), length, gram)
-    raw, found = fresh("raw", [*docs.columns, uid]), fresh("spans", docs.columns)
+    unchanged; one that has lost all its bytes goes.
+
+    Null and empty texts lose nothing and stay; rows without an id count like any other; repeated rows lose all from
+    `length` bytes on, and so go; an empty table gives an empty result; columns of any name are kept."""
+    columns = docs.columns
+    uid, raw, found = (fresh(n, columns) for n in ("uid", "raw", "spans"))
+    base = docs.withColumn(raw, utf8("text")).withColumn(uid, _identity("doc_id", F.col(raw)))
+    spans = repeated_spans(base.select(F.col(uid).alias("uid"), F.col(raw).alias("text")), length, gram)
     spans = spans.withColumnRenamed("uid", uid).withColumnRenamed("spans", found)
-    cut = base.join(spans, uid, "left").withColumn(raw, F.pandas_udf(_rest, "string")(utf8("text"), F.col(f"{found}.lo"), F.col(f"{found}.hi")))
-    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.col(raw))
-    return cut.where(F.col(found).isNull() | (F.length(raw) > 0)).withColumn("text", text).select(*docs.columns)
-
-
-
-def _rest(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-    def one(raw: bytes, starts, ends) -> str:
-        if starts is None:
-            return ""
-        gone = np.zeros(len(raw) + 1, np.int32)
-        np.add.at(gone, np.asarray(starts, np.int64), 1)
-        np.add.at(gone, np.asarray(ends, np.int64), -1)
-        return np.frombuffer(raw, np.uint8)[np.cumsum(gone[:-1]) == 0].tobytes().decode("utf-8", "ignore")
-
-    return pd.Series([one(*x) for x in zip(text, lo, hi)])
+    cut = base.join(spans, uid, "left").select(*columns, raw, found)
+    return cut.mapInArrow(tidy(_left_over(columns, "text")), docs.schema)

@@ -2,7 +2,7 @@
 
 Distinct pre-tokens are inserted in a trie of their bytes. Each node holds the best forward score of its prefix and the
 number of pieces that reach it, computed once from its ancestors when the node is made; so words that begin alike
-share that work, and a pre-token seen before costs one look at its terminal count. A worker keeps one trie of at most
+share that work, and a pre-token seen before costs one look at its terminal count. A task keeps one trie of at most
 `most` nodes and starts anew beyond that; counts don't depend on what a trie holds, and nothing is shuffled."""
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from __future__ import annotations
 import base64
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Pre-tokens: letters, digits, other signs, each with one space before it, and white space. They cover every text.
 _SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+").findall
 _TRIES: dict[tuple, UnigramTrie] = {}
@@ -34,9 +37,9 @@ def read_vocabulary(path: str) -> dict[bytes, float]:
 class UnigramTrie:
     def __init__(self, pieces: dict[bytes, float], most: int = 1_000_000):
         self.pieces, self.most, self.longest = pieces, most, max(map(len, pieces))
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.child: dict[int, int] = {}  # node * 256 + byte
         self.score, self.count, self.terminal = [0.0], [0], {}
 
@@ -45,7 +48,7 @@ class UnigramTrie:
         going to fewer pieces."""
         raw = word.encode("utf-8", "surrogatepass")
         if len(self.score) + len(raw) > self.most:
-            self._clear()
+            self.clear()
         path, node = [0], 0
         for d, byte in enumerate(raw, 1):
             at = node * 256 + byte
@@ -76,14 +79,17 @@ class UnigramTrie:
 
 
 def count_column(text: Column, vocabulary: str, most: int = 1_000_000) -> Column:
-    @F.pandas_udf("n_pretokens long, n_tokens long")
-    def count(s: pd.Series) -> pd.DataFrame:
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trie = _TRIES.get((vocabulary, most))
         if trie is None:
             trie = _TRIES[vocabulary, most] = UnigramTrie(read_vocabulary(vocabulary), most)
-        return pd.DataFrame([trie.counts(t or "") for t in s], columns=["n_pretokens", "n_tokens"], dtype="int64")
+        try:
+            for s in texts:
+                yield pd.DataFrame([trie.counts(t or "") for t in s], columns=["n_pretokens", "n_tokens"], dtype="int64")
+        finally:
+            trie.clear()
 
-    return count(text)
+    return F.pandas_udf(tidy(count), "n_pretokens long, n_tokens long")(text)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, most: int = 1_000_000) -> DataFrame:

@@ -8,7 +8,9 @@ A text's features are its words and their beginnings, so that inflected words of
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import tidy
 
 #: Kinds of toxic language and seed words that mark them in texts labelled toxic. More can be given as a parameter.
 CATEGORIES: dict[str, tuple[str, ...]] = {
@@ -120,19 +122,22 @@ class _Numbered:
         return np.unique(np.fromiter((i for w in words for i in self.of_word[w]), np.int32))
 
 
-def fit(rows: list[tuple[str, int]], categories=None, size: int = 1024, least: int = 5, folds: int = 4, ridge: float = 2e-4) -> ChainModel:
+def fit(rows: Iterable[tuple[str, int]], categories=None, size: int = 1024, least: int = 5, folds: int = 4, ridge: float = 2e-4) -> ChainModel:
     """rows: (text, toxic 0 or 1) of a bounded sample; equal texts stay in one fold and count once."""
     categories = CATEGORIES if categories is None else categories
-    seen: dict[str, int] = {}
-    for t, y in rows:
-        seen[t or ""] = max(seen.get(t or "", 0), int(y))
-    toxic, numbered = np.array(list(seen.values()), float), _Numbered()
-    features, listed = [], {n: np.zeros(len(seen)) for n in categories}
-    for i, t in enumerate(seen):
+    numbered, place_of, labels, features, listed = _Numbered(), {}, [], [], []
+    for t, y in rows:  # texts are not kept
+        digest = hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest()
+        at = place_of.setdefault(digest, len(labels))
+        if at < len(labels):
+            labels[at] = max(labels[at], int(y))
+            continue
         words = words_of(t)
+        labels.append(int(y))
         features.append(numbered.features(words))
-        for n, seeds in categories.items():
-            listed[n][i] = not words.isdisjoint(seeds)
+        listed.append([not words.isdisjoint(seeds) for seeds in categories.values()])
+    toxic = np.array(labels, float)
+    listed = dict(zip(categories, np.array(listed, float).reshape(len(labels), len(categories)).T))
     names = list(numbered.number)
     chosen = _chosen(features, names, toxic, size, least)
     model = ChainModel({names[i]: k for k, i in enumerate(chosen)})
@@ -154,7 +159,7 @@ def fit(rows: list[tuple[str, int]], categories=None, size: int = 1024, least: i
     return model
 
 
-def probabilities(texts, model: ChainModel, known: dict[str, tuple[int, ...]] | None = None, most: int = 150_000) -> np.ndarray:
+def probabilities(texts, model: ChainModel, known: dict[str, tuple[int, ...]] | None = None, most: int = 60_000) -> np.ndarray:
     """By text and category, each from the features and the categories before it. known: remembers words' features."""
     texts, v, out = list(texts), model.vocabulary, []
     known = {} if known is None else known
@@ -176,28 +181,27 @@ def probabilities(texts, model: ChainModel, known: dict[str, tuple[int, ...]] |
     return np.stack(out, axis=1)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_chars: int = 64_000_000) -> ChainModel:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> ChainModel:
     """Fit on at most `most_labelled` labelled texts, half of them toxic where there are as many, in the order of a hash
-    of their ids; texts that would take the sample above `most_chars` characters are left out of it."""
+    of their ids; whole texts, whatever their length."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     order = F.xxhash64("doc_id", F.lit(2))
     pick = known.where("label = 1").orderBy(order, "doc_id").limit(most_labelled // 2).unionByName(
         known.where("label = 0").orderBy(order, "doc_id").limit(most_labelled // 2)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "text")
-    return fit([(r.text, r.label) for r in bounded(rows.select("text", "label").toLocalIterator(), "text", most_chars)])
+    return fit((r.text, r.label) for r in rows.select("text", "label").toLocalIterator())
 
 
 def toxicity_column(text: Column, model: ChainModel) -> Column:
     """A struct of all categories' probabilities, p_<category>."""
 
-    known: dict[str, tuple[int, ...]] = {}  # by worker
+    def chain(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[int, ...]] = {}
+        for s in texts:
+            yield pd.DataFrame(probabilities(s, model, known), columns=[f"p_{n}" for n in model.names])
 
-    @F.pandas_udf(", ".join(f"p_{n} double" for n in model.names))
-    def chain(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(probabilities(s, model, known), columns=[f"p_{n}" for n in model.names])
-
-    return chain(text)
+    return F.pandas_udf(tidy(chain), ", ".join(f"p_{n} double" for n in model.names))(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

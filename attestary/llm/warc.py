@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, utf8, written
+from .common import scratch, tidy, utf8, written
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
@@ -106,7 +106,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     # the join deals pages by payload; a payload that very many pages share is split by the adaptive skew join
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     rows = rows.join(shared, "payload_key", "left").select("page_id", "url", "html", refers.alias("refers_to"))
-    return written(rows.mapInArrow(_writer(folder, level, most_bytes), "path string, bytes long"), "archives")
+    return written(rows.mapInArrow(tidy(_writer(folder, level, most_bytes)), "path string, bytes long"), "archives")
 
 
 def members(source) -> Iterator[Iterator[bytes]]:
@@ -194,5 +194,5 @@ def read_archives(archives: DataFrame) -> DataFrame:
     (both of the full payload, also for revisits), payload (null for revisits), valid (the digest agrees)."""
     n = max(1, archives.count())
     return archives.select("path").repartition(n).mapInArrow(
-        _reader, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, valid boolean"
+        tidy(_reader), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, valid boolean"
     )
