@@ -10,7 +10,9 @@ from pyspark.sql import SparkSession
 
 def staging(spark: SparkSession, what: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # tests and single machines
+    if not root:  # tests, in one process
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
