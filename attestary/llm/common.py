@@ -50,6 +50,12 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
+def row_name(doc_id: str, text: Column) -> Column:
+    """A row's name by id and text: two 64-bit hashes in 16 bytes. Equal rows have one name."""
+    hashes = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(doc_id, text), F.xxhash64(text, F.lit(9), doc_id))]
+    return F.unhex(F.concat(*hashes))
+
+
 def byte_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, n + 1 offsets) of a binary Arrow column without nulls, without a copy."""
     _, offsets, data = column.buffers()

@@ -3,14 +3,17 @@
 Texts become token templates: numbers, names and units turn into typed placeholders, words into lower case. Windows of
 `window` template tokens of the benchmark are hash-joined with those of the documents; a fixed-size bitmap of the
 benchmark's window hashes, 2 MB whatever their number, keeps the other windows of the documents from being shuffled.
-Windows that lie on one diagonal must fill the benchmark's placeholders consistently: one value of the item has one value
-in the document; windows with a value that has several there don't count. So a question whose numbers or names were
-exchanged is found, and a mere likeness of form is not. Items of one template that repeat their values in other places
-are compared each on its own.
+The windows that count must fill the benchmark's placeholders consistently: one value of the item has one value in the
+document; windows with a value that has several there don't count. Each place of the item and of the document counts once,
+for the diagonal with the most windows first, so words that were put in or left out between don't matter. So a question
+whose numbers or names were exchanged is found, and a mere likeness of form is not. Items of one template that repeat
+their values in other places are compared each on its own. Windows of placeholders only have no form, and items shorter
+than a window have too little: both must be the same word for word.
 
 A word with a capital may be a name or stand at the start of a sentence, and a copy may have lost its stops or capitals.
 So every text has three streams of windows, and the best one counts: capitals are names unless a sentence starts there;
-all capitals are names; none are, and case doesn't count but in words that are all capitals."""
+all capitals are names; none are, and case doesn't count but in words that are all capitals. Short items have a stream by
+length of their own."""
 
 from __future__ import annotations
 
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, tidy, written
+from .common import fresh, row_name, tidy, utf8, written
 
 #: Words that are units when they follow a number (fixed values).
 UNITS = frozenset(
@@ -76,8 +79,9 @@ class Templates:
             self.capital[i] = kind in (_TITLE, _WORD) and t[0].isupper()
             self.cased[i] = xxhash.xxh64_intdigest(t, 3) if shout else self.hash[i]
 
-    def of(self, text: str, window: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """(tokens without sentence ends, by stream (slot kind or -1 of each, template hash of each, window hashes))."""
+    def of(self, text: str, window: int, short: tuple[int, ...] | None = None) -> tuple[list[str], list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+        """(tokens without sentence ends, streams (number, slot kind or -1 of each token, template hash of each, window
+        hashes)). short: lengths of the short windows; None: those of the text itself, if it is shorter than a window."""
         tokens = _TOKEN(text)
         new = set(tokens).difference(self.number)
         if len(self.number) + len(new) > self.most:
@@ -102,13 +106,18 @@ class Templates:
                 slot[names] = _TITLE
             h = np.where(slot >= 0, _SLOT_HASH[slot], low if k < 2 else self.cased[at])
             hashes = window_hashes(h, window) ^ _SALTS[k]
-            if k == 1 and len(hashes):  # what is placeholders only has no form: it must be the same word for word
+            if len(hashes):  # what is placeholders only has no form: it must be the same word for word
                 run = np.append(0, np.cumsum(slot >= 0))
                 bare = np.flatnonzero(run[window:] - run[:-window] == window)
                 if len(bare):
-                    hashes[bare] = window_hashes(low, window)[bare] ^ _SALTS[3]
-            streams.append((slot, h, hashes))
-        return [tokens[i] for i in keep.tolist()] if (streams[1][0] >= 0).any() else [], streams
+                    hashes[bare] = window_hashes(low, window)[bare] ^ _SALTS[3] ^ _SALTS[k]
+            streams.append((k, slot, h, hashes))
+        values = [tokens[i] for i in keep.tolist()] if (streams[1][1] >= 0).any() else []
+        none = np.full(len(low), -1, np.int8)
+        if short is None:
+            short = (len(low),) if 0 < len(low) < window else ()
+        streams += [(2 + n, none, low, window_hashes(low, n) ^ _SALTS[3] ^ np.uint64(n)) for n in short]
+        return values, streams
 
 
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
@@ -127,7 +136,8 @@ def _bit(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(_BUCKETS * _BUCKET_BITS - 1)).astype(np.int64)
 
 
-_WINDOWS = "id long, at int, of int, hash long, slots array<string>, template long, form long"
+_WINDOWS = "at int, of int, hash long, slots array<string>, template long, form long"
+_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64())
 
 
 def _digest(data: bytes) -> int:
@@ -138,20 +148,21 @@ def _value(slot: np.ndarray, tokens: list[str], p: int) -> str:
     return f"{_SLOTS[int(slot[p])]}{tokens[p].lower()}"
 
 
-def _windows(window: int, bitmap: np.ndarray | None):
-    """(id, text) -> windows: place, number of windows of the text, hash, placeholders' values by place in the window,
+def _windows(window: int, bitmap: np.ndarray | None, short: tuple[int, ...] | None = None):
+    """(id, text) -> windows: id, place, number of windows of the text, hash, placeholders' values by place in the window,
     the first stream's whole template's hash, and a hash of the window's stream, its template and which of its placeholders
     have equal values. With a bitmap only windows that it has, and the text's own hash in place of the last two."""
-    names = [c.split()[0] for c in _WINDOWS.split(", ")]
+    names = ["id", *[c.split()[0] for c in _WINDOWS.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in batches:
             cols: list[list] = [[] for _ in names]
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, streams = templates.of(text or "", window)
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                tokens, streams = templates.of(text, window, short)
                 template = form = None
-                for stream, (slot, h, hashes) in enumerate(streams):
+                for stream, slot, h, hashes in streams:
                     places = np.arange(len(hashes))
                     if bitmap is not None:
                         bit = _bit(hashes)
@@ -161,17 +172,29 @@ def _windows(window: int, bitmap: np.ndarray | None):
                     if bitmap is None:
                         seen: dict[str, int] = {}
                         equal = [seen.setdefault(_value(slot, tokens, p), len(seen)) for p in np.flatnonzero(slot >= 0).tolist()]
-                        template = _digest(streams[0][1].tobytes())
+                        template = _digest(streams[0][2].tobytes())
                         form = _digest(bytes([stream]) + h.tobytes() + np.array(equal, np.int64).tobytes())
                     elif template is None:
-                        template = form = _digest((text or "").encode())
+                        template = form = _digest(text.encode())
+                    size = window if stream < 3 else len(h) - len(hashes) + 1
                     for p in places.tolist():
-                        own = [_value(slot, tokens, p + k) for k in range(window) if slot[p + k] >= 0]
-                        for c, v in zip(cols, (id_, p, len(hashes), int(hashes[p].view(np.int64)), own, template, form)):
+                        own = [_value(slot, tokens, p + k) for k in range(size) if slot[p + k] >= 0]
+                        for c, v in zip(cols, (row, p, len(hashes), int(hashes[p].view(np.int64)), own, template, form)):
                             c.append(v)
             if cols[0]:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+                ids = batch.column(0).take(pa.array(cols[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(cols[1:], _TYPES)]], names=names)
+
+    return run
+
+
+def _token_count(window: int):
+    """Lengths of the texts that are shorter than a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [sum(t not in ".!?\n" for t in _TOKEN(x or "")) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in n if 0 < x < window], pa.int32())], names=["n"])
 
     return run
 
@@ -188,47 +211,63 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, least: float = 0.8) -> DataFrame:
-    """documents(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, item_ids, containment, exact): a row for
-    each document and benchmark template of which it holds at least the share `least` of the windows.
-
-    Items with one template (equal but for numbers, names and units) are one class: item_id is its least, item_ids all
-    of it; windows that occur several times in an item count by place. Within a class, items with the same equalities among
-    their values have one representative by stream, the least; the best of them counts. exact: the
-    values are the class's least item's too.
-    Null and empty texts and those under `window` tokens have no windows and match nothing; null ids stay null,
-    repeated rows give one result, and empty tables an empty one."""
-    items = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(tidy(_windows(window, None)), _WINDOWS), "items")
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, least: float) -> DataFrame:
+    """docs(id of any type, text) -> (id, template, item_id, item_ids, containment, exact)."""
+    items = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(tidy(_windows(window, None)), f"id long, {_WINDOWS}"), "items")
+    lengths = benchmark.select("text").mapInArrow(_token_count(window), "n int").distinct()
+    short = tuple(sorted(r.n for r in lengths.collect()))  # of 1 to window - 1
     classes = items.groupBy("template").agg(F.min("id").alias("item_id"), F.array_sort(F.collect_set("id")).alias("item_ids"))
     least_of = items.groupBy("template", "form").agg(F.min("id").alias("least"))
     own = items.join(least_of, ["template", "form"]).where("id <=> least").join(classes.select("template", "item_id"), "template").select(
         "template", "form", "hash", F.col("at").alias("item_at"), "of", F.col("slots").alias("item_slots"), F.col("least").eqNullSafe(F.col("item_id")).alias("lead")
     ).dropDuplicates(["template", "form", "item_at"])
-    bitmap = _bitmap(items)
-    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_windows(window, bitmap)), _WINDOWS)
-    met = hits.select(F.col("id").alias("doc_id"), F.col("template").alias("text"), "at", "hash", "slots").join(own, "hash")
+    own = written(own, "item-windows")  # a table, so that the adaptive join can split what meets a very common window
+    hits = docs.mapInArrow(tidy(_windows(window, _bitmap(items), short)), f"id {docs.schema['id'].dataType.simpleString()}, {_WINDOWS}")
+    met = hits.select("id", F.col("template").alias("text"), "at", "hash", "slots").join(own, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    lines = met.groupBy("doc_id", "text", "template", "form", (F.col("at") - F.col("item_at")).alias("diagonal"), "of", "lead").agg(
-        F.collect_set(F.struct("item_at", pairs.alias("pairs"))).alias("windows")
-    )
-    both = F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"])))
-    lines = lines.withColumn("both", both)
+    one = ["id", "text", "template", "form", "of", "lead"]
+    lines = met.groupBy(*one, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set(F.struct("item_at", pairs.alias("pairs"))).alias("windows"))
+    lines = lines.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct((-F.size("windows")).alias("order"), "diagonal", "windows"))).alias("lines"))
+
+    def with_line(so_far, line):
+        free = lambda w: ~F.array_contains(so_far["at"], w["item_at"] + line["diagonal"]) & ~F.exists(so_far["windows"], lambda v: v["item_at"] == w["item_at"])
+        new = F.filter(line["windows"], free)
+        places = F.transform(new, lambda w: w["item_at"] + line["diagonal"])
+        return F.struct(F.concat(so_far["at"], places).alias("at"), F.concat(so_far["windows"], new).alias("windows"))
+
+    nothing = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<struct<item_at:int,pairs:array<struct<i:string,d:string>>>>").alias("windows"))
+    lines = lines.withColumn("windows", F.aggregate("lines", nothing, with_line, lambda a: a["windows"]))
+    lines = lines.withColumn("both", F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"]))))
     # the item's values that have several values in the document: in order of the pairs, those that follow themselves
     items_of = F.transform(F.array_sort("both"), lambda p: p["i"])
     lines = lines.withColumn("several", F.array_distinct(F.filter(F.zip_with(items_of, F.slice(items_of, F.lit(2), F.size("both")), lambda a, b: F.when(a == b, a)), lambda a: a.isNotNull())))
     kept = F.filter("windows", lambda w: ~F.exists(w["pairs"], lambda p: F.array_contains("several", p["i"])))
     exact = F.col("lead") & F.forall("both", lambda p: p["i"] == p["d"])
-    found = (
-        lines.select("doc_id", "text", "template", "form", "of", F.transform(kept, lambda w: w["item_at"]).alias("places"), exact.alias("exact"))
-        .where(F.size("places") > 0).groupBy("doc_id", "text", "template", "form", "of")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("exact").alias("exact"))
-        .withColumn("containment", F.col("n") / F.col("of")).where(F.col("containment") >= least)
-    )
-    best = found.groupBy("doc_id", "template").agg(F.max(F.struct("containment", "exact")).alias("best"))
-    return best.join(classes, "template").select("doc_id", "item_id", "item_ids", "best.*")
+    found = lines.select("id", "template", (F.size(kept) / F.col("of")).alias("containment"), exact.alias("exact")).where(F.col("containment") >= least)
+    best = found.groupBy("id", "template").agg(F.max(F.struct("containment", "exact")).alias("best"))
+    return best.join(classes, "template").select("id", "template", "item_id", "item_ids", "best.*")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, least: float = 0.8) -> DataFrame:
+    """documents(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, item_ids, containment, exact): a row for
+    each document and benchmark template of which it holds at least the share `least` of the windows.
+
+    Items with one template (equal but for numbers, names and units) are one class: item_id is its least, item_ids all
+    of it; windows that occur several times in an item count by place. Within a class, items with the same equalities among
+    their values have one representative by stream, the least; the best of them counts. exact: the
+    values are the class's least item's too. Items under `window` tokens are found word for word, whatever the case.
+    Null and empty texts match nothing; null ids stay null, repeated rows give one result, and empty tables an empty one;
+    further columns are not looked at."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return _found(rows, benchmark, window, least).select(F.col("id").alias("doc_id"), "item_id", "item_ids", "containment", "exact")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 5, least: float = 0.8) -> DataFrame:
-    """The documents, with all their columns, that hold no benchmark template; those without an id stay."""
-    bad = contaminated(docs, benchmark, window, least).select(F.col("doc_id").alias("contaminated_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["contaminated_id"], "left_anti")
+    """The documents, with all their columns, that hold no benchmark template.
+
+    Each row is judged by its own text, whatever other rows have its id or none; null and empty texts stay; equal rows go or
+    stay together; without items all stay; columns of any name are kept."""
+    name = fresh("row_name", docs.columns)
+    named = docs.withColumn(name, row_name("doc_id", utf8("text")))
+    bad = _found(named.select(F.col(name).alias("id"), "text"), benchmark, window, least).select(F.col("id").alias(name)).distinct()
+    return named.join(bad, name, "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ from .common import byte_spans, slices, tidy, utf8
 #: A sequence id is the partition's number in the upper bits and a running number below.
 PARTITION_BITS = 40
 #: Bytes of text that are split into words at once.
-_SLICE = 1 << 22
+_SLICE = 1 << 21
 _MODELS: dict[str, WordIds] = {}
 #: Texts of ASCII and Latin letters have a plain lower case, are normalised already and split as below; others, and what
 #: may hold a special token, go through the whole tokenizer.
@@ -62,7 +62,7 @@ class WordIds:
     The ids of about `most` words and pre-tokens are remembered, then those of the last slice only, and none after a
     task's end."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_spans, fresh, longs, tidy, utf8, written
+from .common import byte_spans, fresh, longs, row_name, tidy, utf8, written
 from .components import connected_components
 
 BITS = 64
@@ -49,7 +49,7 @@ def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends)], dtype="<u8")
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, key: str):
     step = 1 << 17  # hashes unpacked at once: 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,15 +64,15 @@ def _fingerprints(shingle: int):
                         part = h[k : k + step].view(np.uint8).reshape(-1, 8)
                         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
                     out[i] = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs(out)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs(out)], names=[key, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, fp long), a row for each row. Null and empty texts: 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(
-        tidy(_fingerprints(shingle)), "doc_id long, fp long"
+def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id") -> DataFrame:
+    """documents(key, text) -> (key, fp long), a row for each row. Null and empty texts: 0."""
+    return docs.select(key, utf8("text").alias("text")).mapInArrow(
+        tidy(_fingerprints(shingle, key)), f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long"
     )
 
 
@@ -290,29 +290,36 @@ def links(fps: DataFrame, distance: int = 4, most_in_block: int = 8192) -> DataF
     )
 
 
+def groups_of(prints: DataFrame, distance: int) -> DataFrame:
+    """prints(fp, ...) -> (fp, root): one root for all fingerprints that links of `distance` bits or less connect."""
+    distinct = written(prints.select("fp").distinct(), "distinct")
+    roots = connected_components(links(distinct, distance))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, fp long, component_id long), a row for each row.
 
     component_id is the least doc_id of all documents that links of `distance` bits or less reach. Null or empty texts
     have fingerprint 0 and link like any other; null ids stay null and never name a component unless it has no other;
     repeated rows and equal fingerprints share a component; an empty table gives an empty result."""
-    prints = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(links(distinct, distance))
-    by_fp = (
-        distinct.join(roots, distinct.fp == roots.node, "left")
-        .select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    )
+    prints = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "fingerprints")
+    by_fp = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups_of(prints, distance), "fp"), "groups")
     ids = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = written(by_fp.join(ids, "root").select("fp", "component_id"), "labels")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """The documents that name their component, with all their columns: one of each group. Of rows that repeat such an
-    id one stays; rows without an id can't be named and all stay."""
-    keep = near_duplicates(docs, distance, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    mark = fresh("kept_id", docs.columns)
-    keep = keep.withColumnRenamed("doc_id", mark)
-    named = docs.join(keep, docs["doc_id"] == keep[mark], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """The documents that stand for their group, with all their columns: of each group the one with the least doc_id, rows
+    with equal ids in order of a hash of id and text.
+
+    Null and empty texts are one group; rows without an id stand for a group that has no other; of rows that are equal
+    in id and text one stays; an empty table gives an empty result; columns of any name are kept."""
+    name = fresh("row_name", docs.columns)
+    named = docs.withColumn(name, row_name("doc_id", utf8("text")))
+    rows = named.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(name).alias("name")).alias("row"), "text")
+    prints = written(fingerprints(rows, shingle, "row"), "fingerprints")
+    by_fp = prints.groupBy("fp").agg(F.min("row").alias("row")).join(groups_of(prints, distance), "fp")
+    stays = written(by_fp.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.name").alias(name)), "representatives")
+    return named.join(stays, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

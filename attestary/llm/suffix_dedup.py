@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_spans, fresh, longs, slices, tidy, utf8, written
+from .common import byte_spans, fresh, longs, row_name, slices, tidy, utf8, written
 
 _MULTIPLIERS = np.random.default_rng(9).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _FAR = np.uint64(2**64 - 1)
@@ -279,7 +279,7 @@ def _each_window(length: int):
 _SPLIT_GRAM = 160
 
 
-def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, hot: int = 2000, hottest: int = 20_000) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, hot: int = 300, hottest: int = 1500) -> DataFrame:
     """texts(uid of any type, text binary) -> (uid, spans array<struct<lo, hi>>): byte ranges under repeated windows. Rows of one uid must
     have one text.
 
@@ -316,12 +316,6 @@ def repeated_spans(texts: DataFrame, length: int = 200, gram: int = 64, hot: int
     return spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def _identity(doc_id: str, text: Column) -> Column:
-    """A row's name by id and text: two 64-bit hashes in 16 bytes."""
-    hashes = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(doc_id, text), F.xxhash64(text, F.lit(9), doc_id))]
-    return F.unhex(F.concat(*hashes))
-
-
 def _remove(places: tuple[int, int], keep_rest: int):
     """places: of the text and the spans among the columns."""
 
@@ -382,7 +376,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFr
     Each byte under a string of `length` bytes that starts anywhere else too goes, judged on the input; matches never
     cross documents. Null and empty texts have no bytes; texts shorter than `length` stay whole; repeated rows count as
     documents of their own, so all their bytes go; null ids stay null; an empty table gives an empty result."""
-    base = docs.select("doc_id", utf8("text").alias("text")).withColumn("uid", _identity("doc_id", F.col("text")))
+    base = docs.select("doc_id", utf8("text").alias("text")).withColumn("uid", row_name("doc_id", F.col("text")))
     spans = repeated_spans(base.select("uid", "text"), length, gram)
     return base.join(spans, "uid", "left").select("doc_id", "text", "spans").mapInArrow(
         tidy(_remove((1, 2), 1)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -397,7 +391,7 @@ def without_repeats(docs: DataFrame, length: int = 200, gram: int = 64) -> DataF
     `length` bytes on, and so go; an empty table gives an empty result; columns of any name are kept."""
     columns = docs.columns
     uid, raw, found = (fresh(n, columns) for n in ("uid", "raw", "spans"))
-    base = docs.withColumn(raw, utf8("text")).withColumn(uid, _identity("doc_id", F.col(raw)))
+    base = docs.withColumn(raw, utf8("text")).withColumn(uid, row_name("doc_id", F.col(raw)))
     spans = repeated_spans(base.select(F.col(uid).alias("uid"), F.col(raw).alias("text")), length, gram)
     spans = spans.withColumnRenamed("uid", uid).withColumnRenamed("spans", found)
     cut = base.join(spans, uid, "left").select(*columns, raw, found)

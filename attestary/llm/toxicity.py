@@ -2,8 +2,10 @@
 
 Categories are predicted one after the other by logistic regression on the words of a text; each model also gets the
 probabilities of the categories before it. For training these are out-of-fold predictions, so a later model learns
-from probabilities as good as those it will see. The last category is the verdict, `toxic`, from the labels; those
-before it are kinds of toxic language, which a labelled text has if it is toxic and uses a seed word of the kind, and `unlisted`, which is toxic without any.
+from probabilities as good as those it will see. The last category is the verdict, `toxic`, from the labels. Those
+before it are kinds of toxic language: a given number of them, found as clusters of what the labelled toxic texts say and
+others don't, whatever their language; or kinds by given seed words, which a labelled text has if it is toxic and uses one,
+and `unlisted`, which is toxic without any.
 A text's features are its words and their beginnings, so that inflected words of any language share what they learn."""
 
 from __future__ import annotations
@@ -98,16 +100,21 @@ def _fit_linear(x: _Rows, y: np.ndarray, ridge: float, rounds: int = 150) -> np.
     return w
 
 
-def _chosen(features: list[np.ndarray], names: list[str], toxic: np.ndarray, size: int, least: int) -> list[int]:
-    """The features whose frequency differs most between toxic and other texts, by a z score."""
-    seen = np.zeros((2, len(names)))
+def _lean(features: list[np.ndarray], toxic: np.ndarray, n: int, least: int = 0) -> np.ndarray:
+    """By feature the z score of its frequency in toxic against other texts; 0 for those seen in fewer than `least`."""
+    seen = np.zeros((2, n))
     for f, y in zip(features, toxic):
         seen[int(y), f] += 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     p = seen.sum(axis=0) / (n0 + n1)
-    z = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
-    enough = np.flatnonzero(seen.sum(axis=0) >= least)
-    return sorted(enough.tolist(), key=lambda i: (-z[i], names[i]))[:size]
+    z = (seen[1] / n1 - seen[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
+    return np.where(seen.sum(axis=0) >= least, z, 0)
+
+
+def _chosen(features: list[np.ndarray], names: list[str], toxic: np.ndarray, size: int, least: int) -> list[int]:
+    """The features whose frequency differs most between toxic and other texts."""
+    z = np.abs(_lean(features, toxic, len(names), least))
+    return sorted(np.flatnonzero(z > 0).tolist(), key=lambda i: (-z[i], names[i]))[:size]
 
 
 class _Numbered:
@@ -122,9 +129,39 @@ class _Numbered:
         return np.unique(np.fromiter((i for w in words for i in self.of_word[w]), np.int32))
 
 
+def kinds_of(features: list[np.ndarray], toxic: np.ndarray, place: np.ndarray, weight: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """By text the number of its kind, or -1 for those that are not toxic or have no feature of toxic texts: spherical
+    k-means on these features by weight, kinds in order of size. It starts from texts that are farthest from each other."""
+    out, rows = np.full(len(features), -1), []
+    x = np.zeros((int(toxic.sum()), len(weight)))
+    for r, i in enumerate(np.flatnonzero(toxic)):
+        own = place[features[i]]
+        own = own[own >= 0]
+        x[r, own] = np.maximum(weight[own], 0)
+        rows.append(i)
+    norm = np.sqrt((x * x).sum(axis=1))
+    used = np.flatnonzero(norm > 0)
+    if not len(used):
+        return out
+    x = x[used] / norm[used, None]
+    centre = [x[np.argmax(x @ x.sum(axis=0))]]
+    for _ in range(1, min(k, len(x))):
+        centre.append(x[np.argmin(np.max(x @ np.array(centre).T, axis=1))])
+    centre = np.array(centre)
+    for _ in range(rounds):
+        own = np.argmax(x @ centre.T, axis=1)
+        sums = np.array([x[own == c].sum(axis=0) if (own == c).any() else centre[c] for c in range(len(centre))])
+        centre = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-12)
+    order = np.argsort(-np.bincount(own, minlength=len(centre)), kind="stable")
+    out[np.array(rows)[used]] = np.argsort(order)[own]
+    return out
+
+
 def fit(rows: Iterable[tuple[str, int]], categories=None, size: int = 1024, least: int = 5, folds: int = 4, ridge: float = 2e-4) -> ChainModel:
-    """rows: (text, toxic 0 or 1) of a bounded sample; equal texts stay in one fold and count once."""
+    """rows: (text, toxic 0 or 1) of a bounded sample; equal texts stay in one fold and count once. categories: seed words
+    by kind, or the number of kinds to find."""
     categories = CATEGORIES if categories is None else categories
+    found, categories = (categories, {}) if isinstance(categories, int) else (0, categories)
     numbered, place_of, labels, features, listed = _Numbered(), {}, [], [], []
     for t, y in rows:  # texts are not kept
         digest = hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest()
@@ -136,7 +173,7 @@ def fit(rows: Iterable[tuple[str, int]], categories=None, size: int = 1024, leas
         labels.append(int(y))
         features.append(numbered.features(words))
         listed.append([not words.isdisjoint(seeds) for seeds in categories.values()])
-    toxic = np.array(labels, float)
+    toxic = np.array(labels, float) if len(set(labels)) == 2 else np.zeros(len(labels))  # one kind of label tells nothing
     listed = dict(zip(categories, np.array(listed, float).reshape(len(labels), len(categories)).T))
     names = list(numbered.number)
     chosen = _chosen(features, names, toxic, size, least)
@@ -144,11 +181,13 @@ def fit(rows: Iterable[tuple[str, int]], categories=None, size: int = 1024, leas
     place = np.full(len(names), -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     x = _Rows(features, place, len(chosen))
-    for name, target in [
-        *((n, toxic * own) for n, own in listed.items()),
-        (UNLISTED, toxic * np.all([own == 0 for own in listed.values()], axis=0)),
-        (VERDICT, toxic),
-    ]:
+    if found:
+        kind = kinds_of(features, toxic, place, _lean(features, toxic, len(names))[chosen], found)
+        targets = [(f"kind_{k + 1}", (kind == k).astype(float)) for k in range(found)]
+    else:
+        targets = [(n, toxic * own) for n, own in listed.items()]
+        targets.append((UNLISTED, toxic * np.all([own == 0 for own in listed.values()], axis=0)))
+    for name, target in [*targets, (VERDICT, toxic)]:
         model.weights.append(_fit_linear(x, target, ridge))
         model.names.append(name)
         out_of_fold = np.zeros(len(target))
@@ -181,7 +220,7 @@ def probabilities(texts, model: ChainModel, known: dict[str, tuple[int, ...]] |
     return np.stack(out, axis=1)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> ChainModel:
+def train(docs: DataFrame, labels: DataFrame, categories=None, most_labelled: int = 4000) -> ChainModel:
     """Fit on at most `most_labelled` labelled texts, half of them toxic where there are as many, in the order of a hash
     of their ids; whole texts, whatever their length."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -190,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> Chai
         known.where("label = 0").orderBy(order, "doc_id").limit(most_labelled // 2)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "text")
-    return fit((r.text, r.label) for r in rows.select("text", "label").toLocalIterator())
+    return fit(((r.text, r.label) for r in rows.select("text", "label").toLocalIterator()), categories)
 
 
 def toxicity_column(text: Column, model: ChainModel) -> Column:
@@ -204,17 +243,21 @@ def toxicity_column(text: Column, model: ChainModel) -> Column:
     return F.pandas_udf(tidy(chain), ", ".join(f"p_{n} double" for n in model.names))(text)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, categories=None) -> DataFrame:
     """documents(doc_id, text), labels(doc_id, toxic) -> (doc_id, p_<category>..., is_toxic), a row for each row.
 
+    categories: seed words by kind (default: the lists above), or how many kinds to find in the labelled toxic texts.
     Null and empty texts have no words and get the models' offsets; null ids stay null; labels that are null or not 0
-    or 1 don't count, of repeated labels the greatest does; without labels of both kinds nothing is above the labels'
-    share; an empty table gives an empty result."""
-    scored = docs.select("doc_id", toxicity_column(F.col("text"), train(docs, labels)).alias("p"))
+    or 1 don't count, of repeated labels the greatest does; without labels of both kinds nothing is
+    toxic; an empty table gives an empty result."""
+    scored = docs.select("doc_id", toxicity_column(F.col("text"), train(docs, labels, categories)).alias("p"))
     return scored.select("doc_id", "p.*").withColumn("is_toxic", F.col(f"p_{VERDICT}") >= threshold)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, whose probability is below the threshold."""
-    p = toxicity_column(F.col("text"), train(docs, labels))
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, categories=None) -> DataFrame:
+    """The documents, with all their columns, whose probability is below the threshold.
+
+    Each row is judged by its own text: null and empty texts, null ids and repeated rows included; without labels of both
+    kinds all stay; an empty table gives an empty result; columns of any name are kept."""
+    p = toxicity_column(F.col("text"), train(docs, labels, categories))
     return docs.where(p[f"p_{VERDICT}"] < threshold)
