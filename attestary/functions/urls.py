@@ -50,9 +50,8 @@ def item_id(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Lower case, without a leading www. and without user or port."""
-    name = F.regexp_replace(F.regexp_replace(F.lower(_part(F.trim(url), 2)), r"^[^@]*@", ""), r":\d+$", "")
-    return F.regexp_replace(name, r"^www\.", "")
+    """Lower case, without a leading www., with user and port as they stand."""
+    return F.regexp_replace(F.lower(_part(F.trim(url), 2)), r"^www\.", "")
 
 
 def is_bloglike(url: Column) -> Column:
@@ -76,7 +75,7 @@ def slug(text: Column, most: int = 80) -> Column:
 
 def talk_url(page: Column, key: Column) -> Column:
     """The address of one talk of a page: its key as one more parameter."""
-    return F.concat(page, F.when(page.contains("?"), F.lit("&")).otherwise(F.lit("?")), F.lit("talk="), _encoded(key))
+    return F.concat(page, F.when(page.contains("?"), F.lit("&")).otherwise(F.lit("?")), F.lit("talk="), F.replace(_encoded(key), F.lit("+"), F.lit("%20")))
 
 
 def absolute(base: Column, href: Column) -> Column:

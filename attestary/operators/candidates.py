@@ -28,6 +28,17 @@ def bad_refs(refs: Column, n: Column) -> Column:
     return F.filter(refs, lambda r: ~r.between(1, n))
 
 
+MOST_FOUND = 3
+
+
+def valid_answers(answers: DataFrame, most: int = MOST_FOUND) -> tuple[DataFrame, DataFrame]:
+    """answers(item_id, found array, ...) -> (valid ones, rejected(item_id, error)): an answer with more than `most` candidates, or
+    none readable, is rejected as a whole."""
+    why = F.when(F.col("found").isNull(), "unreadable").when(F.size("found") > most, "too many candidates")
+    rows = answers.withColumn("_why", why)
+    return rows.where("_why is null").drop("_why"), rows.where("_why is not null").select("item_id", F.col("_why").alias("error"))
+
+
 def explode_answers(answers: DataFrame) -> DataFrame:
     """answers(item_id, revision, links, found array<struct<statement, refs>>, output_tokens) -> a candidate each, with
     the id that its item, revision and place give, its links and its rounded share of the tokens."""
@@ -52,14 +63,60 @@ def outcome(candidates: DataFrame, items: DataFrame, key: str) -> DataFrame:
     )
 
 
-def unprocessed(candidates: DataFrame, processed: DataFrame) -> DataFrame:
-    return candidates.join(processed.select("candidate_id"), "candidate_id", "left_anti")
+def unprocessed(candidates: DataFrame, processed: DataFrame, categories: tuple = (), ids: tuple = ()) -> DataFrame:
+    """Candidates without a decision: of the given categories, or exactly the given ids."""
+    rows = candidates.join(processed.select("candidate_id"), "candidate_id", "left_anti")
+    rows = rows.where(F.col("category").isin(*categories)) if categories else rows
+    return rows.where(F.col("candidate_id").isin(*ids)) if ids else rows
+
+
+def unusable_ids(candidates: DataFrame, processed: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(candidate_id) -> those that can't be processed, with why: unknown or already processed."""
+    j = asked.join(candidates.select("candidate_id", F.lit(True).alias("_known")), "candidate_id", "left")
+    j = j.join(processed.select("candidate_id", F.lit(True).alias("_done")).distinct(), "candidate_id", "left")
+    why = F.when(F.col("_known").isNull(), "unknown").when(F.col("_done"), "already processed")
+    return j.select("candidate_id", why.alias("why")).where("why is not null")
+
+
+def work_order() -> list[Column]:
+    """Best tier first, oldest first within a tier."""
+    return [F.col("tier").asc(), F.col("day").asc(), F.col("candidate_id").asc()]
 
 
-def candidate_view(candidates: DataFrame, processed: DataFrame) -> DataFrame:
-    """Candidates with problem and decision, blank problem ids as null; processed tells whether there is a decision."""
+def candidate_view(candidates: DataFrame, processed: DataFrame, q: str | None = None, tiers: tuple = (), category: str | None = None,
+                   is_processed: bool | None = None, items: DataFrame | None = None, due: bool | None = None) -> DataFrame:
+    """Candidates with problem and decision, blank problem ids as null; processed tells whether there is a decision. Filters: words
+    in id or statement, tiers, category, processed or not, and due (with items(doc_id, revision, finished): neither processed nor
+    superseded nor of a finished item)."""
     links = processed.select("candidate_id", F.nullif("problem_id", F.lit("")).alias("problem_id"), "decision")
-    return candidates.join(links, "candidate_id", "left").withColumn("processed", F.col("decision").isNotNull())
+    rows = candidates.join(links, "candidate_id", "left").withColumn("processed", F.col("decision").isNotNull())
+    if q:
+        rows = rows.where(matches(q, "candidate_id", "statement"))
+    if tiers:
+        rows = rows.where(F.col("tier").isin(*tiers))
+    if category is not None:
+        rows = rows.where(F.col("category") == category)
+    if is_processed is not None:
+        rows = rows.where(F.col("processed") == is_processed)
+    if due is not None:
+        rows = outcome(rows, items, "doc_id").where((~F.col("processed") & (F.col("outcome") == "eligible")) == due)
+    return rows
+
+
+def merge_report(candidates: DataFrame, items: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """One run: candidates(candidate_id, revision, output_tokens, key), items(key, revision, finished), decisions(candidate_id, decision,
+    evidence_verified, merge_with, ...) -> one row of counts. A decision other than merged whose answer named a target is an invalid merge."""
+    rows = outcome(candidates, items, key).join(decisions, "candidate_id", "left")
+    n = lambda c, v: F.count_if(F.col(c) == v)
+    more = []
+    if "evidence_verified" in decisions.columns:
+        more.append(F.count_if(F.col("decision").isin("new", "merged") & ~F.coalesce("evidence_verified", F.lit(True))).alias("unverified"))
+    if "merge_with" in decisions.columns:
+        more.append(F.count_if(F.col("merge_with").isNotNull() & (F.col("decision") != "merged")).alias("invalid_merges"))
+    return rows.agg(
+        F.count("*").alias("processed"), n("decision", "new").alias("new"), n("decision", "merged").alias("merged"), n("outcome", "superseded").alias("superseded"),
+        n("outcome", "finished").alias("finished"), n("outcome", "failure").alias("failures"), (F.sum("output_tokens") / F.count("*")).alias("tokens_per_candidate"), *more,
+    )
 
 
 def matches(q: str, *columns: str) -> Column:

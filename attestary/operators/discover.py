@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import feed_link_column
 from ..functions.urls import absolute, canonical_url, host, is_bloglike, job_board, slug
 
 
@@ -15,6 +16,17 @@ def job_boards(links: DataFrame, known: DataFrame) -> DataFrame:
     return first.select("source_id", "r.*").join(known.select("source_id"), "source_id", "left_anti")
 
 
+def cited_links(refs: DataFrame, links: DataFrame) -> DataFrame:
+    """refs and links(url, origin, at): candidates' references first, then items' links, as one table in order."""
+    first = refs.select("url", "origin", F.struct(F.lit(0).alias("part"), "at").alias("at"))
+    return first.unionByName(links.select("url", "origin", F.struct(F.lit(1).alias("part"), "at").alias("at")))
+
+
+def api_hosts(boards: DataFrame) -> DataFrame:
+    """Hosts of job boards' interfaces: (host), to leave out of unmapped hosts."""
+    return boards.select(host(F.col("api")).alias("host")).distinct()
+
+
 def unmapped(links: DataFrame, known_hosts: DataFrame, ignored: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """links(url, at) -> (host, url, bloglike): the first link to each host that is not empty, ignored (with its
     subdomains), known or a job board's; at most `most` hosts in link order."""
@@ -28,8 +40,5 @@ def unmapped(links: DataFrame, known_hosts: DataFrame, ignored: tuple[str, ...]
 
 def feeds(pages: DataFrame) -> DataFrame:
     """pages(url, html) -> (url, feed, source_id): the first RSS or Atom link that a page names as its alternate."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
-    fit = F.filter(tags, lambda t: t.rlike(r'(?i)\brel="?alternate\b') & t.rlike(r'(?i)\btype="?application/(rss|atom)\+xml') & t.rlike(r'(?i)\bhref="[^"]+"'))
-    href = F.regexp_extract(F.get(fit, 0), r'(?i)\bhref="([^"]+)"', 1)
-    source = F.concat(F.lit("rss-"), slug(host(F.col("url"))))
-    return pages.where(F.size(fit) > 0).select("url", absolute(F.col("url"), href).alias("feed"), source.alias("source_id"))
+    found = pages.select("url", feed_link_column(F.col("html")).alias("href")).where("href is not null")
+    return found.select("url", absolute(F.col("url"), F.col("href")).alias("feed"), F.concat(F.lit("rss-"), slug(host(F.col("url")))).alias("source_id"))

@@ -4,7 +4,7 @@ Items are keyed by item_id; a table that is bucketed by it joins without a shuff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_url, item_id
@@ -40,32 +40,73 @@ def classify(items: DataFrame, snapshot: DataFrame) -> DataFrame:
     return items.select("item_id", "content_hash").join(new, "item_id", "full").select("item_id", change(F.col("content_hash"), F.col("new_hash")).alias("change"))
 
 
+#: Columns of the item table that are state; all others are content and come from the fetched row.
+STATE = ("item_id", "url", "source_id", "content_hash", "truncated", "finished", "revision", "first_seen", "last_seen", "status", "extract_error", "batch_id")
+
+
+def _content(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in STATE]
+
+
 def first_load(snapshot: DataFrame, now: Column) -> DataFrame:
+    none = F.lit(None).cast("string")
     return snapshot.select(
-        "item_id", "url", "source_id", "title", "text", "content_hash", "truncated", "finished", F.lit(1).alias("revision"),
+        "item_id", "url", "source_id", *_content(snapshot), "content_hash", "truncated", "finished", F.lit(1).alias("revision"),
         now.alias("first_seen"), now.alias("last_seen"), F.when(F.col("finished"), FINISHED).otherwise(QUEUED).alias("status"),
+        none.alias("extract_error"), none.alias("batch_id"),
     )
 
 
-def upsert(items: DataFrame, snapshot: DataFrame, now: Column) -> DataFrame:
-    """The item table after a snapshot (one row for each item). New: revision 1, queued. Changed: next revision, new
-    title, text and flags, queued again, url, source and first_seen kept. Unchanged: only last_seen moves, and an item
-    that is now finished is marked. Finished items are never queued. Absent items stay as they are."""
-    fields = ("url", "source_id", "title", "text", "content_hash", "truncated", "finished")
-    s = snapshot.select("item_id", *[F.col(c).alias(f"s_{c}") for c in fields])
-    j = items.join(s, "item_id", "full").withColumn("change", change(F.col("content_hash"), F.col("s_content_hash")))
-    is_new, changed, same = (F.col("change") == c for c in ("new", "changed", "unchanged"))
-    taken = is_new | changed
-    finished = F.when(taken, F.col("s_finished")).when(same, F.col("finished") | F.col("s_finished")).otherwise(F.col("finished"))
-    status = F.when(finished & (taken | same), FINISHED).when(taken, QUEUED).otherwise(F.col("status"))
-    pick = lambda c: F.when(taken, F.col(f"s_{c}")).otherwise(F.col(c)).alias(c)
-    return j.select(
-        "item_id", F.coalesce("url", "s_url").alias("url"), F.coalesce("source_id", "s_source_id").alias("source_id"),
-        pick("title"), pick("text"), pick("content_hash"), pick("truncated"), finished.alias("finished"),
-        F.when(is_new, 1).when(changed, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"),
-        F.coalesce("first_seen", now).alias("first_seen"), F.when(taken | same, now).otherwise(F.col("last_seen")).alias("last_seen"),
-        status.alias("status"),
+def _steps(items: DataFrame, snapshot: DataFrame, order: str | None) -> DataFrame:
+    """By item of the snapshot what it does to the stored one, without any text: changes (of the hash, in order, against
+    the stored one first), done (whether the last content is marked finished by any row that has it), and the stored state."""
+    stored = items.select("item_id", F.col("content_hash").alias("old_hash"), F.col("revision").alias("old_revision"), F.col("url").alias("old_url"),
+                          F.col("source_id").alias("old_source"), F.col("first_seen").alias("old_first"))
+    rows = snapshot.select("item_id", "content_hash", "finished", *([order] if order else [])).join(stored, "item_id", "left")
+    kept = ["old_hash", "old_revision", "old_url", "old_source", "old_first"]
+    if order is None:
+        differs = ~F.coalesce(F.col("content_hash") == F.col("old_hash"), F.lit(False))
+        return rows.select("item_id", differs.cast("int").alias("changes"), F.col("finished").alias("done"), *kept)
+    w = Window.partitionBy("item_id").orderBy(order)
+    before = F.coalesce(F.lag("content_hash").over(w), F.col("old_hash"))
+    rows = rows.withColumn("changes", (~F.coalesce(F.col("content_hash") == before, F.lit(False))).cast("int"))
+    rows = rows.withColumn("changes", F.sum("changes").over(w)).groupBy("item_id", "changes", *kept).agg(F.bool_or("finished").alias("done"))
+    last = rows.groupBy("item_id").agg(F.max_by(F.struct("changes", "done", *kept), "changes").alias("r"))
+    return last.select("item_id", "r.*")
+
+
+def upsert(items: DataFrame, snapshot: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    """The item table after a snapshot. New: revision 1, queued. Changed: next revision, new content and flags, queued
+    again without error or batch, url, source and first_seen kept. Unchanged: only last_seen moves; one that is now
+    finished is marked, and leaves the queue if it was in it. Finished items are never queued. Absent items stay as they are.
+
+    The snapshot has one row for each item, or several in the order of a column: then each change of the content counts as a
+    revision, also back to an earlier one. What happens is decided on ids and hashes; a text is joined only with that."""
+    steps = _steps(items, snapshot, order)
+    fetched = snapshot if order is None else last_of_each(snapshot, order)
+    none = F.lit(None).cast("string")
+    made = fetched.join(steps.where("changes > 0"), "item_id").select(
+        "item_id", F.coalesce("old_url", "url").alias("url"), F.coalesce("old_source", "source_id").alias("source_id"), *[c for c in _content(items)],
+        "content_hash", "truncated", F.col("done").alias("finished"), (F.coalesce("old_revision", F.lit(0)) + F.col("changes")).cast("int").alias("revision"),
+        F.coalesce("old_first", now).alias("first_seen"), now.alias("last_seen"), F.when(F.col("done"), FINISHED).otherwise(QUEUED).alias("status"),
+        none.alias("extract_error"), none.alias("batch_id"),
     )
+    seen = F.col("changes").isNotNull()
+    ends = seen & F.col("done")
+    stay = items.join(steps.where("old_hash is not null").select("item_id", "changes", "done"), "item_id", "left").where("coalesce(changes, 0) = 0")
+    stay = stay.withColumns({
+        "finished": F.col("finished") | F.coalesce(ends, F.lit(False)), "last_seen": F.when(seen, now).otherwise(F.col("last_seen")),
+        "status": F.when(ends & (F.col("status") == QUEUED), FINISHED).otherwise(F.col("status")),
+    })
+    return stay.select(made.columns).unionByName(made)
+
+
+def mark_finished(items: DataFrame, found: DataFrame) -> DataFrame:
+    """The item table after listings that only say which known items (item_id) are finished."""
+    j = items.join(found.select("item_id", F.lit(True).alias("_ends")).distinct(), "item_id", "left")
+    ends = F.coalesce("_ends", F.lit(False))
+    status = F.when(ends & (F.col("status") == QUEUED), FINISHED).otherwise(F.col("status"))
+    return j.withColumns({"finished": F.col("finished") | ends, "status": status}).select(items.columns)
 
 
 def unknown_only(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,17 +30,38 @@ def accepted_output(outputs: DataFrame, accepted: DataFrame) -> DataFrame:
     return ok.groupBy("session_id").agg(F.max_by("value", "line_no").alias("value"))
 
 
-_PROGRESS = r"\[[\w-]+ \d+/\d+\] (\S+)(?: \([^)]*\))?(?:: running\b.*| -> (.*))$"
+def _rest(text: Column, n) -> Column:
+    """A text from its n-th character on."""
+    return F.substring(text, n if isinstance(n, Column) else F.lit(n), F.length(text))
+
+
+def progress(line: Column) -> dict[str, Column]:
+    """A progress line is `[stage i/n] item`, perhaps a remark in brackets, then `: running...` or ` -> result`: state (null
+    for another line), item and result, without the duration at its end."""
+    head = F.substring_index(line, "] ", 1)
+    count = F.split(F.element_at(F.split(head, " "), -1), "/")
+    digits = lambda c: c.rlike("^[0-9]+$")
+    sound = line.startswith("[") & line.contains("] ") & (F.size(F.split(head, " ")) == 2) & (F.size(count) == 2) & digits(F.get(count, 0)) & digits(F.get(count, 1))
+    said = _rest(line, F.length(head) + 3)
+    runs, ends = F.instr(said, ": running"), F.instr(said, " -> ")
+    running = (runs > 0) & ((ends == 0) | (runs < ends))
+    what = F.when(running, F.substring(said, F.lit(1), runs - 1)).when(ends > 0, F.substring(said, F.lit(1), ends - 1))
+    item = F.substring_index(what, " ", 1)
+    remark = _rest(what, F.length(item) + 2)
+    sound &= (item != "") & ((remark == "") | (remark.startswith("(") & remark.endswith(")")))
+    result = F.when(running, "").otherwise(_rest(said, ends + 4))
+    failed = result.startswith("FAILED ")
+    last = F.element_at(F.split(result, " "), -1)
+    timed = last.startswith("(") & last.endswith("s)") & digits(F.translate(F.substring(last, F.lit(2), F.length(last) - 3), ".", ""))
+    plain = F.when(timed, F.substring(result, F.lit(1), F.length(result) - F.length(last) - 1)).otherwise(result)
+    state = F.when(running, "running").when(failed, "failed").otherwise("done")
+    return {"state": F.when(sound & what.isNotNull(), state), "item": item, "result": F.when(failed, _rest(result, 8)).otherwise(plain)}
 
 
 def task_states(log: DataFrame) -> DataFrame:
     """log(task_id, line_no, line) -> the last state of each item of each task, by first appearance: running, failed or done,
     with its result, without the duration."""
-    item = F.regexp_extract("line", _PROGRESS, 1)
-    result = F.regexp_extract("line", _PROGRESS, 2)
-    state = F.when(F.col("line").rlike(r": running\b") & (result == ""), "running").when(result.startswith("FAILED "), "failed").otherwise("done")
-    said = F.when(state == "failed", F.substring(result, 8, 100_000)).otherwise(F.regexp_replace(result, r" \(\d+(\.\d+)?s\)$", ""))
-    rows = log.where(F.col("line").rlike(_PROGRESS)).select("task_id", "line_no", item.alias("item"), state.alias("state"), said.alias("result"))
+    rows = log.select("task_id", "line_no", *[c.alias(n) for n, c in progress(F.col("line")).items()]).where("state is not null")
     return rows.groupBy("task_id", "item").agg(
         F.min("line_no").alias("first_line"), F.max_by("state", "line_no").alias("state"), F.max_by("result", "line_no").alias("result")
     )
@@ -49,7 +70,48 @@ def task_states(log: DataFrame) -> DataFrame:
 def task_errors(log: DataFrame) -> DataFrame:
     """log(task_id, line_no, line) -> (task_id, error, fix): the last `ERROR: ` line, with the next line if it is a `Fix: `."""
     after = F.lead("line").over(Window.partitionBy("task_id").orderBy("line_no"))
-    fix = F.when(F.col("after").startswith("Fix: "), F.substring("after", 6, 100_000)).otherwise("")
+    fix = F.when(F.col("after").startswith("Fix: "), _rest(F.col("after"), 6)).otherwise("")
     rows = log.withColumn("after", after).where(F.col("line").startswith("ERROR: "))
-    last = rows.groupBy("task_id").agg(F.max_by(F.struct(F.substring("line", 8, 100_000).alias("error"), fix.alias("fix")), "line_no").alias("r"))
+    last = rows.groupBy("task_id").agg(F.max_by(F.struct(_rest(F.col("line"), 8).alias("error"), fix.alias("fix")), "line_no").alias("r"))
     return last.select("task_id", "r.*")
+
+
+#: The shapes of a session file's lines (fixed values).
+_LINE = """type string, session_id string, message struct<content array<struct<type string, id string, name string, input string, tool_use_id string,
+ is_error boolean, content string>>>, usage struct<input_tokens bigint, cache_creation_input_tokens bigint, cache_read_input_tokens bigint, output_tokens bigint>,
+ total_cost_usd double, duration_ms bigint"""
+
+
+def session_lines(raw: DataFrame) -> DataFrame:
+    """raw(session_id, line_no, line): JSON lines of sessions -> the lines read; what can't be read is left out."""
+    read = F.from_json("line", _LINE)
+    return raw.select("session_id", "line_no", read.alias("r")).where("r.type is not null").select("session_id", "line_no", "r.type", F.col("r.message.content").alias("content"), "r.usage", "r.total_cost_usd", "r.duration_ms")
+
+
+def tool_calls(lines: DataFrame) -> DataFrame:
+    """session_lines -> (session_id, line_no, block, tool, query, value): what the assistant called, in order. query: the input's
+    `query`; value: the whole input as JSON."""
+    blocks = lines.where("type = 'assistant'").select("session_id", "line_no", F.posexplode("content").alias("pos", "b")).where("b.type = 'tool_use'")
+    return blocks.select(
+        "session_id", (F.col("line_no") * 10_000 + F.col("pos")).alias("line_no"), F.col("b.id").alias("block"), F.col("b.name").alias("tool"),
+        F.get_json_object("b.input", "$.query").alias("query"), F.col("b.input").alias("value"),
+    )
+
+
+#: What the answer to an accepted output says (a fixed value).
+ACCEPTED = "provided successfully"
+
+
+def accepted_blocks(lines: DataFrame, said: str = ACCEPTED) -> DataFrame:
+    """session_lines -> (session_id, block): calls whose result says that they were accepted."""
+    back = lines.where("type = 'user'").select("session_id", F.explode("content").alias("b")).where("b.type = 'tool_result'")
+    return back.where(F.col("b.content").contains(said)).select("session_id", F.col("b.tool_use_id").alias("block")).distinct()
+
+
+def session_results(lines: DataFrame) -> DataFrame:
+    """session_lines -> (session_id, input, cache_creation, cache_read, output, cost, ms) of the closing lines, as usage() takes them."""
+    u = lambda c, n: F.col(f"usage.{c}").alias(n)
+    return lines.where("type = 'result'").select(
+        "session_id", u("input_tokens", "input"), u("cache_creation_input_tokens", "cache_creation"), u("cache_read_input_tokens", "cache_read"),
+        u("output_tokens", "output"), F.col("total_cost_usd").alias("cost"), F.col("duration_ms").alias("ms"),
+    )

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 MAX_FAILURES, MIN_SCANS, MAX_DRY = 5, 5, 20
 
 
-def due(sources: DataFrame, categories: DataFrame, now: Column, force: bool = False) -> DataFrame:
+def due(sources: DataFrame, categories: DataFrame, now: Column, force: bool = False, category=None, tier: str | None = None, ids: tuple = ()) -> DataFrame:
     """Sources to scan now: not retired, of an enabled category, never scanned or last scanned a cadence ago or earlier,
-    compared by the second."""
+    compared by the second; of one category or tier if asked. Sources named by id are scanned whatever their state."""
+    j = sources.join(categories.select("category", "tier", "enabled"), "category")
+    if ids:
+        return j.where(F.col("source_id").isin(*ids)).drop("enabled")
     waited = F.unix_timestamp(now) - F.unix_timestamp("last_scanned")
     ready = F.col("last_scanned").isNull() | (waited >= F.col("cadence_hours") * 3600) | F.lit(force)
-    return sources.join(categories.where("enabled").select("category", "tier"), "category").where((F.col("status") != "retired") & ready)
+    j = j.where(F.col("enabled") & (F.col("status") != "retired") & ready)
+    j = j if category is None else j.where(F.col("category") == category)
+    return (j if tier is None else j.where(F.col("tier") == tier)).drop("enabled")
 
 
 def scan_stats(log: DataFrame) -> DataFrame:
@@ -21,9 +26,24 @@ def scan_stats(log: DataFrame) -> DataFrame:
     return log.groupBy("source_id").agg(*[count(o) for o in ("new", "changed", "unchanged", "failed", "candidate")], F.count("*").alias("scans"))
 
 
+def scan_report(results: DataFrame, errors: DataFrame) -> DataFrame:
+    """results(source_id, outcome, truncated, finished) of a run's items, outcome new, changed, unchanged, filtered or
+    item_error; errors(source_id, error) of sources that could not be read -> a row for each source, with the first of its errors."""
+    count = lambda o, n: F.count_if(F.col("outcome") == o).alias(n)
+    kept = F.col("outcome").isin("new", "changed", "unchanged")
+    own = results.groupBy("source_id").agg(
+        *[count(o, o) for o in ("new", "changed", "unchanged", "filtered")], F.count_if(kept & F.col("truncated")).alias("truncated"),
+        count("item_error", "item_errors"), F.count_if(kept & F.col("finished")).alias("finished"),
+    )
+    failed = errors.groupBy("source_id").agg(F.min("error").alias("error"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in own.columns[1:]]
+    return own.join(failed, "source_id", "full").select("source_id", *zero, "error")
+
+
 def health(log: DataFrame) -> DataFrame:
-    """The running state after each scan: consecutive failures (a success resets them), scans, items seen, candidates, and
-    scans with new or changed items since the last candidate.
+    """log(source_id, seq, outcome, n_items): the running state after each scan: consecutive failures (a success resets
+    them), scans, items seen (those of scans that didn't fail), candidates, and scans with new or changed items since the last
+    candidate.
 
     A counter that resets is a count within islands: the running number of resets names the island. A source's log is
     one window partition and is sorted once for all counters."""
@@ -31,7 +51,7 @@ def health(log: DataFrame) -> DataFrame:
     o = F.col("outcome")
     log = log.withColumns({
         "ok_island": F.count_if(o != "failed").over(upto), "hit_island": F.count_if(o == "candidate").over(upto),
-        "scans": F.count("*").over(upto), "items_seen": F.count_if(o.isin("new", "changed", "unchanged", "candidate")).over(upto),
+        "scans": F.count("*").over(upto), "items_seen": F.coalesce(F.sum(F.when(o != "failed", F.col("n_items"))).over(upto), F.lit(0)),
     })
     failures = Window.partitionBy("source_id", "ok_island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     dry = Window.partitionBy("source_id", "hit_island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

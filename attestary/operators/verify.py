@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import NGram
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import extract_column
-from ..functions.money import amounts_column, figure_in_quote, figures_column, same_number, stated
+from ..functions.money import amounts_column, decimals_column, figure_in_quote, figures_column, same_number, stated
 from ..functions.quotes import normal_column, normal_quote, states
 from .candidates import words
 
@@ -31,10 +31,21 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return q.join(pages, "url", "left").select(*quotes.columns, status.alias("status"))
 
 
-def _grams(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, grams): the n-word strings of a text."""
-    words_ = rows.select(key, F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "").alias("words"))
-    return NGram(n=n, inputCol="words", outputCol="grams").transform(words_).select(key, "grams").where(F.size("grams") > 0)
+def _grams(rows: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
+    """(key, grams): the strings of a text that have as many words as any of the sizes, each behind its size."""
+    rows = rows.select(key, F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "").alias("words"))
+    for n in sizes:
+        rows = NGram(n=n, inputCol="words", outputCol=f"grams_{n}").transform(rows)
+    own = [F.transform(f"grams_{n}", lambda g, n=n: F.concat(F.lit(f"{n} "), g)) for n in sizes]
+    return rows.select(key, F.flatten(F.array(*own)).alias("grams"))
+
+
+#: Strings are told apart by so many bits of their hash before any is shuffled: 2^20 marks at most, which may be broadcast.
+_MARK_BITS = 20
+
+
+def _mark(gram: str) -> Column:
+    return F.xxhash64(gram).bitwiseAND((1 << _MARK_BITS) - 1)
 
 
 def quote_search(quotes: DataFrame, texts: DataFrame, k: int = 6) -> DataFrame:
@@ -42,17 +53,20 @@ def quote_search(quotes: DataFrame, texts: DataFrame, k: int = 6) -> DataFrame:
 
     Candidates come from an equi-join on one string of inner words of each quote, k of them or as many as it has: its first
     and last word may go on in a text, inner ones are whole words there. Quotes under three words are no evidence and
-    left out. Only strings that some quote has are kept of the texts before any text is joined again."""
+    left out. All texts are read once for all lengths, and only strings whose hash some quote has are shuffled."""
     inner = F.least(F.lit(k), words(F.col("quote")) - 2).alias("inner")
     quotes = quotes.select("quote_id", "quote", inner).where("inner > 0")
-    pairs = None
-    for n in sorted(r.inner for r in quotes.select("inner").distinct().collect()):
-        own = _grams(quotes.where(F.col("inner") == n), "quote_id", "quote", n).select("quote_id", F.element_at("grams", 2).alias("gram"))
-        found = _grams(texts, "text_id", "text", n).select("text_id", F.explode(F.array_distinct("grams")).alias("gram"))
-        part = found.join(own, "gram").select("text_id", "quote_id").distinct()
-        pairs = part if pairs is None else pairs.unionByName(part)
-    if pairs is None:
+    sizes = sorted(r.inner for r in quotes.select("inner").distinct().collect())  # k at most
+    if not sizes:
         return quotes.limit(0).join(texts.limit(0), F.lit(True)).select("quote_id", "text_id")
+    own = None
+    for n in sizes:
+        part = _grams(quotes.where(F.col("inner") == n), "quote_id", "quote", [n]).select("quote_id", F.element_at("grams", 2).alias("gram"))
+        own = part if own is None else own.unionByName(part)
+    marks = own.select(_mark("gram").alias("mark")).distinct()
+    found = _grams(texts, "text_id", "text", sizes).select("text_id", F.explode(F.array_distinct("grams")).alias("gram"))
+    found = found.withColumn("mark", _mark("gram")).join(F.broadcast(marks), "mark", "left_semi").drop("mark")
+    pairs = found.join(own, "gram").select("text_id", "quote_id").distinct()
     return (
         pairs.join(quotes.select("quote_id", "quote"), "quote_id").join(texts.select("text_id", "text"), "text_id")
         .where(F.col("text").contains(F.col("quote"))).select("quote_id", "text_id")
@@ -78,10 +92,44 @@ def unsupported_amounts(rows: DataFrame, text: str, quotes: str, backed: str) ->
     return rows.withColumn("unsupported", F.transform(missing, lambda a: a["text"])).drop("_said", "_figs")
 
 
-def verified_fraction(works: DataFrame) -> DataFrame:
-    """(problem_id, status) -> the verified share by problem, to two digits."""
+def unsupported_numbers(rows: DataFrame, text: str, quotes: str, backed: str) -> DataFrame:
+    """Adds unsupported_numbers: the decimals and percentages of `text` that no quote states and no backed value equals, as
+    `value` or `value%`."""
+    rows = rows.withColumn("_said", decimals_column(F.col(text))).withColumn("_figs", figures_column(F.array_join(quotes, "\n")))
+    quoted = lambda n: F.when(n["percent"], figure_in_quote(n["value"] / 100, F.col("_figs"), F.lit("%"))).otherwise(stated(n["value"], F.col("_figs")))
+    missing = F.filter("_said", lambda n: ~quoted(n) & ~F.exists(backed, lambda b: same_number(n["value"], b)))
+    as_text = F.transform(missing, lambda n: F.concat(F.regexp_replace(n["value"].cast("string"), r"\.0$", ""), F.when(n["percent"], "%").otherwise("")))
+    return rows.withColumn("unsupported_numbers", as_text).drop("_said", "_figs")
+
+
+def unsupported_in(rows: DataFrame, texts: tuple[str, ...], quotes: str, backed: str) -> DataFrame:
+    """Adds warnings: of several texts, the amounts and then the numbers that nothing supports, each as `column: what`."""
+    parts = []
+    for t in texts:
+        rows = unsupported_amounts(rows, t, quotes, backed).withColumn(f"_a_{t}", F.transform("unsupported", lambda u, t=t: F.concat(F.lit(f"{t}: "), u))).drop("unsupported")
+        rows = unsupported_numbers(rows, t, quotes, backed).withColumn(f"_n_{t}", F.transform("unsupported_numbers", lambda u, t=t: F.concat(F.lit(f"{t}: "), u))).drop("unsupported_numbers")
+        parts.append(t)
+    both = F.flatten(F.array(*[f"_a_{t}" for t in parts], *[f"_n_{t}" for t in parts]))
+    return rows.withColumn("warnings", both).drop(*[f"_{k}_{t}" for k in "an" for t in parts])
+
+
+def verified_fraction(works: DataFrame, problems: DataFrame | None = None) -> DataFrame:
+    """(problem_id, status) -> the verified share by problem, to two digits; of all problems, if given: 0 for those without works."""
     share = F.avg(F.when(F.col("status") == "verified", 1.0).otherwise(0.0))
-    return works.groupBy("problem_id").agg(F.coalesce(F.bround(share, 2), F.lit(0.0)).alias("verified_fraction"))
+    out = works.groupBy("problem_id").agg(F.coalesce(F.bround(share, 2), F.lit(0.0)).alias("verified_fraction"))
+    if problems is None:
+        return out
+    return problems.select("problem_id").join(out, "problem_id", "left").select("problem_id", F.coalesce("verified_fraction", F.lit(0.0)).alias("verified_fraction"))
+
+
+def interest_check(interests: DataFrame, files: DataFrame) -> DataFrame:
+    """interests(profile_id, level, quote), files(profile_id, path, text) -> with kept_level: the level if it is none or the quote is a
+    whole line of one of the profile's files, in normal form, else none."""
+    lines = files.select("profile_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    lines = lines.select("profile_id", F.trim(normal_column(F.col("line"))).alias("_line"), F.lit(True).alias("_is")).where("_line <> ''").distinct()
+    j = interests.withColumn("_line", F.trim(normal_column(F.col("quote")))).join(lines, ["profile_id", "_line"], "left")
+    kept = (F.col("level") == "none") | F.coalesce("_is", F.lit(False))
+    return j.withColumn("kept_level", F.when(kept, F.col("level")).otherwise("none")).drop("_line", "_is")
 
 
 def advantage_check(claims: DataFrame, files: DataFrame, self_rated: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staging
+
 
 def funnel(problems: DataFrame, novelty: DataFrame, values: DataFrame, fits: DataFrame, opportunities: DataFrame, digest: Column) -> DataFrame:
     """One row for each problem. digest: the current profile's, by problem; fit_stale is null without a fit.
@@ -44,6 +46,84 @@ def opportunity_stale(opportunities: DataFrame, problems: DataFrame, novelty: Da
     return j.select("problem_id", F.when(gone, F.array(F.lit("problem or fit removed"))).otherwise(stale_inputs()).alias("stale"))
 
 
+def problem_filter(rows: DataFrame, q: str | None = None, has_fit: bool | None = None, fit_min: int | None = None, novelty=None, stale: bool | None = None,
+                   waiting: str | None = None, tier: str | None = None, recommendation: str | None = None) -> DataFrame:
+    """The funnel's rows that fit all that is asked: words in id or statement, with or without a fit, its least score, novelty
+    (one or several), anything stale or not, a stage waited for, best tier, recommendation."""
+    if q:
+        rows = rows.where(F.lower(F.concat_ws(" ", "problem_id", "statement")).contains(q.lower()))
+    if has_fit is not None:
+        rows = rows.where(F.col("fit").isNotNull() == has_fit)
+    if fit_min is not None:
+        rows = rows.where(F.col("fit") >= fit_min)
+    if novelty:
+        rows = rows.where(F.col("novelty").isin(*([novelty] if isinstance(novelty, str) else novelty)))
+    if stale is not None:
+        rows = rows.where((F.coalesce("fit_stale", F.lit(False)) | F.coalesce(F.size("stale") > 0, F.lit(False))) == stale)
+    for column, value in (("best_tier", tier), ("recommendation", recommendation)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows if waiting is None else rows.where(F.array_contains("waiting", waiting))
+
+
+def problem_order(by: str) -> list[Column]:
+    """Orders of problems: sources (most first, then tier), tier (then most sources), fit, value (each greatest first, none last), id."""
+    rank, many, name = F.col("best_tier").asc_nulls_last(), F.col("n_sources").desc_nulls_last(), F.col("problem_id").asc()
+    return {
+        "sources": [many, rank, name], "tier": [rank, many, name], "fit": [F.col("fit").desc_nulls_last(), name],
+        "value": [F.col("high").desc_nulls_last(), name], "id": [name],
+    }[by]
+
+
+def fit_list(fits: DataFrame, problems: DataFrame, digest: Column) -> tuple[DataFrame, list[Column]]:
+    """(fits with the problem's statement and whether they are stale, their order): one whose problem is gone is stale."""
+    j = fits.join(problems.select("problem_id", "statement", F.col("revision").alias("_now")), "problem_id", "left")
+    stale = F.col("_now").isNull() | (F.col("problem_revision") != F.col("_now")) | (F.col("profile_digest") != digest)
+    rows = j.select("problem_id", "score", stale.alias("stale"), F.coalesce("statement", F.lit("(problem removed)")).alias("statement"))
+    return rows, [F.col("score").desc_nulls_last(), F.col("problem_id").asc()]
+
+
+def opportunity_order() -> list[Column]:
+    rank = F.when(F.col("recommendation") == "investigate", 0).when(F.col("recommendation") == "contact", 1).otherwise(2)
+    return [rank, F.col("opportunity_id").asc()]
+
+
+def opportunity_view(opportunities: DataFrame, stale: DataFrame, problems: DataFrame, q: str | None = None, recommendation: str | None = None, is_stale: bool | None = None) -> DataFrame:
+    """Opportunities with the statement of their problem and what is stale, filtered."""
+    rows = opportunities.join(stale.select("problem_id", "stale"), "problem_id", "left").join(problems.select("problem_id", "statement"), "problem_id", "left")
+    if q:
+        rows = rows.where(F.lower(F.concat_ws(" ", "opportunity_id", "problem_id", "statement")).contains(q.lower()))
+    rows = rows if recommendation is None else rows.where(F.col("recommendation") == recommendation)
+    return rows if is_stale is None else rows.where((F.coalesce(F.size("stale"), F.lit(0)) > 0) == is_stale)
+
+
+def investigation_list(investigations: DataFrame, problems: DataFrame, least: int = 3) -> DataFrame:
+    """investigations(problem_id, status, searches) with the problem's statement; insufficient: fewer than `least` searches."""
+    j = investigations.join(problems.select("problem_id", "statement"), "problem_id", "left")
+    return j.select("problem_id", "status", F.coalesce("statement", F.lit("(problem file missing)")).alias("statement"), (F.col("searches") < least).alias("insufficient"))
+
+
+def assessment_list(assessments: DataFrame, warnings: DataFrame) -> DataFrame:
+    """assessments(problem_id, low, high), warnings(problem_id, kind, text) -> how many warnings of each kind an assessment has, by
+    kind, in all, and whether its value is unknown."""
+    own = warnings.groupBy("problem_id", "kind").agg(F.count("*").alias("n")).groupBy("problem_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("warnings"), F.sum("n").alias("n_warnings")
+    )
+    j = assessments.select("problem_id", "low", "high").join(own, "problem_id", "left")
+    return j.select("problem_id", "low", "high", F.col("low").isNull().alias("unknown"), F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"), "warnings")
+
+
+def dossier(problems: DataFrame, sources: DataFrame, candidates: DataFrame, novelty: DataFrame, values: DataFrame, fits: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """One row for each problem: the statement, its sources in order, each with its candidate's statement where there is one, and the records of
+    all later stages. A problem's sources are one array, so they must fit in a row."""
+    cited = sources.join(candidates.select("candidate_id", F.col("statement").alias("candidate_statement")), "candidate_id", "left")
+    own = cited.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("pos", "source_id", "ptype", "candidate_id", "candidate_statement"))).alias("sources"))
+    record = lambda d, name: d.select("problem_id", F.struct(*[c for c in d.columns if c != "problem_id"]).alias(name))
+    j = problems.select("problem_id", "statement").join(own, "problem_id", "left")
+    for d, name in ((novelty, "novelty"), (values, "value"), (fits, "fit"), (opportunities, "opportunity")):
+        j = j.join(record(d, name), "problem_id", "left")
+    return j
+
+
 def triage_view(rows: DataFrame, triage: DataFrame, keep: str) -> DataFrame:
     """keep: shortlist, reject, not_rejected or untriaged; a problem without a mark has `none`."""
     marked = rows.join(triage, "problem_id", "left").withColumn("mark", F.coalesce("mark", F.lit("none")))
@@ -73,15 +153,20 @@ def opportunity_ready(problems: DataFrame, fits: DataFrame, novelty: DataFrame)
     return j.select("problem_id", why.alias("readiness"))
 
 
-def overview(rows: DataFrame) -> DataFrame:
-    """By stage: how many have it, wait for it, are stale. One pass over the funnel."""
+def overview(rows: DataFrame, candidates: DataFrame | None = None, challenges: DataFrame | None = None) -> DataFrame:
+    """By stage: how many have it, wait for it, are stale. One pass over the funnel; with candidates(processed) and
+    challenges(verdict) also these stages, each in a pass of its own."""
     stages = {"novelty": "novelty", "value": "value_revision", "fit": "fit_revision", "opportunity": "opportunity_id"}
     stale = {"fit": F.count_if("fit_stale"), "opportunity": F.count_if(F.size("stale") > 0)}
     sums = [x for s, c in stages.items() for x in (F.count(c).alias(f"{s}_n"), F.count_if(F.col(c).isNull()).alias(f"{s}_w"), stale.get(s, F.lit(0).cast("long")).alias(f"{s}_s"))]
     one = rows.agg(F.count("*").alias("problems"), *sums)
     parts = [F.struct(F.lit("problem").alias("stage"), F.col("problems").alias("n"), F.lit(0).cast("long").alias("waiting"), F.lit(0).cast("long").alias("stale"))]
     parts += [F.struct(F.lit(s).alias("stage"), F.col(f"{s}_n").alias("n"), F.col(f"{s}_w").alias("waiting"), F.col(f"{s}_s").alias("stale")) for s in stages]
-    return one.select(F.inline(F.array(*parts)))
+    out = one.select(F.inline(F.array(*parts)))
+    for d, name, waits in ((candidates, "candidate", "not processed"), (challenges, "challenge", "verdict is null")):
+        if d is not None:
+            out = out.unionByName(d.agg(F.lit(name).alias("stage"), F.count("*").alias("n"), F.count_if(F.expr(waits)).alias("waiting"), F.lit(0).cast("long").alias("stale")))
+    return out
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 50) -> tuple[DataFrame, dict[str, int]]:
@@ -105,6 +190,9 @@ def assign_ids(wanted: DataFrame, known: DataFrame, prefix: str = "OPP-") -> Dat
     old = wanted.join(known.select("problem_id", "number"), "problem_id", "left")
     new = old.where("number is null").select("problem_id", "request").repartitionByRange("request", "problem_id").sortWithinPartitions("request", "problem_id")
     new = new.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    path = staging(wanted.sparkSession, "numbered")  # the range boundaries come from a sample: written, they can't change between two uses
+    new.write.parquet(path)
+    new = wanted.sparkSession.read.schema(new.schema).parquet(path)
     counts = new.groupBy("part").agg(F.count("*").alias("n"))
     ahead = counts.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     start = known.agg(F.coalesce(F.max("number"), F.lit(0)).alias("start"))

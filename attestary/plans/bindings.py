@@ -71,7 +71,7 @@ BINDINGS: dict[str, str] = {
     "scan_log": """
         SELECT concat('src-', user_id) AS source_id, event_id AS seq, ts,
                CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'new' WHEN 'click' THEN 'changed'
-                    WHEN 'purchase' THEN 'candidate' ELSE 'unchanged' END AS outcome, user_id, value FROM {events}""",
+                    WHEN 'purchase' THEN 'candidate' ELSE 'unchanged' END AS outcome, event_id % 7 AS n_items, user_id, value FROM {events}""",
     # candidates extracted from items: one for each customer
     "candidates": f"""
         SELECT concat('cand-', c_custkey, '-r', c_custkey % 3 + 1, '-0') AS candidate_id, c_custkey AS doc_id, c_custkey % 3 + 1 AS revision,

@@ -58,7 +58,7 @@ def truncate_and_hash(spark, d):
     return items.with_identity(docs, 2000).select("doc_id", "truncated", "content_hash")
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':[0-9]+$', ''), '^www\.', '') AS host,
+@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS host,
  regexp_matches(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^(engineering|blog|tech|research)[.]') OR regexp_matches(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/(blog|engineering)(/|$)') AS bloglike FROM pages""")
 def hosts_bloglike(spark, d):
     return given(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.is_bloglike(F.col("url")).alias("bloglike"))
@@ -80,6 +80,13 @@ def _old(spark, d):
     return items.first_load(items.with_identity(bound(spark, d, "snapshot_1")), _t(0))
 
 
+def _worked(spark, d):
+    """The item table after some extraction: of the queued ones every third is done, every fourth of the others has failed."""
+    old = _old(spark, d)
+    state = F.when(F.col("status") != "pending", F.col("status")).when(F.col("doc_id") % 3 == 0, "done").when(F.col("doc_id") % 4 == 0, "failed").otherwise("pending")
+    return old.withColumns({"status": state, "extract_error": F.when(state == "failed", "no answer")})
+
+
 def _new(spark, d):
     return items.with_identity(bound(spark, d, "snapshot_2"))
 
@@ -92,24 +99,58 @@ def classify_changes(spark, d):
 
 
 _UPSERT = """, j AS (SELECT coalesce(one.item_id, two.item_id) AS item_id, one.item_id IS NULL AS is_new, two.item_id IS NULL AS absent, one.hash IS DISTINCT FROM two.hash AS differs,
-   one.finished AS f1, two.finished AS f2, coalesce(one.hash, '') AS h1, two.hash AS h2 FROM one FULL JOIN two ON one.item_id = two.item_id),
+   one.finished AS f1, two.finished AS f2, coalesce(one.hash, '') AS h1, two.hash AS h2, one.doc_id AS d1 FROM one FULL JOIN two ON one.item_id = two.item_id),
+ w AS (SELECT *, CASE WHEN f1 THEN 'finished' WHEN {done} AND d1 % 3 = 0 THEN 'done' WHEN {done} AND d1 % 4 = 0 THEN 'failed' ELSE 'pending' END AS s1 FROM j),
  up AS (SELECT item_id, CASE WHEN absent THEN f1 WHEN is_new OR differs THEN f2 ELSE f1 OR f2 END AS finished,
    CASE WHEN is_new OR absent OR NOT differs THEN 1 ELSE 2 END AS revision, CASE WHEN absent THEN h1 ELSE h2 END AS content_hash,
-   CASE WHEN is_new THEN 1 ELSE 0 END AS first_seen, CASE WHEN absent THEN 0 ELSE 1 END AS last_seen FROM j)"""
+   CASE WHEN is_new THEN 1 ELSE 0 END AS first_seen, CASE WHEN absent THEN 0 ELSE 1 END AS last_seen,
+   CASE WHEN absent THEN s1 WHEN is_new OR differs THEN CASE WHEN f2 THEN 'finished' ELSE 'pending' END WHEN f2 AND s1 = 'pending' THEN 'finished' ELSE s1 END AS status,
+   CASE WHEN (absent OR NOT (is_new OR differs)) AND s1 = 'failed' THEN 'no answer' END AS extract_error FROM w)"""
+_STEPS = twin("snapshot_1", "snapshot_2") + _ITEMS + _UPSERT.replace("{done}", "true")
+_UPSERT = _UPSERT.replace("{done}", "false")
 
 
-@query(twin("snapshot_1", "snapshot_2") + _ITEMS + _UPSERT + """ SELECT item_id, finished, revision::INT AS revision, content_hash, first_seen::BIGINT AS first_seen, last_seen::BIGINT AS last_seen,
- CASE WHEN finished THEN 'finished' ELSE 'pending' END AS status FROM up""")
-def upsert_items(spark, d):
-    out = items.upsert(_old(spark, d), _new(spark, d), _t(1))
+def _table(out):
     return out.select("item_id", "finished", "revision", "content_hash", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen"), "status")
 
 
-@query(twin("snapshot_1", "snapshot_2") + _ITEMS + _UPSERT + " SELECT CASE WHEN finished THEN 'finished' ELSE 'pending' END AS status, count(*) AS n FROM up GROUP BY 1")
+_TABLE = " SELECT item_id, finished, revision::INT AS revision, content_hash, first_seen::BIGINT AS first_seen, last_seen::BIGINT AS last_seen, status"
+
+
+@query(_STEPS + _TABLE + ", extract_error FROM up")
+def upsert_items(spark, d):
+    out = items.upsert(_worked(spark, d), _new(spark, d), _t(1))
+    return _table(out).join(out.select("item_id", "extract_error"), "item_id")
+
+
+@query(twin("snapshot_1", "snapshot_2") + _ITEMS + """, many AS (SELECT item_id, hash, finished, 2 AS at FROM two UNION ALL SELECT item_id, sha256(left(text, 20000) || ' again'), finished, 3 FROM one WHERE doc_id % 4 = 0
+   UNION ALL SELECT item_id, hash, false, 4 FROM one WHERE doc_id % 8 = 0),
+ l AS (SELECT b.*, coalesce(lag(b.hash) OVER (PARTITION BY b.item_id ORDER BY at), one.hash) AS before, one.item_id IS NULL AS is_new FROM many b LEFT JOIN one USING (item_id))
+ SELECT item_id, count_if(before IS DISTINCT FROM hash)::INT + CASE WHEN any_value(is_new) THEN 0 ELSE 1 END::INT AS revision, arg_max(hash, at) AS content_hash FROM l GROUP BY 1
+ UNION ALL SELECT item_id, 1, hash FROM one WHERE item_id NOT IN (SELECT item_id FROM many)""")
+def upsert_repeated(spark, d):
+    """A snapshot that holds items several times: each change counts, also back to an earlier content."""
+    one, at = bound(spark, d, "snapshot_1"), lambda rows, n, most: items.with_identity(rows, most).withColumn("at", F.lit(n))
+    again = one.where("doc_id % 4 = 0").withColumn("text", F.concat(F.substring("text", 1, 20_000), F.lit(" again")))
+    back = one.where("doc_id % 8 = 0").withColumn("finished", F.lit(False))
+    rows = at(bound(spark, d, "snapshot_2"), 2, 20_000).unionByName(at(again, 3, 30_000)).unionByName(at(back, 4, 20_000))
+    out = items.upsert(_old(spark, d), rows, _t(1), "at")
+    return out.select("item_id", "revision", "content_hash")
+
+
+@query(twin("snapshot_1", "snapshot_2") + _ITEMS + _UPSERT + " SELECT status, count(*) AS n FROM up GROUP BY 1")
 def status_counts(spark, d):
     return items.status_counts(items.upsert(_old(spark, d), _new(spark, d), _t(1)))
 
 
+@query(twin("snapshot_1", "snapshot_2") + _ITEMS + """ SELECT one.item_id, one.finished OR coalesce(two.finished, false) AS finished,
+ CASE WHEN one.finished OR (coalesce(two.finished, false) AND NOT one.doc_id % 3 = 0 AND NOT one.doc_id % 4 = 0) THEN 'finished' WHEN one.doc_id % 3 = 0 THEN 'done' WHEN one.doc_id % 4 = 0 THEN 'failed' ELSE 'pending' END AS status
+ FROM one LEFT JOIN two USING (item_id)""")
+def mark_finished(spark, d):
+    found = items.newly_finished(_new(spark, d), _worked(spark, d))
+    return items.mark_finished(_worked(spark, d), found).select("item_id", "finished", "status")
+
+
 @query(twin("snapshot_1", "snapshot_2") + _ITEMS + " SELECT doc_id FROM two WHERE item_id NOT IN (SELECT item_id FROM one)")
 def new_urls(spark, d):
     return items.unknown_only(_new(spark, d), _old(spark, d)).select("doc_id")
@@ -164,14 +205,8 @@ def recent_links(spark, d):
     return items.links_of(_linked(spark, d), _t(100), "first_seen", "links")
 
 
-@query(f"SELECT page_id AS item_id, array_to_string(list_distinct({_LINKS} || {_LINKS}), ' ') AS links FROM pages WHERE page_id % 4 = 0")
+@query(f"SELECT page_id AS item_id, array_to_string(list_distinct({_LINKS} || {_LINKS}), ' ') AS links FROM pages")
 def ordered_distinct(spark, d):
-    return _ordered_distinct(_linked(spark, d).where("item_id % 4 = 0"))
-
-
-@query()
-def ordered_distinct_whole(spark, d):
-    """ordered_distinct of all items."""
     return _ordered_distinct(_linked(spark, d))
 
 
@@ -224,13 +259,35 @@ def unprocessed_candidates(spark, d):
 @query(twin("candidates", "processed") + """ SELECT candidate_id, nullif(problem_id, '') AS problem_id, decision, decision IS NOT NULL AS processed
  FROM candidates LEFT JOIN processed USING (candidate_id) WHERE contains(lower(candidate_id || ' ' || statement), 'build') AND tier IN ('A', 'B')""")
 def candidate_view(spark, d):
-    rows = cand.candidate_view(bound(spark, d, "candidates"), bound(spark, d, "processed"))
-    return rows.where(cand.matches("Build", "candidate_id", "statement") & F.col("tier").isin("A", "B")).select("candidate_id", "problem_id", "decision", "processed")
+    rows = cand.candidate_view(bound(spark, d, "candidates"), bound(spark, d, "processed"), q="Build", tiers=("A", "B"))
+    return rows.select("candidate_id", "problem_id", "decision", "processed")
+
+
+@query(twin("candidates", "processed", "item_state") + """ SELECT candidate_id, category FROM candidates c LEFT JOIN processed USING (candidate_id) LEFT JOIN item_state i USING (doc_id)
+ WHERE decision IS NULL AND NOT i.finished AND i.revision = c.revision AND category = 'BUILDING'""")
+def candidates_due(spark, d):
+    rows = cand.candidate_view(bound(spark, d, "candidates"), bound(spark, d, "processed"), category="BUILDING", is_processed=False, items=bound(spark, d, "item_state"), due=True)
+    return rows.select("candidate_id", "category")
+
+
+@query(twin("candidates", "processed") + """, a AS (SELECT candidate_id FROM candidates WHERE day < 5 UNION ALL SELECT 'cand-none-' || day FROM candidates WHERE doc_id < 5)
+ SELECT a.candidate_id, CASE WHEN c.candidate_id IS NULL THEN 'unknown' ELSE 'already processed' END AS why FROM a LEFT JOIN candidates c USING (candidate_id) LEFT JOIN processed p USING (candidate_id)
+ WHERE c.candidate_id IS NULL OR p.candidate_id IS NOT NULL""")
+def unusable_candidates(spark, d):
+    c = bound(spark, d, "candidates")
+    asked = c.where("day < 5").select("candidate_id").unionByName(c.where("doc_id < 5").select(F.concat(F.lit("cand-none-"), "day").alias("candidate_id")))
+    return cand.unusable_ids(c, bound(spark, d, "processed"), asked)
+
+
+@query("SELECT o_orderkey AS item_id, 'too many candidates' AS error FROM orders WHERE o_orderkey % 6 > 3 UNION ALL SELECT o_orderkey, 'unreadable' FROM orders WHERE o_orderkey % 6 = 0")
+def rejected_answers(spark, d):
+    found = F.when(F.col("o_orderkey") % 6 != 0, F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 6).cast("int")), lambda i: i.cast("string")))
+    return cand.valid_answers(given(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), found.alias("found")))[1]
 
 
 @query(twin("candidates") + " SELECT candidate_id, tier FROM candidates ORDER BY tier, day, candidate_id LIMIT 40")
 def candidate_order(spark, d):
-    return bound(spark, d, "candidates").orderBy("tier", "day", "candidate_id").limit(40).select("candidate_id", "tier")
+    return bound(spark, d, "candidates").orderBy(*cand.work_order()).limit(40).select("candidate_id", "tier")
 
 
 @query(twin("candidates", "item_state", "processed") + """, o AS (SELECT c.*, CASE WHEN i.doc_id IS NULL THEN 'failure' WHEN i.finished THEN 'finished' WHEN i.revision <> c.revision THEN 'superseded' ELSE 'eligible' END AS outcome
@@ -238,10 +295,7 @@ def candidate_order(spark, d):
  SELECT count(*) AS processed, count_if(decision = 'new') AS new, count_if(decision = 'merged') AS merged, count_if(outcome = 'superseded') AS superseded, count_if(outcome = 'finished') AS finished,
   count_if(outcome = 'failure') AS failures, sum(output_tokens) / count(*) AS tokens_per_candidate FROM o LEFT JOIN processed USING (candidate_id)""")
 def merge_report(spark, d):
-    rows = cand.outcome(bound(spark, d, "candidates"), bound(spark, d, "item_state"), "doc_id").join(bound(spark, d, "processed"), "candidate_id", "left")
-    n = lambda c, v: F.count_if(F.col(c) == v)
-    return rows.agg(F.count("*").alias("processed"), n("decision", "new").alias("new"), n("decision", "merged").alias("merged"), n("outcome", "superseded").alias("superseded"),
-        n("outcome", "finished").alias("finished"), n("outcome", "failure").alias("failures"), (F.sum("output_tokens") / F.count("*")).alias("tokens_per_candidate"))
+    return cand.merge_report(bound(spark, d, "candidates"), bound(spark, d, "item_state"), bound(spark, d, "processed"), "doc_id")
 
 
 # ---- sources
@@ -262,7 +316,7 @@ def scan_stats(spark, d):
     return sources.scan_stats(bound(spark, d, "scan_log"))
 
 
-_HEALTH = """, r AS (SELECT *, count_if(outcome <> 'failed') OVER w AS ok, count_if(outcome = 'candidate') OVER w AS candidates, count(*) OVER w AS scans, count_if(outcome <> 'failed') OVER w AS items_seen
+_HEALTH = """, r AS (SELECT *, count_if(outcome <> 'failed') OVER w AS ok, count_if(outcome = 'candidate') OVER w AS candidates, count(*) OVER w AS scans, sum(CASE WHEN outcome <> 'failed' THEN n_items ELSE 0 END) OVER w::BIGINT AS items_seen
    FROM scan_log WINDOW w AS (PARTITION BY source_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
  h AS (SELECT *, count_if(outcome = 'failed') OVER (PARTITION BY source_id, ok ORDER BY seq ROWS UNBOUNDED PRECEDING) AS consecutive_failures,
    count_if(outcome IN ('new', 'changed')) OVER (PARTITION BY source_id, candidates ORDER BY seq ROWS UNBOUNDED PRECEDING) AS dry_scans FROM r)"""
@@ -309,15 +363,11 @@ def latest_run(spark, d):
     return records.latest_run(given(spark, d, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("kind"), F.col("value").alias("spent")))
 
 
-@query("""SELECT source AS profile_id, sha256(string_agg('f' || lpad(doc_id::VARCHAR, 9, '0') || chr(0) || text || chr(0), '' ORDER BY doc_id)) AS digest, sum(length(text))::BIGINT AS chars
- FROM documents WHERE length(text) < 3000 GROUP BY 1""")
+@query("""WITH f AS (SELECT source AS profile_id, 'f' || lpad(doc_id::VARCHAR, 9, '0') AS path, coalesce(text, '') AS text FROM documents),
+ h AS (SELECT profile_id, path, left(sha256(path), 3) AS part, sha256(path || chr(0) || text || chr(0)) AS hash, length(text) AS n FROM f),
+ g AS (SELECT profile_id, part, sha256(string_agg(hash, '' ORDER BY path, hash)) AS hash, sum(n) AS n FROM h GROUP BY ALL)
+ SELECT profile_id, sha256(string_agg(hash, '' ORDER BY part)) AS digest, sum(n)::BIGINT AS chars FROM g GROUP BY 1""")
 def profile_digest(spark, d):
-    path = F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
-    return records.digests(given(spark, d, "documents").where(F.length("text") < 3000).select(F.col("source").alias("profile_id"), path.alias("path"), "text"))
-
-
-@query()
-def profile_digest_whole(spark, d):
     """A digest over all files of a profile, whatever their length."""
     path = F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
     return records.digests_in_levels(given(spark, d, "documents").select(F.col("source").alias("profile_id"), path.alias("path"), "text"))
@@ -331,7 +381,7 @@ def discover_jobboards(spark, d):
     return discover.job_boards(links, known)
 
 
-_HOST = r"regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '')"
+_HOST = r"regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '')"
 
 
 @query(f"""WITH h AS (SELECT {_HOST} AS host, page_id, url FROM pages), k AS (SELECT DISTINCT host FROM h WHERE page_id % 10 = 0)
@@ -357,7 +407,9 @@ _SCORES = twin("problem_sources") + _USD + """, types AS (SELECT problem_id, str
 
 @query(_SCORES)
 def problem_scores(spark, d):
-    return value.problem_scores(bound(spark, d, "problem_sources"), F.expr(AS_OF))
+    out = value.problem_scores(bound(spark, d, "problem_sources"), F.expr(AS_OF))
+    counts = F.array_sort(F.transform(F.map_entries("payment_types"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return out.withColumns({"payment_types": F.array_join(counts, ","), "unparsed": F.array_join("unparsed", "; ")})
 
 
 @query(f"SELECT problem_id, sources, max_committed_usd FROM ({_SCORES}) ORDER BY coalesce(max_committed_usd, 0) DESC, sources DESC, problem_id LIMIT 100")
@@ -381,7 +433,7 @@ def deadline_summary(spark, d):
     return bound(spark, d, "problem_sources").groupBy("problem_id").agg(*value.deadlines(F.expr(AS_OF)))
 
 
-@query(twin("problem_sources") + """, l AS (SELECT *, CASE WHEN ptype <> 'none_stated' THEN ptype || CASE WHEN stated <> '' THEN ': ' || stated ELSE '' END END AS label FROM problem_sources)
+@query(twin("problem_sources") + """, l AS (SELECT *, CASE WHEN ptype <> 'none_stated' THEN replace(ptype, 'investor_thesis', 'investor thesis') || CASE WHEN stated <> '' THEN ': ' || stated ELSE '' END END AS label FROM problem_sources)
  SELECT problem_id, arg_min(tier, tier || lpad(pos::VARCHAR, 9, '0')) AS best_tier, coalesce(arg_min(label, pos) FILTER (label IS NOT NULL AND stated <> ''), arg_min(label, pos) FILTER (label IS NOT NULL), '-') AS payment FROM l GROUP BY 1""")
 def best_tier_payment(spark, d):
     return problems.best_tier_payment(bound(spark, d, "problem_sources"), value.tier_rank(F.col("tier")))
@@ -422,7 +474,7 @@ _STOP = ", ".join(f"'{w}'" for w in problems.STOP_WORDS)
 
 
 def _tfidf_sql() -> str:
-    return f"""WITH src AS (SELECT doc_id, text FROM documents WHERE n_chars < 2000 AND doc_id % 10 <> 0), qs AS (SELECT doc_id AS query_id, text FROM documents WHERE n_chars < 2000 AND doc_id % 10 = 0),
+    return f"""WITH src AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0), qs AS (SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 10 = 0),
  d AS (SELECT doc_id, term, count(*) AS n FROM ({_TOK.format(key='doc_id', src='src')}) WHERE length(term) > 2 AND term NOT IN ({_STOP}) GROUP BY ALL),
  q AS (SELECT query_id, term, count(*) AS qn FROM ({_TOK.format(key='query_id', src='qs')}) WHERE length(term) > 2 AND term NOT IN ({_STOP}) GROUP BY ALL),
  df AS (SELECT term, count(*) AS df FROM d GROUP BY 1), tot AS (SELECT count(*) + 2 AS total FROM src),
@@ -441,12 +493,6 @@ def _shortlist(docs):
 
 @query(_tfidf_sql())
 def shortlist(spark, d):
-    return _shortlist(given(spark, d, "documents").where("n_chars < 2000"))
-
-
-@query()
-def shortlist_whole(spark, d):
-    """shortlist over all documents; its twin holds only those under 2,000 characters."""
     return _shortlist(given(spark, d, "documents"))
 
 
@@ -491,6 +537,10 @@ def _quotes(spark, d, name):
     return given(spark, d, "benchmark").select("item_id", F.col("text").alias(name))
 
 
+#: Documents d with a benchmark item b each, as _dealt gives them.
+_DEALT = """documents d CROSS JOIN (SELECT count(*) AS n FROM benchmark) c JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS turn FROM benchmark) b ON b.turn = d.doc_id % c.n"""
+
+
 def _dealt(spark, d, docs, name):
     """Documents with a benchmark item each, dealt in turn over the whole benchmark."""
     item = Window.orderBy("item_id")  # the benchmark is small beside the documents; only its ids go to this one task
@@ -501,10 +551,10 @@ def _dealt(spark, d, docs, name):
 
 
 @query("""SELECT b.item_id, d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN 'unfetchable' WHEN contains(d.text, b.text) THEN 'verified' ELSE 'quote_not_found' END AS status
- FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+ FROM """ + _DEALT)
 def verify_quotes_plain(spark, d):
     docs = given(spark, d, "documents").select("doc_id", F.col("doc_id").alias("url"), "text")
-    return _verify_quotes_plain(docs, docs.select("doc_id", "url", (F.col("doc_id") % 40).alias("item_id")).join(_quotes(spark, d, "quote"), "item_id"))
+    return _verify_quotes_plain(docs, _dealt(spark, d, docs.select("doc_id", "url"), "quote"))
 
 
 def _verify_quotes_plain(docs, asked):
@@ -512,13 +562,6 @@ def _verify_quotes_plain(docs, asked):
     return verify.verify_quotes(asked, pages).select("item_id", "doc_id", "status")
 
 
-@query()
-def verify_quotes_plain_whole(spark, d):
-    """verify_quotes_plain with documents dealt over the whole benchmark; its twin asks 40 items."""
-    docs = given(spark, d, "documents").select("doc_id", F.col("doc_id").alias("url"), "text")
-    return _verify_quotes_plain(docs, _dealt(spark, d, docs.select("doc_id", "url"), "quote"))
-
-
 @query("SELECT l_orderkey AS problem_id, round_even(avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END), 2) AS verified_fraction FROM lineitem GROUP BY 1")
 def verified_fraction(spark, d):
     rows = given(spark, d, "lineitem").select(F.col("l_orderkey").alias("problem_id"), F.when(F.col("l_returnflag") == "N", "verified").otherwise("quote_not_found").alias("status"))
@@ -554,15 +597,15 @@ def leaderboard_top(spark, d):
 
 _HEADROOM = twin("board") + """, st AS (SELECT *, sign(score - lag(score) OVER (PARTITION BY challenge_id ORDER BY pos)) AS step FROM board WHERE NOT is_baseline),
  r AS (SELECT challenge_id, min(metric) AS metric, arg_min(team, pos) AS winner, arg_min(score, pos) AS s, min(step) AS lo, max(step) AS hi FROM st GROUP BY 1),
- b AS (SELECT challenge_id, max(score) AS most, min(score) AS least FROM board WHERE is_baseline GROUP BY 1),
+ b AS (SELECT challenge_id, max({'s': score, 'n': team}) AS most, min({'s': score, 'n': team}) AS least FROM board WHERE is_baseline GROUP BY 1),
  x AS (SELECT r.*, most, least, CASE WHEN hi <= 0 AND lo < 0 THEN 'higher_is_better' WHEN lo >= 0 AND hi > 0 THEN 'lower_is_better' END AS by_rank,
    CASE WHEN metric IN ('Log Loss', 'RMSE') THEN 'lower_is_better' WHEN metric <> 'Score' THEN 'higher_is_better' END AS own, CASE WHEN metric IN ('Log Loss', 'RMSE') THEN 0.0 WHEN metric <> 'Score' THEN 1.0 END AS c FROM r LEFT JOIN b USING (challenge_id)),
  y AS (SELECT *, coalesce(own, by_rank) AS direction, CASE WHEN own IS NULL THEN 'unknown bound' WHEN (lo <> 0 OR hi <> 0) AND by_rank IS NULL THEN 'not sorted' WHEN by_rank <> own THEN 'order contradicts metric' END AS ow FROM x),
- z AS (SELECT *, CASE direction WHEN 'higher_is_better' THEN most WHEN 'lower_is_better' THEN least END AS baseline, CASE WHEN ow IS NULL THEN CASE WHEN direction = 'higher_is_better' THEN c - s ELSE s - c END END AS gap FROM y),
+ z AS (SELECT *, CASE direction WHEN 'higher_is_better' THEN most.s WHEN 'lower_is_better' THEN least.s END AS baseline, CASE direction WHEN 'higher_is_better' THEN most.n WHEN 'lower_is_better' THEN least.n END AS baseline_name, CASE WHEN ow IS NULL THEN CASE WHEN direction = 'higher_is_better' THEN c - s ELSE s - c END END AS gap FROM y),
  k AS (SELECT *, CASE WHEN ow IS NULL THEN CASE WHEN direction = 'higher_is_better' THEN c - coalesce(baseline, 0) ELSE baseline - c END END AS scale FROM z),
  g AS (SELECT *, CASE WHEN ow IS NOT NULL THEN NULL WHEN gap < 0 THEN 'beyond the ceiling' WHEN scale <= 0 THEN 'no positive scale' WHEN baseline IS NOT NULL AND gap > scale THEN 'worse than the baseline' WHEN scale IS NULL THEN 'no baseline' END AS sw FROM k),
  v AS (SELECT *, CASE WHEN ow IS NULL AND sw IS NULL THEN gap / scale END AS headroom FROM g)
- SELECT challenge_id, metric, direction, winner, s AS winner_score, baseline, headroom, CASE WHEN headroom IS NULL THEN 'unclear' WHEN headroom < 0.1 - 1e-9 THEN 'solved' ELSE 'headroom' END AS verdict,
+ SELECT challenge_id, metric, direction, winner, s AS winner_score, baseline, baseline_name, headroom, CASE WHEN headroom IS NULL THEN 'unclear' WHEN headroom < 0.1 - 1e-9 THEN 'solved' ELSE 'headroom' END AS verdict,
   concat_ws('; ', ow, sw) AS warnings, headroom IS NULL AND direction = 'lower_is_better' AND baseline IS NULL AND c IS NOT NULL AS needs_baseline FROM v"""
 
 
@@ -571,10 +614,16 @@ def headroom(spark, d):
     return challenge.headroom(bound(spark, d, "board"))
 
 
-@query(f"SELECT challenge_id, verdict, coalesce(headroom, 0) AS headline, team FROM (SELECT p_partkey AS challenge_id, p_brand AS team FROM part WHERE p_partkey % 5 = 0) LEFT JOIN ({_HEADROOM}) USING (challenge_id)")
+@query(f"""SELECT challenge_id, title, verdict, verdict || CASE WHEN headroom IS NULL THEN '' ELSE ' ' || round_even(headroom * 100, 0)::BIGINT || '%' END AS headline, false AS investigated
+ FROM (SELECT p_partkey AS challenge_id, p_brand AS title FROM part WHERE p_partkey % 5 = 0) LEFT JOIN ({_HEADROOM}) USING (challenge_id)""")
 def challenge_view(spark, d):
-    done = given(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("challenge_id"), F.col("p_brand").alias("team"))
-    return done.join(headroom(spark, d), "challenge_id", "left").select("challenge_id", "verdict", F.coalesce("headroom", F.lit(0.0)).alias("headline"), "team")
+    done = given(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("challenge_id"), F.col("p_brand").alias("title"))
+    return challenge.challenge_view(done, headroom(spark, d)).select("challenge_id", "title", "verdict", "headline", "investigated")
+
+
+@query(_HEADROOM.replace(") SELECT challenge_id, metric", ") SELECT challenge_id, metric") + " ORDER BY nullif(headroom, 0) DESC NULLS LAST, challenge_id LIMIT 100")
+def challenge_list(spark, d):
+    return headroom(spark, d).orderBy(*challenge.challenge_order()).limit(100)
 
 
 # ---- funnel
@@ -601,10 +650,15 @@ def problem_funnel(spark, d):
 
 @query(twin(*_STAGES) + _FUNNEL + """ SELECT problem_id, fit, novelty FROM f WHERE fit >= 5 AND novelty IN ('unsolved', 'unclear') AND contains(waiting, 'value') AND contains(lower(statement), 'statement 1')""")
 def problem_view(spark, d):
-    rows = _funnel(spark, d).where((F.col("fit") >= 5) & F.col("novelty").isin("unsolved", "unclear") & F.array_contains("waiting", "value") & cand.matches("Statement 1", "statement"))
+    rows = views.problem_filter(_funnel(spark, d), q="Statement 1", fit_min=5, novelty=("unsolved", "unclear"), waiting="value")
     return rows.select("problem_id", "fit", "novelty")
 
 
+@query(twin(*_STAGES) + _FUNNEL + " SELECT problem_id, fit, recommendation FROM f WHERE fit IS NOT NULL AND (fit_stale OR coalesce(stale, '') <> '') AND recommendation = 'contact'")
+def problem_view_stale(spark, d):
+    return views.problem_filter(_funnel(spark, d), has_fit=True, stale=True, recommendation="contact").select("problem_id", "fit", "recommendation")
+
+
 @query(twin("problems", "fits") + " SELECT problem_id, CASE WHEN t.revision IS NOT NULL THEN t.problem_revision <> p.revision OR t.profile_digest <> 'digest-0' END AS fit_stale FROM problems p LEFT JOIN fits t USING (problem_id)")
 def fit_stale(spark, d):
     return _funnel(spark, d).select("problem_id", "fit_stale")
@@ -633,11 +687,14 @@ def opportunity_ready(spark, d):
     return views.opportunity_ready(bound(spark, d, "problems"), bound(spark, d, "fits"), bound(spark, d, "novelty"))
 
 
-@query(twin(*_STAGES) + _FUNNEL + """ SELECT 'problem' AS stage, count(*) AS n, 0::BIGINT AS waiting, 0::BIGINT AS stale FROM f
+@query(twin(*_STAGES, "candidates", "processed") + _FUNNEL + f", ch AS ({ORACLE['challenge_view']})" + """ SELECT 'problem' AS stage, count(*) AS n, 0::BIGINT AS waiting, 0::BIGINT AS stale FROM f
  UNION ALL SELECT 'novelty', count(novelty), count_if(novelty IS NULL), 0 FROM f UNION ALL SELECT 'value', count(value_revision), count_if(value_revision IS NULL), 0 FROM f
- UNION ALL SELECT 'fit', count(fit_revision), count_if(fit_revision IS NULL), count_if(fit_stale) FROM f UNION ALL SELECT 'opportunity', count(opportunity_id), count_if(opportunity_id IS NULL), count_if(stale <> '') FROM f""")
+ UNION ALL SELECT 'fit', count(fit_revision), count_if(fit_revision IS NULL), count_if(fit_stale) FROM f UNION ALL SELECT 'opportunity', count(opportunity_id), count_if(opportunity_id IS NULL), count_if(stale <> '') FROM f
+ UNION ALL SELECT 'candidate', count(*), count_if(decision IS NULL), 0 FROM candidates LEFT JOIN processed USING (candidate_id)
+ UNION ALL SELECT 'challenge', count(*), count_if(verdict IS NULL), 0 FROM ch""")
 def overview(spark, d):
-    return views.overview(_funnel(spark, d))
+    candidates = cand.candidate_view(bound(spark, d, "candidates"), bound(spark, d, "processed"))
+    return views.overview(_funnel(spark, d), candidates, challenge_view(spark, d))
 
 
 @query(twin(*_STAGES) + _FUNNEL + " SELECT problem_id, fit, high FROM f ORDER BY fit DESC NULLS LAST, problem_id LIMIT 50 OFFSET 100")
@@ -647,24 +704,52 @@ def page_slice(spark, d):
 
 @query(twin(*_STAGES) + _FUNNEL + " SELECT problem_id, high FROM f ORDER BY high DESC NULLS LAST, problem_id LIMIT 200")
 def problem_sorts(spark, d):
-    return _funnel(spark, d).select("problem_id", "high").orderBy(F.col("high").desc_nulls_last(), "problem_id").limit(200)
+    return _funnel(spark, d).select("problem_id", "high").orderBy(*views.problem_order("value")).limit(200)
+
+
+def _ranked(spark, d):
+    own = bound(spark, d, "problem_sources").groupBy("problem_id").agg(F.count("*").alias("n_sources"), F.min("tier").alias("best_tier"))
+    return bound(spark, d, "problems").select("problem_id").join(own, "problem_id", "left")
+
+
+_RANKED = twin("problems", "problem_sources") + ", r AS (SELECT p.problem_id, n_sources, best_tier FROM problems p LEFT JOIN (SELECT problem_id, count(*) AS n_sources, min(tier) AS best_tier FROM problem_sources GROUP BY 1) s USING (problem_id))"
+
+
+@query(_RANKED + " SELECT * FROM r ORDER BY n_sources DESC NULLS LAST, best_tier NULLS LAST, problem_id LIMIT 200")
+def problems_by_sources(spark, d):
+    return _ranked(spark, d).orderBy(*views.problem_order("sources")).limit(200)
+
+
+@query(_RANKED + " SELECT * FROM r ORDER BY best_tier NULLS LAST, n_sources DESC NULLS LAST, problem_id LIMIT 200")
+def problems_by_tier(spark, d):
+    return _ranked(spark, d).orderBy(*views.problem_order("tier")).limit(200)
+
+
+@query(twin("fits", "problems") + """ SELECT problem_id, t.score, p.revision IS NULL OR t.problem_revision <> p.revision OR t.profile_digest <> 'digest-0' AS stale, coalesce(statement, '(problem removed)') AS statement
+ FROM fits t LEFT JOIN (SELECT * FROM problems WHERE revision <> 2) p USING (problem_id) ORDER BY score DESC, problem_id LIMIT 300""")
+def fit_list(spark, d):
+    rows, order = views.fit_list(bound(spark, d, "fits"), bound(spark, d, "problems").where("revision <> 2"), F.lit("digest-0"))
+    return rows.orderBy(*order).limit(300)
 
 
 @query(twin("opportunities") + " SELECT problem_id, recommendation FROM opportunities ORDER BY CASE recommendation WHEN 'investigate' THEN 0 WHEN 'contact' THEN 1 ELSE 2 END, opportunity_id LIMIT 300")
 def stage_lists(spark, d):
-    rank = F.when(F.col("recommendation") == "investigate", 0).when(F.col("recommendation") == "contact", 1).otherwise(2)
-    return bound(spark, d, "opportunities").orderBy(rank, "opportunity_id").limit(300).select("problem_id", "recommendation")
+    return bound(spark, d, "opportunities").orderBy(*views.opportunity_order()).limit(300).select("problem_id", "recommendation")
 
 
 @query(twin("novelty", "problems") + " SELECT problem_id, status, coalesce(statement, '(problem file missing)') AS statement, searches < 3 AS insufficient FROM novelty LEFT JOIN (SELECT * FROM problems WHERE revision <> 2) p USING (problem_id)")
 def investigation_list(spark, d):
-    p = bound(spark, d, "problems").where("revision <> 2").select("problem_id", "statement")
-    return bound(spark, d, "novelty").join(p, "problem_id", "left").select("problem_id", "status", F.coalesce("statement", F.lit("(problem file missing)")).alias("statement"), (F.col("searches") < 3).alias("insufficient"))
+    return views.investigation_list(bound(spark, d, "novelty"), bound(spark, d, "problems").where("revision <> 2"))
 
 
-@query(twin("assessments") + " SELECT problem_id, low, high, n_warnings, low IS NULL AS unknown FROM assessments WHERE n_warnings > 0")
+@query(twin("assessments", "problem_sources") + """, w AS (SELECT problem_id, ptype AS kind, count(*) AS n FROM problem_sources WHERE tier IN ('D', 'E') GROUP BY ALL),
+ g AS (SELECT problem_id, sum(n) AS n, string_agg(kind || '=' || n, ',' ORDER BY kind || '=' || n) AS warnings FROM w GROUP BY 1)
+ SELECT problem_id, low, high, low IS NULL AS unknown, coalesce(n, 0)::BIGINT AS n_warnings, warnings FROM assessments LEFT JOIN g USING (problem_id)""")
 def assessment_list(spark, d):
-    return bound(spark, d, "assessments").where("n_warnings > 0").select("problem_id", "low", "high", "n_warnings", F.col("low").isNull().alias("unknown"))
+    warnings = bound(spark, d, "problem_sources").where("tier in ('D', 'E')").select("problem_id", F.col("ptype").alias("kind"), F.col("stated").alias("text"))
+    out = views.assessment_list(bound(spark, d, "assessments"), warnings)
+    counts = F.array_sort(F.transform(F.map_entries("warnings"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return out.withColumn("warnings", F.array_join(counts, ","))
 
 
 @query("""SELECT o_custkey AS problem_id, o_orderkey AS run, (row_number() OVER w)::INT AS revision, coalesce(string_agg(o_orderstatus, '') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history
@@ -699,25 +784,24 @@ def fit_caps(spark, d):
     return given(spark, d, "orders").select("o_orderkey", opportunity.capped_fit(F.col("o_orderkey") % 11, F.col("o_custkey") % 3, F.col("o_custkey") % 4).alias("score"))
 
 
-@query(twin("problem_sources", "candidates") + """ SELECT s.problem_id, string_agg(source_id || '/' || ptype, ',' ORDER BY pos) AS sources, any_value(p.statement) AS statement, any_value(f.score) AS fit
- FROM problem_sources s LEFT JOIN (SELECT 'prob-' || o_orderkey AS problem_id, 'statement ' || o_custkey AS statement FROM orders) p USING (problem_id) LEFT JOIN (SELECT 'prob-' || o_orderkey AS problem_id, o_orderkey % 11 AS score FROM orders WHERE o_orderkey % 4 <> 3) f USING (problem_id) GROUP BY 1""")
+@query(twin("problem_sources", "candidates", "problems", "novelty", "assessments", "fits", "opportunities") + """, c AS (SELECT s.*, c.statement AS said FROM problem_sources s LEFT JOIN candidates c ON c.doc_id = s.l_suppkey),
+ g AS (SELECT problem_id, string_agg(source_id || '/' || ptype || coalesce('/' || said, ''), ',' ORDER BY pos) AS sources FROM c GROUP BY 1)
+ SELECT p.problem_id, p.statement, coalesce(sources, '') AS sources, n.status AS novelty, a.low AS value, f.score AS fit, o.recommendation FROM problems p LEFT JOIN g USING (problem_id) LEFT JOIN novelty n USING (problem_id)
+ LEFT JOIN assessments a USING (problem_id) LEFT JOIN fits f USING (problem_id) LEFT JOIN opportunities o USING (problem_id)""")
 def dossier(spark, d):
-    src = bound(spark, d, "problem_sources").groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("pos", "source_id", "ptype"))).alias("sources"))
-    j = src.join(bound(spark, d, "problems").select("problem_id", "statement"), "problem_id", "left").join(bound(spark, d, "fits").select("problem_id", F.col("score").alias("fit")), "problem_id", "left")
-    return j.withColumn("sources", F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["source_id"], s["ptype"])), ","))
+    p, n, a, f, o = (bound(spark, d, x) for x in _STAGES)
+    c = bound(spark, d, "candidates")
+    own = bound(spark, d, "problem_sources").join(c.select(F.col("doc_id").alias("l_suppkey"), "candidate_id"), "l_suppkey", "left")
+    out = views.dossier(p, own, c, n, a, f, o)
+    text = F.transform("sources", lambda s: F.concat_ws("/", s["source_id"], s["ptype"], s["candidate_statement"]))
+    return out.select("problem_id", "statement", F.coalesce(F.array_join(text, ","), F.lit("")).alias("sources"), F.col("novelty.status").alias("novelty"), F.col("value.low").alias("value"), F.col("fit.score").alias("fit"), "opportunity.recommendation")
 
 
 # ---- sessions and logs
 
-@query(twin("sessions") + """ SELECT session_id, count_if(tool = 'WebSearch') AS searches, count_if(tool = 'WebFetch') AS fetches, coalesce(string_agg(left(text, 20), '|' ORDER BY line_no) FILTER (tool = 'WebSearch'), '') AS queries,
+@query(twin("sessions") + """ SELECT session_id, count_if(tool = 'WebSearch') AS searches, count_if(tool = 'WebFetch') AS fetches, coalesce(string_agg(text, '|' ORDER BY line_no) FILTER (tool = 'WebSearch'), '') AS queries,
  count_if(tool = 'WebSearch') >= 2 AS sufficient FROM sessions WHERE role = 'assistant' GROUP BY 1""")
 def search_summary(spark, d):
-    return _search_summary(spark, d, F.substring("text", 1, 20))
-
-
-@query()
-def search_summary_whole(spark, d):
-    """search_summary with whole queries; its twin holds 20 characters."""
     return _search_summary(spark, d, F.col("text"))
 
 
@@ -733,14 +817,8 @@ def session_usage(spark, d):
     return sessions.usage(e).withColumn("cost", F.round("cost", 4))
 
 
-@query(twin("sessions") + " SELECT session_id, arg_max(left(text, 30), line_no) AS value FROM sessions WHERE role = 'assistant' AND line_no % 4 <> 3 GROUP BY 1")
+@query(twin("sessions") + " SELECT session_id, arg_max(text, line_no) AS value FROM sessions WHERE role = 'assistant' AND line_no % 4 <> 3 GROUP BY 1")
 def accepted_output(spark, d):
-    return _accepted_output(spark, d, F.substring("text", 1, 30))
-
-
-@query()
-def accepted_output_whole(spark, d):
-    """accepted_output with whole texts; its twin holds 30 characters."""
     return _accepted_output(spark, d, F.col("text"))
 
 
@@ -819,18 +897,19 @@ def abstracts(spark, d):
     return payloads.abstracts(by_word.groupBy(F.col("p_partkey").alias("doi")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted")))
 
 
-@query("""SELECT 's' AS source_id, 'https://t.example/#' || CASE WHEN p_partkey % 2 = 0 THEN 'k' || p_partkey ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') END AS url, p_name AS title, p_name || chr(10) || p_type AS text FROM part""")
+@query("""SELECT 's' AS source_id, 'https://t.example/?talk=' || CASE WHEN p_partkey % 2 = 0 THEN 'k' || p_partkey ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') END AS url, p_name AS title, p_name || chr(10) || p_type AS text FROM part""")
 def items_from_sections(spark, d):
     key = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(' id="k'), "p_partkey", F.lit('"'))).otherwise("")
     html = F.concat(F.lit("<body><section></section><section"), key, F.lit("><h2>"), "p_name", F.lit("</h2><script>x()</script><p>"), "p_type", F.lit("</p></section></body>"))
-    return payloads.sections(given(spark, d, "part").select(F.lit("s").alias("source_id"), F.lit("https://t.example/").alias("url"), html.alias("html")))
+    raw = given(spark, d, "part").select(F.lit("s").alias("source_id"), F.lit("https://t.example/").alias("url"), html.alias("html"))
+    return payloads.sections(raw).drop("links")
 
 
 @query("SELECT p_partkey AS source_id, unnest([p_name, p_type, p_brand]) AS node FROM part")
 def items_from_sessions(spark, d):
     leaf = lambda *c: F.struct(F.array(*[F.col(x) for x in c]).alias("talks"))
     body = F.to_json(F.struct(F.struct(leaf("p_name", "p_type").alias("mon"), leaf("p_brand").alias("tue")).alias("days")))
-    return payloads.nested(given(spark, d, "part").select(F.col("p_partkey").alias("source_id"), body.alias("body")), "days.*.talks")
+    return payloads.nested(given(spark, d, "part").select(F.col("p_partkey").alias("source_id"), body.alias("body")), "days.*.talks").drop("at")
 
 
 @query("""WITH l AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS pos, 'https://c.example/c/' || (l_partkey % 200) AS href, l_returnflag = 'R' AS f FROM lineitem WHERE l_partkey % 3 <> 0),
@@ -841,14 +920,8 @@ def listing_links(spark, d):
     return payloads.listing_links(links, "/c/", 20)
 
 
-@query(twin("board") + """ SELECT challenge_id, pos::INT AS pos, CASE WHEN is_baseline THEN NULL ELSE pos END::INT AS rank, team, round_even(score, 3) AS score, is_baseline FROM board WHERE pos <= 30 AND pos % 5 <> 0 AND challenge_id % 9 <> 0""")
+@query(twin("board") + """ SELECT challenge_id, pos::INT AS pos, CASE WHEN is_baseline THEN NULL ELSE pos END::INT AS rank, team, round_even(score, 3) AS score, is_baseline FROM board WHERE pos % 5 <> 0 AND challenge_id % 9 <> 0""")
 def leaderboard_rows(spark, d):
-    return _leaderboard_rows(bound(spark, d, "board").where("pos <= 30"))
-
-
-@query()
-def leaderboard_rows_whole(spark, d):
-    """leaderboard_rows over all rows of every board; its twin holds the first 30."""
     return _leaderboard_rows(bound(spark, d, "board"))
 
 
@@ -862,17 +935,29 @@ def _leaderboard_rows(board):
     return payloads.leaderboard_rows(rows.select("challenge_id", html.alias("html")))[0]
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 2 AND l_suppkey % 3 = 1 THEN 'not per occurrence' WHEN l_linenumber % 4 = 3 AND l_quantity > 1 AND l_suppkey % 3 = 2 THEN 'share outside 0 to 1'
-  WHEN l_linenumber % 4 = 0 AND l_suppkey % 3 = 1 THEN 'unit rescales the count' WHEN l_returnflag = 'A' THEN NULL WHEN l_returnflag = 'N' THEN 'evidence not verified'
-  WHEN l_linenumber % 4 = 3 AND l_suppkey % 3 <> 2 THEN 'figure not in quote' WHEN l_linenumber % 2 = 1 THEN CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE NULL END END AS reason FROM lineitem WHERE l_linenumber % 4 <> 1 AND l_linenumber % 4 <> 3""")
+_REASON = """CASE WHEN l_linenumber % 4 = 2 AND l_suppkey % 3 = 1 THEN 'not per occurrence'
+  WHEN l_linenumber % 4 = 3 AND l_suppkey % 3 = 2 AND l_quantity > 1 THEN 'share outside 0 to 1'
+  WHEN l_linenumber % 4 = 0 AND l_suppkey % 3 = 1 THEN 'unit rescales the count' WHEN l_linenumber % 4 = 1 AND l_suppkey % 3 = 1 THEN 'not per year'
+  WHEN l_returnflag = 'A' THEN NULL WHEN l_returnflag = 'N' THEN 'evidence not verified' WHEN l_linenumber % 4 = 3 AND l_suppkey % 3 = 2 THEN 'figure not in quote' END"""
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_REASON} AS reason FROM lineitem")
 def estimate_rows(spark, d):
-    return _estimate_rows(given(spark, d, "lineitem").where("l_linenumber % 2 = 0"))
+    return _estimate_rows(given(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", "reason")
 
 
-@query()
-def estimate_rows_whole(spark, d):
-    """estimate_rows with all line numbers; its twin holds the even ones, which are counts and costs only."""
-    return _estimate_rows(given(spark, d, "lineitem"))
+@query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, {_REASON} AS reason, l_returnflag <> 'A' AS cited, l_suppkey,
+   CASE l_linenumber % 4 WHEN 0 THEN 'affected_units' WHEN 1 THEN 'frequency_per_year' WHEN 2 THEN 'cost_per_occurrence' ELSE 'addressable_share' END AS quantity,
+   CASE WHEN l_linenumber % 4 = 3 AND l_suppkey % 3 <> 2 THEN l_discount WHEN l_linenumber % 4 = 2 THEN l_quantity * 1.27 ELSE l_quantity END AS v,
+   CASE l_linenumber % 4 WHEN 0 THEN 'sites' WHEN 1 THEN 'per year' WHEN 2 THEN 'USD/incident' ELSE 'share' END AS unit FROM lineitem)
+ SELECT l_orderkey AS problem_id, quantity, min(v) AS low, max(v) AS high, any_value(unit) AS unit, CASE WHEN bool_or(cited) THEN 'supported' ELSE 'assumption_only' END AS status,
+  count(*) AS basis, string_agg(CASE WHEN cited THEN 'cited' ELSE 'assumed' END, ',' ORDER BY l_linenumber, CASE WHEN cited THEN 'cited' ELSE 'assumed' END) AS entries FROM r WHERE reason IS NULL GROUP BY 1, 2""")
+def estimates_checked(spark, d):
+    """Rows checked one by one, then those of one unit by quantity, then the range: rejected rows neither fix a unit nor count."""
+    rows = _estimate_rows(given(spark, d, "lineitem")).select(F.col("l_orderkey").alias("problem_id"), F.col("l_linenumber").alias("pos"), "quantity", "low", "high", "low_usd", "high_usd", "unit", "usd_unit", "reason", "cited",
+        F.when(F.col("cited"), "cited").otherwise("assumed").alias("entry"))
+    out = value.estimates(value.unit_consistency(rows))
+    return out.withColumn("entries", F.array_join("basis_entries", ",")).drop("basis_entries")
 
 
 def _estimate_rows(lines):
@@ -887,17 +972,11 @@ def _estimate_rows(lines):
     rows = lines.select("l_orderkey", "l_linenumber", quantity.alias("quantity"),
         low.alias("low"), F.lit(None).cast("double").alias("high"), unit.alias("unit"), F.when(F.col("l_returnflag") == "A", "explicit_assumption").otherwise("source").alias("basis"), F.lit("we assume").alias("assumption"),
         quote.alias("quote"), F.when(F.col("l_returnflag") == "N", "unfetchable").otherwise("verified").alias("verification"), F.lit(None).cast("string").alias("company"))
-    return value.estimate_rows(rows).select("l_orderkey", "l_linenumber", "reason")
+    return value.estimate_rows(rows)
 
 
-@query(twin("board") + """ SELECT challenge_id, pos, pos % 3 <> 0 AS kept, pos % 3 <> 0 AND (pos % 2 = 0 OR challenge_id % 2 = 0) AS score_kept FROM board WHERE NOT is_baseline AND pos <= 20""")
+@query(twin("board") + """ SELECT challenge_id, pos, pos % 3 <> 0 AS kept, pos % 3 <> 0 AND (pos % 2 = 0 OR challenge_id % 2 = 0) AS score_kept FROM board WHERE NOT is_baseline""")
 def solution_check(spark, d):
-    return _solution_check(bound(spark, d, "board").where("not is_baseline and pos <= 20"))
-
-
-@query()
-def solution_check_whole(spark, d):
-    """solution_check over all rows of every board; its twin holds the first 20."""
     return _solution_check(bound(spark, d, "board").where("not is_baseline"))
 
 
@@ -916,16 +995,8 @@ def baseline_check(spark, d):
 
 
 @query("""SELECT item_id, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'not a profile file' WHEN contains(d.text, b.text) THEN NULL ELSE 'quote not found' END AS why_not,
- CASE WHEN doc_id % 7 <> 0 AND contains(d.text, b.text) THEN 'profile' END AS basis FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+ CASE WHEN doc_id % 7 <> 0 AND contains(d.text, b.text) THEN 'profile' END AS basis FROM """ + _DEALT)
 def advantage_check(spark, d):
-    docs = given(spark, d, "documents")
-    claims = docs.select("doc_id", F.col("doc_id").alias("path"), (F.col("doc_id") % 40).alias("item_id")).join(given(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id")
-    return verify.advantage_check(claims, docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), "text")).select("item_id", "doc_id", "why_not", "basis")
-
-
-@query()
-def advantage_check_whole(spark, d):
-    """advantage_check with documents dealt over the whole benchmark; its twin asks 40 items."""
     docs = given(spark, d, "documents")
     claims = _dealt(spark, d, docs.select("doc_id", F.col("doc_id").alias("path")), "quote")
     return verify.advantage_check(claims, docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), "text")).select("item_id", "doc_id", "why_not", "basis")
@@ -955,7 +1026,7 @@ def page_items(spark, d):
 @query(twin("scan_log") + _HEALTH + " SELECT source_id, seq, scans, items_seen, consecutive_failures, candidates, dry_scans FROM h QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) = 1")
 def stream_source_health(spark, d):
     """The scan log as a stream of three batches; each source's last state."""
-    log, path = bound(spark, d, "scan_log").select("source_id", "seq", "outcome"), staging(spark, "health")
+    log, path = bound(spark, d, "scan_log").select("source_id", "seq", "outcome", "n_items"), staging(spark, "health")
     third = log.agg(F.max("seq") / 3).first()[0] or 0
     sink = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
     for k in range(3):  # each in a folder and a run of its own, so a batch may have any number of files
@@ -965,7 +1036,7 @@ def stream_source_health(spark, d):
     return sources.latest(spark.read.parquet(f"{path}/out").drop("batch")).select("source_id", "seq", "scans", "items_seen", "consecutive_failures", "candidates", "dry_scans")
 
 
-@query(ORACLE["upsert_items"])
+@query(twin("snapshot_1", "snapshot_2") + _ITEMS + _UPSERT + _TABLE + " FROM up")
 def stream_upsert(spark, d):
     """Two snapshots as two micro-batches; the table after the second."""
     path, columns = staging(spark, "upsert"), ["url", "source_id", "title", "text", "finished", "at"]
@@ -973,8 +1044,7 @@ def stream_upsert(spark, d):
         bound(spark, d, f"snapshot_{k}").withColumn("at", F.lit(k)).select(columns).write.parquet(f"{path}/in/{k}")
         raw = spark.readStream.schema("url string, source_id string, title string, text string, finished boolean, at int").parquet(f"{path}/in/*")
         feeds.upsert_stream(raw, f"{path}/items", f"{path}/c").awaitTermination()
-    out = spark.read.parquet(f"{path}/items/batch=1")
-    return out.select("item_id", "finished", "revision", "content_hash", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen"), "status")
+    return _table(feeds.current_items(spark, f"{path}/items"))
 
 
 @query(ORACLE["candidate_outcome"])
@@ -986,15 +1056,8 @@ def stream_superseded(spark, d):
     return spark.read.parquet(f"{path}/out")
 
 
-@query("""SELECT doc_id, (doc_id % 2 <> 0 OR contains(d.text, b.text)) AND (doc_id % 3 <> 0 OR doc_id % 9 <> 0) AS verified FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.text <> ''""")
+@query("""SELECT doc_id, (doc_id % 2 <> 0 OR contains(d.text, b.text)) AND (doc_id % 3 <> 0 OR doc_id % 9 <> 0 AND trim(coalesce(d.text, '')) <> '') AS verified FROM """ + _DEALT)
 def candidate_verified(spark, d):
-    docs = given(spark, d, "documents").where("text <> ''").withColumn("item_id", F.col("doc_id") % 40)
-    return _candidate_verified(docs.join(_quotes(spark, d, "evidence"), "item_id"))
-
-
-@query()
-def candidate_verified_whole(spark, d):
-    """candidate_verified with documents dealt over the whole benchmark, empty and null texts included; its twin asks 40 items."""
     return _candidate_verified(_dealt(spark, d, given(spark, d, "documents"), "evidence"))
 
 
@@ -1004,9 +1067,9 @@ def _candidate_verified(rows):
     return verify.candidate_verified(rows).select("doc_id", "verified")
 
 
-@query(f"SELECT page_id AS item_id, (unnest(range(0, page_id % 4 + 1)))::INT AS pos, unnest({_LINKS}) AS link FROM pages WHERE page_id >= 60 AND page_id % 2 = 0")
+@query(f"SELECT page_id AS item_id, (unnest(range(0, page_id % 4 + 1)))::INT AS pos, unnest({_LINKS}) AS link FROM pages WHERE page_id >= 60")
 def recent_refs(spark, d):
-    return items.links_of(_linked(spark, d).where("item_id % 2 = 0"), _t(60), "first_seen", "links")
+    return items.links_of(_linked(spark, d), _t(60), "first_seen", "links")
 
 
 @query(twin("problem_sources") + """ SELECT problem_id, pos, CASE WHEN pos % 3 = 0 THEN 'evidence not verified' WHEN pos % 2 = 0 AND stated <> '' AND l_linenumber % 4 < 2 THEN 'amount not in quote' ELSE 'accepted' END AS "check" FROM problem_sources""")
@@ -1026,7 +1089,7 @@ def backing(spark, d):
     return out.select("problem_id", F.array_join("texts", "|").alias("texts"), F.size("numbers").alias("n_numbers"))
 
 
-@query("SELECT p_partkey, 'https://t.example/' || CASE WHEN p_partkey % 2 = 0 THEN '?d=1&' ELSE '?' END || 'talk=' || replace(p_name, ' ', '+') AS url FROM part")
+@query("SELECT p_partkey, 'https://t.example/' || CASE WHEN p_partkey % 2 = 0 THEN '?d=1&' ELSE '?' END || 'talk=' || replace(p_name, ' ', '%20') AS url FROM part")
 def talk_urls(spark, d):
     page = F.concat(F.lit("https://t.example/"), F.when(F.col("p_partkey") % 2 == 0, "?d=1").otherwise(""))
     return given(spark, d, "part").select("p_partkey", urls.talk_url(page, F.col("p_name")).alias("url"))
@@ -1054,3 +1117,6 @@ def manual_override(spark, d):
 def task_errors(spark, d):
     line = F.when(F.col("event_type") == "error", F.concat(F.lit("ERROR: e"), "event_id")).when(F.col("event_type") == "view", F.concat(F.lit("Fix: f"), "event_id")).otherwise("line")
     return sessions.task_errors(given(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("line_no"), line.alias("line")))
+
+
+from . import derived  # noqa: E402, F401  registers more queries

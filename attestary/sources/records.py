@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _as_json(text: str | None) -> str | None:
+    """A YAML record as JSON; null if it can't be read or is no mapping. JSON is YAML too."""
+    import yaml
+
+    try:
+        record = yaml.load(text or "", getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    except yaml.YAMLError:
+        return None
+    return json.dumps(record, default=str) if isinstance(record, dict) else None
+
+
 def read_records(spark: SparkSession, path: str, schema: str, required: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """JSON record files, one record each -> (good rows, bad(file, message)). What can't be parsed or lacks a key is bad."""
+    """Record files, one JSON or YAML mapping each -> (good rows, bad(file, message)). What can't be parsed or lacks a key is bad. Only what
+    isn't JSON goes through the YAML helper."""
+
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(_as_json)
+
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    plain = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
+    raw = raw.select("file", F.when(plain, F.col("value")).otherwise(F.pandas_udf(run, "string")(F.when(~plain, F.col("value")))).alias("value"))
     rows = raw.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in required])), ", ")
     why = F.when(F.col("r._bad").isNotNull() | F.col("r").isNull(), "unreadable").when(missing != "", F.concat(F.lit("missing: "), missing))
@@ -32,12 +53,6 @@ def latest_run(reports: DataFrame) -> DataFrame:
     return reports.agg(F.max("run_id").alias("run_id"), F.max_by(F.struct(*columns), "run_id").alias("r")).select("run_id", "r.*")
 
 
-def digests(files: DataFrame) -> DataFrame:
-    """files(profile_id, path, text) -> one SHA-256 for each profile, over paths and texts in path order."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda f: F.concat(f["path"], F.lit("\0"), f["text"], F.lit("\0")))
-    return files.groupBy("profile_id").agg(F.sha2(F.array_join(parts, "").cast("binary"), 256).alias("digest"), F.sum(F.length("text")).alias("chars"))
-
-
 def digests_in_levels(files: DataFrame) -> DataFrame:
     """files(profile_id, path, text) -> (profile_id, digest, chars) over all files, of any length and number; null texts
     count as empty.

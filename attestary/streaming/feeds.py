@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,12 +20,12 @@ _STATE = "seq long, failures long, scans long, items long, candidates long, dry
 def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, failures, scans, items, candidates, dry = state.get if state.exists else (-1, 0, 0, 0, 0, 0)
     rows = pd.concat(frames).sort_values("seq")
-    for seq, outcome_ in zip(rows["seq"], rows["outcome"]):
+    for seq, outcome_, n in zip(rows["seq"], rows["outcome"], rows["n_items"].fillna(0)):
         if seq <= last:  # a scan that came before: delivered twice
             continue
         last, scans = seq, scans + 1
         failures = failures + 1 if outcome_ == "failed" else 0
-        items += outcome_ != "failed"
+        items += n if outcome_ != "failed" else 0
         candidates += outcome_ == "candidate"
         dry = 0 if outcome_ == "candidate" else dry + (outcome_ in ("new", "changed"))
     state.update((int(last), int(failures), int(scans), int(items), int(candidates), int(dry)))
@@ -33,23 +33,32 @@ def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator
 
 
 def source_health(scans: DataFrame) -> DataFrame:
-    """A stream of scans(source_id, seq, outcome), in seq order by source → each touched source's state after the batch."""
+    """A stream of scans(source_id, seq, outcome, n_items), in seq order by source → each touched source's state after the batch."""
     return scans.groupBy("source_id").applyInPandasWithState(_advance, HEALTH, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def current_items(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The item table: each item's row of the last batch that wrote it (of those before a batch, if given).
+    Which batch that is, is found on ids alone."""
+    rows = spark.read.parquet(folder)
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    last = rows.groupBy("item_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["item_id", "batch"]).drop("batch")
+
+
 def upsert_stream(pages: DataFrame, folder: str, checkpoint: str):
-    """A stream of raw items(url, source_id, title, text, finished, at) upserted by micro-batch. The table of batch n is
-    written next to that of n - 1, so a batch that runs again gives the same table. Starts the query."""
+    """A stream of raw items(url, source_id, title, text, finished, at) upserted by micro-batch. Each batch writes only the
+    rows that it touched, in a folder of its own, from what earlier batches wrote; so its cost follows the batch, and one that
+    runs again gives the same rows. `current_items` reads the table. Starts the query."""
 
     def one(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        snapshot = last_of_each(with_identity(batch), "at")
-        now = F.timestamp_seconds(F.lit(n))
+        snapshot, now = with_identity(batch), F.timestamp_seconds(F.lit(n))
         if n == 0:
-            table = first_load(snapshot, now)
+            touched = first_load(last_of_each(snapshot, "at"), now)
         else:
-            table = upsert(spark.read.parquet(f"{folder}/batch={n - 1}"), snapshot, now)
-        table.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+            known = current_items(batch.sparkSession, folder, n)
+            touched = upsert(known.join(snapshot.select("item_id").distinct(), "item_id", "left_semi"), snapshot, now, "at")
+        touched.write.mode("overwrite").parquet(f"{folder}/batch={n}")
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

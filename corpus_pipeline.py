@@ -14,7 +14,7 @@ from attestary.llm.toxicity import without_toxic
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain finds toxic go."""
-    return without_toxic(docs, table(spark, sf_dir, "labels"))
+    return without_toxic(docs, table(spark, sf_dir, "labels"), categories=4)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
