@@ -31,12 +31,16 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return q.join(pages, "url", "left").select(*quotes.columns, status.alias("status"))
 
 
+def _led(by: str, texts: str) -> Column:
+    return F.transform(texts, lambda t: F.concat(F.lit(by), t))
+
+
 def _grams(rows: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
     """(key, grams): the strings of a text that have as many words as any of the sizes, each behind its size."""
     rows = rows.select(key, F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "").alias("words"))
     for n in sizes:
         rows = NGram(n=n, inputCol="words", outputCol=f"grams_{n}").transform(rows)
-    own = [F.transform(f"grams_{n}", lambda g, n=n: F.concat(F.lit(f"{n} "), g)) for n in sizes]
+    own = [_led(f"{n} ", f"grams_{n}") for n in sizes]
     return rows.select(key, F.flatten(F.array(*own)).alias("grams"))
 
 
@@ -106,8 +110,8 @@ def unsupported_in(rows: DataFrame, texts: tuple[str, ...], quotes: str, backed:
     """Adds warnings: of several texts, the amounts and then the numbers that nothing supports, each as `column: what`."""
     parts = []
     for t in texts:
-        rows = unsupported_amounts(rows, t, quotes, backed).withColumn(f"_a_{t}", F.transform("unsupported", lambda u, t=t: F.concat(F.lit(f"{t}: "), u))).drop("unsupported")
-        rows = unsupported_numbers(rows, t, quotes, backed).withColumn(f"_n_{t}", F.transform("unsupported_numbers", lambda u, t=t: F.concat(F.lit(f"{t}: "), u))).drop("unsupported_numbers")
+        rows = unsupported_amounts(rows, t, quotes, backed).withColumn(f"_a_{t}", _led(f"{t}: ", "unsupported")).drop("unsupported")
+        rows = unsupported_numbers(rows, t, quotes, backed).withColumn(f"_n_{t}", _led(f"{t}: ", "unsupported_numbers")).drop("unsupported_numbers")
         parts.append(t)
     both = F.flatten(F.array(*[f"_a_{t}" for t in parts], *[f"_n_{t}" for t in parts]))
     return rows.withColumn("warnings", both).drop(*[f"_{k}_{t}" for k in "an" for t in parts])

@@ -56,7 +56,7 @@ def verify_page_quotes(spark, d):
     pages = _made_pages(spark, d)
     texts = verify.page_texts(pages.select("url", "html")).withColumn("ok", F.lit(True)).join(pages.where("p_partkey % 11 <> 0").select("url"), "url", "left_semi")
     k = F.col("p_partkey")
-    said = F.when(k % 7 == 0, "too short").when(k % 3 == 0, F.concat(F.lit("**"), F.upper("p_type"), F.lit("**  "), "p_brand", F.lit("."))).otherwise("words of another page")
+    said = F.when(k % 7 == 0, "too short").when(k % 3 == 0, F.concat(F.lit("**"), F.upper("p_type"), F.lit("**  "), "p_brand", F.lit(" more."))).otherwise("words of another page")
     quotes = given(spark, d, "part").select(F.concat(F.lit("https://p.example/"), k).alias("url"), said.alias("quote"))
     return verify.verify_quotes(quotes, texts).select("url", "status")
 
@@ -85,12 +85,12 @@ _TALK = """CASE p_partkey % 3 WHEN 0 THEN 'https://t.example/t/' || p_partkey WH
  ELSE 'https://t.example/day?talk=' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') END"""
 
 
-@query(f"SELECT 't' AS source_id, {_TALK} AS url, p_name AS title, p_mfgr AS published, 'text: ' || p_type || chr(10) || 'speaker.org: ' || p_brand AS text FROM part")
+@query(f"SELECT 't' AS source_id, {_TALK} AS url, p_name AS title, 'M' || p_size AS published, 'text: ' || p_type || chr(10) || 'speaker.org: ' || p_brand AS text FROM part")
 def items_from_talks(spark, d):
     """Sessions of JSON that is embedded in a page, to items."""
     p, k = given(spark, d, "part"), F.col("p_partkey") % 3
     talk = F.struct(F.col("p_name").alias("name"), F.when(k == 0, F.concat(F.lit("/t/"), "p_partkey")).alias("link"), F.when(k == 1, F.concat(F.lit("k"), "p_partkey")).alias("ref"),
-        F.concat(F.lit("<p>"), "p_type", F.lit("</p>")).alias("text"), F.struct(F.col("p_brand").alias("org")).alias("speaker"), F.col("p_mfgr").alias("day"))
+        F.concat(F.lit("<p>"), "p_type", F.lit("</p>")).alias("text"), F.struct(F.col("p_brand").alias("org")).alias("speaker"), F.concat(F.lit("M"), "p_size").alias("day"))
     body = F.concat(F.lit('<p>x</p><script id="data" type="application/json">'), F.to_json(F.struct(F.struct(F.struct(F.array(talk).alias("talks")).alias("mon")).alias("days"))), F.lit("</script>"))
     raw = p.select(F.lit("t").alias("source_id"), F.lit("https://t.example/day").alias("url"), body.alias("body"), "p_partkey")
     raw = raw.select("source_id", F.concat("url", F.lit("#"), "p_partkey").alias("url"), "body")  # pages of their own, so the limit is by page
@@ -99,14 +99,14 @@ def items_from_talks(spark, d):
 
 
 @query("""SELECT 'w' AS source_id, 'https://doi.org/10.1234/a' || p_partkey AS url, CASE WHEN p_partkey % 3 = 0 THEN '10.1234/a' || p_partkey ELSE p_name END AS title, '2024-01-02' AS published,
- CASE WHEN p_partkey % 5 = 0 THEN '(no abstract)' ELSE 'Abstract: ' || p_type END || chr(10) || 'Authors: ' || p_brand || ' (' || p_mfgr || ', Lab)' AS text FROM part WHERE p_partkey % 4 <> 0""")
+ CASE WHEN p_partkey % 5 = 0 THEN '(no abstract)' ELSE 'Abstract: ' || p_type END || chr(10) || 'Authors: ' || p_brand || ' (' || 'M' || p_size || ', Lab)' AS text FROM part WHERE p_partkey % 4 <> 0""")
 def items_from_works(spark, d):
     p = given(spark, d, "part")
     found = p.select(F.lit("w").alias("source_id"), "p_partkey", F.concat(F.lit("10.1234/a"), "p_partkey").alias("doi"))
     words = F.split("p_type", " ")
     inverted = F.map_from_arrays(words, F.transform(words, lambda w, i: F.array(i)))
     org = lambda c: F.struct(c.alias("display_name"))
-    author = F.struct(org(F.col("p_brand")).alias("author"), F.array(org(F.col("p_mfgr")), org(F.lit("Lab"))).alias("institutions"))
+    author = F.struct(org(F.col("p_brand")).alias("author"), F.array(org(F.concat(F.lit("M"), "p_size")), org(F.lit("Lab"))).alias("institutions"))
     body = F.to_json(F.struct(F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("title"), F.lit("2024-01-02").alias("publication_date"),
         F.when(F.col("p_partkey") % 5 != 0, inverted).alias("abstract_inverted_index"), F.array(author).alias("authorships")))
     metadata = p.where("p_partkey % 4 <> 0").select(F.concat(F.lit("10.1234/a"), "p_partkey").alias("doi"), body.alias("body"))

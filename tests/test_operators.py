@@ -3,7 +3,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from attestary.operators import candidates, challenge, items, problems, sources, value, verify, views
+from attestary.operators import candidates, challenge, items, problems, sessions, sources, value, verify, views
 from attestary.plans import catalog
 from attestary.plans.bindings import bound
 from attestary.sources import payloads, records
@@ -222,3 +222,54 @@ def test_streams_stage_each_batch_with_its_own_partitions(spark, tmp_path, monke
         assert sorted(got, key=str) == sorted(one[name], key=str)
         assert len(list((tmp_path / folder / "in").rglob("part-*.parquet"))) > batches
         assert len(list((tmp_path / folder).glob("[oi][ut]*/batch=*"))) == batches
+
+
+def test_long_lines_stay_whole(spark):
+    long = "x" * 200_000
+    log = spark.createDataFrame([("t", 1, f"ERROR: {long}"), ("t", 2, f"Fix: {long}y"), ("t", 3, f"[fit 2/3] item-1 (old) -> FAILED {long}"), ("t", 4, "[fit 3/3] item-2 -> kept (1.5s)"),
+                                 ("t", 5, "[fit 3/3] item-3: running (budget) ..."), ("t", 6, "[no count] item-4 -> x")], "task_id string, line_no int, line string")
+    r = sessions.task_errors(log).first()
+    assert (r.error, r.fix) == (long, long + "y")
+    got = {r.item: (r.state, r.result) for r in sessions.task_states(log).collect()}
+    assert got == {"item-1": ("failed", long), "item-2": ("done", "kept"), "item-3": ("running", "")}
+
+
+def test_item_states_after_a_snapshot(spark):
+    """Done and failed items that are now finished keep their state; an unchanged pending one leaves the queue."""
+    snap = lambda *r: items.with_identity(spark.createDataFrame(r, "url string, source_id string, title string, text string, finished boolean"))
+    url = lambda k: f"https://a.example/{k}"
+    old = items.first_load(snap(*[(url(k), "s", "t", "text", False) for k in range(5)]), F.timestamp_seconds(F.lit(0)))
+    old = old.withColumn("status", F.when(F.col("url") == url(0), "done").when(F.col("url") == url(1), "failed").otherwise(F.col("status")))
+    old = old.withColumns({"extract_error": F.when(F.col("status") == "failed", "why"), "batch_id": F.lit("b1")})
+    new = snap((url(0), "s", "t", "text", True), (url(1), "s", "t", "text", True), (url(2), "s", "t", "text", True), (url(3), "s", "t2", "text 2", False), (url(9), "s", "t", "text", True))
+    got = {r.url[-1]: r for r in items.upsert(old, new, F.timestamp_seconds(F.lit(9))).collect()}
+    assert {k: (r.status, r.finished, r.revision) for k, r in got.items()} == {
+        "0": ("done", True, 1), "1": ("failed", True, 1), "2": ("finished", True, 1), "3": ("pending", False, 2), "4": ("pending", False, 1), "9": ("finished", True, 1)}
+    assert got["1"].extract_error == "why" and got["3"].batch_id is None and got["3"].title == "t2" and got["4"].batch_id == "b1"
+
+
+def test_units_follow_the_first_valid_row(spark):
+    rows = spark.createDataFrame([("p", "q", 1, 5.0, 6.0, "USD/year", "no value"), ("p", "q", 2, 1.0, 2.0, "USD", None), ("p", "q", 3, 3.0, 4.0, "USD/year", None), ("p", "q", 4, 0.5, 9.0, "USD", None)],
+                                 "problem_id string, quantity string, pos int, low_usd double, high_usd double, usd_unit string, reason string")
+    rows = rows.withColumns({"cited": F.col("pos") == 4, "entry": F.concat(F.lit("e"), "pos"), "low": F.col("low_usd"), "high": F.col("high_usd")})
+    r = value.estimates(value.unit_consistency(rows)).first()
+    assert (r.low, r.high, r.unit, r.status, r.basis, r.basis_entries) == (0.5, 9.0, "USD", "supported", 2, ["e2", "e4"])
+
+
+def test_deadlines_in_other_forms(spark):
+    df = spark.createDataFrame([("20261201",), ("2026-W49-2",), ("2026-W53",), ("",), (None,)], "deadline string")
+    r = df.agg(*value.deadlines(F.lit("2026-01-01").cast("date"))).first()
+    assert (r.next_deadline, r.all_deadlines_passed) == ("2026-12-01", False)
+    r = df.where("deadline like '%W49%'").agg(*value.deadlines(F.lit("2027-01-01").cast("date"))).first()
+    assert (r.next_deadline, r.all_deadlines_passed) == (None, True)
+
+
+def test_a_looked_up_baseline_scales_the_gap(spark):
+    rows = [(1, i, f"t{i}", s, False, "RMSE") for i, s in enumerate((2.0, 3.0))] + [(2, 0, "a", 2.0, False, "RMSE"), (2, 1, "own", 8.0, True, "RMSE")]
+    board_ = spark.createDataFrame(rows, "challenge_id int, pos int, team string, score double, is_baseline boolean, metric string")
+    found = spark.createDataFrame([(1, 4.0), (2, 100.0)], "challenge_id int, value double")
+    got = {r.challenge_id: (r.headroom, r.baseline_name, r.needs_baseline) for r in challenge.headroom(board_, looked_up=found).collect()}
+    assert got == {1: (0.5, None, False), 2: (0.25, "own", False)}
+    assert challenge.headroom(board_).where("challenge_id = 1").first().needs_baseline
+    top = challenge.with_top_rows(challenge.headroom(board_), board_).where("challenge_id = 1").first().top
+    assert [(t["rank"], t["team"]) for t in top] == [(1, "t0"), (2, "t1")]
