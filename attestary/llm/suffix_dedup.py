@@ -110,7 +110,7 @@ def _cut(length: int, sub_gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = byte_spans(batch.column(0))
-            out: list[tuple] = []
+            out, held = [], 0
             for i, runs in enumerate(batch.column(1).to_pylist()):
                 for r in runs:
                     a = int(at[i]) + r["start"]
@@ -121,9 +121,10 @@ def _cut(length: int, sub_gram: int):
                     _, start, n, key, _ = split_runs(text, np.array([0, len(text)]), length, sub_gram)
                     for s, k, own in zip(start.tolist(), n.tolist(), key.view(np.int64).tolist()):
                         out.append((r["key"], own, r["kind"], s, r["repeated"], text[s : s + k + length - 1].tobytes()))
-                if len(out) >= 2000:
+                held += sum(r["n"] + length for r in runs)
+                if len(out) >= 2000 or held >= _FAMILY:
                     yield _pieces(out)
-                    out = []
+                    out, held = [], 0
             if out:
                 yield _pieces(out)
 
