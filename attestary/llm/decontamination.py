@@ -63,24 +63,32 @@ class Templates:
             size = 2 * (n + len(new))
             self.kind, self.capital = np.resize(self.kind, size), np.resize(self.capital, size)
             self.hash, self.cased = np.resize(self.hash, size), np.resize(self.cased, size)
+        kinds, hashes, capitals, cased = [], [], [], []
+        digest = xxhash.xxh64_intdigest
         for i, t in enumerate(new, n):
-            if t in ".!?\n":
-                kind = _STOP
-            elif t[0].isdigit():
-                kind = _NUMBER
-            elif t in "$€£%":
-                kind = _SIGN
-            elif t.lower() in UNITS:
+            low, first = t.lower(), t[0]
+            upper = first.isupper()
+            if low in UNITS:
                 kind = _UNIT
+            elif upper:
+                kind = _TITLE if len(t) == 1 or not t.isupper() else _WORD
+            elif first.isdigit():
+                kind = _NUMBER
+            elif first in ".!?\n$€£%":
+                kind = _STOP if first in ".!?\n" else _SIGN
             else:
-                kind = _TITLE if t[0].isupper() and (len(t) == 1 or not t.isupper()) else _WORD
-            self.kind[i], self.hash[i], self.number[t] = kind, xxhash.xxh64_intdigest(t.lower(), 3), i
-            shout = len(t) > 1 and t.isupper()
-            self.capital[i] = kind in (_TITLE, _WORD) and t[0].isupper()
-            self.cased[i] = xxhash.xxh64_intdigest(t, 3) if shout else self.hash[i]
-
-    def of(self, text: str, window: int, short: tuple[int, ...] | None = None) -> tuple[list[str], list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-        """(tokens without sentence ends, streams (number, slot kind or -1 of each token, template hash of each, window
+                kind = _WORD
+            h = digest(low, 3)
+            self.number[t] = i
+            kinds.append(kind)
+            hashes.append(h)
+            capitals.append(upper and kind != _UNIT)
+            cased.append(digest(t, 3) if upper and len(t) > 1 and t.isupper() else h)
+        end = n + len(kinds)
+        self.kind[n:end], self.capital[n:end], self.hash[n:end], self.cased[n:end] = kinds, capitals, np.array(hashes, np.uint64), np.array(cased, np.uint64)
+
+    def of(self, text: str, window: int, short: tuple[int, ...] | None = None) -> tuple[tuple[list[str], np.ndarray], list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+        """((tokens, places of those that are no sentence ends), streams (number, slot kind or -1 of each token, template hash of each, window
         hashes)). short: lengths of the short windows; None: those of the text itself, if it is shorter than a window."""
         tokens = _TOKEN(text)
         new = set(tokens).difference(self.number)
@@ -106,18 +114,18 @@ class Templates:
                 slot[names] = _TITLE
             h = np.where(slot >= 0, _SLOT_HASH[slot], low if k < 2 else self.cased[at])
             hashes = window_hashes(h, window) ^ _SALTS[k]
-            if len(hashes):  # what is placeholders only has no form: it must be the same word for word
-                run = np.append(0, np.cumsum(slot >= 0))
+            slots = slot >= 0
+            if len(hashes) and np.count_nonzero(slots) >= window:  # what is placeholders only has no form: it must be the same word for word
+                run = np.append(0, np.cumsum(slots))
                 bare = np.flatnonzero(run[window:] - run[:-window] == window)
                 if len(bare):
                     hashes[bare] = window_hashes(low, window)[bare] ^ _SALTS[3] ^ _SALTS[k]
             streams.append((k, slot, h, hashes))
-        values = [tokens[i] for i in keep.tolist()] if (streams[1][1] >= 0).any() else []
         none = np.full(len(low), -1, np.int8)
         if short is None:
             short = (len(low),) if 0 < len(low) < window else ()
         streams += [(2 + n, none, low, window_hashes(low, n) ^ _SALTS[3] ^ np.uint64(n)) for n in short]
-        return values, streams
+        return (tokens, keep), streams
 
 
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
@@ -144,8 +152,8 @@ def _digest(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) - (1 << 63)
 
 
-def _value(slot: np.ndarray, tokens: list[str], p: int) -> str:
-    return f"{_SLOTS[int(slot[p])]}{tokens[p].lower()}"
+def _value(slot: np.ndarray, tokens: tuple[list[str], np.ndarray], p: int) -> str:
+    return f"{_SLOTS[int(slot[p])]}{tokens[0][tokens[1][p]].lower()}"
 
 
 def _windows(window: int, bitmap: np.ndarray | None, short: tuple[int, ...] | None = None):
