@@ -131,15 +131,17 @@ def triage_view(rows: DataFrame, triage: DataFrame, keep: str) -> DataFrame:
     return marked.where(rule.get(keep, F.col("mark") == keep))
 
 
-def value_gate(problems: DataFrame, novelty: DataFrame, force: bool = False) -> DataFrame:
-    """Before an assessment: not_investigated, refused (malformed or solved), forced, or passed."""
+def value_gate(problems: DataFrame, novelty: DataFrame, force: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """Before an assessment, for all problems or for asked(problem_id): refused (no such problem, malformed or solved), not_investigated,
+    forced, or passed."""
     known = ("unsolved", "partially_solved", "solved", "unclear")
     s = F.col("status")
     gate = (
-        F.when(s.isNull(), "not_investigated").when(~s.isin(*known), "refused: malformed")
+        F.when(F.col("_there").isNull(), "refused: no such problem").when(s.isNull(), "not_investigated").when(~s.isin(*known), "refused: malformed")
         .when(s == "solved", "forced" if force else "refused: solved").otherwise("passed")
     )
-    return problems.join(novelty.select("problem_id", "status"), "problem_id", "left").select("problem_id", gate.alias("gate"))
+    rows = (problems if asked is None else asked).select("problem_id").join(problems.select("problem_id", F.lit(True).alias("_there")), "problem_id", "left")
+    return rows.join(novelty.select("problem_id", "status"), "problem_id", "left").select("problem_id", gate.alias("gate"))
 
 
 def opportunity_ready(problems: DataFrame, fits: DataFrame, novelty: DataFrame) -> DataFrame:

@@ -680,6 +680,16 @@ def value_gate(spark, d):
     return views.value_gate(bound(spark, d, "problems"), bound(spark, d, "novelty"))
 
 
+@query(twin("problems", "novelty") + """, a AS (SELECT 'prob-' || l_orderkey AS problem_id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 UNION SELECT 'none-' || l_orderkey FROM lineitem WHERE l_orderkey % 40 = 0)
+ SELECT a.problem_id, CASE WHEN p.problem_id IS NULL THEN 'refused: no such problem' WHEN status IS NULL THEN 'not_investigated' WHEN status = 'malformed' THEN 'refused: malformed' WHEN status = 'solved' THEN 'forced' ELSE 'passed' END AS gate
+ FROM a LEFT JOIN problems p USING (problem_id) LEFT JOIN novelty n USING (problem_id)""")
+def value_gate_asked(spark, d):
+    lines = given(spark, d, "lineitem")
+    named = lambda head: F.concat(F.lit(head), "l_orderkey").alias("problem_id")
+    asked = lines.where("l_linenumber = 1 and l_orderkey % 3 = 0").select(named("prob-")).unionByName(lines.where("l_orderkey % 40 = 0").select(named("none-"))).distinct()
+    return views.value_gate(bound(spark, d, "problems"), bound(spark, d, "novelty"), True, asked)
+
+
 @query(twin("problems", "fits", "novelty") + """ SELECT problem_id, CASE WHEN t.problem_revision IS NULL THEN 'no fit' WHEN n.status = 'malformed' THEN 'bad novelty' WHEN t.problem_revision < p.revision THEN 'fit on an older revision' ELSE 'ready' END AS readiness
  FROM problems p LEFT JOIN fits t USING (problem_id) LEFT JOIN novelty n USING (problem_id)""")
 def opportunity_ready(spark, d):
@@ -1013,7 +1023,7 @@ def verify_quotes(spark, d):
     """The title of every page as a quote against its own page and against the next one."""
     p = given(spark, d, "pages")
     text = payloads.pages(p.select("url", "html"))
-    quotes_ = text.select("url", F.substring_index(F.substring("text", 1, 80), " ", 6).alias("quote"))
+    quotes_ = text.select("url", F.substring_index("text", " ", 6).alias("quote"))
     return verify.verify_quotes(quotes_, verify.page_texts(p.select("url", "html")).withColumn("ok", F.lit(True)))
 
 

@@ -9,16 +9,19 @@ def amounts(text, default=None):
 
 
 @pytest.mark.parametrize(("text", "expected"), [
-    ("$1.5M", [(1.5e6, 1.5e6, "USD")]),
-    ("nearly £50m", [(5e7, 5e7, "GBP")]),
-    ("$212,000 — $339,000 USD", [(212e3, 339e3, "USD")]),
-    ("$3.5-4.5m", [(3.5e6, 4.5e6, "USD")]),
-    ("40 million dollars", [(4e7, 4e7, "USD")]),
-    ("10-15 million", [(1e7, 1.5e7, None)]),
-    ("€1.000.000", [(1e6, 1e6, "EUR")]),
-    ("in 2026 we had 12 teams", []),
-    ("1st place, 87.1%", []),
-    ("3.7e-10 M", []),
+    ("a seed round of $7.25M", [(7.25e6, 7.25e6, "USD")]),
+    ("almost £36m in all", [(3.6e7, 3.6e7, "GBP")]),
+    ("between €91,000 – €118,500 EUR", [(91e3, 118.5e3, "EUR")]),
+    ("$6.2-7.8bn", [(6.2e9, 7.8e9, "USD")]),
+    ("12 billion euros", [(1.2e10, 1.2e10, "EUR")]),
+    ("from 22 to 31 mn", [(2.2e7, 3.1e7, None)]),
+    ("€4.250.000 paid", [(4.25e6, 4.25e6, "EUR")]),
+    ("GBP 640 or usd 9k", [(640.0, 640.0, "GBP"), (9e3, 9e3, "USD")]),
+    ("5 USD 6", [(5.0, 5.0, "USD")]),
+    ("since 1998 all 34 crews", []),
+    ("the 22nd of 41, 3.5 percent", []),
+    ("6.1e-4 M per litre", []),
+    ("8m, then x_usd 8", [(8e6, 8e6, None)]),
     ("", []), (None, []),
 ])
 def test_amounts(text, expected):
@@ -26,14 +29,19 @@ def test_amounts(text, expected):
 
 
 def test_default_currency_only_where_none_is_stated():
-    assert amounts("Award ceiling: 250,000", "USD") == [(250e3, 250e3, "USD")]
-    assert amounts("£5k", "USD") == [(5e3, 5e3, "GBP")]
+    assert amounts("up to 73,400 a team", "USD") == [(73.4e3, 73.4e3, "USD")]
+    assert amounts("€8k", "USD") == [(8e3, 8e3, "EUR")]
+
+
+def test_decimals():
+    assert money.decimals("In 2019 the 3rd run rose 4.75 points, or 18 % and 2.5percent; v2.7_1 of x3.1 is 6.") == [(4.75, False), (18.0, True), (2.5, True)]
+    assert money.decimals(None) == []
 
 
 def test_figures(spark):
     rows = spark.createDataFrame(
-        [(0.871, None, "87.1%"), (50.0, None, "0.5"), (0.13, "%", "a share of 13%"), (0.13, "%", "0.13 of all"), (40.0, "USD", "$400"),
-         (4e6, "USD", "$3.5-4.0m"), (4e6, "GBP", "$3.5-4.0m")], "value double, kind string, quote string")
+        [(0.642, None, "64.2%"), (70.0, None, "0.7"), (0.29, "%", "some 29% of it"), (0.29, "%", "0.29 of all"), (60.0, "USD", "$600"),
+         (9e6, "USD", "$7.5-9.0m"), (9e6, "GBP", "$7.5-9.0m")], "value double, kind string, quote string")
     figs = rows.withColumn("f", money.figures_column(F.col("quote")))
     got = figs.select(money.figure_in_quote(F.col("value"), F.col("f"), F.col("kind")).alias("a"), money.stated(F.col("value"), F.col("f")).alias("b")).collect()
     assert [r.a for r in got] == [False, False, True, True, False, True, False]
@@ -42,8 +50,8 @@ def test_figures(spark):
 
 @pytest.mark.parametrize(("quote", "text", "found"), [
     ("“Hello” world", 'say "hello"  world now', True),
-    ("costs $40", "it costs $400", False),
-    ("costs $40.", "it costs $40, at most", True),
+    ("lasts 30", "it lasts 300 days", False),
+    ("lasts 30.", "it lasts 30, at most", True),
     ("the **bold** word", "The bold word", True),
     ("ends here", "it ends\nhere .", True),
     ("...", "...", False),

@@ -44,13 +44,14 @@ def test_budget_pools_sources_without_candidates(spark):
 
 
 def test_problem_score(spark):
-    rows = [("p", 1, "grants-gov-1", "A", "grant", "Award ceiling: 250,000", "2026-11-15"), ("p", 2, "aria-1", "C", "prize", "£50m", "rolling"),
-            ("p", 3, "greenhouse-x", "Q", "hiring", "$150,000 - $339,000", None), ("p", 4, "challenge-x", "B", "prize", "a large prize", "2020-01-01")]
+    rows = [("p", 1, "grants-gov-1", "A", "grant", "at most 81,000", "2026-10-02"), ("p", 2, "aria-1", "C", "prize", "£36m", "rolling"),
+            ("p", 3, "greenhouse-x", "Q", "hiring", "$97,000 - $128,000", None), ("p", 4, "challenge-x", "B", "prize", "a golden cup", "2020-01-01")]
     src = spark.createDataFrame(rows, "problem_id string, pos int, source_id string, tier string, ptype string, stated string, deadline string")
-    r = value.problem_scores(src, F.lit("2026-01-01").cast("date"), rates={"USD": 1.0, "GBP": 1.25}).first()
-    assert (r.sources, r.distinct_source_ids, r.best_tier, r.max_committed_usd) == (4, 4, "A", 62_500_000)
-    assert (r.salary_low_usd, r.salary_high_usd, r.next_deadline, r.all_deadlines_passed) == (150e3, 339e3, "2026-11-15", False)
-    assert (r.payment_types, r.unparsed) == ("grant=1,hiring=1,prize=2", "challenge-x: a large prize")
+    r = value.problem_scores(src, F.lit("2026-01-01").cast("date"), rates={"USD": 1.0, "GBP": 1.5}).first()
+    assert (r.sources, r.distinct_source_ids, r.best_tier, r.max_committed_usd) == (4, 4, "A", 54_000_000)
+    assert (r.salary_low_usd, r.salary_high_usd, r.next_deadline, r.all_deadlines_passed) == (97e3, 128e3, "2026-10-02", False)
+    assert (r.payment_types, r.unparsed) == ("grant=1,hiring=1,prize=2", "challenge-x: a golden cup")
+    assert (r.payment_counts, r.unparsed_stated) == ({"grant": 1, "hiring": 1, "prize": 2}, ["challenge-x: a golden cup"])
 
 
 def board(spark, *rows, metric="Accuracy"):
