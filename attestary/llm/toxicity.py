@@ -221,13 +221,12 @@ def probabilities(texts, model: ChainModel, known: dict[str, tuple[int, ...]] |
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=None, most_labelled: int = 4000) -> ChainModel:
-    """Fit on at most `most_labelled` labelled texts, half of them toxic where there are as many, in the order of a hash
-    of their ids; whole texts, whatever their length."""
+    """Fit on at most `most_labelled` labelled texts, half of them toxic where there are as many and the others to fill up, in
+    the order of a hash of their ids; whole texts, whatever their length."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     order = F.xxhash64("doc_id", F.lit(2))
-    pick = known.where("label = 1").orderBy(order, "doc_id").limit(most_labelled // 2).unionByName(
-        known.where("label = 0").orderBy(order, "doc_id").limit(most_labelled // 2)
-    )
+    toxic = known.where("label = 1").orderBy(order, "doc_id").limit(most_labelled // 2)
+    pick = toxic.unionByName(known.where("label = 0").orderBy(order, "doc_id").limit(most_labelled - toxic.count()))
     rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "text")
     return fit(((r.text, r.label) for r in rows.select("text", "label").toLocalIterator()), categories)
 
