@@ -98,7 +98,8 @@ def classify_changes(spark, d):
     return items.classify(_old(spark, d), _new(spark, d))
 
 
-_UPSERT = """, j AS (SELECT coalesce(one.item_id, two.item_id) AS item_id, one.item_id IS NULL AS is_new, two.item_id IS NULL AS absent, one.hash IS DISTINCT FROM two.hash AS differs,
+_UPSERT = """, j AS (SELECT coalesce(one.item_id, two.item_id) AS item_id, one.item_id IS NULL AS is_new, two.item_id IS NULL AS absent,
+  one.hash IS DISTINCT FROM two.hash AS differs,
    one.finished AS f1, two.finished AS f2, coalesce(one.hash, '') AS h1, two.hash AS h2, one.doc_id AS d1 FROM one FULL JOIN two ON one.item_id = two.item_id),
  w AS (SELECT *, CASE WHEN f1 THEN 'finished' WHEN {done} AND d1 % 3 = 0 THEN 'done' WHEN {done} AND d1 % 4 = 0 THEN 'failed' ELSE 'pending' END AS s1 FROM j),
  up AS (SELECT item_id, CASE WHEN absent THEN f1 WHEN is_new OR differs THEN f2 ELSE f1 OR f2 END AS finished,
@@ -111,7 +112,8 @@ _UPSERT = _UPSERT.replace("{done}", "false")
 
 
 def _table(out):
-    return out.select("item_id", "finished", "revision", "content_hash", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen"), "status")
+    return out.select("item_id", "finished", "revision", "content_hash", F.unix_timestamp("first_seen").alias("first_seen"),
+            F.unix_timestamp("last_seen").alias("last_seen"), "status")
 
 
 _TABLE = " SELECT item_id, finished, revision::INT AS revision, content_hash, first_seen::BIGINT AS first_seen, last_seen::BIGINT AS last_seen, status"
@@ -123,10 +125,13 @@ def upsert_items(spark, d):
     return _table(out).join(out.select("item_id", "extract_error"), "item_id")
 
 
-@query(twin("snapshot_1", "snapshot_2") + _ITEMS + """, many AS (SELECT item_id, hash, finished, 2 AS nth FROM two UNION ALL SELECT item_id, sha256(left(text, 20000) || ' again'), finished, 3 FROM one WHERE doc_id % 4 = 0
+@query(twin("snapshot_1", "snapshot_2") + _ITEMS + """, many AS (SELECT item_id, hash, finished, 2 AS nth FROM two UNION ALL SELECT item_id,
+  sha256(left(text, 20000) || ' again'), finished, 3 FROM one WHERE doc_id % 4 = 0
    UNION ALL SELECT item_id, hash, false, 4 FROM one WHERE doc_id % 8 = 0),
- l AS (SELECT b.*, coalesce(lag(b.hash) OVER (PARTITION BY b.item_id ORDER BY nth), one.hash) AS before, one.item_id IS NULL AS is_new FROM many b LEFT JOIN one USING (item_id))
- SELECT item_id, count_if(before IS DISTINCT FROM hash)::INT + CASE WHEN any_value(is_new) THEN 0 ELSE 1 END::INT AS revision, arg_max(hash, nth) AS content_hash FROM l GROUP BY 1
+ l AS (SELECT b.*, coalesce(lag(b.hash) OVER (PARTITION BY b.item_id ORDER BY nth), one.hash) AS before, one.item_id IS NULL AS is_new
+   FROM many b LEFT JOIN one USING (item_id))
+ SELECT item_id, count_if(before IS DISTINCT FROM hash)::INT + CASE WHEN any_value(is_new) THEN 0 ELSE 1 END::INT AS revision, arg_max(hash,
+   nth) AS content_hash FROM l GROUP BY 1
  UNION ALL SELECT item_id, 1, hash FROM one WHERE item_id NOT IN (SELECT item_id FROM many)""")
 def upsert_repeated(spark, d):
     """A snapshot that holds items several times: each change counts, also back to an earlier content."""
@@ -144,7 +149,8 @@ def status_counts(spark, d):
 
 
 @query(twin("snapshot_1", "snapshot_2") + _ITEMS + """ SELECT one.item_id, one.finished OR coalesce(two.finished, false) AS finished,
- CASE WHEN one.finished OR (coalesce(two.finished, false) AND NOT one.doc_id % 3 = 0 AND NOT one.doc_id % 4 = 0) THEN 'finished' WHEN one.doc_id % 3 = 0 THEN 'done' WHEN one.doc_id % 4 = 0 THEN 'failed' ELSE 'pending' END AS status
+ CASE WHEN one.finished OR (coalesce(two.finished, false) AND NOT one.doc_id % 3 = 0 AND NOT one.doc_id % 4 = 0) THEN 'finished'
+   WHEN one.doc_id % 3 = 0 THEN 'done' WHEN one.doc_id % 4 = 0 THEN 'failed' ELSE 'pending' END AS status
  FROM one LEFT JOIN two USING (item_id)""")
 def mark_finished(spark, d):
     found = items.newly_finished(_new(spark, d), _worked(spark, d))
@@ -161,22 +167,27 @@ def status_only(spark, d):
     return items.newly_finished(_new(spark, d), _old(spark, d)).select("doc_id")
 
 
-@query("""SELECT p_partkey, regexp_matches(p_type, CASE WHEN p_size % 2 = 0 THEN '(?i)promo|economy' ELSE '.' END) AND NOT regexp_matches(p_type, '(?i)tin$') AS kept FROM part""")
+@query("""SELECT p_partkey, regexp_matches(p_type, CASE WHEN p_size % 2 = 0 THEN '(?i)promo|economy' ELSE '.' END)
+  AND NOT regexp_matches(p_type, '(?i)tin$') AS kept FROM part""")
 def title_filter(spark, d):
     p = given(spark, d, "part").withColumn("title", F.col("p_type"))
     include = F.when(F.col("p_size") % 2 == 0, "(?i)promo|economy")
     return items.title_filter(p, include, F.lit("(?i)tin$")).select("p_partkey", "kept")
 
 
-@query(twin("snapshot_1", "snapshot_2") + _ITEMS + _UPSERT + """, tiers AS (SELECT 'src' || n_nationkey AS source_id, chr(65 + n_nationkey % 5) AS tier FROM nation WHERE n_nationkey < 15)
- SELECT up.item_id, src.source_id, coalesce(tier, 'Z') AS tier FROM up JOIN (SELECT item_id, source_id FROM one UNION SELECT item_id, source_id FROM two) src USING (item_id)
+@query(twin("snapshot_1", "snapshot_2") + _ITEMS + _UPSERT + """, tiers AS (SELECT 'src' || n_nationkey AS source_id,
+  chr(65 + n_nationkey % 5) AS tier FROM nation WHERE n_nationkey < 15)
+ SELECT up.item_id, src.source_id, coalesce(tier, 'Z') AS tier FROM up JOIN (SELECT item_id, source_id FROM one UNION SELECT item_id, source_id
+   FROM two) src USING (item_id)
  LEFT JOIN tiers USING (source_id) WHERE NOT finished ORDER BY coalesce(tier, 'Z'), first_seen, item_id LIMIT 100""")
 def extraction_queue(spark, d):
-    tiers = given(spark, d, "nation").where("n_nationkey < 15").select(F.concat(F.lit("src"), "n_nationkey").alias("source_id"), F.char(F.col("n_nationkey") % 5 + 65).alias("tier"))
+    tiers = given(spark, d, "nation").where("n_nationkey < 15").select(F.concat(F.lit("src"), "n_nationkey").alias("source_id"),
+            F.char(F.col("n_nationkey") % 5 + 65).alias("tier"))
     return items.queue(items.upsert(_old(spark, d), _new(spark, d), _t(1)), tiers, 100).drop("first_seen")
 
 
-@query("""SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 5 = 0 THEN 'pending' WHEN o_orderkey % 7 > 1 THEN 'done' WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'pending' END AS status,
+@query("""SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 5 = 0 THEN 'pending' WHEN o_orderkey % 7 > 1 THEN 'done'
+  WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'pending' END AS status,
  CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 THEN 'invalid_request_error' END AS error FROM orders WHERE o_orderkey % 2 = 0""")
 def batch_reconcile(spark, d):
     o = given(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"))
@@ -197,7 +208,8 @@ _LINKS = "list_transform(range(0, page_id % 4 + 1), lambda i: 'https://l.example
 
 def _linked(spark, d):
     link = lambda i: F.concat(F.lit("https://l.example/"), (F.col("page_id") + i) % 7)
-    return given(spark, d, "pages").select(F.col("page_id").alias("item_id"), F.transform(F.sequence(F.lit(0), (F.col("page_id") % 4).cast("int")), link).alias("links"), F.timestamp_seconds("page_id").alias("first_seen"))
+    return given(spark, d, "pages").select(F.col("page_id").alias("item_id"), F.transform(F.sequence(F.lit(0), (F.col("page_id") % 4).cast("int")),
+            link).alias("links"), F.timestamp_seconds("page_id").alias("first_seen"))
 
 
 @query(f"SELECT page_id AS item_id, (unnest(range(0, page_id % 4 + 1)))::INT AS pos, unnest({_LINKS}) AS link FROM pages WHERE page_id >= 100")
@@ -215,7 +227,8 @@ def _ordered_distinct(rows):
     return rows.select("item_id", F.array_join(F.array_distinct(F.concat("links", "links")), " ").alias("links"))
 
 
-@query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 3 <> 0) SELECT doc_id, source FROM t WHERE rn <= 5""")
+@query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 3 <> 0) SELECT doc_id,
+  source FROM t WHERE rn <= 5""")
 def capped_per_source(spark, d):
     docs = given(spark, d, "documents").select("doc_id", "source")
     fresh = docs.join(docs.where("doc_id % 3 = 0").select("doc_id"), "doc_id", "left_anti")
@@ -235,8 +248,10 @@ def length_violations(spark, d):
  SELECT 'cand-' || o_orderkey || '-r1-' || idx AS candidate_id, CASE idx WHEN 0 THEN 'u1 u2' WHEN 1 THEN 'u2' ELSE 'u3 u2' END AS urls,
    1 AS n_unresolved, round_even((o_orderkey % 1000) / (o_orderkey % 3 + 1)::DOUBLE, 0)::BIGINT AS tokens FROM e""")
 def explode_candidates(spark, d):
-    o = given(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.lit(1).alias("revision"), F.array(F.lit("u1"), F.lit("u2"), F.lit("u3")).alias("links"), (F.col("o_orderkey") % 1000).alias("output_tokens"),
-        F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")), lambda i: F.struct(i.cast("string").alias("statement"), F.array(i + 1, i + 1, F.lit(2), F.lit(9)).alias("refs"))).alias("found"))
+    o = given(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.lit(1).alias("revision"), F.array(F.lit("u1"), F.lit("u2"),
+            F.lit("u3")).alias("links"), (F.col("o_orderkey") % 1000).alias("output_tokens"),
+        F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")), lambda i: F.struct(i.cast("string").alias("statement"),
+                F.array(i + 1, i + 1, F.lit(2), F.lit(9)).alias("refs"))).alias("found"))
     return cand.explode_answers(o).select("candidate_id", F.array_join("urls", " ").alias("urls"), F.size("unresolved").alias("n_unresolved"), "tokens")
 
 
@@ -246,7 +261,8 @@ def invalid_refs(spark, d):
     return given(spark, d, "orders").select("o_orderkey", F.array_join(cand.bad_refs(refs, F.lit(4)), ",").alias("bad"))
 
 
-@query(twin("candidates", "item_state") + """ SELECT candidate_id, CASE WHEN i.doc_id IS NULL THEN 'failure' WHEN i.finished THEN 'finished' WHEN i.revision <> c.revision THEN 'superseded' ELSE 'eligible' END AS outcome
+@query(twin("candidates", "item_state") + """ SELECT candidate_id, CASE WHEN i.doc_id IS NULL THEN 'failure' WHEN i.finished THEN 'finished'
+  WHEN i.revision <> c.revision THEN 'superseded' ELSE 'eligible' END AS outcome
  FROM candidates c LEFT JOIN item_state i USING (doc_id)""")
 def candidate_outcome(spark, d):
     return cand.outcome(bound(spark, d, "candidates"), bound(spark, d, "item_state"), "doc_id").select("candidate_id", "outcome")
@@ -264,15 +280,19 @@ def candidate_view(spark, d):
     return rows.select("candidate_id", "problem_id", "decision", "processed")
 
 
-@query(twin("candidates", "processed", "item_state") + """ SELECT candidate_id, category FROM candidates c LEFT JOIN processed USING (candidate_id) LEFT JOIN item_state i USING (doc_id)
+@query(twin("candidates", "processed", "item_state") + """ SELECT candidate_id, category FROM candidates c LEFT
+  JOIN processed USING (candidate_id) LEFT JOIN item_state i USING (doc_id)
  WHERE decision IS NULL AND NOT i.finished AND i.revision = c.revision AND category = 'BUILDING'""")
 def candidates_due(spark, d):
-    rows = cand.candidate_view(bound(spark, d, "candidates"), bound(spark, d, "processed"), category="BUILDING", is_processed=False, items=bound(spark, d, "item_state"), due=True)
+    rows = cand.candidate_view(bound(spark, d, "candidates"), bound(spark, d, "processed"), category="BUILDING", is_processed=False,
+            items=bound(spark, d, "item_state"), due=True)
     return rows.select("candidate_id", "category")
 
 
-@query(twin("candidates", "processed") + """, a AS (SELECT candidate_id FROM candidates WHERE day < 5 UNION ALL SELECT 'cand-none-' || day FROM candidates WHERE doc_id < 5)
- SELECT a.candidate_id, CASE WHEN c.candidate_id IS NULL THEN 'unknown' ELSE 'already processed' END AS why FROM a LEFT JOIN candidates c USING (candidate_id) LEFT JOIN processed p USING (candidate_id)
+@query(twin("candidates", "processed") + """, a AS (SELECT candidate_id FROM candidates WHERE day < 5 UNION ALL SELECT 'cand-none-' || day
+  FROM candidates WHERE doc_id < 5)
+ SELECT a.candidate_id, CASE WHEN c.candidate_id IS NULL THEN 'unknown' ELSE 'already processed' END AS why FROM a LEFT
+   JOIN candidates c USING (candidate_id) LEFT JOIN processed p USING (candidate_id)
  WHERE c.candidate_id IS NULL OR p.candidate_id IS NOT NULL""")
 def unusable_candidates(spark, d):
     c = bound(spark, d, "candidates")
@@ -291,9 +311,11 @@ def candidate_order(spark, d):
     return bound(spark, d, "candidates").orderBy(*cand.work_order()).limit(40).select("candidate_id", "tier")
 
 
-@query(twin("candidates", "item_state", "processed") + """, o AS (SELECT c.*, CASE WHEN i.doc_id IS NULL THEN 'failure' WHEN i.finished THEN 'finished' WHEN i.revision <> c.revision THEN 'superseded' ELSE 'eligible' END AS outcome
+@query(twin("candidates", "item_state", "processed") + """, o AS (SELECT c.*, CASE WHEN i.doc_id IS NULL THEN 'failure'
+  WHEN i.finished THEN 'finished' WHEN i.revision <> c.revision THEN 'superseded' ELSE 'eligible' END AS outcome
   FROM candidates c LEFT JOIN item_state i USING (doc_id))
- SELECT count(*) AS processed, count_if(decision = 'new') AS new, count_if(decision = 'merged') AS merged, count_if(outcome = 'superseded') AS superseded, count_if(outcome = 'finished') AS finished,
+ SELECT count(*) AS processed, count_if(decision = 'new') AS new, count_if(decision = 'merged') AS merged,
+   count_if(outcome = 'superseded') AS superseded, count_if(outcome = 'finished') AS finished,
   count_if(outcome = 'failure') AS failures, sum(output_tokens) / count(*) AS tokens_per_candidate FROM o LEFT JOIN processed USING (candidate_id)""")
 def merge_report(spark, d):
     return cand.merge_report(bound(spark, d, "candidates"), bound(spark, d, "item_state"), bound(spark, d, "processed"), "doc_id")
@@ -306,7 +328,8 @@ def merge_report(spark, d):
 def due_sources(spark, d):
     s = given(spark, d, "supplier").join(given(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     s = s.select("s_suppkey", F.col("n_regionkey").alias("category"), F.when(F.col("s_suppkey") % 6 == 0, "retired").otherwise("active").alias("status"),
-        F.when(F.col("s_suppkey") % 4 != 0, F.timestamp_seconds(1704067200 + F.col("s_suppkey") % 5 * 3600 * 7)).alias("last_scanned"), ((F.col("s_suppkey") % 3 + 1) * 8).alias("cadence_hours"))
+        F.when(F.col("s_suppkey") % 4 != 0, F.timestamp_seconds(1704067200 + F.col("s_suppkey") % 5 * 3600 * 7)).alias("last_scanned"),
+                ((F.col("s_suppkey") % 3 + 1) * 8).alias("cadence_hours"))
     cats = given(spark, d, "region").select(F.col("r_regionkey").alias("category"), F.lit("A").alias("tier"), (F.col("r_regionkey") != 3).alias("enabled"))
     return sources.due(s, cats, F.timestamp_seconds(F.lit(1704153600))).select("s_suppkey")
 
@@ -317,7 +340,8 @@ def scan_stats(spark, d):
     return sources.scan_stats(bound(spark, d, "scan_log"))
 
 
-_HEALTH = """, r AS (SELECT *, count_if(outcome <> 'failed') OVER w AS ok, count_if(outcome = 'candidate') OVER w AS candidates, count(*) OVER w AS scans, sum(CASE WHEN outcome <> 'failed' THEN n_items ELSE 0 END) OVER w::BIGINT AS items_seen
+_HEALTH = """, r AS (SELECT *, count_if(outcome <> 'failed') OVER w AS ok, count_if(outcome = 'candidate') OVER w AS candidates,
+  count(*) OVER w AS scans, sum(CASE WHEN outcome <> 'failed' THEN n_items ELSE 0 END) OVER w::BIGINT AS items_seen
    FROM scan_log WINDOW w AS (PARTITION BY source_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
  h AS (SELECT *, count_if(outcome = 'failed') OVER (PARTITION BY source_id, ok ORDER BY seq ROWS UNBOUNDED PRECEDING) AS consecutive_failures,
    count_if(outcome IN ('new', 'changed')) OVER (PARTITION BY source_id, candidates ORDER BY seq ROWS UNBOUNDED PRECEDING) AS dry_scans FROM r)"""
@@ -328,8 +352,10 @@ def source_health(spark, d):
     return sources.health(bound(spark, d, "scan_log")).select("source_id", "seq", "scans", "items_seen", "consecutive_failures", "candidates", "dry_scans")
 
 
-@query(twin("scan_log") + _HEALTH + """, l AS (SELECT *, CASE user_id % 3 WHEN 0 THEN 'candidate' WHEN 1 THEN 'active' ELSE 'retired' END AS status FROM h QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) = 1)
- SELECT source_id, CASE WHEN status = 'retired' THEN 'stays' WHEN consecutive_failures >= 1 THEN 'retired: failing' WHEN status = 'candidate' AND candidates > 0 THEN 'active: has a yield'
+@query(twin("scan_log") + _HEALTH + """, l AS (SELECT *, CASE user_id % 3 WHEN 0 THEN 'candidate'
+  WHEN 1 THEN 'active' ELSE 'retired' END AS status FROM h QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) = 1)
+ SELECT source_id, CASE WHEN status = 'retired' THEN 'stays' WHEN consecutive_failures >= 1 THEN 'retired: failing' WHEN status = 'candidate'
+   AND candidates > 0 THEN 'active: has a yield'
   WHEN status = 'candidate' AND scans >= 5 THEN 'retired: no yield' WHEN status = 'active' AND dry_scans >= 2 THEN 'retired: dry' ELSE 'stays' END AS rule FROM l""")
 def lifecycle(spark, d):
     last = sources.latest(sources.health(bound(spark, d, "scan_log")))
@@ -343,11 +369,13 @@ def extract_stats(spark, d):
     return sources.extract_stats(bound(spark, d, "candidates").select("source_id", (F.col("day") % 3).alias("candidates"), "output_tokens"))
 
 
-@query(twin("candidates") + """, s AS (SELECT source_id, sum(output_tokens) AS t, sum(CASE WHEN day % 3 = 0 THEN output_tokens ELSE 0 END) AS e, sum(day % 3) AS n FROM candidates GROUP BY 1),
+@query(twin("candidates") + """, s AS (SELECT source_id, sum(output_tokens) AS t, sum(CASE WHEN day % 3 = 0 THEN output_tokens ELSE 0 END) AS e,
+  sum(day % 3) AS n FROM candidates GROUP BY 1),
  p AS (SELECT source_id, (t - e) / n AS ratio FROM s WHERE n > 0 UNION ALL SELECT 'ALL', sum(t - e) / sum(n) FROM s) SELECT source_id, ratio FROM p WHERE ratio > 900""")
 def budget_violations(spark, d):
     empty = F.sum(F.when(F.col("day") % 3 == 0, F.col("output_tokens")).otherwise(0))
-    s = bound(spark, d, "candidates").groupBy("source_id").agg(F.sum("output_tokens").alias("output_tokens"), empty.alias("empty_output_tokens"), F.sum(F.col("day") % 3).alias("candidates"))
+    s = bound(spark, d, "candidates").groupBy("source_id").agg(F.sum("output_tokens").alias("output_tokens"), empty.alias("empty_output_tokens"),
+            F.sum(F.col("day") % 3).alias("candidates"))
     return sources.over_budget(s, 900)
 
 
@@ -377,7 +405,8 @@ def profile_digest(spark, d):
 @query("""SELECT 'greenhouse-' || n_nationkey AS source_id, 'https://boards-api.greenhouse.io/v1/boards/' || n_nationkey || '/jobs?content=true' AS api, min(p_partkey) AS origin
  FROM part JOIN nation ON n_nationkey = p_partkey % 25 WHERE n_nationkey >= 5 GROUP BY n_nationkey""")
 def discover_jobboards(spark, d):
-    links = given(spark, d, "part").select(F.concat(F.lit("https://boards.greenhouse.io/"), F.col("p_partkey") % 25, F.lit("/jobs/"), "p_partkey").alias("url"), F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("at"))
+    links = given(spark, d, "part").select(F.concat(F.lit("https://boards.greenhouse.io/"), F.col("p_partkey") % 25, F.lit("/jobs/"),
+            "p_partkey").alias("url"), F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("at"))
     known = given(spark, d, "nation").where("n_nationkey < 5").select(F.concat(F.lit("greenhouse-"), "n_nationkey").alias("source_id"))
     return discover.job_boards(links, known)
 
@@ -386,7 +415,8 @@ _HOST = r"regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.'
 
 
 @query(f"""WITH h AS (SELECT {_HOST} AS host, page_id, url FROM pages), k AS (SELECT DISTINCT host FROM h WHERE page_id % 10 = 0)
- SELECT host, min(page_id) AS at FROM h WHERE host NOT IN (SELECT host FROM k) AND NOT host LIKE 'm.%' AND NOT regexp_matches(host, '(^|[.])example[.]org$') GROUP BY 1""")
+ SELECT host, min(page_id) AS at FROM h WHERE host NOT IN (SELECT host FROM k) AND NOT host LIKE 'm.%'
+   AND NOT regexp_matches(host, '(^|[.])example[.]org$') GROUP BY 1""")
 def discover_unmapped(spark, d):
     links = given(spark, d, "pages").select("url", F.col("page_id").alias("at"))
     known = links.where("at % 10 = 0").select(urls.host(F.col("url")).alias("host")).distinct()
@@ -395,13 +425,17 @@ def discover_unmapped(spark, d):
 
 # ---- problems and value
 
-_USD = """, u AS (SELECT *, CASE WHEN stated = '' THEN NULL WHEN l_linenumber % 4 = 0 THEN floor(l_extendedprice / 1000) * 1000.0 WHEN l_linenumber % 4 = 1 THEN l_quantity * 1e6 * 1.27
+_USD = """, u AS (SELECT *, CASE WHEN stated = '' THEN NULL WHEN l_linenumber % 4 = 0 THEN floor(l_extendedprice / 1000) * 1000.0
+  WHEN l_linenumber % 4 = 1 THEN l_quantity * 1e6 * 1.27
    WHEN l_linenumber % 4 = 2 AND l_suppkey % 4 = 0 THEN l_quantity * 1000.0 WHEN l_linenumber % 4 = 2 AND l_suppkey % 4 = 1 THEN l_quantity * 1000.0 * 1.27 END AS usd,
    CASE WHEN deadline <> 'rolling' THEN deadline END AS day FROM problem_sources)"""
-_SCORES = twin("problem_sources") + _USD + """, types AS (SELECT problem_id, string_agg(ptype || '=' || n, ',' ORDER BY ptype || '=' || n) AS payment_types FROM (SELECT problem_id, ptype, count(*) AS n FROM u GROUP BY ALL) GROUP BY 1),
+_SCORES = twin("problem_sources") + _USD + """, types AS (SELECT problem_id, string_agg(ptype || '=' || n, ','
+  ORDER BY ptype || '=' || n) AS payment_types FROM (SELECT problem_id, ptype, count(*) AS n FROM u GROUP BY ALL) GROUP BY 1),
  s AS (SELECT problem_id, count(*) AS sources, count(DISTINCT source_id)::INT AS distinct_source_ids, min(tier) AS best_tier,
-  max(usd) FILTER (ptype IN ('grant', 'prize', 'contract')) AS max_committed_usd, min(usd) FILTER (ptype = 'hiring') AS salary_low_usd, max(usd) FILTER (ptype = 'hiring') AS salary_high_usd,
-  min(day) FILTER (day >= '1996-01-01') AS next_deadline, count(deadline) > 0 AND coalesce(bool_and(coalesce(day < '1996-01-01', false)) FILTER (deadline IS NOT NULL), false) AS all_deadlines_passed,
+  max(usd) FILTER (ptype IN ('grant', 'prize', 'contract')) AS max_committed_usd, min(usd) FILTER (ptype = 'hiring') AS salary_low_usd,
+    max(usd) FILTER (ptype = 'hiring') AS salary_high_usd,
+  min(day) FILTER (day >= '1996-01-01') AS next_deadline, count(deadline) > 0 AND coalesce(bool_and(coalesce(day < '1996-01-01',
+    false)) FILTER (deadline IS NOT NULL), false) AS all_deadlines_passed,
   coalesce(string_agg(source_id || ': ' || stated, '; ' ORDER BY pos) FILTER (stated <> '' AND usd IS NULL), '') AS unparsed FROM u GROUP BY 1)
  SELECT s.*, payment_types FROM s JOIN types USING (problem_id)"""
 
@@ -426,19 +460,24 @@ def default_currency(spark, d):
     return bound(spark, d, "problem_sources").select("problem_id", "pos", value.default_currency(F.col("source_id")).alias("currency"))
 
 
-@query(twin("problem_sources") + """ SELECT problem_id, CASE WHEN min(deadline) FILTER (deadline <> 'rolling' AND deadline >= '1996-01-01') IS NOT NULL THEN min(deadline) FILTER (deadline <> 'rolling' AND deadline >= '1996-01-01') END AS next_deadline,
+@query(twin("problem_sources") + """ SELECT problem_id, CASE WHEN min(deadline) FILTER (deadline <> 'rolling'
+  AND deadline >= '1996-01-01') IS NOT NULL THEN min(deadline) FILTER (deadline <> 'rolling' AND deadline >= '1996-01-01') END AS next_deadline,
  coalesce(bool_and(deadline <> 'rolling' AND deadline < '1996-01-01'), false) AS all_deadlines_passed FROM problem_sources GROUP BY 1""")
 def deadline_summary(spark, d):
     return bound(spark, d, "problem_sources").groupBy("problem_id").agg(*value.deadlines(F.expr(AS_OF)))
 
 
-@query(twin("problem_sources") + """, l AS (SELECT *, CASE WHEN ptype <> 'none_stated' THEN replace(ptype, 'investor_thesis', 'investor thesis') || CASE WHEN stated <> '' THEN ': ' || stated ELSE '' END END AS label FROM problem_sources)
- SELECT problem_id, arg_min(tier, tier || lpad(pos::VARCHAR, 9, '0')) AS best_tier, coalesce(arg_min(label, pos) FILTER (label IS NOT NULL AND stated <> ''), arg_min(label, pos) FILTER (label IS NOT NULL), '-') AS payment FROM l GROUP BY 1""")
+@query(twin("problem_sources") + """, l AS (SELECT *, CASE
+  WHEN ptype <> 'none_stated' THEN replace(ptype, 'investor_thesis', 'investor thesis') || CASE
+    WHEN stated <> '' THEN ': ' || stated ELSE '' END END AS label FROM problem_sources)
+ SELECT problem_id, arg_min(tier, tier || lpad(pos::VARCHAR, 9, '0')) AS best_tier, coalesce(arg_min(label, pos) FILTER (label IS NOT NULL
+   AND stated <> ''), arg_min(label, pos) FILTER (label IS NOT NULL), '-') AS payment FROM l GROUP BY 1""")
 def best_tier_payment(spark, d):
     return problems.best_tier_payment(bound(spark, d, "problem_sources"), value.tier_rank(F.col("tier")))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE l_suppkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'USD/year' WHEN 2 THEN 'USD/incident' END AS usd_unit, (CASE l_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.27 WHEN 2 THEN 1.08 END)::DOUBLE AS rate,
+@query("""SELECT l_orderkey, l_linenumber, CASE l_suppkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'USD/year'
+  WHEN 2 THEN 'USD/incident' END AS usd_unit, (CASE l_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.27 WHEN 2 THEN 1.08 END)::DOUBLE AS rate,
  CASE l_suppkey % 4 WHEN 1 THEN 'year' WHEN 2 THEN 'incident' END AS period FROM lineitem""")
 def money_units(spark, d):
     unit = F.element_at(F.array(F.lit("USD"), F.lit(" gbp / Year"), F.lit("EUR per incident"), F.lit("CHF/year")), (F.col("l_suppkey") % 4 + 1).cast("int"))
@@ -450,7 +489,8 @@ def unit_consistency(spark, d):
     return value.unit_consistency(bound(spark, d, "estimates")).select("problem_id", "quantity", "pos", "unit", "unit_ok", "low", "high")
 
 
-_EST = """, e AS (SELECT problem_id, quantity, min(low) AS low, max(high) AS high, min(unit) AS unit, CASE WHEN bool_or(cited) THEN 'supported' ELSE 'assumption_only' END AS status, count(*) AS basis FROM estimates GROUP BY 1, 2)"""
+_EST = """, e AS (SELECT problem_id, quantity, min(low) AS low, max(high) AS high, min(unit) AS unit, CASE
+  WHEN bool_or(cited) THEN 'supported' ELSE 'assumption_only' END AS status, count(*) AS basis FROM estimates GROUP BY 1, 2)"""
 
 
 @query(twin("estimates") + _EST + " SELECT * FROM e")
@@ -462,8 +502,11 @@ _P = lambda c, q: f"max({c}) FILTER (quantity = '{q}')"
 _QS = value.MODELS["incident"]
 
 
-@query(twin("estimates") + _EST + f""", p AS (SELECT problem_id, {' * '.join(_P('low', x) for x in _QS)} AS value_low, {' * '.join(_P('high', x) for x in _QS)} AS value_high, count(*) AS n, bool_and(status = 'supported') AS ok FROM e GROUP BY 1)
- SELECT problem_id, value_low, value_high, CASE WHEN n = 4 THEN CASE WHEN ok THEN 'supported' ELSE 'assumption_only' END END AS status, CASE WHEN n = 4 THEN 'incident' END AS model FROM p""")
+@query(twin("estimates") + _EST + f""",
+  p AS (SELECT problem_id, {' * '.join(_P('low', x) for x in _QS)} AS value_low, {' * '.join(_P('high', x) for x in _QS)} AS value_high,
+    count(*) AS n, bool_and(status = 'supported') AS ok FROM e GROUP BY 1)
+ SELECT problem_id, value_low, value_high, CASE WHEN n = 4 THEN CASE WHEN ok THEN 'supported' ELSE 'assumption_only' END END AS status, CASE
+   WHEN n = 4 THEN 'incident' END AS model FROM p""")
 def potential_value(spark, d):
     return value.potential_value(value.estimates(bound(spark, d, "estimates")))
 
@@ -480,9 +523,11 @@ def _tfidf_sql() -> str:
  i AS (SELECT term, ln(total / (1 + df)) + 1 AS idf, ln(total / (2 + df)) + 1 AS idf_q FROM df, tot),
  n AS (SELECT doc_id, sum((n * idf) ** 2) AS norm FROM d JOIN i USING (term) GROUP BY 1),
  qn AS (SELECT query_id, sum((qn * (ln(total / (2 + coalesce(df, 0))) + 1)) ** 2) AS q_norm FROM q CROSS JOIN tot LEFT JOIN df USING (term) GROUP BY 1),
- p AS (SELECT query_id, doc_id, sum(qn * n * idf_q ** 2) AS dot, sum(n ** 2 * (idf_q ** 2 - idf ** 2)) AS more FROM q JOIN d USING (term) JOIN i USING (term) GROUP BY ALL),
+ p AS (SELECT query_id, doc_id, sum(qn * n * idf_q ** 2) AS dot, sum(n ** 2 * (idf_q ** 2 - idf ** 2)) AS more FROM q JOIN d USING (term)
+   JOIN i USING (term) GROUP BY ALL),
  s AS (SELECT query_id, doc_id, round(dot / sqrt(q_norm * (norm + more)), 12) AS score FROM p JOIN n USING (doc_id) JOIN qn USING (query_id))
- SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 5"""
+ SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s
+   WHERE score > 0 QUALIFY rank <= 5"""
 
 
 def _shortlist(docs):
@@ -495,33 +540,42 @@ def shortlist(spark, d):
     return _shortlist(given(spark, d, "documents"))
 
 
-@query(twin("candidates") + """, m AS (SELECT *, CASE WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN 'prob-' || (doc_id % 20) ELSE 'prob-' || replace(candidate_id, 'cand-', '') END AS problem_id, doc_id % 3 = 1 AND doc_id % 2 = 1 AS invalid FROM candidates)
- SELECT problem_id, count(*) AS revision, arg_min(statement, doc_id) AS statement, string_agg(candidate_id, ',' ORDER BY doc_id) AS sources, count_if(invalid) AS invalid_merges FROM m GROUP BY 1""")
+@query(twin("candidates") + """, m AS (SELECT *, CASE WHEN doc_id % 3 = 1
+  AND doc_id % 2 = 0 THEN 'prob-' || (doc_id % 20) ELSE 'prob-' || replace(candidate_id, 'cand-', '') END AS problem_id, doc_id % 3 = 1
+    AND doc_id % 2 = 1 AS invalid FROM candidates)
+ SELECT problem_id, count(*) AS revision, arg_min(statement, doc_id) AS statement, string_agg(candidate_id, ',' ORDER BY doc_id) AS sources,
+   count_if(invalid) AS invalid_merges FROM m GROUP BY 1""")
 def merge_problems(spark, d):
     c = bound(spark, d, "candidates").withColumn("seq", F.col("doc_id"))
     target = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("prob-"), F.col("doc_id") % 20))
-    answers = c.select("candidate_id", target.alias("merge_with"), F.when(F.col("doc_id") % 2 == 0, F.array(target)).otherwise(F.array().cast("array<string>")).alias("shortlist"))
+    answers = c.select("candidate_id", target.alias("merge_with"), F.when(F.col("doc_id") % 2 == 0,
+            F.array(target)).otherwise(F.array().cast("array<string>")).alias("shortlist"))
     out = problems.merge(c.select("candidate_id", "statement", "source_id", "seq"), answers)
     return out.withColumn("sources", F.array_join("sources.candidate_id", ","))
 
 
-@query(twin("candidates", "problems") + """, m AS (SELECT c.*, doc_id % 3 = 1 AS asked, doc_id % 3 = 1 AND doc_id % 2 = 0 AND p.problem_id IS NOT NULL AS ok FROM candidates c LEFT JOIN problems p ON p.problem_id = 'prob-' || (doc_id % 20)),
- n AS (SELECT CASE WHEN ok THEN 'prob-' || (doc_id % 20) ELSE 'prob-' || replace(candidate_id, 'cand-', '') END AS problem_id, count(*) AS n, arg_min(m.statement, doc_id) AS statement, string_agg(candidate_id, ',' ORDER BY doc_id) AS sources,
+@query(twin("candidates", "problems") + """, m AS (SELECT c.*, doc_id % 3 = 1 AS asked, doc_id % 3 = 1 AND doc_id % 2 = 0
+  AND p.problem_id IS NOT NULL AS ok FROM candidates c LEFT JOIN problems p ON p.problem_id = 'prob-' || (doc_id % 20)),
+ n AS (SELECT CASE WHEN ok THEN 'prob-' || (doc_id % 20) ELSE 'prob-' || replace(candidate_id, 'cand-', '') END AS problem_id, count(*) AS n,
+   arg_min(m.statement, doc_id) AS statement, string_agg(candidate_id, ',' ORDER BY doc_id) AS sources,
   string_agg(CASE WHEN ok THEN 'merged' ELSE 'new' END, ',' ORDER BY doc_id) AS log, count_if(asked AND NOT ok) AS invalid_merges FROM m GROUP BY 1)
  SELECT coalesce(p.problem_id, n.problem_id) AS problem_id, coalesce(p.revision, 0) + coalesce(n.n, 0) AS revision, coalesce(p.statement, n.statement) AS statement,
- concat_ws(',', replace(p.problem_id, 'prob-', 'cand-'), n.sources) AS sources, concat_ws(',', CASE WHEN p.problem_id IS NOT NULL THEN 'new' END, n.log) AS log, coalesce(n.invalid_merges, 0) AS invalid_merges
+ concat_ws(',', replace(p.problem_id, 'prob-', 'cand-'), n.sources) AS sources, concat_ws(',', CASE WHEN p.problem_id IS NOT NULL THEN 'new' END,
+   n.log) AS log, coalesce(n.invalid_merges, 0) AS invalid_merges
  FROM problems p FULL JOIN n ON n.problem_id = p.problem_id""")
 def merge_problems_stored(spark, d):
     """A second increment: the candidates merge into problems that are stored with one source and log entry each."""
     c = bound(spark, d, "candidates").withColumn("seq", F.col("doc_id"))
     target = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("prob-"), F.col("doc_id") % 20))
     listed = F.when(F.col("doc_id") % 2 == 0, F.array(target)).otherwise(F.array().cast("array<string>"))
-    answers = c.select("candidate_id", target.alias("merge_with"), listed.alias("shortlist"), F.lit("same subject").alias("reason"), F.lit(None).cast("boolean").alias("evidence_verified"))
+    answers = c.select("candidate_id", target.alias("merge_with"), listed.alias("shortlist"), F.lit("same subject").alias("reason"),
+            F.lit(None).cast("boolean").alias("evidence_verified"))
     old, no = F.regexp_replace("problem_id", "^prob-", "cand-").alias("candidate_id"), F.lit(None).cast("boolean").alias("evidence_verified")
     log = F.array(F.struct(old, F.lit("new").alias("decision"), F.lit("first").alias("reason"), no)).alias("merge_log")
     stored = bound(spark, d, "problems").select("problem_id", "revision", "statement", no, F.array(F.struct(old, F.lit("old").alias("source_id"))).alias("sources"), log)
     out = problems.merge_stored(c.select("candidate_id", "statement", "source_id", "seq"), answers, stored)
-    return out.select("problem_id", "revision", "statement", F.array_join("sources.candidate_id", ",").alias("sources"), F.array_join("merge_log.decision", ",").alias("log"), "invalid_merges")
+    return out.select("problem_id", "revision", "statement", F.array_join("sources.candidate_id", ",").alias("sources"),
+            F.array_join("merge_log.decision", ",").alias("log"), "invalid_merges")
 
 
 # ---- verification
@@ -537,7 +591,8 @@ def _quotes(spark, d, name):
 
 
 #: Documents d with a benchmark item b each, as _dealt gives them.
-_DEALT = """documents d CROSS JOIN (SELECT count(*) AS n FROM benchmark) c JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS turn FROM benchmark) b ON b.turn = d.doc_id % c.n"""
+_DEALT = """documents d CROSS JOIN (SELECT count(*) AS n FROM benchmark) c JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS turn
+  FROM benchmark) b ON b.turn = d.doc_id % c.n"""
 
 
 def _dealt(spark, d, docs, name):
@@ -563,7 +618,8 @@ def _verify_quotes_plain(docs, asked):
 
 @query("SELECT l_orderkey AS problem_id, round_even(avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END), 2) AS verified_fraction FROM lineitem GROUP BY 1")
 def verified_fraction(spark, d):
-    rows = given(spark, d, "lineitem").select(F.col("l_orderkey").alias("problem_id"), F.when(F.col("l_returnflag") == "N", "verified").otherwise("quote_not_found").alias("status"))
+    rows = given(spark, d, "lineitem").select(F.col("l_orderkey").alias("problem_id"), F.when(F.col("l_returnflag") == "N",
+            "verified").otherwise("quote_not_found").alias("status"))
     return verify.verified_fraction(rows)
 
 
@@ -583,7 +639,8 @@ def unsupported_claims(spark, d):
 
 # ---- challenges
 
-@query(twin("board") + """ SELECT challenge_id, pos, CASE metric WHEN 'Accuracy' THEN 'higher_is_better' WHEN 'Log Loss' THEN 'lower_is_better' WHEN 'RMSE' THEN 'lower_is_better' WHEN 'Mean Average Precision' THEN 'higher_is_better' WHEN 'F1' THEN 'higher_is_better' END AS direction,
+@query(twin("board") + """ SELECT challenge_id, pos, CASE metric WHEN 'Accuracy' THEN 'higher_is_better' WHEN 'Log Loss' THEN 'lower_is_better'
+  WHEN 'RMSE' THEN 'lower_is_better' WHEN 'Mean Average Precision' THEN 'higher_is_better' WHEN 'F1' THEN 'higher_is_better' END AS direction,
  CASE metric WHEN 'Score' THEN NULL WHEN 'Log Loss' THEN 0.0::DOUBLE WHEN 'RMSE' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ceiling FROM board""")
 def metric_bounds(spark, d):
     return bound(spark, d, "board").select("challenge_id", "pos", challenge.metric_bounds(F.col("metric")).alias("b")).select("challenge_id", "pos", "b.*")
@@ -598,13 +655,19 @@ _HEADROOM = twin("board") + """, st AS (SELECT *, sign(score - lag(score) OVER (
  r AS (SELECT challenge_id, min(metric) AS metric, arg_min(team, pos) AS winner, arg_min(score, pos) AS s, min(step) AS lo, max(step) AS hi FROM st GROUP BY 1),
  b AS (SELECT challenge_id, max({'s': score, 'n': team}) AS most, min({'s': score, 'n': team}) AS least FROM board WHERE is_baseline GROUP BY 1),
  x AS (SELECT r.*, most, least, CASE WHEN hi <= 0 AND lo < 0 THEN 'higher_is_better' WHEN lo >= 0 AND hi > 0 THEN 'lower_is_better' END AS by_rank,
-   CASE WHEN metric IN ('Log Loss', 'RMSE') THEN 'lower_is_better' WHEN metric <> 'Score' THEN 'higher_is_better' END AS own, CASE WHEN metric IN ('Log Loss', 'RMSE') THEN 0.0 WHEN metric <> 'Score' THEN 1.0 END AS c FROM r LEFT JOIN b USING (challenge_id)),
- y AS (SELECT *, coalesce(own, by_rank) AS direction, CASE WHEN own IS NULL THEN 'unknown bound' WHEN (lo <> 0 OR hi <> 0) AND by_rank IS NULL THEN 'not sorted' WHEN by_rank <> own THEN 'order contradicts metric' END AS ow FROM x),
- z AS (SELECT *, CASE direction WHEN 'higher_is_better' THEN most.s WHEN 'lower_is_better' THEN least.s END AS baseline, CASE direction WHEN 'higher_is_better' THEN most.n WHEN 'lower_is_better' THEN least.n END AS baseline_name, CASE WHEN ow IS NULL THEN CASE WHEN direction = 'higher_is_better' THEN c - s ELSE s - c END END AS gap FROM y),
+   CASE WHEN metric IN ('Log Loss', 'RMSE') THEN 'lower_is_better' WHEN metric <> 'Score' THEN 'higher_is_better' END AS own, CASE
+     WHEN metric IN ('Log Loss', 'RMSE') THEN 0.0 WHEN metric <> 'Score' THEN 1.0 END AS c FROM r LEFT JOIN b USING (challenge_id)),
+ y AS (SELECT *, coalesce(own, by_rank) AS direction, CASE WHEN own IS NULL THEN 'unknown bound' WHEN (lo <> 0 OR hi <> 0)
+   AND by_rank IS NULL THEN 'not sorted' WHEN by_rank <> own THEN 'order contradicts metric' END AS ow FROM x),
+ z AS (SELECT *, CASE direction WHEN 'higher_is_better' THEN most.s WHEN 'lower_is_better' THEN least.s END AS baseline, CASE direction
+   WHEN 'higher_is_better' THEN most.n WHEN 'lower_is_better' THEN least.n END AS baseline_name, CASE WHEN ow IS NULL THEN CASE
+     WHEN direction = 'higher_is_better' THEN c - s ELSE s - c END END AS gap FROM y),
  k AS (SELECT *, CASE WHEN ow IS NULL THEN CASE WHEN direction = 'higher_is_better' THEN c - coalesce(baseline, 0) ELSE baseline - c END END AS scale FROM z),
- g AS (SELECT *, CASE WHEN ow IS NOT NULL THEN NULL WHEN gap < 0 THEN 'beyond the ceiling' WHEN scale <= 0 THEN 'no positive scale' WHEN baseline IS NOT NULL AND gap > scale THEN 'worse than the baseline' WHEN scale IS NULL THEN 'no baseline' END AS sw FROM k),
+ g AS (SELECT *, CASE WHEN ow IS NOT NULL THEN NULL WHEN gap < 0 THEN 'beyond the ceiling' WHEN scale <= 0 THEN 'no positive scale'
+   WHEN baseline IS NOT NULL AND gap > scale THEN 'worse than the baseline' WHEN scale IS NULL THEN 'no baseline' END AS sw FROM k),
  v AS (SELECT *, CASE WHEN ow IS NULL AND sw IS NULL THEN gap / scale END AS headroom FROM g)
- SELECT challenge_id, metric, direction, winner, s AS winner_score, baseline, baseline_name, headroom, CASE WHEN headroom IS NULL THEN 'unclear' WHEN headroom < 0.1 - 1e-9 THEN 'solved' ELSE 'headroom' END AS verdict,
+ SELECT challenge_id, metric, direction, winner, s AS winner_score, baseline, baseline_name, headroom, CASE WHEN headroom IS NULL THEN 'unclear'
+   WHEN headroom < 0.1 - 1e-9 THEN 'solved' ELSE 'headroom' END AS verdict,
   concat_ws('; ', ow, sw) AS warnings, headroom IS NULL AND direction = 'lower_is_better' AND baseline IS NULL AND c IS NOT NULL AS needs_baseline FROM v"""
 
 
@@ -613,7 +676,8 @@ def headroom(spark, d):
     return challenge.headroom(bound(spark, d, "board"))
 
 
-@query(f"""SELECT challenge_id, title, verdict, verdict || CASE WHEN headroom IS NULL THEN '' ELSE ' ' || round_even(headroom * 100, 0)::BIGINT || '%' END AS headline, false AS investigated
+@query(f"""SELECT challenge_id, title, verdict, verdict || CASE
+  WHEN headroom IS NULL THEN '' ELSE ' ' || round_even(headroom * 100, 0)::BIGINT || '%' END AS headline, false AS investigated
  FROM (SELECT p_partkey AS challenge_id, p_brand AS title FROM part WHERE p_partkey % 5 = 0) LEFT JOIN ({_HEADROOM}) USING (challenge_id)""")
 def challenge_view(spark, d):
     done = given(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("challenge_id"), F.col("p_brand").alias("title"))
@@ -628,13 +692,17 @@ def challenge_list(spark, d):
 # ---- funnel
 
 _STAGES = ("problems", "novelty", "assessments", "fits", "opportunities")
-_FUNNEL = """, f AS (SELECT p.problem_id, p.revision, p.statement, n.revision AS novelty_revision, n.status AS novelty, a.revision AS value_revision, a.low, a.high, t.revision AS fit_revision, t.score AS fit,
+_FUNNEL = """, f AS (SELECT p.problem_id, p.revision, p.statement, n.revision AS novelty_revision, n.status AS novelty,
+  a.revision AS value_revision, a.low, a.high, t.revision AS fit_revision, t.score AS fit,
    t.problem_revision, t.profile_digest, o.* EXCLUDE (problem_id),
    CASE WHEN t.revision IS NOT NULL THEN t.problem_revision <> p.revision OR t.profile_digest <> 'digest-0' END AS fit_stale,
-   concat_ws(',', CASE WHEN n.status IS NULL THEN 'novelty' END, CASE WHEN a.revision IS NULL THEN 'value' END, CASE WHEN t.revision IS NULL THEN 'fit' END, CASE WHEN o.opportunity_id IS NULL THEN 'opportunity' END) AS waiting,
-   CASE WHEN o.opportunity_id IS NOT NULL THEN concat_ws(',', CASE WHEN o.in_value IS DISTINCT FROM a.revision THEN 'economic value' END, CASE WHEN o.in_fit IS DISTINCT FROM t.revision OR o.in_fit_score IS DISTINCT FROM t.score THEN 'fit' END,
+   concat_ws(',', CASE WHEN n.status IS NULL THEN 'novelty' END, CASE WHEN a.revision IS NULL THEN 'value' END, CASE
+     WHEN t.revision IS NULL THEN 'fit' END, CASE WHEN o.opportunity_id IS NULL THEN 'opportunity' END) AS waiting,
+   CASE WHEN o.opportunity_id IS NOT NULL THEN concat_ws(',', CASE WHEN o.in_value IS DISTINCT FROM a.revision THEN 'economic value' END, CASE
+     WHEN o.in_fit IS DISTINCT FROM t.revision OR o.in_fit_score IS DISTINCT FROM t.score THEN 'fit' END,
      CASE WHEN o.in_novelty IS DISTINCT FROM n.revision THEN 'novelty' END, CASE WHEN o.in_problem IS DISTINCT FROM p.revision THEN 'problem' END) END AS stale
-   FROM problems p LEFT JOIN novelty n USING (problem_id) LEFT JOIN assessments a USING (problem_id) LEFT JOIN fits t USING (problem_id) LEFT JOIN opportunities o USING (problem_id))"""
+   FROM problems p LEFT JOIN novelty n USING (problem_id) LEFT JOIN assessments a USING (problem_id) LEFT JOIN fits t USING (problem_id) LEFT
+     JOIN opportunities o USING (problem_id))"""
 
 
 def _funnel(spark, d):
@@ -644,10 +712,12 @@ def _funnel(spark, d):
 
 @query(twin(*_STAGES) + _FUNNEL + " SELECT problem_id, revision, statement, novelty, low, high, fit, recommendation, fit_stale, waiting, stale FROM f")
 def problem_funnel(spark, d):
-    return _funnel(spark, d).select("problem_id", "revision", "statement", "novelty", "low", "high", "fit", "recommendation", "fit_stale", F.array_join("waiting", ",").alias("waiting"), F.array_join("stale", ",").alias("stale"))
+    return _funnel(spark, d).select("problem_id", "revision", "statement", "novelty", "low", "high", "fit", "recommendation", "fit_stale",
+            F.array_join("waiting", ",").alias("waiting"), F.array_join("stale", ",").alias("stale"))
 
 
-@query(twin(*_STAGES) + _FUNNEL + """ SELECT problem_id, fit, novelty FROM f WHERE fit >= 5 AND novelty IN ('unsolved', 'unclear') AND contains(waiting, 'value') AND contains(lower(statement), 'statement 1')""")
+@query(twin(*_STAGES) + _FUNNEL + """ SELECT problem_id, fit, novelty FROM f WHERE fit >= 5 AND novelty IN ('unsolved', 'unclear')
+  AND contains(waiting, 'value') AND contains(lower(statement), 'statement 1')""")
 def problem_view(spark, d):
     rows = views.problem_filter(_funnel(spark, d), q="Statement 1", fit_min=5, novelty=("unsolved", "unclear"), waiting="value")
     return rows.select("problem_id", "fit", "novelty")
@@ -674,14 +744,17 @@ def triage_view(spark, d):
     return views.triage_view(bound(spark, d, "problems"), bound(spark, d, "triage"), "not_rejected").select("problem_id", "mark")
 
 
-@query(twin("problems", "novelty") + """ SELECT problem_id, CASE WHEN status IS NULL THEN 'not_investigated' WHEN status = 'malformed' THEN 'refused: malformed' WHEN status = 'solved' THEN 'refused: solved' ELSE 'passed' END AS gate
+@query(twin("problems", "novelty") + """ SELECT problem_id, CASE WHEN status IS NULL THEN 'not_investigated'
+  WHEN status = 'malformed' THEN 'refused: malformed' WHEN status = 'solved' THEN 'refused: solved' ELSE 'passed' END AS gate
  FROM problems LEFT JOIN novelty USING (problem_id)""")
 def value_gate(spark, d):
     return views.value_gate(bound(spark, d, "problems"), bound(spark, d, "novelty"))
 
 
-@query(twin("problems", "novelty") + """, a AS (SELECT 'prob-' || l_orderkey AS problem_id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 UNION SELECT 'none-' || l_orderkey FROM lineitem WHERE l_orderkey % 40 = 0)
- SELECT a.problem_id, CASE WHEN p.problem_id IS NULL THEN 'refused: no such problem' WHEN status IS NULL THEN 'not_investigated' WHEN status = 'malformed' THEN 'refused: malformed' WHEN status = 'solved' THEN 'forced' ELSE 'passed' END AS gate
+@query(twin("problems", "novelty") + """, a AS (SELECT 'prob-' || l_orderkey AS problem_id FROM lineitem WHERE l_linenumber = 1
+  AND l_orderkey % 3 = 0 UNION SELECT 'none-' || l_orderkey FROM lineitem WHERE l_orderkey % 40 = 0)
+ SELECT a.problem_id, CASE WHEN p.problem_id IS NULL THEN 'refused: no such problem' WHEN status IS NULL THEN 'not_investigated'
+   WHEN status = 'malformed' THEN 'refused: malformed' WHEN status = 'solved' THEN 'forced' ELSE 'passed' END AS gate
  FROM a LEFT JOIN problems p USING (problem_id) LEFT JOIN novelty n USING (problem_id)""")
 def value_gate_asked(spark, d):
     lines = given(spark, d, "lineitem")
@@ -690,15 +763,19 @@ def value_gate_asked(spark, d):
     return views.value_gate(bound(spark, d, "problems"), bound(spark, d, "novelty"), True, asked)
 
 
-@query(twin("problems", "fits", "novelty") + """ SELECT problem_id, CASE WHEN t.problem_revision IS NULL THEN 'no fit' WHEN n.status = 'malformed' THEN 'bad novelty' WHEN t.problem_revision < p.revision THEN 'fit on an older revision' ELSE 'ready' END AS readiness
+@query(twin("problems", "fits", "novelty") + """ SELECT problem_id, CASE WHEN t.problem_revision IS NULL THEN 'no fit'
+  WHEN n.status = 'malformed' THEN 'bad novelty' WHEN t.problem_revision < p.revision THEN 'fit on an older revision' ELSE 'ready' END AS readiness
  FROM problems p LEFT JOIN fits t USING (problem_id) LEFT JOIN novelty n USING (problem_id)""")
 def opportunity_ready(spark, d):
     return views.opportunity_ready(bound(spark, d, "problems"), bound(spark, d, "fits"), bound(spark, d, "novelty"))
 
 
-@query(twin(*_STAGES, "candidates", "processed") + _FUNNEL + f", ch AS ({ORACLE['challenge_view']})" + """ SELECT 'problem' AS stage, count(*) AS n, 0::BIGINT AS waiting, 0::BIGINT AS stale FROM f
- UNION ALL SELECT 'novelty', count(novelty), count_if(novelty IS NULL), 0 FROM f UNION ALL SELECT 'value', count(value_revision), count_if(value_revision IS NULL), 0 FROM f
- UNION ALL SELECT 'fit', count(fit_revision), count_if(fit_revision IS NULL), count_if(fit_stale) FROM f UNION ALL SELECT 'opportunity', count(opportunity_id), count_if(opportunity_id IS NULL), count_if(stale <> '') FROM f
+@query(twin(*_STAGES, "candidates", "processed") + _FUNNEL + f", ch AS ({ORACLE['challenge_view']})" + """ SELECT 'problem' AS stage,
+  count(*) AS n, 0::BIGINT AS waiting, 0::BIGINT AS stale FROM f
+ UNION ALL SELECT 'novelty', count(novelty), count_if(novelty IS NULL), 0 FROM f UNION ALL SELECT 'value', count(value_revision),
+   count_if(value_revision IS NULL), 0 FROM f
+ UNION ALL SELECT 'fit', count(fit_revision), count_if(fit_revision IS NULL), count_if(fit_stale) FROM f UNION ALL SELECT 'opportunity',
+   count(opportunity_id), count_if(opportunity_id IS NULL), count_if(stale <> '') FROM f
  UNION ALL SELECT 'candidate', count(*), count_if(decision IS NULL), 0 FROM candidates LEFT JOIN processed USING (candidate_id)
  UNION ALL SELECT 'challenge', count(*), count_if(verdict IS NULL), 0 FROM ch""")
 def overview(spark, d):
@@ -734,7 +811,8 @@ def problems_by_tier(spark, d):
     return _ranked(spark, d).orderBy(*views.problem_order("tier")).limit(200)
 
 
-@query(twin("fits", "problems") + """ SELECT problem_id, t.score, p.revision IS NULL OR t.problem_revision <> p.revision OR t.profile_digest <> 'digest-0' AS stale, coalesce(statement, '(problem removed)') AS statement
+@query(twin("fits", "problems") + """ SELECT problem_id, t.score,
+  p.revision IS NULL OR t.problem_revision <> p.revision OR t.profile_digest <> 'digest-0' AS stale, coalesce(statement, '(problem removed)') AS statement
  FROM fits t LEFT JOIN (SELECT * FROM problems WHERE revision <> 2) p USING (problem_id) ORDER BY score DESC, problem_id LIMIT 300""")
 def fit_list(spark, d):
     rows, order = views.fit_list(bound(spark, d, "fits"), bound(spark, d, "problems").where("revision <> 2"), F.lit("digest-0"))
@@ -761,31 +839,37 @@ def assessment_list(spark, d):
     return out.withColumn("warnings", F.array_join(counts, ","))
 
 
-@query("""SELECT o_custkey AS problem_id, o_orderkey AS run, (row_number() OVER w)::INT AS revision, coalesce(string_agg(o_orderstatus, '') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history
+@query("""SELECT o_custkey AS problem_id, o_orderkey AS run, (row_number() OVER w)::INT AS revision,
+  coalesce(string_agg(o_orderstatus, '') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history
  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
 def record_history(spark, d):
     runs = given(spark, d, "orders").select(F.col("o_custkey").alias("problem_id"), F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("state"))
     return views.record_history(runs, "run", "state").select("problem_id", "run", "revision", F.array_join("history.state", "").alias("history"))
 
 
-@query("""WITH k AS (SELECT o_orderkey, (o_orderkey // 4 + 1) AS number FROM orders WHERE o_orderkey % 4 = 0), w AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0),
+@query("""WITH k AS (SELECT o_orderkey, (o_orderkey // 4 + 1) AS number FROM orders WHERE o_orderkey % 4 = 0), w AS (SELECT o_orderkey
+  FROM orders WHERE o_orderkey % 2 = 0),
  n AS (SELECT o_orderkey, (SELECT max(number) FROM k) + row_number() OVER (ORDER BY o_orderkey) AS number FROM w WHERE o_orderkey NOT IN (SELECT o_orderkey FROM k))
- SELECT o_orderkey AS problem_id, 'OPP-' || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 4, '0') ELSE number::VARCHAR END AS opportunity_id FROM (SELECT * FROM n UNION ALL SELECT * FROM k)""")
+ SELECT o_orderkey AS problem_id, 'OPP-' || CASE WHEN number < 1000 THEN lpad(number::VARCHAR, 4, '0') ELSE number::VARCHAR END AS opportunity_id
+   FROM (SELECT * FROM n UNION ALL SELECT * FROM k)""")
 def assign_opp_ids(spark, d):
     o = given(spark, d, "orders").select(F.col("o_orderkey").alias("problem_id"))
     known = o.where("problem_id % 4 = 0").withColumn("number", F.expr("problem_id div 4 + 1"))
     return views.assign_ids(o.where("problem_id % 2 = 0").withColumn("request", F.col("problem_id")), known)
 
 
-@query("""SELECT o_orderkey, CASE WHEN s IN ('4', '5') AND o_orderkey % 3 <> 0 THEN 'novelty must be null' WHEN s NOT IN ('4', '5') AND o_orderkey % 3 = 0 THEN 'novelty missing' WHEN s = '3' AND o_orderkey % 3 <> 0 AND o_orderkey % 11 > 3 THEN 'novelty too high'
+@query("""SELECT o_orderkey, CASE WHEN s IN ('4', '5') AND o_orderkey % 3 <> 0 THEN 'novelty must be null' WHEN s NOT IN ('4', '5')
+  AND o_orderkey % 3 = 0 THEN 'novelty missing' WHEN s = '3' AND o_orderkey % 3 <> 0 AND o_orderkey % 11 > 3 THEN 'novelty too high'
   WHEN s = '2' AND o_orderkey % 3 <> 0 AND o_orderkey % 11 > 7 THEN 'novelty too high' END AS problem,
- CASE WHEN s = '3' OR o_custkey % 11 < 7 OR o_custkey % 9 < 5 THEN 'ignore' ELSE 'contact' END AS recommendation FROM (SELECT *, substr(o_orderpriority, 1, 1) AS s FROM orders)""")
+ CASE WHEN s = '3' OR o_custkey % 11 < 7 OR o_custkey % 9 < 5 THEN 'ignore' ELSE 'contact' END AS recommendation FROM (SELECT *,
+   substr(o_orderpriority, 1, 1) AS s FROM orders)""")
 def opportunity_rules(spark, d):
     s = F.substring("o_orderpriority", 1, 1)
     status = F.when(s == "1", "unsolved").when(s == "2", "partially_solved").when(s == "3", "solved").when(s == "4", "unclear")
     score = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 11)
     rec = opportunity.recommendation(status, {"personal_advantage": F.col("o_custkey") % 11, "tractability": F.col("o_custkey") % 9}, F.lit("contact"))
-    return given(spark, d, "orders").select("o_orderkey", opportunity.contradiction(status, score, F.lit(False), F.lit(None).cast("int")).alias("problem"), rec["recommendation"].alias("recommendation"))
+    return given(spark, d, "orders").select("o_orderkey", opportunity.contradiction(status, score, F.lit(False),
+            F.lit(None).cast("int")).alias("problem"), rec["recommendation"].alias("recommendation"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN least(o_orderkey % 11, 2) WHEN o_custkey % 3 = o_custkey % 4 THEN least(o_orderkey % 11, 5) ELSE o_orderkey % 11 END AS score FROM orders")
@@ -793,9 +877,11 @@ def fit_caps(spark, d):
     return given(spark, d, "orders").select("o_orderkey", opportunity.capped_fit(F.col("o_orderkey") % 11, F.col("o_custkey") % 3, F.col("o_custkey") % 4).alias("score"))
 
 
-@query(twin("problem_sources", "candidates", "problems", "novelty", "assessments", "fits", "opportunities") + """, c AS (SELECT s.*, c.statement AS said FROM problem_sources s LEFT JOIN candidates c ON c.doc_id = s.l_suppkey),
+@query(twin("problem_sources", "candidates", "problems", "novelty", "assessments", "fits", "opportunities") + """, c AS (SELECT s.*,
+  c.statement AS said FROM problem_sources s LEFT JOIN candidates c ON c.doc_id = s.l_suppkey),
  g AS (SELECT problem_id, string_agg(source_id || '/' || ptype || coalesce('/' || said, ''), ',' ORDER BY pos) AS sources FROM c GROUP BY 1)
- SELECT p.problem_id, p.statement, coalesce(sources, '') AS sources, n.status AS novelty, a.low AS value, f.score AS fit, o.recommendation FROM problems p LEFT JOIN g USING (problem_id) LEFT JOIN novelty n USING (problem_id)
+ SELECT p.problem_id, p.statement, coalesce(sources, '') AS sources, n.status AS novelty, a.low AS value, f.score AS fit, o.recommendation
+   FROM problems p LEFT JOIN g USING (problem_id) LEFT JOIN novelty n USING (problem_id)
  LEFT JOIN assessments a USING (problem_id) LEFT JOIN fits f USING (problem_id) LEFT JOIN opportunities o USING (problem_id)""")
 def dossier(spark, d):
     p, n, a, f, o = (bound(spark, d, x) for x in _STAGES)
@@ -803,12 +889,14 @@ def dossier(spark, d):
     own = bound(spark, d, "problem_sources").join(c.select(F.col("doc_id").alias("l_suppkey"), "candidate_id"), "l_suppkey", "left")
     out = views.dossier(p, own, c, n, a, f, o)
     text = F.transform("sources", lambda s: F.concat_ws("/", s["source_id"], s["ptype"], s["candidate_statement"]))
-    return out.select("problem_id", "statement", F.coalesce(F.array_join(text, ","), F.lit("")).alias("sources"), F.col("novelty.status").alias("novelty"), F.col("value.low").alias("value"), F.col("fit.score").alias("fit"), "opportunity.recommendation")
+    return out.select("problem_id", "statement", F.coalesce(F.array_join(text, ","), F.lit("")).alias("sources"),
+            F.col("novelty.status").alias("novelty"), F.col("value.low").alias("value"), F.col("fit.score").alias("fit"), "opportunity.recommendation")
 
 
 # ---- sessions and logs
 
-@query(twin("sessions") + """ SELECT session_id, count_if(tool = 'WebSearch') AS searches, count_if(tool = 'WebFetch') AS fetches, coalesce(string_agg(text, '|' ORDER BY line_no) FILTER (tool = 'WebSearch'), '') AS queries,
+@query(twin("sessions") + """ SELECT session_id, count_if(tool = 'WebSearch') AS searches, count_if(tool = 'WebFetch') AS fetches,
+  coalesce(string_agg(text, '|' ORDER BY line_no) FILTER (tool = 'WebSearch'), '') AS queries,
  count_if(tool = 'WebSearch') >= 2 AS sufficient FROM sessions WHERE role = 'assistant' GROUP BY 1""")
 def search_summary(spark, d):
     return _search_summary(spark, d, F.col("text"))
@@ -821,7 +909,8 @@ def _search_summary(spark, d, text):
 
 @query("SELECT user_id AS session_id, sum(event_id % 100 + event_id % 7)::BIGINT AS input_tokens, sum(event_id % 50)::BIGINT AS output_tokens, round_even(sum(value), 4) AS cost, round_even(sum(event_id % 1000) / 1000, 1) AS seconds FROM events GROUP BY 1")
 def session_usage(spark, d):
-    e = given(spark, d, "events").select(F.col("user_id").alias("session_id"), (F.col("event_id") % 100).alias("input"), F.lit(None).cast("long").alias("cache_creation"), (F.col("event_id") % 7).alias("cache_read"),
+    e = given(spark, d, "events").select(F.col("user_id").alias("session_id"), (F.col("event_id") % 100).alias("input"),
+            F.lit(None).cast("long").alias("cache_creation"), (F.col("event_id") % 7).alias("cache_read"),
         (F.col("event_id") % 50).alias("output"), F.col("value").alias("cost"), (F.col("event_id") % 1000).alias("ms"))
     return sessions.usage(e).withColumn("cost", F.round("cost", 4))
 
@@ -836,26 +925,34 @@ def _accepted_output(spark, d, text):
     return sessions.accepted_output(s, s.where("line_no % 4 <> 3"))
 
 
-@query("""SELECT user_id AS task_id, 'item-' || (event_id % 5) AS item, min(event_id) AS first_line, arg_max(CASE WHEN event_type = 'view' THEN 'running' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END, event_id) AS state,
- arg_max(CASE WHEN event_type = 'view' THEN '' WHEN event_type = 'error' THEN 'bad input' ELSE event_type END, event_id) AS result FROM events WHERE event_id % 9 <> 0 GROUP BY 1, 2""")
+@query("""SELECT user_id AS task_id, 'item-' || (event_id % 5) AS item, min(event_id) AS first_line, arg_max(CASE
+  WHEN event_type = 'view' THEN 'running' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END, event_id) AS state,
+ arg_max(CASE WHEN event_type = 'view' THEN '' WHEN event_type = 'error' THEN 'bad input' ELSE event_type END, event_id) AS result FROM events
+   WHERE event_id % 9 <> 0 GROUP BY 1, 2""")
 def task_item_states(spark, d):
     head = F.concat(F.lit("[fit 1/2] item-"), F.col("event_id") % 5)
-    line = F.when(F.col("event_id") % 9 == 0, "noise").when(F.col("event_type") == "view", F.concat(head, F.lit(": running (budget $1.50) ..."))).when(F.col("event_type") == "error", F.concat(head, F.lit(" -> FAILED bad input"))).otherwise(F.concat(head, F.lit(" -> "), "event_type", F.lit(" (12.5s)")))
+    line = F.when(F.col("event_id") % 9 == 0, "noise").when(F.col("event_type") == "view", F.concat(head,
+            F.lit(": running (budget $1.50) ..."))).when(F.col("event_type") == "error", F.concat(head,
+                    F.lit(" -> FAILED bad input"))).otherwise(F.concat(head, F.lit(" -> "), "event_type", F.lit(" (12.5s)")))
     return sessions.task_states(given(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("line_no"), line.alias("line")))
 
 
 # ---- payloads: JSON bodies made of the given tables
 
-@query("""SELECT 'b' || p_size AS source_id, 'https://j.example/' || p_partkey AS url, p_name AS title, p_type || chr(10) || p_brand AS text FROM part WHERE p_partkey % 3 = 0
+@query("""SELECT 'b' || p_size AS source_id, 'https://j.example/' || p_partkey AS url, p_name AS title, p_type || chr(10) || p_brand AS text
+  FROM part WHERE p_partkey % 3 = 0
  UNION ALL SELECT 'b' || p_size, 'https://j.example/' || p_partkey, p_name, p_type || chr(10) || chr(10) || p_brand FROM part WHERE p_partkey % 3 = 1
  UNION ALL SELECT 'b' || p_size, 'https://j.example/' || p_partkey, p_name, p_type FROM part WHERE p_partkey % 3 = 2 AND p_partkey % 2 = 0""")
 def items_from_jobboards(spark, d):
     p = given(spark, d, "part").withColumn("url", F.concat(F.lit("https://j.example/"), "p_partkey"))
     k, c = F.col("p_partkey") % 3, F.concat(F.lit("&lt;p&gt;"), "p_type", F.lit("&lt;/p&gt;&lt;script&gt;x&lt;/script&gt;&lt;p&gt;"), "p_brand")
     body = F.when(k == 0, F.to_json(F.struct(F.array(F.struct(F.col("url").alias("absolute_url"), F.col("p_name").alias("title"), c.alias("content"))).alias("jobs"))))
-    body = body.when(k == 1, F.to_json(F.array(F.struct(F.col("url").alias("hostedUrl"), F.col("p_name").alias("text"), F.col("p_type").alias("openingPlain"), F.col("p_brand").alias("additionalPlain")))))
-    body = body.otherwise(F.to_json(F.struct(F.array(F.struct(F.col("url").alias("jobUrl"), F.col("p_name").alias("title"), F.col("p_type").alias("descriptionPlain"), (F.col("p_partkey") % 2 == 0).alias("isListed"))).alias("jobs"))))
-    raw = p.select(F.element_at(F.array(F.lit("greenhouse"), F.lit("lever"), F.lit("ashby")), (k + 1).cast("int")).alias("kind"), F.concat(F.lit("b"), "p_size").alias("source_id"), body.alias("body"))
+    body = body.when(k == 1, F.to_json(F.array(F.struct(F.col("url").alias("hostedUrl"), F.col("p_name").alias("text"),
+            F.col("p_type").alias("openingPlain"), F.col("p_brand").alias("additionalPlain")))))
+    body = body.otherwise(F.to_json(F.struct(F.array(F.struct(F.col("url").alias("jobUrl"), F.col("p_name").alias("title"),
+            F.col("p_type").alias("descriptionPlain"), (F.col("p_partkey") % 2 == 0).alias("isListed"))).alias("jobs"))))
+    raw = p.select(F.element_at(F.array(F.lit("greenhouse"), F.lit("lever"), F.lit("ashby")), (k + 1).cast("int")).alias("kind"), F.concat(F.lit("b"),
+            "p_size").alias("source_id"), body.alias("body"))
     return payloads.items(raw).select("source_id", "url", "title", "text")
 
 
@@ -865,7 +962,8 @@ def items_from_feeds(spark, d):
     item = lambda link, title: F.concat(F.lit("<item>"), link, F.lit("<title>"), title, F.lit("</title></item>"))
     link = lambda *x: F.concat(F.lit("<link>https://f.example/"), *x, F.lit("</link>"))
     first = F.when(F.col("p_partkey") % 4 != 0, link(F.col("p_partkey"))).otherwise("")
-    body = F.concat(F.lit("<rss><channel>"), item(first, F.col("p_name")), item(link(F.col("p_partkey"), F.lit("/2")), F.col("p_brand")), item(link(F.col("p_partkey"), F.lit("/3")), F.lit("late")), F.lit("</channel></rss>"))
+    body = F.concat(F.lit("<rss><channel>"), item(first, F.col("p_name")), item(link(F.col("p_partkey"), F.lit("/2")), F.col("p_brand")),
+            item(link(F.col("p_partkey"), F.lit("/3")), F.lit("late")), F.lit("</channel></rss>"))
     raw = given(spark, d, "part").select(F.concat(F.lit("f"), "p_size").alias("source_id"), body.alias("body"))
     return payloads.feed(raw, 2).select("source_id", "url", "title")
 
@@ -878,7 +976,8 @@ def html_to_text(spark, d):
 
 @query()
 def parse_amounts(spark, d):
-    rows = bound(spark, d, "problem_sources").select("problem_id", "pos", F.explode(money.amounts_column(F.col("stated"), value.default_currency(F.col("source_id")))).alias("a"))
+    rows = bound(spark, d, "problem_sources").select("problem_id", "pos", F.explode(money.amounts_column(F.col("stated"),
+            value.default_currency(F.col("source_id")))).alias("a"))
     return rows.select("problem_id", "pos", "a.*")
 
 
@@ -887,8 +986,10 @@ def parse_amounts(spark, d):
  FROM part WHERE p_partkey % 3 <> 0""")
 def items_from_grants(spark, d):
     p, none = given(spark, d, "part"), F.lit(None).cast("string")
-    hits = p.select(F.lit("g").alias("source_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("agency"), F.col("p_size").alias("number"), none.alias("status"), none.alias("close_date"))
-    details = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 != 0, "$5k").alias("ceiling"), none.alias("funding"), F.col("p_type").alias("description"))
+    hits = p.select(F.lit("g").alias("source_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("agency"),
+            F.col("p_size").alias("number"), none.alias("status"), none.alias("close_date"))
+    details = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 != 0, "$5k").alias("ceiling"),
+            none.alias("funding"), F.col("p_type").alias("description"))
     return payloads.grants(hits, details)
 
 
@@ -906,10 +1007,13 @@ def abstracts(spark, d):
     return payloads.abstracts(by_word.groupBy(F.col("p_partkey").alias("doi")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted")))
 
 
-@query("""SELECT 's' AS source_id, 'https://t.example/?talk=' || CASE WHEN p_partkey % 2 = 0 THEN 'k' || p_partkey ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') END AS url, p_name AS title, p_name || chr(10) || p_type AS text FROM part""")
+@query("""SELECT 's' AS source_id, 'https://t.example/?talk=' || CASE
+  WHEN p_partkey % 2 = 0 THEN 'k' || p_partkey ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') END AS url, p_name AS title,
+    p_name || chr(10) || p_type AS text FROM part""")
 def items_from_sections(spark, d):
     key = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(' id="k'), "p_partkey", F.lit('"'))).otherwise("")
-    html = F.concat(F.lit("<body><section></section><section"), key, F.lit("><h2>"), "p_name", F.lit("</h2><script>x()</script><p>"), "p_type", F.lit("</p></section></body>"))
+    html = F.concat(F.lit("<body><section></section><section"), key, F.lit("><h2>"), "p_name", F.lit("</h2><script>x()</script><p>"), "p_type",
+            F.lit("</p></section></body>"))
     raw = given(spark, d, "part").select(F.lit("s").alias("source_id"), F.lit("https://t.example/").alias("url"), html.alias("html"))
     return payloads.sections(raw).drop("links")
 
@@ -921,15 +1025,19 @@ def items_from_sessions(spark, d):
     return payloads.nested(given(spark, d, "part").select(F.col("p_partkey").alias("source_id"), body.alias("body")), "days.*.talks").drop("at")
 
 
-@query("""WITH l AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS pos, 'https://c.example/c/' || (l_partkey % 200) AS href, l_returnflag = 'R' AS f FROM lineitem WHERE l_partkey % 3 <> 0),
- g AS (SELECT page, href, min(pos) AS pos, bool_or(f) AS finished FROM l GROUP BY ALL) SELECT page, href, finished FROM g QUALIFY row_number() OVER (PARTITION BY page, finished ORDER BY pos, href) <= 20""")
+@query("""WITH l AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS pos, 'https://c.example/c/' || (l_partkey % 200) AS href,
+  l_returnflag = 'R' AS f FROM lineitem WHERE l_partkey % 3 <> 0),
+ g AS (SELECT page, href, min(pos) AS pos, bool_or(f) AS finished FROM l GROUP BY ALL) SELECT page, href, finished FROM g
+   QUALIFY row_number() OVER (PARTITION BY page, finished ORDER BY pos, href) <= 20""")
 def listing_links(spark, d):
     href = F.when(F.col("l_partkey") % 3 == 0, "https://c.example/about").otherwise(F.concat(F.lit("https://c.example/c/"), F.col("l_partkey") % 200))
-    links = given(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), href.alias("href"), F.lit("Open").alias("text"), (F.col("l_returnflag") == "R").alias("heading_finished"))
+    links = given(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+            href.alias("href"), F.lit("Open").alias("text"), (F.col("l_returnflag") == "R").alias("heading_finished"))
     return payloads.listing_links(links, "/c/", 20)
 
 
-@query(twin("board") + """ SELECT challenge_id, pos::INT AS pos, CASE WHEN is_baseline THEN NULL ELSE pos END::INT AS rank, team, round_even(score, 3) AS score, is_baseline FROM board WHERE pos % 5 <> 0 AND challenge_id % 9 <> 0""")
+@query(twin("board") + """ SELECT challenge_id, pos::INT AS pos, CASE WHEN is_baseline THEN NULL ELSE pos END::INT AS rank, team,
+  round_even(score, 3) AS score, is_baseline FROM board WHERE pos % 5 <> 0 AND challenge_id % 9 <> 0""")
 def leaderboard_rows(spark, d):
     return _leaderboard_rows(bound(spark, d, "board"))
 
@@ -937,7 +1045,8 @@ def leaderboard_rows(spark, d):
 def _leaderboard_rows(board):
     score = F.when(F.col("pos") % 5 == 0, "-").otherwise(F.format_string("%.3f", F.bround("score", 3)))
     name = F.when(F.col("is_baseline"), F.concat(F.lit('<b title="Baseline">Baseline</b> '), "team")).otherwise(F.col("team"))
-    tr = F.concat(F.lit("<tr><td>"), F.when(F.col("is_baseline"), "").otherwise(F.col("pos").cast("string")), F.lit("</td><td>"), name, F.lit("</td><td> "), score, F.lit("</td></tr>"))
+    tr = F.concat(F.lit("<tr><td>"), F.when(F.col("is_baseline"), "").otherwise(F.col("pos").cast("string")), F.lit("</td><td>"), name,
+            F.lit("</td><td> "), score, F.lit("</td></tr>"))
     rows = board.groupBy("challenge_id").agg(F.array_sort(F.collect_list(F.struct("pos", tr.alias("tr")))).alias("rows"))
     kind = F.when(F.col("challenge_id") % 9 == 0, "<th>Score</th>").otherwise('<th class="score-title">Score</th>')
     html = F.concat(F.lit("<table><tr><th>#</th><th>Participants</th>"), kind, F.lit("</tr>"), F.array_join("rows.tr", ""), F.lit("</table>"))
@@ -959,11 +1068,14 @@ def estimate_rows(spark, d):
    CASE l_linenumber % 4 WHEN 0 THEN 'affected_units' WHEN 1 THEN 'frequency_per_year' WHEN 2 THEN 'cost_per_occurrence' ELSE 'addressable_share' END AS quantity,
    CASE WHEN l_linenumber % 4 = 3 AND l_suppkey % 3 <> 2 THEN l_discount WHEN l_linenumber % 4 = 2 THEN l_quantity * 1.27 ELSE l_quantity END AS v,
    CASE l_linenumber % 4 WHEN 0 THEN 'sites' WHEN 1 THEN 'per year' WHEN 2 THEN 'USD/incident' ELSE 'share' END AS unit FROM lineitem)
- SELECT l_orderkey AS problem_id, quantity, min(v) AS low, max(v) AS high, any_value(unit) AS unit, CASE WHEN bool_or(cited) THEN 'supported' ELSE 'assumption_only' END AS status,
-  count(*) AS basis, string_agg(CASE WHEN cited THEN 'cited' ELSE 'assumed' END, ',' ORDER BY l_linenumber, CASE WHEN cited THEN 'cited' ELSE 'assumed' END) AS entries FROM r WHERE reason IS NULL GROUP BY 1, 2""")
+ SELECT l_orderkey AS problem_id, quantity, min(v) AS low, max(v) AS high, any_value(unit) AS unit, CASE
+   WHEN bool_or(cited) THEN 'supported' ELSE 'assumption_only' END AS status,
+  count(*) AS basis, string_agg(CASE WHEN cited THEN 'cited' ELSE 'assumed' END, ',' ORDER BY l_linenumber, CASE
+    WHEN cited THEN 'cited' ELSE 'assumed' END) AS entries FROM r WHERE reason IS NULL GROUP BY 1, 2""")
 def estimates_checked(spark, d):
     """Rows checked one by one, then those of one unit by quantity, then the range: rejected rows neither fix a unit nor count."""
-    rows = _estimate_rows(given(spark, d, "lineitem")).select(F.col("l_orderkey").alias("problem_id"), F.col("l_linenumber").alias("pos"), "quantity", "low", "high", "low_usd", "high_usd", "unit", "usd_unit", "reason", "cited",
+    rows = _estimate_rows(given(spark, d, "lineitem")).select(F.col("l_orderkey").alias("problem_id"), F.col("l_linenumber").alias("pos"), "quantity",
+            "low", "high", "low_usd", "high_usd", "unit", "usd_unit", "reason", "cited",
         F.when(F.col("cited"), "cited").otherwise("assumed").alias("entry"))
     out = value.estimates(value.unit_consistency(rows))
     return out.withColumn("entries", F.array_join("basis_entries", ",")).drop("basis_entries")
@@ -974,17 +1086,22 @@ def _estimate_rows(lines):
     share, often = k == 3, k == 1
     unit = F.when(k == 0, F.when(s == 1, "million sites").otherwise("sites")).otherwise(F.when(s == 1, "USD/year").otherwise("GBP/incident"))
     unit = F.when(share, "share").when(often, F.when(s == 1, "per month").otherwise("per year")).otherwise(unit)
-    quote = F.when(k == 0, F.concat(F.lit("about "), F.col("l_quantity").cast("int"), F.lit(" sites"))).otherwise(F.concat(F.lit("costs £"), F.col("l_quantity").cast("int"), F.lit(" each")))
-    quote = F.when(share, F.concat(F.lit("a share of "), F.round(F.col("l_discount") * 100).cast("int"), F.lit("%"))).when(often, F.concat(F.lit("happens "), F.col("l_quantity").cast("int"), F.lit(" times a year"))).otherwise(quote)
+    quote = F.when(k == 0, F.concat(F.lit("about "), F.col("l_quantity").cast("int"), F.lit(" sites"))).otherwise(F.concat(F.lit("costs £"),
+            F.col("l_quantity").cast("int"), F.lit(" each")))
+    quote = F.when(share, F.concat(F.lit("a share of "), F.round(F.col("l_discount") * 100).cast("int"), F.lit("%"))).when(often,
+            F.concat(F.lit("happens "), F.col("l_quantity").cast("int"), F.lit(" times a year"))).otherwise(quote)
     quantity = F.when(k == 0, "affected_units").when(often, "frequency_per_year").when(share, "addressable_share").otherwise("cost_per_occurrence")
     low = F.when(share & (s == 2), F.col("l_quantity")).when(share, F.col("l_discount")).otherwise(F.col("l_quantity"))
     rows = lines.select("l_orderkey", "l_linenumber", quantity.alias("quantity"),
-        low.alias("low"), F.lit(None).cast("double").alias("high"), unit.alias("unit"), F.when(F.col("l_returnflag") == "A", "explicit_assumption").otherwise("source").alias("basis"), F.lit("we assume").alias("assumption"),
-        quote.alias("quote"), F.when(F.col("l_returnflag") == "N", "unfetchable").otherwise("verified").alias("verification"), F.lit(None).cast("string").alias("company"))
+        low.alias("low"), F.lit(None).cast("double").alias("high"), unit.alias("unit"), F.when(F.col("l_returnflag") == "A",
+                "explicit_assumption").otherwise("source").alias("basis"), F.lit("we assume").alias("assumption"),
+        quote.alias("quote"), F.when(F.col("l_returnflag") == "N", "unfetchable").otherwise("verified").alias("verification"),
+                F.lit(None).cast("string").alias("company"))
     return value.estimate_rows(rows)
 
 
-@query(twin("board") + """ SELECT challenge_id, pos, pos % 3 <> 0 AS kept, pos % 3 <> 0 AND (pos % 2 = 0 OR challenge_id % 2 = 0) AS score_kept FROM board WHERE NOT is_baseline""")
+@query(twin("board") + """ SELECT challenge_id, pos, pos % 3 <> 0 AS kept, pos % 3 <> 0 AND (pos % 2 = 0 OR challenge_id % 2 = 0) AS score_kept
+  FROM board WHERE NOT is_baseline""")
 def solution_check(spark, d):
     return _solution_check(bound(spark, d, "board").where("not is_baseline"))
 
@@ -996,10 +1113,12 @@ def _solution_check(rows):
     return verify.solution_check(s, b.where("challenge_id % 2 = 0").select("challenge_id", "team", "score")).select("challenge_id", "pos", "kept", "score_kept")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'none' WHEN o_custkey % 4 = 1 THEN 'evidence not verified' WHEN o_custkey % 4 = 2 THEN 'accepted' ELSE 'not stated' END AS baseline_check FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'none' WHEN o_custkey % 4 = 1 THEN 'evidence not verified'
+  WHEN o_custkey % 4 = 2 THEN 'accepted' ELSE 'not stated' END AS baseline_check FROM orders""")
 def baseline_check(spark, d):
     k = F.col("o_custkey") % 4
-    rows = given(spark, d, "orders").select("o_orderkey", F.when(k != 0, F.col("o_orderkey") * 1.0).alias("value"), (k != 1).alias("verified"), F.when(k == 2, F.concat(F.lit("a baseline of "), "o_orderkey")).otherwise("nothing").alias("quote"))
+    rows = given(spark, d, "orders").select("o_orderkey", F.when(k != 0, F.col("o_orderkey") * 1.0).alias("value"), (k != 1).alias("verified"),
+            F.when(k == 2, F.concat(F.lit("a baseline of "), "o_orderkey")).otherwise("nothing").alias("quote"))
     return verify.baseline_check(rows).select("o_orderkey", "baseline_check")
 
 
@@ -1015,7 +1134,8 @@ def advantage_check(spark, d):
 def candidates_by_month(spark, d):
     path = staging(spark, "months")
     records.write_by_month(given(spark, d, "orders"), "o_orderdate", path)
-    return records.read_since(spark, path, "1997-06").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+    return records.read_since(spark, path, "1997-06").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"),
+            F.max("o_totalprice").alias("most"))
 
 
 @query()
@@ -1041,8 +1161,10 @@ def stream_source_health(spark, d):
     for k in range(3):  # each in a folder and a run of its own, so a batch may have any number of files
         log.where((F.col("seq") > (k * third if k else -1)) & (F.col("seq") <= (k + 1) * third + (k == 2))).write.parquet(f"{path}/in/{k}")
         scans = spark.readStream.schema(log.schema).parquet(f"{path}/in/*")
-        feeds.source_health(scans).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start().awaitTermination()
-    return sources.latest(spark.read.parquet(f"{path}/out").drop("batch")).select("source_id", "seq", "scans", "items_seen", "consecutive_failures", "candidates", "dry_scans")
+        feeds.source_health(scans).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation",
+                f"{path}/c").trigger(availableNow=True).start().awaitTermination()
+    return sources.latest(spark.read.parquet(f"{path}/out").drop("batch")).select("source_id", "seq", "scans", "items_seen", "consecutive_failures",
+            "candidates", "dry_scans")
 
 
 @query(twin("snapshot_1", "snapshot_2") + _ITEMS + _UPSERT + _TABLE + " FROM up")
@@ -1065,14 +1187,16 @@ def stream_superseded(spark, d):
     return spark.read.parquet(f"{path}/out")
 
 
-@query("""SELECT doc_id, (doc_id % 2 <> 0 OR contains(d.text, b.text)) AND (doc_id % 3 <> 0 OR doc_id % 9 <> 0 AND trim(coalesce(d.text, '')) <> '') AS verified FROM """ + _DEALT)
+@query("""SELECT doc_id, (doc_id % 2 <> 0 OR contains(d.text, b.text)) AND (doc_id % 3 <> 0 OR doc_id % 9 <> 0
+  AND trim(coalesce(d.text, '')) <> '') AS verified FROM """ + _DEALT)
 def candidate_verified(spark, d):
     return _candidate_verified(_dealt(spark, d, given(spark, d, "documents"), "evidence"))
 
 
 def _candidate_verified(rows):
     rows = rows.withColumns({
-        "unsolved": F.col("doc_id") % 2 == 0, "ptype": F.when(F.col("doc_id") % 3 == 0, "grant").otherwise("none_stated"), "pay_evidence": F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("text"))})
+        "unsolved": F.col("doc_id") % 2 == 0, "ptype": F.when(F.col("doc_id") % 3 == 0, "grant").otherwise("none_stated"),
+                "pay_evidence": F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("text"))})
     return verify.candidate_verified(rows).select("doc_id", "verified")
 
 
@@ -1081,15 +1205,19 @@ def recent_refs(spark, d):
     return items.links_of(_linked(spark, d), _t(60), "first_seen", "links")
 
 
-@query(twin("problem_sources") + """ SELECT problem_id, pos, CASE WHEN pos % 3 = 0 THEN 'evidence not verified' WHEN pos % 2 = 0 AND stated <> '' AND l_linenumber % 4 < 2 THEN 'amount not in quote' ELSE 'accepted' END AS "check" FROM problem_sources""")
+@query(twin("problem_sources") + """ SELECT problem_id, pos, CASE WHEN pos % 3 = 0 THEN 'evidence not verified' WHEN pos % 2 = 0 AND stated <> ''
+  AND l_linenumber % 4 < 2 THEN 'amount not in quote' ELSE 'accepted' END AS "check" FROM problem_sources""")
 def wtp_check(spark, d):
-    rows = bound(spark, d, "problem_sources").select("problem_id", "pos", F.col("stated").alias("signal"), F.when(F.col("pos") % 2 == 0, "another text").otherwise(F.col("stated")).alias("quote"), F.when(F.col("pos") % 3 != 0, "verified").alias("verification"))
+    rows = bound(spark, d, "problem_sources").select("problem_id", "pos", F.col("stated").alias("signal"), F.when(F.col("pos") % 2 == 0,
+            "another text").otherwise(F.col("stated")).alias("quote"), F.when(F.col("pos") % 3 != 0, "verified").alias("verification"))
     return verify.wtp_check(rows).select("problem_id", "pos", "check")
 
 
-@query(twin("problem_sources", "assessments") + """, t AS (SELECT DISTINCT problem_id, stated AS text FROM problem_sources WHERE stated <> '' AND pos % 2 = 1 UNION SELECT problem_id, ptype FROM problem_sources WHERE tier <> 'C'),
+@query(twin("problem_sources", "assessments") + """, t AS (SELECT DISTINCT problem_id, stated AS text FROM problem_sources WHERE stated <> ''
+  AND pos % 2 = 1 UNION SELECT problem_id, ptype FROM problem_sources WHERE tier <> 'C'),
  g AS (SELECT problem_id, string_agg(text, '|' ORDER BY text) AS texts FROM t GROUP BY 1)
- SELECT coalesce(g.problem_id, a.problem_id) AS problem_id, coalesce(texts, '') AS texts, CASE WHEN low IS NULL THEN 0 ELSE 2 END AS n_numbers FROM g FULL JOIN assessments a USING (problem_id)""")
+ SELECT coalesce(g.problem_id, a.problem_id) AS problem_id, coalesce(texts, '') AS texts, CASE WHEN low IS NULL THEN 0 ELSE 2 END AS n_numbers
+   FROM g FULL JOIN assessments a USING (problem_id)""")
 def backing(spark, d):
     s = bound(spark, d, "problem_sources")
     quotes_ = s.where("stated <> ''").select("problem_id", F.col("stated").alias("quote"), (F.col("pos") % 2 == 1).alias("verified"))
@@ -1104,32 +1232,40 @@ def talk_urls(spark, d):
     return given(spark, d, "part").select("p_partkey", urls.talk_url(page, F.col("p_name")).alias("url"))
 
 
-@query("""SELECT 'https://h' || p_size || '.example/blog/' || p_partkey AS url, CASE p_partkey % 3 WHEN 0 THEN 'https://h' || p_size || '.example/feed' WHEN 1 THEN 'https://h' || p_size || '.example/blog/f.xml' END AS feed,
+@query("""SELECT 'https://h' || p_size || '.example/blog/' || p_partkey AS url, CASE p_partkey % 3
+  WHEN 0 THEN 'https://h' || p_size || '.example/feed' WHEN 1 THEN 'https://h' || p_size || '.example/blog/f.xml' END AS feed,
  'rss-h' || p_size || '-example' AS source_id FROM part WHERE p_partkey % 3 < 2""")
 def discover_feeds(spark, d):
     k = F.col("p_partkey") % 3
-    link = F.concat(F.lit('<head><link rel="stylesheet" href="s.css"><link rel="alternate" type="'), F.when(k == 1, "application/atom+xml").when(k == 0, "application/rss+xml").otherwise("text/html"), F.lit('" href="'), F.when(k == 0, "/feed").otherwise("f.xml"), F.lit('"></head>'))
+    link = F.concat(F.lit('<head><link rel="stylesheet" href="s.css"><link rel="alternate" type="'), F.when(k == 1,
+            "application/atom+xml").when(k == 0, "application/rss+xml").otherwise("text/html"), F.lit('" href="'), F.when(k == 0,
+                    "/feed").otherwise("f.xml"), F.lit('"></head>'))
     return discover.feeds(given(spark, d, "part").select(F.concat(F.lit("https://h"), "p_size", F.lit(".example/blog/"), "p_partkey").alias("url"), link.alias("html")))
 
 
 @query(twin("scan_log") + _HEALTH + """, l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) = 1)
- SELECT source_id, CASE user_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'retired' ELSE 'candidate' END AS status, CASE WHEN user_id % 4 = 0 THEN 0 ELSE consecutive_failures END AS consecutive_failures, CASE WHEN user_id % 4 = 0 THEN 0 ELSE dry_scans END AS dry_scans FROM l""")
+ SELECT source_id, CASE user_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'retired' ELSE 'candidate' END AS status, CASE
+   WHEN user_id % 4 = 0 THEN 0 ELSE consecutive_failures END AS consecutive_failures, CASE WHEN user_id % 4 = 0 THEN 0 ELSE dry_scans END AS dry_scans FROM l""")
 def manual_override(spark, d):
     state = sources.latest(sources.health(bound(spark, d, "scan_log"))).withColumn("status", F.lit("candidate"))
     orders = state.where("user_id % 4 < 2").select("source_id", F.when(F.col("user_id") % 4 == 0, "active").otherwise("retired").alias("wanted"))
     return sources.override(state, orders).select("source_id", "status", "consecutive_failures", "dry_scans")
 
 
-@query("""WITH l AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'ERROR: e' || event_id WHEN event_type = 'view' THEN 'Fix: f' || event_id ELSE 'line' END AS line FROM events),
- n AS (SELECT *, lead(line) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM l), e AS (SELECT * FROM n WHERE line LIKE 'ERROR: %' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+@query("""WITH l AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'ERROR: e' || event_id
+  WHEN event_type = 'view' THEN 'Fix: f' || event_id ELSE 'line' END AS line FROM events),
+ n AS (SELECT *, lead(line) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM l), e AS (SELECT * FROM n WHERE line LIKE 'ERROR: %'
+   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
  SELECT user_id AS task_id, substr(line, 8) AS error, CASE WHEN after LIKE 'Fix: %' THEN substr(after, 6) ELSE '' END AS fix FROM e""")
 def task_errors(spark, d):
-    line = F.when(F.col("event_type") == "error", F.concat(F.lit("ERROR: e"), "event_id")).when(F.col("event_type") == "view", F.concat(F.lit("Fix: f"), "event_id")).otherwise("line")
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("ERROR: e"), "event_id")).when(F.col("event_type") == "view",
+            F.concat(F.lit("Fix: f"), "event_id")).otherwise("line")
     return sessions.task_errors(given(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("line_no"), line.alias("line")))
 
 
 #: Queries that were once registered apart, over all rows; now the plain names are that too.
-for _name in ("ordered_distinct", "profile_digest", "shortlist", "verify_quotes_plain", "search_summary", "accepted_output", "leaderboard_rows", "estimate_rows", "solution_check",
+for _name in ("ordered_distinct", "profile_digest", "shortlist", "verify_quotes_plain", "search_summary", "accepted_output", "leaderboard_rows",
+        "estimate_rows", "solution_check",
               "advantage_check", "candidate_verified"):
     QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = QUERIES[_name], ORACLE[_name]
 

@@ -32,7 +32,8 @@ def _made_pages(spark, d):
     return p.select("p_partkey", F.concat(F.lit("https://p.example/"), "p_partkey").alias("url"), html.alias("html"))
 
 
-@query(f"""SELECT {_URL} AS url, p_name AS title, CASE WHEN p_partkey % 5 = 0 THEN 'bare' ELSE p_type || chr(10) || p_brand || chr(10) || 'more' || chr(10) || 'aside & last' END AS text,
+@query(f"""SELECT {_URL} AS url, p_name AS title, CASE
+  WHEN p_partkey % 5 = 0 THEN 'bare' ELSE p_type || chr(10) || p_brand || chr(10) || 'more' || chr(10) || 'aside & last' END AS text,
  CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'https://p.example/x/' || p_partkey END AS links FROM part""")
 def visible_text(spark, d):
     return payloads.pages(_made_pages(spark, d)).withColumn("links", F.array_join("links", " "))
@@ -49,14 +50,17 @@ def pages_without_region(spark, d):
     return payloads.without_region(_made_pages(spark, d), "body .main")
 
 
-@query(f"""SELECT {_URL} AS url, CASE WHEN p_partkey % 7 = 0 THEN 'quote_too_short' WHEN p_partkey % 5 = 0 OR p_partkey % 3 <> 0 THEN 'quote_not_found' ELSE 'verified' END AS status
- FROM part WHERE p_partkey % 11 <> 0 UNION ALL SELECT {_URL}, CASE WHEN p_partkey % 7 = 0 THEN 'quote_too_short' ELSE 'unfetchable' END FROM part WHERE p_partkey % 11 = 0""")
+@query(f"""SELECT {_URL} AS url, CASE WHEN p_partkey % 7 = 0 THEN 'quote_too_short'
+  WHEN p_partkey % 5 = 0 OR p_partkey % 3 <> 0 THEN 'quote_not_found' ELSE 'verified' END AS status
+ FROM part WHERE p_partkey % 11 <> 0 UNION ALL SELECT {_URL}, CASE WHEN p_partkey % 7 = 0 THEN 'quote_too_short' ELSE 'unfetchable' END
+   FROM part WHERE p_partkey % 11 = 0""")
 def verify_page_quotes(spark, d):
     """Quotes in other marks and capitals against made pages: some short, some of other pages, some pages not there."""
     pages = _made_pages(spark, d)
     texts = verify.page_texts(pages.select("url", "html")).withColumn("ok", F.lit(True)).join(pages.where("p_partkey % 11 <> 0").select("url"), "url", "left_semi")
     k = F.col("p_partkey")
-    said = F.when(k % 7 == 0, "too short").when(k % 3 == 0, F.concat(F.lit("**"), F.upper("p_type"), F.lit("**  "), "p_brand", F.lit(" more."))).otherwise("words of another page")
+    said = F.when(k % 7 == 0, "too short").when(k % 3 == 0, F.concat(F.lit("**"), F.upper("p_type"), F.lit("**  "), "p_brand",
+            F.lit(" more."))).otherwise("words of another page")
     quotes = given(spark, d, "part").select(F.concat(F.lit("https://p.example/"), k).alias("url"), said.alias("quote"))
     return verify.verify_quotes(quotes, texts).select("url", "status")
 
@@ -70,7 +74,8 @@ _OLD = "o_orderdate < DATE '1996-01-01'"
 def listing_pages(spark, d):
     """Listing pages from HTML: what stands below a heading, or says so itself, is finished."""
     o = given(spark, d, "orders").withColumn("old", F.expr(_OLD))
-    link = _tag("li", _tag("a", F.when(F.col("o_orderstatus") == "F", "It has ended").otherwise("Open"), href=F.concat(F.lit("/c/"), "o_orderkey", F.lit("#top"))), _tag("a", "other", href="/about"), class_="entry")
+    link = _tag("li", _tag("a", F.when(F.col("o_orderstatus") == "F", "It has ended").otherwise("Open"), href=F.concat(F.lit("/c/"), "o_orderkey",
+            F.lit("#top"))), _tag("a", "other", href="/about"), class_="entry")
     rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("old", "o_orderkey", link.alias("li")))).alias("rows"))
     part = lambda old: F.array_join(F.transform(F.filter("rows", lambda r: r["old"] == old), lambda r: r["li"]), "")
     html = F.concat(F.lit("<h2>Now</h2><ul>"), part(False), F.lit("</ul><h2>Past <i>ones</i></h2><ul>"), part(True), F.lit("</ul>"))
@@ -89,16 +94,20 @@ _TALK = """CASE p_partkey % 3 WHEN 0 THEN 'https://t.example/t/' || p_partkey WH
 def items_from_talks(spark, d):
     """Sessions of JSON that is embedded in a page, to items."""
     p, k = given(spark, d, "part"), F.col("p_partkey") % 3
-    talk = F.struct(F.col("p_name").alias("name"), F.when(k == 0, F.concat(F.lit("/t/"), "p_partkey")).alias("link"), F.when(k == 1, F.concat(F.lit("k"), "p_partkey")).alias("ref"),
-        F.concat(F.lit("<p>"), "p_type", F.lit("</p>")).alias("text"), F.struct(F.col("p_brand").alias("org")).alias("speaker"), F.concat(F.lit("M"), "p_size").alias("day"))
-    body = F.concat(F.lit('<p>x</p><script id="data" type="application/json">'), F.to_json(F.struct(F.struct(F.struct(F.array(talk).alias("talks")).alias("mon")).alias("days"))), F.lit("</script>"))
+    talk = F.struct(F.col("p_name").alias("name"), F.when(k == 0, F.concat(F.lit("/t/"), "p_partkey")).alias("link"), F.when(k == 1,
+            F.concat(F.lit("k"), "p_partkey")).alias("ref"),
+        F.concat(F.lit("<p>"), "p_type", F.lit("</p>")).alias("text"), F.struct(F.col("p_brand").alias("org")).alias("speaker"), F.concat(F.lit("M"),
+                "p_size").alias("day"))
+    body = F.concat(F.lit('<p>x</p><script id="data" type="application/json">'),
+            F.to_json(F.struct(F.struct(F.struct(F.array(talk).alias("talks")).alias("mon")).alias("days"))), F.lit("</script>"))
     raw = p.select(F.lit("t").alias("source_id"), F.lit("https://t.example/day").alias("url"), body.alias("body"), "p_partkey")
     raw = raw.select("source_id", F.concat("url", F.lit("#"), "p_partkey").alias("url"), "body")  # pages of their own, so the limit is by page
     out = payloads.session_items(raw, "days.*.talks", "name", ("text", "speaker.org"), url_field="link", id_field="ref", date_field="day", embedded="script#data")
     return out.withColumn("url", F.regexp_replace("url", "#[0-9]+", ""))
 
 
-@query("""SELECT 'w' AS source_id, 'https://doi.org/10.1234/a' || p_partkey AS url, CASE WHEN p_partkey % 3 = 0 THEN '10.1234/a' || p_partkey ELSE p_name END AS title, '2024-01-02' AS published,
+@query("""SELECT 'w' AS source_id, 'https://doi.org/10.1234/a' || p_partkey AS url, CASE
+  WHEN p_partkey % 3 = 0 THEN '10.1234/a' || p_partkey ELSE p_name END AS title, '2024-01-02' AS published,
  CASE WHEN p_partkey % 5 = 0 THEN '(no abstract)' ELSE 'Abstract: ' || p_type END || chr(10) || 'Authors: ' || p_brand || ' (' || 'M' || p_size || ', Lab)' AS text FROM part WHERE p_partkey % 4 <> 0""")
 def items_from_works(spark, d):
     p = given(spark, d, "part")
@@ -122,7 +131,8 @@ def feed_contents(spark, d):
     esc = lambda c: F.concat(F.lit("&lt;p&gt;"), c, F.lit("&lt;/p&gt;"))
     content = F.when(k, _tag("encoded", esc(F.col("p_type")), esc(F.col("p_brand")))).otherwise("")
     dates = F.when(k, "<pubDate>Mon</pubDate><updated>Tue</updated>").otherwise("<updated>Tue</updated>")
-    item = _tag("item", _tag("link", F.concat(F.lit("https://f.example/"), "p_partkey")), _tag("title", F.col("p_name")), _tag("description", esc(F.col("p_brand"))), content, dates)
+    item = _tag("item", _tag("link", F.concat(F.lit("https://f.example/"), "p_partkey")), _tag("title", F.col("p_name")), _tag("description",
+            esc(F.col("p_brand"))), content, dates)
     raw = given(spark, d, "part").select(F.lit("f").alias("source_id"), _tag("rss", _tag("channel", item)).alias("body"))
     return payloads.feed(raw, 5)
 
@@ -132,11 +142,13 @@ def feed_contents(spark, d):
 @query(twin("board") + " SELECT challenge_id, pos::INT AS pos, pos::INT AS rank, team, round_even(score, 3) AS score, false AS is_baseline FROM board WHERE pos % 4 <> 0 AND challenge_id % 9 <> 0")
 def leaderboard_rows_private(spark, d):
     b = bound(spark, d, "board")
-    tr = F.concat(F.when(F.col("pos") % 4 == 0, F.lit("<tr>")).otherwise(F.concat(F.lit('<tr data-rank="'), "pos", F.lit('">'))), _tag("td", F.col("pos").cast("string")), _tag("td", ""),
+    tr = F.concat(F.when(F.col("pos") % 4 == 0, F.lit("<tr>")).otherwise(F.concat(F.lit('<tr data-rank="'), "pos", F.lit('">'))), _tag("td",
+            F.col("pos").cast("string")), _tag("td", ""),
         _tag("td", _tag("span", F.col("team"), class_="x fw-bold"), " and others"), _tag("td", F.format_string("%.3f", F.bround("score", 3))), F.lit("</tr>"))
     rows = b.groupBy("challenge_id").agg(F.array_sort(F.collect_list(F.struct("pos", tr.alias("tr")))).alias("rows"))
     last = F.when(F.col("challenge_id") % 9 == 0, "Public score").otherwise("Best private score")
-    html = F.concat(F.lit("<table><thead><tr>"), _tag("th", "Rank"), _tag("th", ""), _tag("th", "Team"), _tag("th", last), F.lit("</tr></thead><tbody>"), F.array_join("rows.tr", ""), F.lit("</tbody></table>"))
+    html = F.concat(F.lit("<table><thead><tr>"), _tag("th", "Rank"), _tag("th", ""), _tag("th", "Team"), _tag("th", last),
+            F.lit("</tr></thead><tbody>"), F.array_join("rows.tr", ""), F.lit("</tbody></table>"))
     return payloads.leaderboard_rows(rows.select("challenge_id", html.alias("html")))[0]
 
 
@@ -144,20 +156,24 @@ def leaderboard_rows_private(spark, d):
 
 def _lines(spark, d):
     s, k = bound(spark, d, "sessions"), F.col("line_no") % 4
-    call = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("b"), "line_no").alias("id"), F.col("tool").alias("name"), F.struct(F.col("text").alias("query")).alias("input"))
-    back = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("b"), F.col("line_no") - 1).alias("tool_use_id"), F.when(k != 2, "output provided successfully").otherwise("bad input").alias("content"))
+    call = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("b"), "line_no").alias("id"), F.col("tool").alias("name"),
+            F.struct(F.col("text").alias("query")).alias("input"))
+    back = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("b"), F.col("line_no") - 1).alias("tool_use_id"), F.when(k != 2,
+            "output provided successfully").otherwise("bad input").alias("content"))
     message = lambda kind, b: F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(F.array(b).alias("content")).alias("message")))
     line = F.when(F.col("role") == "assistant", message("assistant", call)).when(F.col("role") == "user", message("user", back)).otherwise("no JSON at all")
     return sessions.session_lines(s.select("session_id", "line_no", line.alias("line")))
 
 
-@query(twin("sessions") + """ SELECT session_id, count_if(tool = 'WebSearch') AS searches, count_if(tool = 'WebFetch') AS fetches, coalesce(string_agg(text, '|' ORDER BY line_no) FILTER (tool = 'WebSearch'), '') AS queries,
+@query(twin("sessions") + """ SELECT session_id, count_if(tool = 'WebSearch') AS searches, count_if(tool = 'WebFetch') AS fetches,
+  coalesce(string_agg(text, '|' ORDER BY line_no) FILTER (tool = 'WebSearch'), '') AS queries,
  count_if(tool = 'WebSearch') >= 1 AS sufficient FROM sessions WHERE role = 'assistant' GROUP BY 1""")
 def session_file_searches(spark, d):
     return sessions.search_summary(sessions.tool_calls(_lines(spark, d))).withColumn("queries", F.array_join("queries", "|"))
 
 
-@query(twin("sessions") + """ SELECT a.session_id, arg_max(a.text, a.line_no) AS value FROM sessions a JOIN sessions u ON u.session_id = a.session_id AND u.line_no = a.line_no + 1
+@query(twin("sessions") + """ SELECT a.session_id, arg_max(a.text, a.line_no) AS value FROM sessions a
+  JOIN sessions u ON u.session_id = a.session_id AND u.line_no = a.line_no + 1
  WHERE a.role = 'assistant' AND u.role = 'user' AND u.line_no % 4 <> 2 GROUP BY 1""")
 def session_file_output(spark, d):
     lines = _lines(spark, d)
@@ -177,7 +193,8 @@ def session_file_usage(spark, d):
 
 # ---- record files
 
-@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'unreadable' WHEN s_suppkey % 5 = 0 THEN 'missing: name' END AS message, CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 THEN s_name END AS name FROM supplier""")
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'unreadable' WHEN s_suppkey % 5 = 0 THEN 'missing: name' END AS message, CASE
+  WHEN s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 THEN s_name END AS name FROM supplier""")
 def load_records(spark, d):
     """A folder of record files, JSON and YAML, to typed rows and a list of what can't be read."""
     path, s = staging(spark, "records"), given(spark, d, "supplier")
@@ -193,31 +210,39 @@ def load_records(spark, d):
 
 # ---- reports and checks
 
-@query("""WITH r AS (SELECT 'src-' || user_id AS source_id, CASE event_type WHEN 'error' THEN 'item_error' WHEN 'signup' THEN 'new' WHEN 'click' THEN 'changed' WHEN 'purchase' THEN 'filtered' ELSE 'unchanged' END AS outcome,
+@query("""WITH r AS (SELECT 'src-' || user_id AS source_id, CASE event_type WHEN 'error' THEN 'item_error' WHEN 'signup' THEN 'new'
+  WHEN 'click' THEN 'changed' WHEN 'purchase' THEN 'filtered' ELSE 'unchanged' END AS outcome,
    event_id % 5 = 0 AS truncated, event_id % 7 = 0 AS finished FROM events WHERE event_id % 3 <> 0),
- o AS (SELECT source_id, count_if(outcome = 'new') AS new, count_if(outcome = 'changed') AS changed, count_if(outcome = 'unchanged') AS unchanged, count_if(outcome = 'filtered') AS filtered,
-   count_if(truncated AND outcome IN ('new', 'changed', 'unchanged')) AS truncated, count_if(outcome = 'item_error') AS item_errors, count_if(finished AND outcome IN ('new', 'changed', 'unchanged')) AS finished FROM r GROUP BY 1),
+ o AS (SELECT source_id, count_if(outcome = 'new') AS new, count_if(outcome = 'changed') AS changed, count_if(outcome = 'unchanged') AS unchanged,
+   count_if(outcome = 'filtered') AS filtered,
+   count_if(truncated AND outcome IN ('new', 'changed', 'unchanged')) AS truncated, count_if(outcome = 'item_error') AS item_errors,
+     count_if(finished AND outcome IN ('new', 'changed', 'unchanged')) AS finished FROM r GROUP BY 1),
  e AS (SELECT 'src-' || user_id AS source_id, min('E' || event_id) AS error FROM events WHERE event_id % 30 = 0 GROUP BY 1)
- SELECT source_id, coalesce(new, 0) AS new, coalesce(changed, 0) AS changed, coalesce(unchanged, 0) AS unchanged, coalesce(filtered, 0) AS filtered, coalesce(truncated, 0) AS truncated,
+ SELECT source_id, coalesce(new, 0) AS new, coalesce(changed, 0) AS changed, coalesce(unchanged, 0) AS unchanged, coalesce(filtered, 0) AS filtered,
+   coalesce(truncated, 0) AS truncated,
   coalesce(item_errors, 0) AS item_errors, coalesce(finished, 0) AS finished, error FROM o FULL JOIN e USING (source_id)""")
 def scan_report(spark, d):
     e = given(spark, d, "events").withColumn("source_id", F.concat(F.lit("src-"), "user_id"))
     t = F.col("event_type")
     outcome = F.when(t == "error", "item_error").when(t == "signup", "new").when(t == "click", "changed").when(t == "purchase", "filtered").otherwise("unchanged")
-    results = e.where("event_id % 3 <> 0").select("source_id", outcome.alias("outcome"), (F.col("event_id") % 5 == 0).alias("truncated"), (F.col("event_id") % 7 == 0).alias("finished"))
+    results = e.where("event_id % 3 <> 0").select("source_id", outcome.alias("outcome"), (F.col("event_id") % 5 == 0).alias("truncated"),
+            (F.col("event_id") % 7 == 0).alias("finished"))
     return sources.scan_report(results, e.where("event_id % 30 = 0").select("source_id", F.concat(F.lit("E"), "event_id").alias("error")))
 
 
-@query(twin("problem_sources") + """ SELECT problem_id, pos, CASE WHEN l_linenumber % 4 = 0 THEN floor(l_extendedprice / 1000) * 1000.0 WHEN l_linenumber % 4 = 1 THEN l_quantity * 1e6 ELSE l_quantity * 1000.0 END AS low,
+@query(twin("problem_sources") + """ SELECT problem_id, pos, CASE WHEN l_linenumber % 4 = 0 THEN floor(l_extendedprice / 1000) * 1000.0
+  WHEN l_linenumber % 4 = 1 THEN l_quantity * 1e6 ELSE l_quantity * 1000.0 END AS low,
  CASE WHEN l_linenumber % 4 = 0 THEN floor(l_extendedprice / 1000) * 1000.0 WHEN l_linenumber % 4 = 1 THEN l_quantity * 1e6 ELSE l_quantity * 1000.0 END AS high,
- CASE WHEN l_linenumber % 4 = 0 THEN 'USD' WHEN l_linenumber % 4 = 1 THEN 'GBP' WHEN source_id LIKE 'grants-gov-%' THEN 'USD' WHEN source_id LIKE 'aria-%' THEN 'GBP' END AS currency,
+ CASE WHEN l_linenumber % 4 = 0 THEN 'USD' WHEN l_linenumber % 4 = 1 THEN 'GBP' WHEN source_id LIKE 'grants-gov-%' THEN 'USD'
+   WHEN source_id LIKE 'aria-%' THEN 'GBP' END AS currency,
  replace(stated, 'Award ceiling: ', '') AS text, l_linenumber % 4 < 2 AS scaled FROM problem_sources WHERE stated <> '' AND l_linenumber % 4 <> 3""")
 def stated_amounts(spark, d):
     found = money.amounts_column(F.col("stated"), value.default_currency(F.col("source_id")))
     return bound(spark, d, "problem_sources").select("problem_id", "pos", F.explode(found).alias("a")).select("problem_id", "pos", "a.*")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', CASE WHEN l_linenumber % 3 <> 0 AND NOT (l_linenumber % 2 = 0 AND abs(l_discount - l_quantity / 100) < 1e-9) THEN 'claim: ' || CASE WHEN l_discount = 0 THEN '0' ELSE rtrim(printf('%.2f', l_discount), '0') END END,
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', CASE WHEN l_linenumber % 3 <> 0 AND NOT (l_linenumber % 2 = 0
+  AND abs(l_discount - l_quantity / 100) < 1e-9) THEN 'claim: ' || CASE WHEN l_discount = 0 THEN '0' ELSE rtrim(printf('%.2f', l_discount), '0') END END,
  CASE WHEN l_linenumber % 2 <> 0 THEN 'claim: ' || l_quantity::BIGINT || '%' END) AS warnings FROM lineitem""")
 def unsupported_numbers(spark, d):
     """Decimals and percentages of a claim that neither a quote states nor an earlier record holds."""
@@ -230,7 +255,8 @@ def unsupported_numbers(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'none' WHEN doc_id % 2 = 0 AND length(trim(split_part(coalesce(text, ''), chr(10), 1))) > 0 THEN 'strong' ELSE 'none' END AS kept_level FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'none' WHEN doc_id % 2 = 0 AND length(trim(split_part(coalesce(text, ''),
+  chr(10), 1))) > 0 THEN 'strong' ELSE 'none' END AS kept_level FROM documents""")
 def interest_check(spark, d):
     """An interest counts only if its quote is a whole line of one of the profile's files."""
     docs = given(spark, d, "documents").select("doc_id", F.col("source").alias("profile_id"), F.col("doc_id").alias("path"), "text")

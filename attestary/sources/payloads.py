@@ -31,7 +31,8 @@ def lever(raw: DataFrame) -> DataFrame:
     parts = F.filter(F.concat(F.array("j.openingPlain", "j.descriptionPlain"), lists, F.array("j.additionalPlain")), lambda p: p != "")
     published = F.date_format(F.timestamp_millis("j.createdAt"), "yyyy-MM-dd'T'HH:mm:ssXXX")
     return jobs.select(
-        "source_id", F.col("j.hostedUrl").alias("url"), F.coalesce("j.text", F.lit("")).alias("title"), published.alias("published"), F.array_join(parts, "\n\n").alias("text")
+        "source_id", F.col("j.hostedUrl").alias("url"), F.coalesce("j.text", F.lit("")).alias("title"), published.alias("published"),
+                F.array_join(parts, "\n\n").alias("text")
     )
 
 
@@ -47,10 +48,12 @@ def feed(raw: DataFrame, most: int) -> DataFrame:
     """RSS: the first `most` entries, then those without a link go. The text is what is visible of the content, or of the
     description; published before updated."""
     item = "struct<link string, title string, description string, `content:encoded` string, encoded string, pubDate string, updated string, `dc:date` string>"
-    entries = raw.select("source_id", F.posexplode(F.from_xml("body", f"channel struct<item array<{item}>>")["channel"]["item"]).alias("pos", "e")).where(F.col("pos") < most)
+    entries = raw.select("source_id", F.posexplode(F.from_xml("body", f"channel struct<item array<{item}>>")["channel"]["item"]).alias("pos",
+            "e")).where(F.col("pos") < most)
     url, body = F.trim("e.link"), F.coalesce(F.col("e")["content:encoded"], F.col("e")["encoded"], F.col("e")["description"], F.lit(""))
     return entries.where("e.link is not null").select(
-        "source_id", url.alias("url"), F.coalesce("e.title", F.lit("")).alias("title"), F.coalesce(F.col("e")["pubDate"], F.col("e")["updated"], F.col("e")["dc:date"]).alias("published"),
+        "source_id", url.alias("url"), F.coalesce("e.title", F.lit("")).alias("title"), F.coalesce(F.col("e")["pubDate"], F.col("e")["updated"],
+                F.col("e")["dc:date"]).alias("published"),
         extract_column(body, url)["text"].alias("text"),
     )
 
@@ -92,7 +95,8 @@ def grants(hits: DataFrame, details: DataFrame) -> DataFrame:
     e = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     field = lambda label, c: F.concat(F.lit(f"{label}: "), e(c))
     text = F.concat_ws("\n", field("Title", "title"), field("Agency", "agency"), field("Opportunity number", "number"), field("Status", "status"),
-                       field("Close date", "close_date"), field("Award ceiling", "ceiling"), field("Estimated total funding", "funding"), F.lit(""), e("description"))
+                       field("Close date", "close_date"), field("Award ceiling", "ceiling"), field("Estimated total funding", "funding"), F.lit(""),
+                               e("description"))
     url = F.concat(F.lit("https://www.grants.gov/search-results-detail/"), "id")
     return hits.join(details, "id").select("source_id", url.alias("url"), e("title").alias("title"), text.alias("text"))
 
@@ -119,11 +123,13 @@ def works(found: DataFrame, metadata: DataFrame, most: int = 30) -> DataFrame:
         F.from_json(F.get_json_object("body", "$.abstract_inverted_index"), "map<string,array<int>>").alias("inverted"),
         F.from_json(F.get_json_object("body", "$.authorships"), _AUTHORS).alias("authors"))
     own = F.transform(F.coalesce("authors", F.array().cast(_AUTHORS)), lambda a: F.concat(
-        a["author"]["display_name"], F.lit(" ("), F.array_join(F.transform(F.coalesce(a["institutions"], F.array()), lambda i: i["display_name"]), ", "), F.lit(")")))
+        a["author"]["display_name"], F.lit(" ("), F.array_join(F.transform(F.coalesce(a["institutions"], F.array()), lambda i: i["display_name"]),
+                ", "), F.lit(")")))
     said = abstract_text(F.col("inverted"))
     body = F.concat(F.when(said != "", F.concat(F.lit("Abstract: "), said)).otherwise("(no abstract)"), F.lit("\nAuthors: "), F.array_join(own, "; "))
     url = F.concat(F.lit("https://doi.org/"), "doi")
-    met = found.join(read, "doi").select("source_id", F.col("url").alias("page"), "pos", url.alias("url"), F.coalesce("title", "doi").alias("title"), F.col("publication_date").alias("published"), body.alias("text"))
+    met = found.join(read, "doi").select("source_id", F.col("url").alias("page"), "pos", url.alias("url"), F.coalesce("title", "doi").alias("title"),
+            F.col("publication_date").alias("published"), body.alias("text"))
     w = Window.partitionBy("source_id", "page").orderBy("pos")
     items_ = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("page", "pos", "rank")
     return items_, found.join(read.select("doi"), "doi", "left_anti").select("source_id", "doi")
@@ -152,7 +158,8 @@ def nested(raw: DataFrame, path: str) -> DataFrame:
     of a list or all values of an object, missing keys lead nowhere, and a list at the end gives its elements."""
     rows = raw.select("source_id", F.col("body").alias("node"), F.array().cast("array<int>").alias("at"))
     as_list = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.map_values(F.from_json(c, "map<string, string>")))
-    step_in = lambda r, c: r.select("source_id", "at", F.posexplode(c).alias("k", "node")).select("source_id", "node", F.concat("at", F.array("k")).alias("at"))
+    step_in = lambda r, c: r.select("source_id", "at", F.posexplode(c).alias("k", "node")).select("source_id", "node", F.concat("at",
+            F.array("k")).alias("at"))
     for step in path.split("."):
         if step == "*":
             rows = step_in(rows, as_list(F.col("node")))
@@ -185,7 +192,8 @@ def session_items(raw: DataFrame, path: str, title: str, texts: tuple[str, ...],
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank", "page", "at")
 
 
-def page_links(raw: DataFrame, selector: str = "a", pattern: str | None = None, below: str | None = None, marker: str | None = None, all_finished: bool = False) -> DataFrame:
+def page_links(raw: DataFrame, selector: str = "a", pattern: str | None = None, below: str | None = None, marker: str | None = None,
+        all_finished: bool = False) -> DataFrame:
     """(url, html) -> links(page, pos, href, text, heading_finished) of listing pages, in document order."""
     found = listing_column(F.col("html"), F.col("url"), selector, pattern, below, marker, all_finished)
     return raw.select(F.col("url").alias("page"), F.explode(found).alias("l")).select("page", "l.pos", "l.href", "l.text", F.col("l.finished").alias("heading_finished"))
@@ -218,7 +226,8 @@ def leaderboard_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array_position(F.transform("head", lambda c: c["text"].contains("Best private")), True).alias("p"),
     )
     first = (F.col("c") > 0) & (F.col("r") > 0) & (F.col("t") > 0)
-    body = rows.where(first | (F.col("p") > 0)).select("challenge_id", "c", "r", "t", "p", first.alias("first"), F.posexplode(F.slice("tr", F.lit(2), F.size("tr"))).alias("pos", "row"))
+    body = rows.where(first | (F.col("p") > 0)).select("challenge_id", "c", "r", "t", "p", first.alias("first"), F.posexplode(F.slice("tr", F.lit(2),
+            F.size("tr"))).alias("pos", "row"))
     cell = lambda i: F.get("row.cells", F.col(i) - 1)
     said = F.when(F.col("first"), cell("c")["text"]).otherwise(cell("p")["text"])
     baseline = F.col("first") & F.array_contains("row.titles", "Baseline")
@@ -227,7 +236,8 @@ def leaderboard_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     rank = F.when(F.col("first"), cell("r")["text"]).otherwise(F.col("row.data_rank"))
     out = body.select(
         "challenge_id", (F.col("pos") + 1).alias("pos"), F.when(rank.rlike(r"^\d{1,9}$"), rank).cast("int").alias("rank"), team.alias("team"),
-        F.when(said.rlike(_SCORE), said.cast("double")).alias("score"), baseline.alias("is_baseline"), F.when(F.col("first"), rank.rlike(r"^\d+$")).otherwise(rank.isNotNull() & team.isNotNull()).alias("ranked"),
+        F.when(said.rlike(_SCORE), said.cast("double")).alias("score"), baseline.alias("is_baseline"), F.when(F.col("first"),
+                rank.rlike(r"^\d+$")).otherwise(rank.isNotNull() & team.isNotNull()).alias("ranked"),
     )
     out = out.where(F.col("score").isNotNull() & (F.col("is_baseline") | F.col("ranked"))).drop("ranked")
     read = rows.where(first | (F.col("p") > 0)).select("challenge_id")
