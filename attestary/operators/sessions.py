@@ -35,34 +35,33 @@ def _rest(text: Column, n) -> Column:
     return F.substring(text, n if isinstance(n, Column) else F.lit(n), F.length(text))
 
 
-def progress(line: Column) -> dict[str, Column]:
-    """A progress line is `[stage i/n] item`, perhaps a remark in brackets, then `: running...` or ` -> result`: state (null
-    for another line), item and result, without the duration at its end."""
-    head = F.substring_index(line, "] ", 1)
-    count = F.split(F.element_at(F.split(head, " "), -1), "/")
+def progress(log: DataFrame) -> DataFrame:
+    """log(task_id, line_no, line) -> (task_id, line_no, state, item, result) of progress lines: `[stage i/n] item`, perhaps a remark in
+    brackets, then `: running...` or ` -> result`; the result without the duration at its end. Step by step, so that no
+    expression stands in another more than once."""
     digits = lambda c: c.rlike("^[0-9]+$")
-    sound = line.startswith("[") & line.contains("] ") & (F.size(F.split(head, " ")) == 2) & (F.size(count) == 2) & digits(F.get(count, 0)) & digits(F.get(count, 1))
-    said = _rest(line, F.length(head) + 3)
-    runs, ends = F.instr(said, ": running"), F.instr(said, " -> ")
-    running = (runs > 0) & ((ends == 0) | (runs < ends))
-    what = F.when(running, F.substring(said, F.lit(1), runs - 1)).when(ends > 0, F.substring(said, F.lit(1), ends - 1))
-    item = F.substring_index(what, " ", 1)
-    remark = _rest(what, F.length(item) + 2)
-    sound &= (item != "") & ((remark == "") | (remark.startswith("(") & remark.endswith(")")))
-    result = F.when(running, "").otherwise(_rest(said, ends + 4))
-    failed = result.startswith("FAILED ")
-    last = F.element_at(F.split(result, " "), -1)
-    timed = last.startswith("(") & last.endswith("s)") & digits(F.translate(F.substring(last, F.lit(2), F.length(last) - 3), ".", ""))
-    plain = F.when(timed, F.substring(result, F.lit(1), F.length(result) - F.length(last) - 1)).otherwise(result)
-    state = F.when(running, "running").when(failed, "failed").otherwise("done")
-    return {"state": F.when(sound & what.isNotNull(), state), "item": item, "result": F.when(failed, _rest(result, 8)).otherwise(plain)}
+    rows = log.where(F.col("line").startswith("[") & F.col("line").contains("] ")).withColumn("head", F.split(F.substring_index("line", "] ", 1), " "))
+    rows = rows.where(F.size("head") == 2).withColumn("count", F.split(F.col("head")[1], "/"))
+    rows = rows.where((F.size("count") == 2) & digits(F.get("count", F.lit(0))) & digits(F.get("count", F.lit(1))))
+    rows = rows.select("task_id", "line_no", _rest(F.col("line"), F.instr("line", "] ") + 2).alias("said"))
+    rows = rows.withColumns({"runs": F.instr("said", ": running"), "ends": F.instr("said", " -> ")})
+    rows = rows.withColumn("running", (F.col("runs") > 0) & ((F.col("ends") == 0) | (F.col("runs") < F.col("ends"))))
+    rows = rows.where(F.col("running") | (F.col("ends") > 0)).withColumn("what", F.substring("said", F.lit(1), F.when(F.col("running"), F.col("runs")).otherwise(F.col("ends")) - 1))
+    rows = rows.withColumn("item", F.substring_index("what", " ", 1)).withColumn("remark", _rest(F.col("what"), F.length("item") + 2))
+    rows = rows.where((F.col("item") != "") & ((F.col("remark") == "") | (F.col("remark").startswith("(") & F.col("remark").endswith(")"))))
+    rows = rows.withColumn("result", F.when(F.col("running"), "").otherwise(_rest(F.col("said"), F.col("ends") + 4)))
+    rows = rows.withColumn("last", F.substring_index("result", " ", -1))
+    timed = F.col("last").startswith("(") & F.col("last").endswith("s)") & digits(F.translate(F.substring("last", F.lit(2), F.length("last") - 3), ".", ""))
+    failed = F.col("result").startswith("FAILED ")
+    said = F.when(failed, _rest(F.col("result"), 8)).when(timed, F.substring("result", F.lit(1), F.length("result") - F.length("last") - 1)).otherwise(F.col("result"))
+    state = F.when(F.col("running"), "running").when(failed, "failed").otherwise("done")
+    return rows.select("task_id", "line_no", state.alias("state"), "item", said.alias("result"))
 
 
 def task_states(log: DataFrame) -> DataFrame:
     """log(task_id, line_no, line) -> the last state of each item of each task, by first appearance: running, failed or done,
     with its result, without the duration."""
-    rows = log.select("task_id", "line_no", *[c.alias(n) for n, c in progress(F.col("line")).items()]).where("state is not null")
-    return rows.groupBy("task_id", "item").agg(
+    return progress(log).groupBy("task_id", "item").agg(
         F.min("line_no").alias("first_line"), F.max_by("state", "line_no").alias("state"), F.max_by("result", "line_no").alias("result")
     )
 
