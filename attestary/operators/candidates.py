@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .value import deadline_day
+
 #: Most words of each text field (fixed values).
 WORD_LIMITS = {"statement": 60, "title": 30, "evidence": 50, "stated": 50}
 
@@ -84,23 +86,23 @@ def work_order() -> list[Column]:
 
 
 def candidate_view(candidates: DataFrame, processed: DataFrame, q: str | None = None, tiers: tuple = (), category: str | None = None,
-                   is_processed: bool | None = None, items: DataFrame | None = None, due: bool | None = None) -> DataFrame:
-    """Candidates with problem and decision, blank problem ids as null; processed tells whether there is a decision. Filters: words
-    in id or statement, tiers, category, processed or not, and due (with items(doc_id, revision, finished): neither processed nor
-    superseded nor of a finished item)."""
+                   is_processed: bool | None = None, passed: bool | None = None, today: Column | None = None) -> DataFrame:
+    """Candidates with problem and decision, blank problem ids as null; processed tells whether there is a decision, and, with
+    today, due_passed whether the candidate's deadline lies before it (a rolling, unreadable or missing one never does).
+    Filters: words in id, statement or title, tiers, category, processed or not, deadline passed or not."""
     links = processed.select("candidate_id", F.nullif("problem_id", F.lit("")).alias("problem_id"), "decision")
     rows = candidates.join(links, "candidate_id", "left").withColumn("processed", F.col("decision").isNotNull())
     if q:
-        rows = rows.where(matches(q, "candidate_id", "statement"))
+        rows = rows.where(matches(q, "candidate_id", "statement", "title"))
     if tiers:
         rows = rows.where(F.col("tier").isin(*tiers))
     if category is not None:
         rows = rows.where(F.col("category") == category)
     if is_processed is not None:
         rows = rows.where(F.col("processed") == is_processed)
-    if due is not None:
-        rows = outcome(rows, items, "doc_id").where((~F.col("processed") & (F.col("outcome") == "eligible")) == due)
-    return rows
+    if today is not None:
+        rows = rows.withColumn("due_passed", F.coalesce(deadline_day(F.col("deadline")) < today, F.lit(False)))
+    return rows if passed is None else rows.where(F.col("due_passed") == passed)
 
 
 def merge_report(candidates: DataFrame, items: DataFrame, decisions: DataFrame, key: str) -> DataFrame:

@@ -65,14 +65,15 @@ def headroom(board: DataFrame, threshold: float = 0.1, bounds=METRIC_BOUNDS, loo
     g, k = F.col("gap"), F.col("scale")
     scale_warning = (
         F.when(~sound, None).when(g < 0, "beyond the ceiling").when(k <= 0, "no positive scale")
-        .when(b.isNotNull() & (g > k), "worse than the baseline").when(k.isNull(), "no baseline")
+        .when(b.isNotNull() & (g > k), "worse than the baseline")
     )
-    j = j.withColumn("scale_warning", scale_warning)
-    ratio = F.when(sound & F.col("scale_warning").isNull(), g / k)
+    # a board without a baseline may be beyond the ceiling, too: both are said
+    j = j.withColumns({"base_warning": F.when(sound & k.isNull(), "no baseline"), "scale_warning": scale_warning})
+    ratio = F.when(sound & F.col("base_warning").isNull() & F.col("scale_warning").isNull(), g / k)
     return j.withColumn("headroom", ratio).select(
         "challenge_id", "metric", "direction", F.col("winner.team").alias("winner"), F.col("winner.score").alias("winner_score"), "baseline", "baseline_name", "headroom",
         F.when(F.col("headroom").isNull(), "unclear").when(F.col("headroom") < threshold - 1e-9, "solved").otherwise("headroom").alias("verdict"),
-        F.concat_ws("; ", "order_warning", "scale_warning").alias("warnings"),
+        F.concat_ws("; ", "order_warning", "base_warning", "scale_warning").alias("warnings"),
         (F.col("headroom").isNull() & (F.col("direction") == DOWN) & b.isNull() & c.isNotNull()).alias("needs_baseline"),
     )
 

@@ -36,26 +36,39 @@ def _rest(text: Column, n) -> Column:
 
 
 def progress(log: DataFrame) -> DataFrame:
-    """log(task_id, line_no, line) -> (task_id, line_no, state, item, result) of progress lines: `[stage i/n] item`, perhaps a remark in
-    brackets, then `: running...` or ` -> result`; the result without the duration at its end. Step by step, so that no
-    expression stands in another more than once."""
-    digits = lambda c: c.rlike("^[0-9]+$")
-    rows = log.where(F.col("line").startswith("[") & F.col("line").contains("] ")).withColumn("head", F.split(F.substring_index("line", "] ", 1), " "))
-    rows = rows.where(F.size("head") == 2).withColumn("count", F.split(F.col("head")[1], "/"))
-    rows = rows.where((F.size("count") == 2) & digits(F.get("count", F.lit(0))) & digits(F.get("count", F.lit(1))))
-    rows = rows.select("task_id", "line_no", _rest(F.col("line"), F.instr("line", "] ") + 2).alias("said"))
-    rows = rows.withColumns({"runs": F.instr("said", ": running"), "ends": F.instr("said", " -> ")})
-    rows = rows.withColumn("running", (F.col("runs") > 0) & ((F.col("ends") == 0) | (F.col("runs") < F.col("ends"))))
-    rows = rows.where(F.col("running") | (F.col("ends") > 0)).withColumn("what", F.substring("said", F.lit(1), F.when(F.col("running"), F.col("runs")).otherwise(F.col("ends")) - 1))
-    rows = rows.withColumn("item", F.substring_index("what", " ", 1)).withColumn("remark", _rest(F.col("what"), F.length("item") + 2))
-    rows = rows.where((F.col("item") != "") & ((F.col("remark") == "") | (F.col("remark").startswith("(") & F.col("remark").endswith(")"))))
-    rows = rows.withColumn("result", F.when(F.col("running"), "").otherwise(_rest(F.col("said"), F.col("ends") + 4)))
-    rows = rows.withColumn("last", F.substring_index("result", " ", -1))
-    timed = F.col("last").startswith("(") & F.col("last").endswith("s)") & digits(F.translate(F.substring("last", F.lit(2), F.length("last") - 3), ".", ""))
-    failed = F.col("result").startswith("FAILED ")
-    said = F.when(failed, _rest(F.col("result"), 8)).when(timed, F.substring("result", F.lit(1), F.length("result") - F.length("last") - 1)).otherwise(F.col("result"))
+    """log(task_id, line_no, line) -> (task_id, line_no, state, item, result) of the lines that hold progress, wherever in the
+    line it begins: `[stage i/n] item`, perhaps a remark in brackets, then `: running` or ` -> result`; the result without the
+    duration at its end. A stage is letters, digits, underscores and hyphens. Of several places in a line the first
+    counts. Every bracket of a line is a place to try, as an element of an array that the steps below thin out."""
+    word = lambda c: c.rlike(r"(?U)^[\w-]+$")
+    digits = lambda c: c.rlike(r"(?U)^\d+$")
+    get, lit = F.get, F.lit
+
+    def step(rows: DataFrame, f) -> DataFrame:
+        return rows.withColumn("at", F.transform("at", f))
+
+    rows = log.where(F.col("line").contains("] ")).withColumn("parts", F.split("line", r"\["))
+    rows = rows.withColumn("at", F.slice(F.transform("parts", lambda _, i: F.array_join(F.slice("parts", i + 1, F.size("parts")), "[")), 2, F.size("parts")))
+    rows = step(rows, lambda t: F.struct(F.split(F.substring_index(t, "] ", 1), " ").alias("head"), _rest(t, F.instr(t, "] ") + 2).alias("said")))
+    rows = step(rows, lambda t: F.struct(t["head"].alias("head"), F.split(get(t["head"], lit(1)), "/").alias("count"), t["said"].alias("said")))
+    rows = rows.withColumn("at", F.filter("at", lambda t: (F.size(t["head"]) == 2) & word(get(t["head"], lit(0))) & (F.size(t["count"]) == 2) & digits(get(t["count"], lit(0))) & digits(get(t["count"], lit(1)))))
+    rows = step(rows, lambda t: F.struct(t["said"].alias("said"), F.instr(t["said"], ": running").alias("runs"), F.instr(t["said"], " -> ").alias("ends")))
+    whole = lambda t: ~_rest(t["said"], t["runs"] + 9).rlike(r"(?U)^\w")
+    rows = step(rows, lambda t: F.struct(t["said"].alias("said"), t["runs"].alias("runs"), t["ends"].alias("ends"),
+                                         ((t["runs"] > 0) & ((t["ends"] == 0) | (t["runs"] < t["ends"])) & whole(t)).alias("running")))
+    rows = rows.withColumn("at", F.filter("at", lambda t: t["running"] | (t["ends"] > 0)))
+    what = lambda t: F.substring(t["said"], lit(1), F.when(t["running"], t["runs"]).otherwise(t["ends"]) - 1)
+    rows = step(rows, lambda t: F.struct(t["running"].alias("running"), what(t).alias("what"), _rest(t["said"], t["ends"] + 4).alias("result")))
+    rows = step(rows, lambda t: F.struct(t["running"].alias("running"), F.substring_index(t["what"], " ", 1).alias("item"), t["what"].alias("what"), t["result"].alias("result")))
+    remark = lambda t: _rest(t["what"], F.length(t["item"]) + 2)
+    rows = rows.withColumn("at", F.filter("at", lambda t: (t["item"] != "") & ((remark(t) == "") | remark(t).rlike(r"^\([^)]*\)$"))))
+    rows = rows.withColumn("found", get("at", lit(0))).where("found is not null").select("task_id", "line_no", "found.running", "found.item", F.when(~F.col("found.running"), F.col("found.result")).alias("said"))
+    rows = rows.withColumn("last", F.substring_index("said", " ", -1))
+    failed = F.col("said").startswith("FAILED ")
+    timed = F.col("last").rlike(r"^\([0-9]+([.][0-9]+)?s\)$")
+    result = F.when(failed, _rest(F.col("said"), 8)).when(timed, F.substring("said", F.lit(1), F.length("said") - F.length("last") - 1)).otherwise(F.col("said"))
     state = F.when(F.col("running"), "running").when(failed, "failed").otherwise("done")
-    return rows.select("task_id", "line_no", state.alias("state"), "item", said.alias("result"))
+    return rows.select("task_id", "line_no", state.alias("state"), "item", F.coalesce(result, F.lit("")).alias("result"))
 
 
 def task_states(log: DataFrame) -> DataFrame:
@@ -88,11 +101,11 @@ def session_lines(raw: DataFrame) -> DataFrame:
 
 
 def tool_calls(lines: DataFrame) -> DataFrame:
-    """session_lines -> (session_id, line_no, block, tool, query, value): what the assistant called, in order. query: the input's
+    """session_lines -> (session_id, line_no as (line_no, pos), block, tool, query, value): what the assistant called, in order. query: the input's
     `query`; value: the whole input as JSON."""
     blocks = lines.where("type = 'assistant'").select("session_id", "line_no", F.posexplode("content").alias("pos", "b")).where("b.type = 'tool_use'")
     return blocks.select(
-        "session_id", (F.col("line_no") * 10_000 + F.col("pos")).alias("line_no"), F.col("b.id").alias("block"), F.col("b.name").alias("tool"),
+        "session_id", F.struct("line_no", "pos").alias("line_no"), F.col("b.id").alias("block"), F.col("b.name").alias("tool"),
         F.get_json_object("b.input", "$.query").alias("query"), F.col("b.input").alias("value"),
     )
 

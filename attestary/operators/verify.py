@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import extract_column
-from ..functions.money import amounts_column, decimals_column, figure_in_quote, figures_column, same_number, stated
+from ..functions.money import amounts_column, decimals_column, figure_in_quote, figures_by_quote, figures_column, same_number, stated
 from ..functions.quotes import normal_column, normal_quote, states
 from .candidates import words
 
@@ -87,22 +87,28 @@ def figure_support(claims: DataFrame) -> DataFrame:
 
 
 def unsupported_amounts(rows: DataFrame, text: str, quotes: str, backed: str) -> DataFrame:
-    """Adds unsupported: the amounts of `text`, with a currency or a magnitude, that no quote states and no backed values
-    equal at both ends. The scans run once a row, before the comparison."""
-    rows = rows.withColumn("_said", amounts_column(F.col(text))).withColumn("_figs", figures_column(F.array_join(quotes, "\n")))
+    """Adds unsupported: the amounts of `text`, with a currency or a magnitude, that no quote states, both ends in one quote, and
+    no backed values equal at both ends. The scans run once a row, before the comparison."""
+    rows = rows.withColumn("_said", amounts_column(F.col(text))).withColumn("_figs", figures_by_quote(F.col(quotes)))
     end = lambda x: F.exists(backed, lambda b: same_number(x, b))
-    quoted = lambda a: figure_in_quote(a["low"], F.col("_figs"), a["currency"]) & figure_in_quote(a["high"], F.col("_figs"), a["currency"])
+    quoted = lambda a: F.exists("_figs", lambda f: figure_in_quote(a["low"], f, a["currency"]) & figure_in_quote(a["high"], f, a["currency"]))
     missing = F.filter("_said", lambda a: (a["currency"].isNotNull() | a["scaled"]) & ~quoted(a) & ~(end(a["low"]) & end(a["high"])))
     return rows.withColumn("unsupported", F.transform(missing, lambda a: a["text"])).drop("_said", "_figs")
 
 
+def short_number(value: Column) -> Column:
+    """A number with six digits that count, without zeros at its end."""
+    plain = F.when(value == 0, "0").otherwise(F.format_string("%.6g", value))
+    return F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+
+
 def unsupported_numbers(rows: DataFrame, text: str, quotes: str, backed: str) -> DataFrame:
     """Adds unsupported_numbers: the decimals and percentages of `text` that no quote states and no backed value equals, as
     `value` or `value%`."""
     rows = rows.withColumn("_said", decimals_column(F.col(text))).withColumn("_figs", figures_column(F.array_join(quotes, "\n")))
     quoted = lambda n: F.when(n["percent"], figure_in_quote(n["value"] / 100, F.col("_figs"), F.lit("%"))).otherwise(stated(n["value"], F.col("_figs")))
     missing = F.filter("_said", lambda n: ~quoted(n) & ~F.exists(backed, lambda b: same_number(n["value"], b)))
-    as_text = F.transform(missing, lambda n: F.concat(F.regexp_replace(n["value"].cast("string"), r"\.0$", ""), F.when(n["percent"], "%").otherwise("")))
+    as_text = F.transform(missing, lambda n: F.concat(short_number(n["value"]), F.when(n["percent"], "%").otherwise("")))
     return rows.withColumn("unsupported_numbers", as_text).drop("_said", "_figs")
 
 

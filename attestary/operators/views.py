@@ -10,7 +10,7 @@ from ..sources.staging import staging
 
 def funnel(problems: DataFrame, novelty: DataFrame, values: DataFrame, fits: DataFrame, opportunities: DataFrame, digest: Column) -> DataFrame:
     """One row for each problem. digest: the current profile's, by problem; fit_stale is null without a fit.
-    waiting names the stages that a problem has not been through."""
+    waiting names the stages that a problem has not been through; an opportunity is waited for only where there is a fit."""
     j = (
         problems.select("problem_id", "revision", "statement")
         .join(novelty.select("problem_id", F.col("revision").alias("novelty_revision"), F.col("status").alias("novelty")), "problem_id", "left")
@@ -21,7 +21,8 @@ def funnel(problems: DataFrame, novelty: DataFrame, values: DataFrame, fits: Dat
     missing = lambda c, name: F.when(F.col(c).isNull(), name)
     return j.withColumns({
         "fit_stale": F.when(F.col("fit_revision").isNotNull(), (F.col("problem_revision") != F.col("revision")) | (F.col("profile_digest") != digest)),
-        "waiting": F.array_compact(F.array(missing("novelty", "novelty"), missing("value_revision", "value"), missing("fit_revision", "fit"), missing("opportunity_id", "opportunity"))),
+        "waiting": F.array_compact(F.array(missing("novelty", "novelty"), missing("value_revision", "economic value"), missing("fit_revision", "fit"),
+            F.when(F.col("fit_revision").isNotNull(), missing("opportunity_id", "opportunity")))),
         "stale": stale_inputs(),
     })
 
@@ -156,15 +157,16 @@ def opportunity_ready(problems: DataFrame, fits: DataFrame, novelty: DataFrame)
 
 
 def overview(rows: DataFrame, candidates: DataFrame | None = None, challenges: DataFrame | None = None) -> DataFrame:
-    """By stage: how many have it, wait for it, are stale. One pass over the funnel; with candidates(processed) and
-    challenges(verdict) also these stages, each in a pass of its own."""
-    stages = {"novelty": "novelty", "value": "value_revision", "fit": "fit_revision", "opportunity": "opportunity_id"}
+    """By stage: how many have it, wait, are stale. Problems wait for novelty, opportunities are waited for where there is a fit, and
+    nothing waits in novelty itself. One pass over the funnel; with candidates(processed) and challenges(verdict) also these
+    stages, each in a pass of its own."""
+    has = {"problem": "problem_id", "novelty": "novelty", "economic value": "value_revision", "fit": "fit_revision", "opportunity": "opportunity_id"}
+    waits = {"problem": "novelty", "economic value": "economic value", "fit": "fit", "opportunity": "opportunity"}
     stale = {"fit": F.count_if("fit_stale"), "opportunity": F.count_if(F.size("stale") > 0)}
-    sums = [x for s, c in stages.items() for x in (F.count(c).alias(f"{s}_n"), F.count_if(F.col(c).isNull()).alias(f"{s}_w"), stale.get(s, F.lit(0).cast("long")).alias(f"{s}_s"))]
-    one = rows.agg(F.count("*").alias("problems"), *sums)
-    parts = [F.struct(F.lit("problem").alias("stage"), F.col("problems").alias("n"), F.lit(0).cast("long").alias("waiting"), F.lit(0).cast("long").alias("stale"))]
-    parts += [F.struct(F.lit(s).alias("stage"), F.col(f"{s}_n").alias("n"), F.col(f"{s}_w").alias("waiting"), F.col(f"{s}_s").alias("stale")) for s in stages]
-    out = one.select(F.inline(F.array(*parts)))
+    none = F.lit(0).cast("long")
+    waiting = lambda s: F.count_if(F.array_contains("waiting", waits[s])) if s in waits else none
+    sums = [F.struct(F.lit(s).alias("stage"), F.count(c).alias("n"), waiting(s).alias("waiting"), stale.get(s, none).alias("stale")).alias(s) for s, c in has.items()]
+    out = rows.agg(*sums).select(F.inline(F.array(*[F.col(f"`{s}`") for s in has])))
     for d, name, waits in ((candidates, "candidate", "not processed"), (challenges, "challenge", "verdict is null")):
         if d is not None:
             out = out.unionByName(d.agg(F.lit(name).alias("stage"), F.count("*").alias("n"), F.count_if(F.expr(waits)).alias("waiting"), F.lit(0).cast("long").alias("stale")))

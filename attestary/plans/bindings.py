@@ -77,7 +77,9 @@ BINDINGS: dict[str, str] = {
         SELECT concat('cand-', c_custkey, '-r', c_custkey % 3 + 1, '-0') AS candidate_id, c_custkey AS doc_id, c_custkey % 3 + 1 AS revision,
                concat('src', c_nationkey) AS source_id, {_TIER.format("c_nationkey")} AS tier, c_mktsegment AS category,
                concat(c_name, ' in ', c_mktsegment) AS statement, CAST(floor(abs(c_acctbal)) AS BIGINT) % 3000 AS output_tokens,
-               c_custkey % 28 AS day
+               c_custkey % 28 AS day, concat('call of ', c_mktsegment) AS title,
+               CASE c_custkey % 4 WHEN 0 THEN 'rolling' WHEN 1 THEN NULL WHEN 2 THEN concat('1995-12-', 10 + c_custkey % 20)
+                    ELSE concat('1996-01-', 10 + c_custkey % 20) END AS deadline
         FROM {{customer}}""",
     "item_state": """
         SELECT doc_id, doc_id % 2 + 1 AS revision, doc_id % 13 = 0 AS finished FROM {documents} WHERE doc_id % 10 <> 9""",

@@ -274,19 +274,27 @@ def unprocessed_candidates(spark, d):
 
 
 @query(twin("candidates", "processed") + """ SELECT candidate_id, nullif(problem_id, '') AS problem_id, decision, decision IS NOT NULL AS processed
- FROM candidates LEFT JOIN processed USING (candidate_id) WHERE contains(lower(candidate_id || ' ' || statement), 'build') AND tier IN ('A', 'B')""")
+ FROM candidates LEFT JOIN processed USING (candidate_id) WHERE contains(lower(candidate_id || ' ' || statement || ' ' || title), 'of build') AND tier IN ('A', 'B')""")
 def candidate_view(spark, d):
-    rows = cand.candidate_view(bound(spark, d, "candidates"), bound(spark, d, "processed"), q="Build", tiers=("A", "B"))
+    rows = cand.candidate_view(bound(spark, d, "candidates"), bound(spark, d, "processed"), q="of Build", tiers=("A", "B"))
     return rows.select("candidate_id", "problem_id", "decision", "processed")
 
 
-@query(twin("candidates", "processed", "item_state") + """ SELECT candidate_id, category FROM candidates c LEFT
-  JOIN processed USING (candidate_id) LEFT JOIN item_state i USING (doc_id)
- WHERE decision IS NULL AND NOT i.finished AND i.revision = c.revision AND category = 'BUILDING'""")
+@query(twin("candidates", "processed") + """ SELECT candidate_id, category, deadline FROM candidates LEFT JOIN processed USING (candidate_id)
+ WHERE decision IS NULL AND category = 'BUILDING' AND coalesce(try_cast(deadline AS DATE) < DATE '1996-01-01', false)""")
 def candidates_due(spark, d):
+    """Candidates whose deadline has passed."""
     rows = cand.candidate_view(bound(spark, d, "candidates"), bound(spark, d, "processed"), category="BUILDING", is_processed=False,
-            items=bound(spark, d, "item_state"), due=True)
-    return rows.select("candidate_id", "category")
+            passed=True, today=F.expr(AS_OF))
+    return rows.select("candidate_id", "category", "deadline")
+
+
+@query(twin("candidates", "processed") + """ SELECT candidate_id, deadline IS NOT NULL AND deadline < '1996-01-01' AS due_passed
+ FROM candidates WHERE tier = 'C' AND NOT coalesce(try_cast(deadline AS DATE) < DATE '1996-01-01', false)""")
+def candidates_open(spark, d):
+    """Candidates whose deadline has not passed: later, rolling, or none."""
+    rows = cand.candidate_view(bound(spark, d, "candidates"), bound(spark, d, "processed"), tiers=("C",), passed=False, today=F.expr(AS_OF))
+    return rows.select("candidate_id", "due_passed")
 
 
 @query(twin("candidates", "processed") + """, a AS (SELECT candidate_id FROM candidates WHERE day < 5 UNION ALL SELECT 'cand-none-' || day
@@ -392,12 +400,22 @@ def latest_run(spark, d):
     return records.latest_run(given(spark, d, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("kind"), F.col("value").alias("spent")))
 
 
+@query("""WITH f AS (SELECT source || '-' || doc_id // 100 AS profile_id, 'f' || lpad(doc_id::VARCHAR, 9, '0') AS path, coalesce(text, '') AS text FROM documents)
+ SELECT profile_id, CASE WHEN sum(length(text)) <= 200000 THEN sha256(string_agg(path || chr(0) || text || chr(0), '' ORDER BY path, text)) END AS digest,
+   sum(length(text))::BIGINT AS chars FROM f GROUP BY 1""")
+def profile_digest(spark, d):
+    """The digest of each profile's files in order; profiles that are too large have none."""
+    path = F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    profile = F.concat("source", F.lit("-"), F.expr("doc_id div 100"))
+    return records.digests(given(spark, d, "documents").select(profile.alias("profile_id"), path.alias("path"), "text"))
+
+
 @query("""WITH f AS (SELECT source AS profile_id, 'f' || lpad(doc_id::VARCHAR, 9, '0') AS path, coalesce(text, '') AS text FROM documents),
  h AS (SELECT profile_id, path, left(sha256(path), 3) AS part, sha256(path || chr(0) || text || chr(0)) AS hash, length(text) AS n FROM f),
  g AS (SELECT profile_id, part, sha256(string_agg(hash, '' ORDER BY path, hash)) AS hash, sum(n) AS n FROM h GROUP BY ALL)
  SELECT profile_id, sha256(string_agg(hash, '' ORDER BY part)) AS digest, sum(n)::BIGINT AS chars FROM g GROUP BY 1""")
-def profile_digest(spark, d):
-    """A digest over all files of a profile, whatever their length."""
+def corpus_digest(spark, d):
+    """A digest over all files of a source, whatever their length and number, in levels."""
     path = F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
     return records.digests_in_levels(given(spark, d, "documents").select(F.col("source").alias("profile_id"), path.alias("path"), "text"))
 
@@ -664,11 +682,12 @@ _HEADROOM = twin("board") + """, st AS (SELECT *, sign(score - lag(score) OVER (
      WHEN direction = 'higher_is_better' THEN c - s ELSE s - c END END AS gap FROM y),
  k AS (SELECT *, CASE WHEN ow IS NULL THEN CASE WHEN direction = 'higher_is_better' THEN c - coalesce(baseline, 0) ELSE baseline - c END END AS scale FROM z),
  g AS (SELECT *, CASE WHEN ow IS NOT NULL THEN NULL WHEN gap < 0 THEN 'beyond the ceiling' WHEN scale <= 0 THEN 'no positive scale'
-   WHEN baseline IS NOT NULL AND gap > scale THEN 'worse than the baseline' WHEN scale IS NULL THEN 'no baseline' END AS sw FROM k),
- v AS (SELECT *, CASE WHEN ow IS NULL AND sw IS NULL THEN gap / scale END AS headroom FROM g)
+   WHEN baseline IS NOT NULL AND gap > scale THEN 'worse than the baseline' END AS sw,
+   CASE WHEN ow IS NULL AND scale IS NULL THEN 'no baseline' END AS bw FROM k),
+ v AS (SELECT *, CASE WHEN ow IS NULL AND sw IS NULL AND bw IS NULL THEN gap / scale END AS headroom FROM g)
  SELECT challenge_id, metric, direction, winner, s AS winner_score, baseline, baseline_name, headroom, CASE WHEN headroom IS NULL THEN 'unclear'
    WHEN headroom < 0.1 - 1e-9 THEN 'solved' ELSE 'headroom' END AS verdict,
-  concat_ws('; ', ow, sw) AS warnings, headroom IS NULL AND direction = 'lower_is_better' AND baseline IS NULL AND c IS NOT NULL AS needs_baseline FROM v"""
+  concat_ws('; ', ow, bw, sw) AS warnings, headroom IS NULL AND direction = 'lower_is_better' AND baseline IS NULL AND c IS NOT NULL AS needs_baseline FROM v"""
 
 
 @query(_HEADROOM)
@@ -696,8 +715,8 @@ _FUNNEL = """, f AS (SELECT p.problem_id, p.revision, p.statement, n.revision AS
   a.revision AS value_revision, a.low, a.high, t.revision AS fit_revision, t.score AS fit,
    t.problem_revision, t.profile_digest, o.* EXCLUDE (problem_id),
    CASE WHEN t.revision IS NOT NULL THEN t.problem_revision <> p.revision OR t.profile_digest <> 'digest-0' END AS fit_stale,
-   concat_ws(',', CASE WHEN n.status IS NULL THEN 'novelty' END, CASE WHEN a.revision IS NULL THEN 'value' END, CASE
-     WHEN t.revision IS NULL THEN 'fit' END, CASE WHEN o.opportunity_id IS NULL THEN 'opportunity' END) AS waiting,
+   concat_ws(',', CASE WHEN n.status IS NULL THEN 'novelty' END, CASE WHEN a.revision IS NULL THEN 'economic value' END, CASE
+     WHEN t.revision IS NULL THEN 'fit' WHEN o.opportunity_id IS NULL THEN 'opportunity' END) AS waiting,
    CASE WHEN o.opportunity_id IS NOT NULL THEN concat_ws(',', CASE WHEN o.in_value IS DISTINCT FROM a.revision THEN 'economic value' END, CASE
      WHEN o.in_fit IS DISTINCT FROM t.revision OR o.in_fit_score IS DISTINCT FROM t.score THEN 'fit' END,
      CASE WHEN o.in_novelty IS DISTINCT FROM n.revision THEN 'novelty' END, CASE WHEN o.in_problem IS DISTINCT FROM p.revision THEN 'problem' END) END AS stale
@@ -717,9 +736,9 @@ def problem_funnel(spark, d):
 
 
 @query(twin(*_STAGES) + _FUNNEL + """ SELECT problem_id, fit, novelty FROM f WHERE fit >= 5 AND novelty IN ('unsolved', 'unclear')
-  AND contains(waiting, 'value') AND contains(lower(statement), 'statement 1')""")
+  AND contains(waiting, 'economic value') AND contains(lower(statement), 'statement 1')""")
 def problem_view(spark, d):
-    rows = views.problem_filter(_funnel(spark, d), q="Statement 1", fit_min=5, novelty=("unsolved", "unclear"), waiting="value")
+    rows = views.problem_filter(_funnel(spark, d), q="Statement 1", fit_min=5, novelty=("unsolved", "unclear"), waiting="economic value")
     return rows.select("problem_id", "fit", "novelty")
 
 
@@ -771,11 +790,11 @@ def opportunity_ready(spark, d):
 
 
 @query(twin(*_STAGES, "candidates", "processed") + _FUNNEL + f", ch AS ({ORACLE['challenge_view']})" + """ SELECT 'problem' AS stage,
-  count(*) AS n, 0::BIGINT AS waiting, 0::BIGINT AS stale FROM f
- UNION ALL SELECT 'novelty', count(novelty), count_if(novelty IS NULL), 0 FROM f UNION ALL SELECT 'value', count(value_revision),
+  count(*) AS n, count_if(novelty IS NULL) AS waiting, 0::BIGINT AS stale FROM f
+ UNION ALL SELECT 'novelty', count(novelty), 0, 0 FROM f UNION ALL SELECT 'economic value', count(value_revision),
    count_if(value_revision IS NULL), 0 FROM f
  UNION ALL SELECT 'fit', count(fit_revision), count_if(fit_revision IS NULL), count_if(fit_stale) FROM f UNION ALL SELECT 'opportunity',
-   count(opportunity_id), count_if(opportunity_id IS NULL), count_if(stale <> '') FROM f
+   count(opportunity_id), count_if(fit_revision IS NOT NULL AND opportunity_id IS NULL), count_if(stale <> '') FROM f
  UNION ALL SELECT 'candidate', count(*), count_if(decision IS NULL), 0 FROM candidates LEFT JOIN processed USING (candidate_id)
  UNION ALL SELECT 'challenge', count(*), count_if(verdict IS NULL), 0 FROM ch""")
 def overview(spark, d):
@@ -925,13 +944,14 @@ def _accepted_output(spark, d, text):
     return sessions.accepted_output(s, s.where("line_no % 4 <> 3"))
 
 
-@query("""SELECT user_id AS task_id, 'item-' || (event_id % 5) AS item, min(event_id) AS first_line, arg_max(CASE
+@query("""SELECT user_id AS task_id, CASE WHEN event_id % 11 = 0 THEN 'all' ELSE 'item-' || (event_id % 5) END AS item, min(event_id) AS first_line, arg_max(CASE
   WHEN event_type = 'view' THEN 'running' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END, event_id) AS state,
  arg_max(CASE WHEN event_type = 'view' THEN '' WHEN event_type = 'error' THEN 'bad input' ELSE event_type END, event_id) AS result FROM events
    WHERE event_id % 9 <> 0 GROUP BY 1, 2""")
 def task_item_states(spark, d):
-    head = F.concat(F.lit("[fit 1/2] item-"), F.col("event_id") % 5)
-    line = F.when(F.col("event_id") % 9 == 0, "noise").when(F.col("event_type") == "view", F.concat(head,
+    head = F.concat(F.when(F.col("event_id") % 4 == 0, "12:01 [old] ").otherwise(""), F.lit("[fit_2-b 1/2] "), F.when(F.col("event_id") % 11 == 0,
+            "all (of 5)").otherwise(F.concat(F.lit("item-"), F.col("event_id") % 5)))
+    line = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("[?? 2/2] "), "event_type", F.lit(" -> made"))).when(F.col("event_type") == "view", F.concat(head,
             F.lit(": running (budget $1.50) ..."))).when(F.col("event_type") == "error", F.concat(head,
                     F.lit(" -> FAILED bad input"))).otherwise(F.concat(head, F.lit(" -> "), "event_type", F.lit(" (12.5s)")))
     return sessions.task_states(given(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("line_no"), line.alias("line")))
@@ -974,13 +994,6 @@ def html_to_text(spark, d):
     return p.select("url", "title", F.sha2("text", 256).alias("text_sha256"), F.size("links").alias("n_links"))
 
 
-@query()
-def parse_amounts(spark, d):
-    rows = bound(spark, d, "problem_sources").select("problem_id", "pos", F.explode(money.amounts_column(F.col("stated"),
-            value.default_currency(F.col("source_id")))).alias("a"))
-    return rows.select("problem_id", "pos", "a.*")
-
-
 @query("""SELECT 'g' AS source_id, 'https://www.grants.gov/search-results-detail/' || p_partkey AS url, p_name AS title,
  'Title: ' || p_name || chr(10) || 'Agency: ' || p_brand || chr(10) || 'Opportunity number: ' || p_size || chr(10) || 'Status: ' || chr(10) || 'Close date: ' || chr(10) || 'Award ceiling: ' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '$5k' END || chr(10) || 'Estimated total funding: ' || chr(10) || chr(10) || p_type AS text
  FROM part WHERE p_partkey % 3 <> 0""")
@@ -1263,10 +1276,4 @@ def task_errors(spark, d):
     return sessions.task_errors(given(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("line_no"), line.alias("line")))
 
 
-#: Queries that were once registered apart, over all rows; now the plain names are that too.
-for _name in ("ordered_distinct", "profile_digest", "shortlist", "verify_quotes_plain", "search_summary", "accepted_output", "leaderboard_rows",
-        "estimate_rows", "solution_check",
-              "advantage_check", "candidate_verified"):
-    QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = QUERIES[_name], ORACLE[_name]
-
 from . import derived  # noqa: E402, F401  registers more queries

@@ -172,11 +172,11 @@ def test_digests_in_levels_see_every_file(spark):
 
 def test_whole_queries_leave_nothing_out(spark):
     t = lambda name: catalog.given(spark, SF, name)
-    run = lambda name: catalog.QUERIES[f"{name}_whole"](spark, SF)
+    run = lambda name: catalog.QUERIES[name](spark, SF)
     docs, board, items_ = t("documents"), bound(spark, SF, "board"), t("benchmark").select("item_id").distinct().count()
     long = [r.doc_id for r in docs.where("n_chars >= 2000 and doc_id % 10 <> 0").collect()]
     assert run("shortlist").where(F.col("doc_id").isin(long)).count() > 0
-    assert run("profile_digest").agg(F.sum("chars")).first()[0] == docs.agg(F.sum(F.length("text"))).first()[0]
+    assert run("corpus_digest").agg(F.sum("chars")).first()[0] == docs.agg(F.sum(F.length("text"))).first()[0]
     assert run("estimate_rows").count() == t("lineitem").count()
     reasons = {r.reason for r in run("estimate_rows").where("l_linenumber % 2 = 1").select("reason").distinct().collect()}
     assert {None, "share outside 0 to 1", "not per year"} <= reasons
@@ -274,3 +274,54 @@ def test_a_looked_up_baseline_scales_the_gap(spark):
     assert challenge.headroom(board_).where("challenge_id = 1").first().needs_baseline
     top = challenge.with_top_rows(challenge.headroom(board_), board_).where("challenge_id = 1").first().top
     assert [(t["rank"], t["team"]) for t in top] == [(1, "t0"), (2, "t1")]
+
+
+def test_progress_stands_anywhere_in_a_line(spark):
+    lines = ["12:01 [fit 1/2] item-1 -> ok (2.5s)", "[?? 2/2] c -> made", "[x [pe-2 10/12] item-2 (src): running", "[a 1/2] item-3: runningly -> kept", "[a 1/2] [b 1/2] item-4 -> FAILED why (1s)",
+             "[a 1/2] item-5 (x) (y) -> z", "[a 1/2] item-6 -> x (1.2.3s)", "[a 1/2] item-7 -> first [b 2/2] item-8 -> second", "[é 1/2] item-9: running (budget) ..."]
+    log = spark.createDataFrame([("t", i, x) for i, x in enumerate(lines)], "task_id string, line_no int, line string")
+    got = {r.item: (r.state, r.result) for r in sessions.task_states(log).collect()}
+    assert got == {"item-1": ("done", "ok"), "item-2": ("running", ""), "item-4": ("failed", "why (1s)"), "item-6": ("done", "x (1.2.3s)"),
+                   "item-7": ("done", "first [b 2/2] item-8 -> second"), "item-9": ("running", "")}
+
+
+def test_waiting_follows_the_stages(spark):
+    p = spark.createDataFrame([("a", 1, "s"), ("b", 1, "s"), ("c", 1, "s")], "problem_id string, revision int, statement string")
+    nov = spark.createDataFrame([("a", 1, "unsolved"), ("b", 1, "solved")], "problem_id string, revision int, status string")
+    val = spark.createDataFrame([("a", 1, 1.0, 5.0)], "problem_id string, revision int, low double, high double")
+    fit = spark.createDataFrame([("a", 1, 9, 1, "d"), ("b", 1, 4, 1, "old")], "problem_id string, revision int, score int, problem_revision int, profile_digest string")
+    opp = spark.createDataFrame([("a", "OPP-0001", "investigate", 1, 1, 9, 1, 1)], "problem_id string, opportunity_id string, recommendation string, in_problem int, in_fit int, in_fit_score int, in_novelty int, in_value int")
+    rows = views.funnel(p, nov, val, fit, opp, F.lit("d"))
+    got = {r.problem_id: r for r in rows.collect()}
+    assert (got["a"].waiting, got["b"].waiting, got["c"].waiting) == ([], ["economic value", "opportunity"], ["novelty", "economic value", "fit"])
+    o = {r.stage: (r.n, r.waiting, r.stale) for r in views.overview(rows).collect()}
+    assert o == {"problem": (3, 1, 0), "novelty": (2, 0, 0), "economic value": (1, 2, 0), "fit": (2, 1, 1), "opportunity": (1, 1, 0)}
+
+
+def test_due_is_about_the_deadline(spark):
+    rows = [("c1", "2025-12-31"), ("c2", "2026-01-01"), ("c3", "rolling"), ("c4", None), ("c5", "20251230"), ("c6", "")]
+    c = spark.createDataFrame([(i, "s", d, "Grand Call", "A", "x") for i, d in rows], "candidate_id string, statement string, deadline string, title string, tier string, category string")
+    done = spark.createDataFrame([], "candidate_id string, problem_id string, decision string")
+    view = lambda **k: {r.candidate_id for r in candidates.candidate_view(c, done, today=F.lit("2026-01-01").cast("date"), **k).collect()}
+    assert view(passed=True) == {"c1", "c5"} and view(passed=False) == {"c2", "c3", "c4", "c6"}
+    assert len(view(q="grand call")) == 6 and not view(q="grand cell")
+
+
+def test_both_headroom_warnings(spark):
+    assert board(spark, (-0.4, False), (0.5, False), metric="Log Loss").warnings == "no baseline; beyond the ceiling"
+    assert board(spark, (0.4, False), (0.5, False), metric="Log Loss").warnings == "no baseline"
+
+
+def test_a_range_stands_in_one_quote(spark):
+    rows = spark.createDataFrame([(1, "$10m to $20m", ["about $10m", "up to $20m"]), (2, "$10m to $20m", ["none", "from $10m to $20m"]), (3, "$10m", ["about $10m", "x"]), (4, "$10m", [])], "id int, claim string, quotes array<string>")
+    rows = rows.withColumn("backed", F.array().cast("array<double>"))
+    assert {r.id: r.unsupported for r in verify.unsupported_amounts(rows, "claim", "quotes", "backed").collect()} == {1: ["$10m to $20m"], 2: [], 3: [], 4: ["$10m"]}
+    said = spark.createDataFrame([("0.1234567 and 12.50 or 1234567.5 or 0.00001234, 100.0%, 0.0",)], "claim string").withColumns({"quotes": F.array().cast("array<string>"), "backed": F.array().cast("array<double>")})
+    got = verify.unsupported_numbers(said, "claim", "quotes", "backed").first().unsupported_numbers
+    assert got == [f"{x:g}" for x in (0.1234567, 12.5, 1234567.5, 0.00001234)] + ["100%", "0"]
+
+
+def test_digest_of_a_profile(spark):
+    files = spark.createDataFrame([("p", "b.md", "two"), ("p", "a.md", "one"), ("p", "c.md", None), ("q", "x", "y" * 21)], "profile_id string, path string, text string")
+    got = {r.profile_id: (r.digest, r.chars) for r in records.digests(files, 20).collect()}
+    assert got == {"p": (hashlib.sha256(b"a.md\0one\0b.md\0two\0c.md\0\0").hexdigest(), 6), "q": (None, 21)}
