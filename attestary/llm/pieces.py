@@ -7,16 +7,20 @@ filled from left to right, one compatible piece a place, and the ids are read fr
 
 The compatibility of a pair follows from how each piece merges by itself: both runs are laid over one another in the order
 of scores, and the pair is broken up where a merge over the border would come first. Pairs, pieces' runs and the
-stretches of text between spaces, which no piece crosses, are remembered within bounds."""
+stretches of text between spaces, which no piece crosses, are remembered within bounds. The new stretches of a slice of
+texts are taken in order: neighbours share the table of the prefix that they have in common."""
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +30,55 @@ _SPACE = "▁"  # what stands for a space in pieces
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6  # the model file's piece types (fixed values)
 _BPE = 2
 _NEVER = float("inf")
-#: Bytes of text that are encoded before ids are handed on.
-_SLICE = 1 << 21
+#: Bytes of text that are split into stretches at once, and handed on as ids.
+_SLICE = 1 << 22
+#: Longer stretches are not remembered.
+_LONG = 64
 _MODELS: dict[str, Pieces] = {}
 
 
+class Endings:
+    """An automaton over strings: after each character of a text its state names those strings that end there, longest first."""
+
+    def __init__(self, strings: dict[str, int]):
+        self.codes = {c: i for i, c in enumerate(sorted(set(chain.from_iterable(strings))), 1)}
+        self.width = len(self.codes) + 1
+        self.next: dict[int, int] = {}
+        self.ending: list[tuple] = [()]
+        children: list[dict[int, int]] = [{}]
+        for s, value in strings.items():
+            state = 0
+            for code in map(self.codes.__getitem__, s):
+                if code not in children[state]:
+                    children[state][code] = len(children)
+                    children.append({})
+                    self.ending.append(())
+                state = children[state][code]
+            self.ending[state] = ((value, len(s)),)
+        self.children, self.back = children, [0] * len(children)
+        queue = deque(children[0].values())  # by length, so a state's shorter endings are known before it
+        while queue:
+            state = queue.popleft()
+            for code, child in children[state].items():
+                at = self.back[state]
+                while at and code not in children[at]:
+                    at = self.back[at]
+                self.back[child] = children[at].get(code, 0)
+                self.ending[child] += self.ending[self.back[child]]
+                queue.append(child)
+
+    def step(self, state: int, code: int) -> int:
+        key, at = state * self.width + code, state
+        while at and code not in self.children[at]:
+            at = self.back[at]
+        self.next[key] = at = self.children[at].get(code, 0)
+        return at
+
+
 class Pieces:
     """A merge model with byte fallback: its pieces, their automaton and what pairs of them are compatible."""
 
-    def __init__(self, path: str, most: int = 120_000):
-        import ahocorasick
+    def __init__(self, path: str, most: int = 250_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -51,20 +94,16 @@ class Pieces:
         self.text = [p.piece for p in model.pieces]
         self.cost = {p.piece: -p.score for p in model.pieces if p.type == _NORMAL}
         self.byte = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.ends = ahocorasick.Automaton()
-        for i, p in enumerate(model.pieces):
-            if p.type == _NORMAL:
-                self.ends.add_word(p.piece, (i, len(p.piece)))
         # characters that pieces know only as parts of longer ones are no tokens, but may merge
-        for i, c in enumerate(sorted({c for p in self.cost for c in p}.difference(self.cost)), len(self.text)):
-            self.text.append(c)
-            self.ends.add_word(c, (i, 1))
-        self.ends.make_automaton()
-        self.first_part, self.length = len(model.pieces), [len(t) for t in self.text]
+        self.text += sorted({c for p in self.cost for c in p}.difference(self.cost))
+        self.ends = Endings({t: i for i, t in enumerate(self.text) if t in self.cost or i >= len(model.pieces)})
+        self.length = [1, *map(len, self.text[1:])]
+        self.raw = [array("i", [i]).tobytes() if 0 < i < len(model.pieces) else b"" for i in range(len(self.text))]  # none: by bytes
         if any(_SPACE in p.lstrip(_SPACE) for p in self.cost):
             raise ValueError("a piece of the model goes on over a space")
-        line = "" if any("\n" in p for p in self.cost) else "\\n"  # no piece holds a line's end: it parts stretches, too
+        self.line = line = "" if any("\n" in p for p in self.cost) else "\\n"  # no piece holds a line's end: it parts stretches, too
         self.stretches = re.compile(f"{_SPACE}*[^{_SPACE}{line}]+|{_SPACE}+" + ("|\\n+" if line else "")).findall
+        self.edge = re.compile(f"(?<=[^{_SPACE}]){_SPACE}").search
         self.most, self.young, self.old = most, {}, {}
         self.runs: dict[int, tuple | None] = {0: ()}
         self.fits: dict[int, bool] = {}
@@ -118,50 +157,104 @@ class Pieces:
                 left = end
             over = self.cost.get(right + left, _NEVER)
 
-    def stretch(self, text: str) -> bytes:
-        """The ids of a stretch, little-endian 32-bit; a character without a piece becomes its bytes' ids."""
-        last, fits = [0] * (len(text) + 1), self.fits  # 0, an id without a text: nothing, or a character without a piece
-        for end, (piece, length) in self.ends.iter(text):
-            end += 1
-            if not last[end]:
-                pair = last[end - length] << 32 | piece
-                fit = fits.get(pair)
-                if fit is None:
-                    if len(fits) > 4 * self.most:
-                        fits.clear()
-                    fit = fits[pair] = self.compatible(last[end - length], piece)
-                if fit:
-                    last[end] = piece
-        ids, end = [], len(text)
-        while end:
-            piece = last[end]
-            if 0 < piece < self.first_part:
-                ids.append(piece)
-                end -= self.length[piece]
-            else:
-                end -= 1
-                ids += [self.byte[b] for b in reversed(text[end].encode())]
-        ids.reverse()
-        return array("i", ids).tobytes()
-
-    def _learn(self, text: str) -> bytes:
-        ids = self.old.get(text)
-        if ids is None:
-            ids = self.stretch(text)
-        if len(text) <= 64:
-            if len(self.young) >= self.most:
-                self.young, self.old = {}, self.young
-            self.young[text] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = self.stretches(_SPACE + text.replace(" ", _SPACE))
-        own = list(map(self.young.get, parts))
-        if None in own:
-            own = [self._learn(p) if ids is None else ids for p, ids in zip(parts, own)]
-        return b"".join(own)
+    def _fit(self, before: int, piece: int) -> bool:
+        if len(self.fits) > 3 * self.most:
+            self.fits.clear()
+        fit = self.fits[before * len(self.text) + piece] = self.compatible(before, piece)
+        return fit
+
+    def table(self, stretches: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """(a stretch, its ids as little-endian 32-bit numbers), in order of the stretches; a character without a piece becomes its
+        bytes' ids. last[i] is the last token of the first i characters, 0 (an id without a text) for a character without
+        a piece; ids[i] their ids, where they were asked for."""
+        codes, width, following, ending = self.ends.codes, self.ends.width, self.ends.next, self.ends.ending
+        n, fits, length, raw, text = len(self.text), self.fits, self.length, self.raw, ""
+        states, last, ids = [0], [0], [b""]
+        for new in sorted(stretches):
+            same = 0
+            for a, b in zip(text, new):
+                if a != b:
+                    break
+                same += 1
+            del states[same + 1 :], last[same + 1 :], ids[same + 1 :]
+            text, state = new, states[same]
+            for end in range(same + 1, len(text) + 1):
+                code = codes.get(text[end - 1], 0)
+                at = following.get(state * width + code)
+                state = self.ends.step(state, code) if at is None else at
+                own = 0
+                for piece, size in ending[state]:
+                    before = last[end - size]
+                    fit = fits.get(before * n + piece)
+                    if fit or fit is None and self._fit(before, piece):
+                        own = piece
+                        break
+                states.append(state)
+                last.append(own)
+            ids += [None] * (len(text) + 1 - len(ids))
+            end, asked = len(text), []
+            while ids[end] is None:
+                asked.append(end)
+                end -= length[last[end]]
+            token = lambda end: raw[last[end]] or self._bytes(text[end - 1])  # noqa: B023, E731
+            if len(text) > _LONG:  # its prefixes' ids would add up
+                yield text, ids[end] + b"".join(map(token, reversed(asked)))
+                continue
+            so_far = ids[end]
+            for end in reversed(asked):
+                so_far = ids[end] = so_far + token(end)
+            yield text, so_far
+
+    def _bytes(self, character: str) -> bytes:
+        return array("i", [self.byte[b] for b in character.encode()]).tobytes()
+
+    def _learn(self, stretches: Iterable[str]) -> list[str]:
+        """All these are known afterwards; returns the long ones, which are to be forgotten again."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        new = set(stretches).difference(self.young)
+        self.young |= {t: self.old[t] for t in new if t in self.old}
+        self.young |= self.table(new.difference(self.young))
+        return [t for t in new if len(t) > _LONG]
+
+    def _ids(self, stretches: list[str]) -> bytes:
+        long = self._learn(stretches)
+        out = b"".join(map(self.young.__getitem__, stretches))
+        for t in long:
+            self.young.pop(t, None)
+        return out
+
+    def _odd(self, text: str) -> np.ndarray:
+        """The ids of any text, as many stretches at once as a slice has."""
+        out, lo, text = [], 0, _SPACE + text.replace(" ", _SPACE) if text else ""
+        while lo < len(text):
+            cut = self.edge(text, lo + _SLICE)
+            hi = cut.start() if cut else len(text)
+            out.append(self._ids(self.stretches(text[lo:hi])))
+            lo = hi
+        return np.frombuffer(b"".join(out), "<i4")
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Arrow splits those without runs of spaces at spaces and before the ends of lines, and numbers the
+        different words; only these are looked at one by one."""
+        odd = pc.or_(pc.match_substring_regex(texts, f"^[ {self.line}]|{_SPACE}| [ {self.line}]"), pc.or_(pc.equal(texts, ""), pc.greater(pc.binary_length(texts), _SLICE)))
+        plain = pc.if_else(odd, "", texts)
+        if self.line:
+            plain = pc.replace_substring(plain, "\n", " \n")
+        words = pc.split_pattern(plain, " ")
+        coded = words.flatten().dictionary_encode()
+        stretches = [w if self.line and w[:1] == "\n" else _SPACE + w for w in coded.dictionary.to_pylist()]
+        long = self._learn(stretches)
+        own = list(map(self.young.__getitem__, stretches))
+        for t in long:
+            self.young.pop(t, None)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool, start, code = np.frombuffer(b"".join(own), "<i4"), np.cumsum(size) - size, np.asarray(coded.indices)
+        n = size[code]
+        end = np.append(0, np.cumsum(n))
+        ids = pool[np.repeat(start[code] - end[:-1], n) + np.arange(end[-1])]
+        end = end[np.asarray(words.offsets) - words.offsets[0].as_py()]
+        return [self._odd(texts[i].as_py()) if o else ids[end[i] : end[i + 1]] for i, o in enumerate(odd.to_pylist())]
 
 
 def _model(path: str) -> Pieces:
@@ -175,9 +268,9 @@ def _encode(path: str):
             for batch in batches:
                 texts = batch.column(batch.num_columns - 1)
                 for lo, hi in slices(byte_spans(texts)[1], _SLICE):
-                    raw = [pieces.encode(x.as_py().decode()) for x in texts[lo:hi]]
-                    ends = np.append(0, np.cumsum([len(r) // 4 for r in raw])).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                    own = pieces.ids(texts[lo:hi].cast(pa.string()))
+                    ends = np.append(0, np.cumsum([len(x) for x in own])).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own), pa.int32()))
                     yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], ids], names=[*batch.schema.names[:-1], "ids"])
         finally:
             pieces.forget()

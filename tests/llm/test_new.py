@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,20 +140,30 @@ def odd_text(rng, known):
 def test_ids_equal_the_librarys(model):
     rng = random.Random(13)
     known = list(model.cost)
-    for text in ["", " ", "  ", "\n", "▁", " a", "a ", "a  b\n\n c", *(odd_text(rng, known) for _ in range(8000))]:
-        assert np.frombuffer(model.encode(text), "<i4").tolist() == model.library.encode(text), text
+    texts = ["", " ", "  ", "\n", "▁", " a", "a ", "a  b\n\n c", "a\n b \nc\n", "\na", *(odd_text(rng, known) for _ in range(8000))]
+    for lo in range(0, len(texts), 500):
+        for text, ids in zip(texts[lo:], model.ids(pa.array(texts[lo : lo + 500]))):
+            assert ids.tolist() == model.library.encode(text), text
 
 
 def test_every_prefix_has_one_last_token(model):
     """The table's premise: of the pieces that end at a place exactly one may follow the token before it."""
     text = "▁internationalisation"
+    ids_of = {t: np.frombuffer(ids, "<i4").tolist() for t, ids in model.table({text[:n] for n in range(1, len(text) + 1)})}
     for n in range(1, len(text) + 1):
-        ids = np.frombuffer(model.stretch(text[:n]), "<i4").tolist()
+        ids = ids_of[text[:n]]
         fitting = [p for p, t in enumerate(model.text) if text[:n].endswith(t) and t in model.cost
-                   and (model.compatible(np.frombuffer(model.stretch(text[: n - len(t)]), "<i4").tolist()[-1], p) if len(t) < n else model.compatible(0, p))]
+                   and (model.compatible(ids_of[text[: n - len(t)]][-1], p) if len(t) < n else model.compatible(0, p))]
         assert fitting == [ids[-1]]
 
 
+def test_long_texts_are_encoded_in_slices(model, monkeypatch):
+    text = "two words▁ and  é漢\n\n so on  " * 40 + "x" * 300 + "  end"
+    for size in (10, 64, 1000):
+        monkeypatch.setattr(pieces, "_SLICE", size)
+        assert [x.tolist() for x in model.ids(pa.array(["a b", text]))] == model.library.encode(["a b", text])
+
+
 def test_encode_and_decode_rows(spark, model):
     path = public_tokenizers.path("piece_bpe_32k.model")
     long = "word après 漢字 " * 250_000
