@@ -4,8 +4,10 @@ Texts become token templates: numbers, names and units turn into typed placehold
 `window` template tokens of the benchmark are hash-joined with those of the documents; a fixed-size bitmap of the
 benchmark's window hashes, 2 MB whatever their number, keeps the other windows of the documents from being shuffled.
 The windows that count must fill the benchmark's placeholders consistently: one value of the item has one value in the
-document; windows with a value that has several there don't count. Each place of the item and of the document counts once,
-for the diagonal with the most windows first, so words that were put in or left out between don't matter. So a question
+document; windows with a value that has several there don't count. What may be one copy is read from each diagonal in turn: its
+own windows first, then those of the diagonals beside it, nearest first, for the places of item and document that are still
+free, so words that were put in or left out between don't matter. The values are looked at within a reading, before and after
+each further diagonal, and the best reading counts; so no other copy, consistent or not, hides one. So a question
 whose numbers or names were exchanged is found, and a mere likeness of form is not. Items of one template that repeat
 their values in other places are compared each on its own. Windows of placeholders only have no form, and items shorter
 than a window have too little: both must be the same word for word.
@@ -219,6 +221,70 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out
 
 
+class Reading:
+    """Windows of an item that one copy may have, and how many of them count: those whose values have one counterpart each."""
+
+    def __init__(self):
+        self.item_places: set[int] = set()
+        self.places: set[int] = set()
+        self.counterpart: dict[str, set[str]] = {}
+        self.holders: dict[str, list[int]] = {}  # windows by value of the item
+        self.against: list[int] = []  # by window, how many of its values have several counterparts
+        self.count, self.exact = 0, True
+
+    def add(self, diagonal: int, windows: list[tuple[int, list[tuple[str, str]]]]) -> None:
+        free = [w for w in windows if w[0] not in self.item_places and w[0] + diagonal not in self.places]
+        self.item_places |= {at for at, _ in free}
+        self.places |= {at + diagonal for at, _ in free}
+        for _, pairs in free:
+            number = len(self.against)
+            self.against.append(0)
+            self.count += 1
+            for value in dict(pairs):
+                self.holders.setdefault(value, []).append(number)
+                if len(self.counterpart.get(value, ())) > 1:
+                    self._turn([number])
+            for value, other in pairs:
+                known = self.counterpart.setdefault(value, set())
+                if other not in known:
+                    known.add(other)
+                    if len(known) == 2:
+                        self._turn(self.holders[value])
+                self.exact &= value == other
+
+    def _turn(self, numbers: list[int]) -> None:
+        for n in numbers:
+            self.count -= self.against[n] == 0
+            self.against[n] += 1
+
+
+def best_reading(lines: list[tuple[int, list]], of: int) -> tuple[int, bool]:
+    """(windows that count, all values equal) of the best reading: lines are (diagonal, windows (item_at, pairs)), each window once
+    a line. A reading is whole, and nothing can be added, when it has all `of` places of the item."""
+    best = (0, False)
+    for seed, _ in sorted(lines, key=lambda x: -len(x[1])):
+        if best == (of, True):
+            break
+        reading = Reading()
+        for diagonal, windows in sorted(lines, key=lambda x: (abs(x[0] - seed), x[0])):
+            reading.add(diagonal, windows)
+            best = max(best, (reading.count, reading.exact))
+            if len(reading.item_places) == of:
+                break
+    return best
+
+
+def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        share, exact = [], []
+        for of, lead, lines in zip(*[batch.column(c).to_pylist() for c in ("of", "lead", "lines")]):
+            plain = [(x["diagonal"], [(w["item_at"], [(p["i"], p["d"]) for p in w["pairs"]]) for w in x["windows"]]) for x in lines]
+            n, same = best_reading(plain, of)
+            share.append(n / of)
+            exact.append(lead and same)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("template"), pa.array(share, pa.float64()), pa.array(exact, pa.bool_())], names=["id", "template", "containment", "exact"])
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, least: float) -> DataFrame:
     """docs(id of any type, text) -> (id, template, item_id, item_ids, containment, exact)."""
     items = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(tidy(_windows(window, None)), f"id long, {_WINDOWS}"), "items")
@@ -235,23 +301,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, least: float) ->
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     one = ["id", "text", "template", "form", "of", "lead"]
     lines = met.groupBy(*one, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set(F.struct("item_at", pairs.alias("pairs"))).alias("windows"))
-    lines = lines.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct((-F.size("windows")).alias("order"), "diagonal", "windows"))).alias("lines"))
-
-    def with_line(so_far, line):
-        free = lambda w: ~F.array_contains(so_far["at"], w["item_at"] + line["diagonal"]) & ~F.exists(so_far["windows"], lambda v: v["item_at"] == w["item_at"])
-        new = F.filter(line["windows"], free)
-        places = F.transform(new, lambda w: w["item_at"] + line["diagonal"])
-        return F.struct(F.concat(so_far["at"], places).alias("at"), F.concat(so_far["windows"], new).alias("windows"))
-
-    nothing = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<struct<item_at:int,pairs:array<struct<i:string,d:string>>>>").alias("windows"))
-    lines = lines.withColumn("windows", F.aggregate("lines", nothing, with_line, lambda a: a["windows"]))
-    lines = lines.withColumn("both", F.array_distinct(F.flatten(F.transform("windows", lambda w: w["pairs"]))))
-    # the item's values that have several values in the document: in order of the pairs, those that follow themselves
-    items_of = F.transform(F.array_sort("both"), lambda p: p["i"])
-    lines = lines.withColumn("several", F.array_distinct(F.filter(F.zip_with(items_of, F.slice(items_of, F.lit(2), F.size("both")), lambda a, b: F.when(a == b, a)), lambda a: a.isNotNull())))
-    kept = F.filter("windows", lambda w: ~F.exists(w["pairs"], lambda p: F.array_contains("several", p["i"])))
-    exact = F.col("lead") & F.forall("both", lambda p: p["i"] == p["d"])
-    found = lines.select("id", "template", (F.size(kept) / F.col("of")).alias("containment"), exact.alias("exact")).where(F.col("containment") >= least)
+    lines = lines.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct("diagonal", "windows"))).alias("lines"))
+    places = F.array_distinct(F.flatten(F.transform("lines", lambda x: F.transform(x["windows"], lambda w: w["item_at"]))))
+    lines = lines.where(F.size(places) >= F.col("of") * least).select("id", "template", "of", "lead", "lines")
+    kind = lines.schema["id"].dataType.simpleString()
+    found = lines.mapInArrow(tidy(_readings), f"id {kind}, template long, containment double, exact boolean").where(F.col("containment") >= least)
     best = found.groupBy("id", "template").agg(F.max(F.struct("containment", "exact")).alias("best"))
     return best.join(classes, "template").select("id", "template", "item_id", "item_ids", "best.*")
 
@@ -260,6 +314,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, least:
     """documents(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, item_ids, containment, exact): a row for
     each document and benchmark template of which it holds at least the share `least` of the windows.
 
+    What a document shares with one template is one row, so a task holds one document's places at a time.
     Items with one template (equal but for numbers, names and units) are one class: item_id is its least, item_ids all
     of it; windows that occur several times in an item count by place. Within a class, items with the same equalities among
     their values have one representative by stream, the least; the best of them counts. exact: the

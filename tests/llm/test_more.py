@@ -83,6 +83,74 @@ def test_values_agree_over_words_that_were_put_in(spark):
     assert got[1] == 1.0 and 2 not in got and 3 not in got and 0.6 <= got[4] < 1
 
 
+def test_no_copy_hides_another(spark):
+    item = "A boy has 12 marbles in his bag and gives his sister some of the 12 marbles before lunch"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bad = item.replace("has 12", "has 15").replace("the 12", "the 99")
+    other = item.replace("12", "40")
+    put_in = other.replace("and gives", "and then also gives")
+    worn = item.replace("lunch", "supper")
+    texts = [f"{bad} {item}", f"{item} {bad}", f"{bad} {bad} {other} {bad}", f"{bad}. So {put_in}. {bad}", f"{put_in} {bad}", f"{bad} {bad} {bad}", f"{bad} {worn}", f"{worn} {bad}", f"{bad} {bad.replace('99', '98')}"]
+    got = {r.doc_id: (r.containment, r.exact) for r in decontamination.contaminated(docs(spark, *texts), bench).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 7, 8}
+    assert got[1] == got[2] == (1.0, True) and got[3] == (1.0, False) and got[7] == got[8] and 0.8 <= got[7][0] < 1
+
+
+def test_readings_equal_brute_force():
+    """Every set of diagonals: none counts more than the best reading where one copy is whole, and each reading is such a set."""
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        of, n = int(rng.integers(4, 12)), int(rng.integers(1, 6))
+        slots = {i: f"v{rng.integers(3)}" for i in range(of) if rng.random() < 0.6}
+        lines = []
+        for diagonal in sorted(rng.choice(60, n, replace=False).tolist()):
+            value = {v: f"{v}" if rng.random() < 0.5 else f"x{rng.integers(2)}" for v in set(slots.values())}
+            windows = [(i, [(slots[i], value[slots[i]] if rng.random() < 0.8 else "y")] if i in slots else []) for i in range(of) if rng.random() < 0.9]
+            lines.append((diagonal, windows))
+
+        def counted(chosen):
+            item, doc, kept = set(), set(), []
+            for diagonal, windows in chosen:
+                new = [w for w in windows if w[0] not in item and w[0] + diagonal not in doc]
+                item |= {w[0] for w in new}
+                doc |= {w[0] + diagonal for w in new}
+                kept += new
+            seen = {}
+            for _, pairs in kept:
+                for a, b in pairs:
+                    seen.setdefault(a, set()).add(b)
+            return sum(all(len(seen[a]) == 1 for a, _ in pairs) for _, pairs in kept)
+
+        near = [sorted(lines, key=lambda x: (abs(x[0] - seed), x[0]))[:k] for seed, _ in lines for k in range(1, n + 1)]
+        got = decontamination.best_reading(lines, of)[0]
+        assert got == max(map(counted, near)) and got >= max(counted([x]) for x in lines)
+
+
+def test_planted_copies_are_found_whatever_stands_around(spark):
+    """Random items with repeated values; each document has broken copies, and every second one a consistent copy too."""
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("bcdfglmnprst"), 4))
+    items, texts, want = [], [], set()
+    for k in range(6):
+        words = [word() for _ in range(26)]
+        for at in (2, 9, 16, 23):
+            words[at] = "{}"
+        items.append(" ".join(words).format(*["7"] * 4))
+        for j in range(8):
+            broken = [" ".join(words).format(*rng.permutation([21, 22, 23, 24])) for _ in range(int(rng.integers(0, 4)))]
+            parts = [*broken]
+            if j % 2:
+                good = " ".join(words).format(*[str(rng.integers(30, 90))] * 4).split()
+                if j % 4 == 1:
+                    good[13:13] = [word()]
+                parts.insert(int(rng.integers(0, len(parts) + 1)), " ".join(good))
+                want.add((len(texts) + 1, k))
+            texts.append(" ".join([word(), *parts, word()]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, *texts), bench, least=0.75).collect()}
+    assert got == want
+
+
 def test_short_items_and_bare_windows(spark):
     bench = spark.createDataFrame([(1, "Grave Wine Harbor"), (2, "12 30 45 60 75 90"), (3, "5 km"), (4, "...")], "item_id long, text string")
     d = docs(spark, "the grave wine HARBOR lay still", "the grave wine and harbor", "so 12 30 45 60 75 90 it goes", "so 13 31 46 61 76 91 it goes", "it is 5 km away", "it is 6 km away", "x " * 30_000)
