@@ -84,21 +84,31 @@ def split_runs(data: np.ndarray, at: np.ndarray, length: int, gram: int):
     return text, start, end - start, key[start], times > 1
 
 
+def stretches(lo: int, hi: int, length: int) -> Iterator[tuple[int, int]]:
+    """A long text's bytes in stretches that have each window of the text in one of them: they overlap by a byte less than a window."""
+    while True:
+        end = min(lo + _SLICE + length - 1, hi)
+        yield lo, end
+        if end == hi:
+            return
+        lo += _SLICE
+
+
 def _runs(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_spans(batch.column(1))
             for lo, hi in slices(offsets, _SLICE):
-                base = offsets[lo]
-                part, at = data[base : offsets[hi]], offsets[lo : hi + 1] - base
-                text, start, n, key, again = split_runs(part, at, length, gram)
-                if len(start):
-                    raw, digest = part.tobytes(), xxhash.xxh3_64_intdigest
-                    kind = np.array([digest(raw[a:b]) for a, b in zip(start.tolist(), (start + n + length - 1).tolist())], np.uint64)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(longs(lo + text)), longs(start - at[text]), pa.array(n.astype(np.int32)), longs(key), longs(kind), pa.array(again)],
-                        names=["uid", "start", "n", "key", "kind", "again"],
-                    )
+                for base, end in stretches(int(offsets[lo]), int(offsets[hi]), length) if hi == lo + 1 else [(offsets[lo], offsets[hi])]:
+                    part, at = data[base:end], np.clip(offsets[lo : hi + 1], base, end) - base
+                    text, start, n, key, again = split_runs(part, at, length, gram)
+                    if len(start):
+                        raw, digest = part.tobytes(), xxhash.xxh3_64_intdigest
+                        kind = np.array([digest(raw[a:b]) for a, b in zip(start.tolist(), (start + n + length - 1).tolist())], np.uint64)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(longs(lo + text)), longs(base + start - offsets[lo + text]), pa.array(n.astype(np.int32)), longs(key), longs(kind), pa.array(again)],
+                            names=["uid", "start", "n", "key", "kind", "again"],
+                        )
 
     return run
 

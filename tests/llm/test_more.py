@@ -222,6 +222,30 @@ def test_hottest_keys_are_counted_by_window(spark):
         assert [len(removed.get(r.uid, ())) for r in base.orderBy("uid").collect()] == [w[1] for w in want]
 
 
+@pytest.mark.parametrize("size", [256, 1000])
+def test_long_texts_are_worked_on_in_stretches(size, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    text = rng.choice(np.frombuffer(b"ab c", np.uint8), 5000)
+    text[3000:3600] = text[900:1500]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([text.tobytes(), b"x" * 30], pa.binary())], names=["uid", "text"])
+    whole = {p: k for b in suffix_dedup._runs(200, 64)([batch]) for u, s, n, k in zip(*[b.column(c).to_pylist() for c in ("uid", "start", "n", "key")]) for p in range(s, s + n) if u == 7}
+    monkeypatch.setattr(suffix_dedup, "_SLICE", size)
+    cut = [(p, k) for b in suffix_dedup._runs(200, 64)([batch]) for s, n, k in zip(*[b.column(c).to_pylist() for c in ("start", "n", "key")]) for p in range(s, s + n)]
+    assert len(cut) == 4801 and dict(cut) == whole
+
+
+def test_a_text_above_16_mb(spark):
+    rng = np.random.default_rng(16)
+    text = rng.integers(97, 123, 17 << 20).astype(np.uint8)
+    text[5_000_000:5_001_000] = text[100:1100]
+    text[(1 << 19) - 150 : (1 << 19) + 150] = text[9_000_000:9_000_300]
+    d = spark.createDataFrame([(1, text.tobytes().decode()), (2, text[16_000_000:16_000_250].tobytes().decode()), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(d).drop("kept").collect()}
+    assert got == {1: (17 << 20, 2 * 1000 + 2 * 300 + 250, 5), 2: (250, 250, 1), 3: (0, 0, 0)}
+
+
 def test_shards_are_never_parted(spark, monkeypatch):
     rng = np.random.default_rng(6)
     share = "".join(rng.choice(list("abc "), 900))
