@@ -4,7 +4,7 @@ Categories are predicted one after the other by logistic regression on the words
 probabilities of the categories before it. For training these are out-of-fold predictions, so a later model learns
 from probabilities as good as those it will see. The last category is the verdict, `toxic`, from the labels. Those
 before it are kinds of toxic language: a given number of them, found as clusters of what the labelled toxic texts say and
-others don't, whatever their language; or kinds by given seed words, which a labelled text has if it is toxic and uses one,
+others don't, after each language's own mean is taken out; or kinds by given seed words, which a labelled text has if it is toxic and uses one,
 and `unlisted`, which is toxic without any.
 A text's features are its words and their beginnings, so that inflected words of any language share what they learn."""
 
@@ -129,21 +129,8 @@ class _Numbered:
         return np.unique(np.fromiter((i for w in words for i in self.of_word[w]), np.int32))
 
 
-def kinds_of(features: list[np.ndarray], toxic: np.ndarray, place: np.ndarray, weight: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    """By text the number of its kind, or -1 for those that are not toxic or have no feature of toxic texts: spherical
-    k-means on these features by weight, kinds in order of size. It starts from texts that are farthest from each other."""
-    out, rows = np.full(len(features), -1), []
-    x = np.zeros((int(toxic.sum()), len(weight)))
-    for r, i in enumerate(np.flatnonzero(toxic)):
-        own = place[features[i]]
-        own = own[own >= 0]
-        x[r, own] = np.maximum(weight[own], 0)
-        rows.append(i)
-    norm = np.sqrt((x * x).sum(axis=1))
-    used = np.flatnonzero(norm > 0)
-    if not len(used):
-        return out
-    x = x[used] / norm[used, None]
+def _spherical(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """By row of unit length the number of its cluster, in order of size; it starts from rows that are farthest from each other."""
     centre = [x[np.argmax(x @ x.sum(axis=0))]]
     for _ in range(1, min(k, len(x))):
         centre.append(x[np.argmin(np.max(x @ np.array(centre).T, axis=1))])
@@ -153,7 +140,38 @@ def kinds_of(features: list[np.ndarray], toxic: np.ndarray, place: np.ndarray, w
         sums = np.array([x[own == c].sum(axis=0) if (own == c).any() else centre[c] for c in range(len(centre))])
         centre = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-12)
     order = np.argsort(-np.bincount(own, minlength=len(centre)), kind="stable")
-    out[np.array(rows)[used]] = np.argsort(order)[own]
+    return np.argsort(order)[own]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def kinds_of(features: list[np.ndarray], toxic: np.ndarray, place: np.ndarray, weight: np.ndarray, k: int, rounds: int = 20, languages: int = 8, least: int = 8) -> np.ndarray:
+    """By text the number of its kind, or -1 for those that are not toxic or have no feature of toxic texts.
+
+    Texts of one language share their words, so what tells toxic texts apart first is the language. Therefore they are put
+    into groups by these features first, each group's own mean is taken out (groups under `least` texts together), and kinds are
+    clusters of what is left: by what a text says more or less of than its like. Each group is clustered by itself, as no
+    word of one says anything about another's, and the n-th greatest cluster of every group makes the n-th kind."""
+    out, rows = np.full(len(features), -1), []
+    x = np.zeros((int(toxic.sum()), len(weight)))
+    for r, i in enumerate(np.flatnonzero(toxic)):
+        own = place[features[i]]
+        own = own[own >= 0]
+        x[r, own] = np.maximum(weight[own], 0)
+        rows.append(i)
+    used = np.flatnonzero((x * x).sum(axis=1) > 0)
+    if not len(used):
+        return out
+    x = _unit(x[used])
+    group = _spherical(x, languages, rounds)
+    group[np.isin(group, np.flatnonzero(np.bincount(group) < least))] = -1
+    kind = np.zeros(len(x), np.int64)
+    for g in np.unique(group):
+        own = group == g
+        kind[own] = _spherical(_unit(x[own] - x[own].mean(axis=0)), k, rounds)
+    out[np.array(rows)[used]] = kind
     return out
 
 
@@ -222,12 +240,14 @@ def probabilities(texts, model: ChainModel, known: dict[str, tuple[int, ...]] |
 
 def train(docs: DataFrame, labels: DataFrame, categories=None, most_labelled: int = 4000) -> ChainModel:
     """Fit on at most `most_labelled` labelled texts, half of them toxic where there are as many and the others to fill up, in
-    the order of a hash of their ids; whole texts, whatever their length."""
+    the order of a hash of their ids; whole texts, whatever their length. Of rows that share an id the least text counts, so
+    the bound holds for the driver, too."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     order = F.xxhash64("doc_id", F.lit(2))
     toxic = known.where("label = 1").orderBy(order, "doc_id").limit(most_labelled // 2)
     pick = toxic.unionByName(known.where("label = 0").orderBy(order, "doc_id").limit(most_labelled - toxic.count()))
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one text an id
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
     return fit(((r.text, r.label) for r in rows.select("text", "label").toLocalIterator()), categories)
 
 
