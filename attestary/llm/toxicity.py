@@ -4,7 +4,7 @@ Categories are predicted one after the other by logistic regression on the words
 probabilities of the categories before it. For training these are out-of-fold predictions, so a later model learns
 from probabilities as good as those it will see. The last category is the verdict, `toxic`, from the labels. Those
 before it are kinds of toxic language: a given number of them, found as clusters of what the labelled toxic texts say and
-others don't, after each language's own mean is taken out; or kinds by given seed words, which a labelled text has if it is toxic and uses one,
+others don't, in each language by itself; or kinds by given seed words, which a labelled text has if it is toxic and uses one,
 and `unlisted`, which is toxic without any.
 A text's features are its words and their beginnings, so that inflected words of any language share what they learn."""
 
@@ -147,31 +147,63 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def kinds_of(features: list[np.ndarray], toxic: np.ndarray, place: np.ndarray, weight: np.ndarray, k: int, rounds: int = 20, languages: int = 8, least: int = 8) -> np.ndarray:
+def _matrix(features: list[np.ndarray], place: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A row for each text: the weights of its features that have a place."""
+    x = np.zeros((len(features), len(weight)))
+    for row, f in zip(x, features):
+        own = place[f]
+        own = own[own >= 0]
+        row[own] = weight[own]
+    return x
+
+
+def languages_of(x: np.ndarray, features: list[np.ndarray], n: int, groups: int, rounds: int, usual: float = 0.05, shared: float = 0.5) -> np.ndarray:
+    """By toxic text the number of its language: groups of texts with like toxic features (x) are one language if they share at
+    least the share `shared` of the features that are usual (in at least `usual` of the texts) in the group with fewer."""
+    group = _spherical(x, groups, rounds)
+    own = np.zeros((group.max() + 1, n), bool)
+    for g in np.unique(group):
+        seen = np.zeros(n)
+        for i in np.flatnonzero(group == g):
+            seen[features[i]] += 1
+        own[g] = seen >= max(2.0, usual * (group == g).sum())
+    size, language = own.sum(axis=1), np.arange(len(own))
+    for a in range(len(own)):
+        for b in range(a + 1, len(own)):
+            if (own[a] & own[b]).sum() >= shared * max(1, min(size[a], size[b])):
+                language[language == language[b]] = language[a]
+    return language[group]
+
+
+def kinds_of(features: list[np.ndarray], toxic: np.ndarray, place: np.ndarray, weight: np.ndarray, k: int, rounds: int = 20, groups: int = 8, least: int = 8) -> np.ndarray:
     """By text the number of its kind, or -1 for those that are not toxic or have no feature of toxic texts.
 
-    Texts of one language share their words, so what tells toxic texts apart first is the language. Therefore they are put
-    into groups by these features first, each group's own mean is taken out (groups under `least` texts together), and kinds are
-    clusters of what is left: by what a text says more or less of than its like. Each group is clustered by itself, as no
-    word of one says anything about another's, and the n-th greatest cluster of every group makes the n-th kind."""
-    out, rows = np.full(len(features), -1), []
-    x = np.zeros((int(toxic.sum()), len(weight)))
-    for r, i in enumerate(np.flatnonzero(toxic)):
-        own = place[features[i]]
-        own = own[own >= 0]
-        x[r, own] = np.maximum(weight[own], 0)
-        rows.append(i)
+    What tells toxic texts of several languages apart first is the language. Therefore, where there are several, each one's mean is
+    taken out of its texts, which fall into k clusters of their own (languages under `least` texts together). Clusters of different languages are one kind where they share
+    features, the most alike first; the others go by their size, as no word of one language says anything about another's."""
+    out, rows = np.full(len(features), -1), np.flatnonzero(toxic)
+    x = _matrix([features[i] for i in rows], place, np.maximum(weight, 0))
     used = np.flatnonzero((x * x).sum(axis=1) > 0)
     if not len(used):
         return out
     x = _unit(x[used])
-    group = _spherical(x, languages, rounds)
+    group = languages_of(x, [features[i] for i in rows[used]], len(place), groups, rounds)
     group[np.isin(group, np.flatnonzero(np.bincount(group) < least))] = -1
-    kind = np.zeros(len(x), np.int64)
-    for g in np.unique(group):
+    kind, known = np.zeros(len(x), np.int64), np.zeros((k, x.shape[1]))
+    for g in sorted(np.unique(group), key=lambda g: (-(group == g).sum(), g)):
         own = group == g
-        kind[own] = _spherical(_unit(x[own] - x[own].mean(axis=0)), k, rounds)
-    out[np.array(rows)[used]] = kind
+        left = x[own] if own.all() else _unit(x[own] - x[own].mean(axis=0))
+        cluster = _spherical(left, k, rounds)
+        centre = _unit(np.array([left[cluster == c].sum(axis=0) for c in range(k)]))
+        alike, number = _unit(known) @ centre.T, np.full(k, -1)
+        for at in np.argsort(-alike, axis=None, kind="stable"):
+            a, b = divmod(int(at), k)
+            if alike[a, b] > 0.1 and number[b] < 0 and a not in number:
+                number[b] = a
+        number[number < 0] = [a for a in range(k) if a not in number]
+        kind[own] = number[cluster]
+        known[number] += centre
+    out[rows[used]] = kind
     return out
 
 
