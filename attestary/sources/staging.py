@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def staging(spark: SparkSession, what: str) -> str:
@@ -16,3 +16,10 @@ def staging(spark: SparkSession, what: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, what: str) -> DataFrame:
+    """Cut the lineage: write the rows as Parquet to a folder of their own and read them again."""
+    path = staging(rows.sparkSession, what)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

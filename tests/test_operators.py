@@ -93,6 +93,21 @@ def test_shortlist_equals_the_direct_formula(spark):
     assert all(abs(r.score - want[r.doc_id]) < 1e-9 for r in got)
 
 
+def test_shortlist_is_the_same_by_join_and_by_blocks(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"]) if rng.random() < 0.5 else f"w{rng.randint(100, 400)}"
+    docs = [(f"d{i:03}", " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(90)]
+    docs += [("e", docs[3][1]), ("f", docs[3][1]), ("g", None), ("h", "the and")]
+    asked = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs[::4])] + [(97, None), (98, ""), (99, "unheard words")], "query_id int, text string")
+    docs = spark.createDataFrame(docs, "doc_id string, text string")
+    runs = [problems.shortlist(asked, docs, 5, **how).orderBy("query_id", "rank").collect() for how in ({"common": 0}, {"common": 2}, {}, {"common": 0.05, "query_rows": 7, "doc_rows": 20})]
+    plain = [[(r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in run] for run in runs]
+    assert plain[0] == plain[1] == plain[2] == plain[3] and len(plain[0]) > 80
+    assert problems.shortlist(asked, docs.limit(0)).count() == problems.shortlist(asked.limit(0), docs).count() == 0
+
+
 def test_estimate_rules(spark):
     row = lambda q, low, high, unit, quote="", ver="verified", basis="source": (q, low, high, unit, basis, "x" if basis == "explicit_assumption" else "", quote, ver, "")
     cases = [
