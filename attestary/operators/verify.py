@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.html import extract_column
 from ..functions.money import amounts_column, decimals_column, figure_in_quote, figures_by_quote, figures_column, same_number, stated
 from ..functions.quotes import normal_column, normal_quote, states
+from ..sources.staging import staged
 from .candidates import words
 
 MIN_QUOTE_WORDS = 3
@@ -35,46 +36,62 @@ def _led(by: str, texts: str) -> Column:
     return F.transform(texts, lambda t: F.concat(F.lit(by), t))
 
 
-def _grams(rows: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
-    """(key, grams): the strings of a text that have as many words as any of the sizes, each behind its size."""
-    rows = rows.select(key, F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "").alias("words"))
-    for n in sizes:
-        rows = NGram(n=n, inputCol="words", outputCol=f"grams_{n}").transform(rows)
-    own = [_led(f"{n} ", f"grams_{n}") for n in sizes]
-    return rows.select(key, F.flatten(F.array(*own)).alias("grams"))
-
-
-#: Strings are told apart by so many bits of their hash before any is shuffled: 2^20 marks at most, which may be broadcast.
-_MARK_BITS = 20
-
+#: What a text is cut into for the search: runs of letters and digits of ASCII, and every other character but white space by
+#: itself. A quote that stands in a normal form from word boundary to word boundary has whole tokens there.
+_TOKENS = {True: r"[0-9a-z]+|[^0-9a-z\s]", False: r"[0-9A-Za-z]+|[^0-9A-Za-z\s]"}
+#: So many different strings of quotes, told apart by so many marks each, are sent to all tasks at most.
+MOST_GRAMS, _MARKS_A_GRAM = 1 << 20, 16
 
-def _mark(gram: str) -> Column:
-    return F.xxhash64(gram).bitwiseAND((1 << _MARK_BITS) - 1)
 
-
-def quote_search(quotes: DataFrame, texts: DataFrame, k: int = 6) -> DataFrame:
-    """quotes(quote_id, quote), texts(text_id, text) -> (quote_id, text_id): which texts contain which quotes, word for word.
-
-    Candidates come from an equi-join on one string of inner words of each quote, k of them or as many as it has: its first
-    and last word may go on in a text, inner ones are whole words there. Quotes under three words are no evidence and
-    left out. All texts are read once for all lengths, and only strings whose hash some quote has are shuffled."""
-    inner = F.least(F.lit(k), words(F.col("quote")) - 2).alias("inner")
-    quotes = quotes.select("quote_id", "quote", inner).where("inner > 0")
-    sizes = sorted(r.inner for r in quotes.select("inner").distinct().collect())  # k at most
+def _grams(rows: DataFrame, key: str, tokens: str, sizes: list[int]) -> DataFrame:
+    """(key, gram): hashes of the strings of as many tokens as any of the sizes, each once a row."""
+    for n in sizes:
+        rows = NGram(n=n, inputCol=tokens, outputCol=f"grams_{n}").transform(rows)
+    hashed = lambda n: F.transform(f"grams_{n}", lambda g: F.xxhash64(F.lit(n), g))
+    own = [hashed(n) for n in sizes]
+    return rows.select(key, F.explode(F.array_distinct(F.flatten(F.array(*own)))).alias("gram"))
+
+
+def quote_search(quotes: DataFrame, texts: DataFrame, k: int = 4, normal: bool = True) -> DataFrame:
+    """quotes(quote_id, quote), texts(text_id, text) -> (quote_id, text_id): which texts state which quotes, in normal form
+    from word boundary to word boundary; or, with normal false, contain them character by character. Quotes under three words are
+    no evidence and left out; equal quotes are looked for once.
+
+    A quote's strings of k tokens, or of as many as it has, are counted over all texts, and its rarest one is the key it meets
+    texts by; so a common word or phrase is no key as long as the quote holds a rarer one. Texts are read once for all lengths. As
+    long as the quotes have at most MOST_GRAMS different strings, marks of these, as many bits as their number asks
+    for, are sent to all tasks, and only strings with a mark are shuffled; beyond that the strings themselves are joined."""
+    form = normal_column if normal else (lambda c: F.coalesce(c, F.lit("")))
+    token = lambda c: F.regexp_extract_all(c, F.lit(_TOKENS[normal]), F.lit(0))
+    said = normal_quote(form(F.col("quote"))) if normal else F.col("quote")
+    asked = staged(quotes.where(words(F.col("quote")) >= MIN_QUOTE_WORDS).select("quote_id", said.alias("said")).where("said <> ''"), "quotes")
+    own = asked.select("said").distinct().withColumn("tokens", token(F.col("said")))
+    if not normal:  # without boundaries the first and the last token may go on in a text
+        own = own.withColumn("tokens", F.slice("tokens", 2, F.size("tokens") - 2))
+    own = own.withColumn("size", F.least(F.lit(k), F.size("tokens"))).where("size > 0")
+    sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # k at most
     if not sizes:
         return quotes.limit(0).join(texts.limit(0), F.lit(True)).select("quote_id", "text_id")
-    own = None
+    grams = None
     for n in sizes:
-        part = _grams(quotes.where(F.col("inner") == n), "quote_id", "quote", [n]).select("quote_id", F.element_at("grams", 2).alias("gram"))
-        own = part if own is None else own.unionByName(part)
-    marks = own.select(_mark("gram").alias("mark")).distinct()
-    found = _grams(texts, "text_id", "text", sizes).select("text_id", F.explode(F.array_distinct("grams")).alias("gram"))
-    found = found.withColumn("mark", _mark("gram")).join(F.broadcast(marks), "mark", "left_semi").drop("mark")
-    pairs = found.join(own, "gram").select("text_id", "quote_id").distinct()
-    return (
-        pairs.join(quotes.select("quote_id", "quote"), "quote_id").join(texts.select("text_id", "text"), "text_id")
-        .where(F.col("text").contains(F.col("quote"))).select("quote_id", "text_id")
-    )
+        part = _grams(own.where(F.col("size") == n), "said", "tokens", [n])
+        grams = part if grams is None else grams.unionByName(part)
+    grams = staged(grams, "quote-grams")
+    every = grams.select("gram").distinct()
+    many = every.count()
+    found = _grams(texts.select("text_id", token(form(F.col("text"))).alias("tokens")), "text_id", "tokens", sizes)
+    if many <= MOST_GRAMS:
+        bits = (many * _MARKS_A_GRAM).bit_length()
+        mark = F.col("gram").bitwiseAND((1 << bits) - 1)
+        found = found.withColumn("mark", mark).join(F.broadcast(every.select(mark.alias("mark")).distinct()), "mark", "left_semi").drop("mark")
+    found = staged(found.join(every, "gram", "left_semi"), "text-grams")  # a table, so that the adaptive join can split a frequent string's rows
+    often = found.groupBy("gram").agg(F.count("*").alias("n"))
+    key = grams.join(often, "gram").groupBy("said").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    pairs = staged(found.join(key, "gram").select("text_id", "said"), "pairs")
+    there = texts.join(pairs.select("text_id").distinct(), "text_id", "left_semi").select("text_id", form(F.col("text")).alias("form"))
+    holds = states(F.col("form"), F.col("said")) if normal else F.col("form").contains(F.col("said"))
+    met = pairs.join(there, "text_id").where(holds).select("text_id", "said")
+    return met.join(asked, "said").select("quote_id", "text_id").distinct()
 
 
 def figure_support(claims: DataFrame) -> DataFrame:

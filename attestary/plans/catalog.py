@@ -601,6 +601,22 @@ def merge_problems_stored(spark, d):
 @query("SELECT b.item_id AS quote_id, d.doc_id AS text_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_corpus_join(spark, d):
     b = given(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return verify.quote_search(b, given(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), normal=False)
+
+
+_NORMAL = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(translate({}, '“”„‘’–—', repeat('"', 3) || '''''--'), '\*\*|__|`', '', 'g'), '\s+', ' ', 'g'),
+  ' ([.,;:!?)\]])', '\1', 'g')))"""
+_CHANGED = "replace(upper(substr(text, 1, 60)) || substr(text, 61, 200), ' ', '  ')"
+
+
+@query(rf"""WITH b AS (SELECT item_id, rtrim({_NORMAL.format(_CHANGED)}, '.,;:!?') AS q FROM benchmark),
+ d AS (SELECT doc_id, {_NORMAL.format("text")} AS t FROM documents)
+ SELECT item_id AS quote_id, doc_id AS text_id FROM b JOIN d ON contains(t, q) AND regexp_matches(t, CASE WHEN regexp_matches(q, '^[\pL\pN]') THEN '(^|[^0-9a-z])' ELSE '' END
+   || regexp_escape(q) || CASE WHEN regexp_matches(q, '[\pL\pN]$') THEN '($|[^0-9a-z])' ELSE '' END)""")
+def quote_corpus_stated(spark, d):
+    """The beginning of each benchmark item, in other capitals and spaces, in all documents by their normal forms."""
+    said = F.replace(F.concat(F.upper(F.substring("text", 1, 60)), F.substring("text", 61, 200)), F.lit(" "), F.lit("  "))
+    b = given(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), said.alias("quote"))
     return verify.quote_search(b, given(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
 
 

@@ -127,7 +127,38 @@ def test_estimate_rules(spark):
 def test_quote_search_finds_all_lengths(spark):
     texts = spark.createDataFrame([(1, "(one two three four five six seven eight nine)"), (2, "x one two three y"), (3, None)], "text_id int, text string")
     q = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "one two three"), (3, "two"), (4, "nine ten eleven")], "quote_id int, quote string")
-    assert {tuple(r) for r in verify.quote_search(q, texts).collect()} == {(1, 1), (2, 1), (2, 2)}
+    for how in ({}, {"normal": False}):
+        assert {tuple(r) for r in verify.quote_search(q, texts, **how).collect()} == {(1, 1), (2, 1), (2, 2)}
+
+
+def test_quote_search_equals_brute_force(spark, monkeypatch):
+    import random
+    import re
+
+    from attestary.functions.quotes import normal_text
+
+    def stated(quote, text):
+        q, t = normal_text(quote).rstrip(".,;:!?"), normal_text(text)
+        left, right = "(?<![0-9a-z])" if q[:1].isalnum() else "", "(?![0-9a-z])" if q[-1:].isalnum() else ""
+        return bool(q) and re.search(left + re.escape(q) + right, t) is not None
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["the", "The", "of", "and", "“a”", "$40", "$400", "été", "té", "漢字", "it's", "**x**", "-", "end.", "a,b"])
+    texts = [" ".join(word() for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, ""]
+    quotes = [" ".join(word() for _ in range(rng.randint(2, 4))) for _ in range(60)]
+    for t in texts[:30]:
+        w = t.split(" ")
+        at = rng.randint(0, max(0, len(w) - 3))
+        quotes.append("  ".join(w[at : at + rng.randint(3, 7)]).upper())
+    quotes += ["- - -", "! ? !", None, "", quotes[65], "the of and"]
+    want = {(i, j) for i, q in enumerate(quotes) if q and len(q.split()) >= 3 for j, t in enumerate(texts) if t and stated(q, t)}
+    raw = {(i, j) for i, q in enumerate(quotes) if q and len(q.split()) >= 3 for j, t in enumerate(texts) if t and q in t}
+    tables = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string"), spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(verify, "MOST_GRAMS", most)
+        got = {tuple(r) for r in verify.quote_search(*tables).collect()}
+        assert got == want and len(want) > 40, [(quotes[i], texts[j], (i, j) in got) for i, j in list(got ^ want)[:3]]
+        assert {tuple(r) for r in verify.quote_search(*tables, normal=False).collect()} == raw
 
 
 def test_views(spark):
