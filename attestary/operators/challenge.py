@@ -106,6 +106,14 @@ def challenge_view(finished: DataFrame, records: DataFrame, q: str | None = None
     return j if investigated is None else j.where(F.col("investigated") == investigated)
 
 
+def refusal(asked: DataFrame, items: DataFrame, records: DataFrame, force: bool = False) -> DataFrame:
+    """asked(challenge_id), items(challenge_id, finished), records(challenge_id, verdict) -> (challenge_id, refusal), before any money is
+    spent: no such finished challenge, or found solved by the headroom check unless forced; null where it may run."""
+    j = asked.select("challenge_id").join(items.select("challenge_id", "finished"), "challenge_id", "left").join(records.select("challenge_id", "verdict"), "challenge_id", "left")
+    solved = F.lit(not force) & (F.col("verdict") == "solved")
+    return j.select("challenge_id", F.when(~F.coalesce("finished", F.lit(False)), "not a finished challenge").when(solved, "found solved").alias("refusal"))
+
+
 def challenge_order() -> list[Column]:
     """Greatest headroom first; none, and none left, last."""
     return [F.when(F.col("headroom") != 0, F.col("headroom")).desc_nulls_last(), F.col("challenge_id").asc()]

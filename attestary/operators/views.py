@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import staging
+from ..sources.staging import staged
+from .ordering import numbered, slice_of
 
 
 def funnel(problems: DataFrame, novelty: DataFrame, values: DataFrame, fits: DataFrame, opportunities: DataFrame, digest: Column) -> DataFrame:
@@ -132,6 +133,15 @@ def triage_view(rows: DataFrame, triage: DataFrame, keep: str) -> DataFrame:
     return marked.where(rule.get(keep, F.col("mark") == keep))
 
 
+def triage_set(triage: DataFrame, orders: DataFrame) -> DataFrame:
+    """triage(problem_id, mark, note), orders(problem_id, mark, note, at): each item's last order sets its mark and note, trimmed;
+    mark none without a note clears the item."""
+    last = orders.groupBy("problem_id").agg(F.max_by(F.struct("mark", F.trim(F.coalesce("note", F.lit(""))).alias("note")), F.struct("at", "mark", "note")).alias("r"))
+    last = last.select("problem_id", "r.*")
+    kept = triage.select("problem_id", "mark", "note").join(last.select("problem_id"), "problem_id", "left_anti")
+    return kept.unionByName(last.where("mark <> 'none' or note <> ''"))
+
+
 def value_gate(problems: DataFrame, novelty: DataFrame, force: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """Before an assessment, for all problems or for asked(problem_id): refused (no such problem, malformed or solved), not_investigated,
     forced, or passed."""
@@ -174,11 +184,13 @@ def overview(rows: DataFrame, candidates: DataFrame | None = None, challenges: D
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 50) -> tuple[DataFrame, dict[str, int]]:
-    """A page of sorted rows and the counts; the number is clamped. Offset and limit keep only a top-k of each partition."""
+    """A page of sorted rows and the counts; the number is clamped. The rows are evaluated once, and of a deep page only the
+    ranges of the order that hold it are sorted."""
+    rows = staged(rows, "paged")
     total = rows.count()
     pages = max(1, -(-total // size))
     number = min(max(1, number), pages)
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size), {"total": total, "pages": pages, "page": number}
+    return slice_of(rows, order, (number - 1) * size, size), {"total": total, "pages": pages, "page": number}
 
 
 def record_history(runs: DataFrame, order: str, *fields: str) -> DataFrame:
@@ -188,18 +200,21 @@ def record_history(runs: DataFrame, order: str, *fields: str) -> DataFrame:
     return runs.withColumns({"revision": F.row_number().over(w), "history": F.collect_list(F.struct(order, *fields)).over(before)})
 
 
+def last_record(runs: DataFrame, order: str, *fields: str) -> DataFrame:
+    """runs of a record (problem_id, order, fields) -> one row for each record: the last run's fields, revision, the number of its
+    runs, and history, what came before, in order and once. A record's runs are one row, by contract."""
+    every = F.array_sort(F.collect_list(F.struct(order, *fields)))
+    rows = runs.groupBy("problem_id").agg(every.alias("runs"))
+    last = F.element_at("runs", -1)
+    return rows.select("problem_id", F.size("runs").alias("revision"), *[last[c].alias(c) for c in (order, *fields)], F.slice("runs", F.lit(1), F.size("runs") - 1).alias("history"))
+
+
 def assign_ids(wanted: DataFrame, known: DataFrame, prefix: str = "OPP-") -> DataFrame:
     """(problem_id, request) -> ids: a known problem keeps its own, new ones count on from the greatest in request order.
-    Only new ones are numbered: within range partitions, with the partitions' counts before them."""
+    Only new ones are numbered."""
     old = wanted.join(known.select("problem_id", "number"), "problem_id", "left")
-    new = old.where("number is null").select("problem_id", "request").repartitionByRange("request", "problem_id").sortWithinPartitions("request", "problem_id")
-    new = new.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    path = staging(wanted.sparkSession, "numbered")  # the range boundaries come from a sample: written, they can't change between two uses
-    new.write.parquet(path)
-    new = wanted.sparkSession.read.schema(new.schema).parquet(path)
-    counts = new.groupBy("part").agg(F.count("*").alias("n"))
-    ahead = counts.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    new = numbered(old.where("number is null").select("problem_id", "request"), "request", "problem_id", name="at")
     start = known.agg(F.coalesce(F.max("number"), F.lit(0)).alias("start"))
-    numbered = new.join(ahead.select("part", "ahead"), "part").crossJoin(F.broadcast(start)).select("problem_id", (F.col("start") + F.col("ahead") + F.col("at") + 1).alias("number"))
-    both = old.where("number is not null").select("problem_id", "number").unionByName(numbered)
+    new = new.crossJoin(F.broadcast(start)).select("problem_id", (F.col("start") + F.col("at") + 1).alias("number"))
+    both = old.where("number is not null").select("problem_id", "number").unionByName(new)
     return both.select("problem_id", F.concat(F.lit(prefix), F.when(F.col("number") < 1000, F.lpad(F.col("number").cast("string"), 4, "0")).otherwise(F.col("number").cast("string"))).alias("opportunity_id"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import money, quotes as q, urls
+from ..functions import quotes as q, urls
 from ..operators import candidates as cand
-from ..operators import challenge, discover, items, opportunity, problems, sessions, sources, value, verify, views
+from ..operators import challenge, discover, items, opportunity, ordering, problems, sessions, sources, value, verify, views
 from ..sources import payloads, records
 from ..sources.staging import staging
 from ..streaming import feeds
@@ -329,6 +329,21 @@ def merge_report(spark, d):
     return cand.merge_report(bound(spark, d, "candidates"), bound(spark, d, "item_state"), bound(spark, d, "processed"), "doc_id")
 
 
+@query(twin("candidates", "item_state", "processed") + """, o AS (SELECT c.*, CASE WHEN i.doc_id IS NULL THEN 'failure'
+  WHEN i.finished THEN 'finished' WHEN i.revision <> c.revision THEN 'superseded' ELSE 'eligible' END AS outcome
+  FROM candidates c LEFT JOIN item_state i USING (doc_id))
+ SELECT count(*) AS processed, count_if(decision = 'new') AS new, count_if(decision = 'merged') AS merged,
+   count_if(outcome = 'superseded') AS superseded, count_if(outcome = 'finished') AS finished, count_if(outcome = 'failure') AS failures,
+   sum(output_tokens) / count(*) AS tokens_per_candidate, count_if(decision IN ('new', 'merged') AND o.doc_id % 5 = 0) AS unverified,
+   count_if(o.doc_id % 7 = 0 AND decision <> 'merged') AS invalid_merges FROM o LEFT JOIN processed USING (candidate_id)""")
+def merge_report_full(spark, d):
+    """The run's report with evidence that was not verified and targets that could not be merged into."""
+    c = bound(spark, d, "candidates")
+    told = c.select("candidate_id", F.when(F.col("doc_id") % 5 != 0, True).when(F.col("doc_id") % 5 == 0, False).alias("evidence_verified"),
+            F.when(F.col("doc_id") % 7 == 0, "prob-x").alias("merge_with"))
+    return cand.merge_report(c, bound(spark, d, "item_state"), bound(spark, d, "processed").join(told, "candidate_id"), "doc_id")
+
+
 # ---- sources
 
 @query("""SELECT s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey <> 3 AND s_suppkey % 6 <> 0
@@ -441,6 +456,40 @@ def discover_unmapped(spark, d):
     return discover.unmapped(links.where(~urls.host(F.col("url")).startswith("m.")), known, ("example.org",)).select("host", "at")
 
 
+_SLUG = "trim(regexp_replace(lower(host), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(_CANON + f""", h AS (SELECT page_id, p.url, c.url AS canonical, {_HOST.replace("url", "p.url")} AS host, regexp_extract(trim(p.url), '^[^/]*//[^/?#]*') AS root,
+   regexp_matches(lower(regexp_extract(p.url, '://([^/?#]*)', 1)), '^(engineering|blog|tech|research)[.]') OR regexp_matches(regexp_extract(p.url, '://[^/?#]*([^?#]*)', 1), '/(blog|engineering)(/|$)') AS blog
+   FROM pages p JOIN canon c USING (page_id)),
+ f AS (SELECT * FROM h WHERE host <> '' AND host NOT IN (SELECT host FROM h WHERE page_id % 10 = 0) AND NOT regexp_matches(host, '(^|[.])example[.]org$')
+   AND canonical NOT IN (SELECT canonical FROM h WHERE page_id % 11 = 0) QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) = 1),
+ a AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN root || '/feed.xml' END AS feed FROM f ORDER BY page_id, host LIMIT 15),
+ s AS (SELECT 'rss-' || {_SLUG} AS id, feed FROM a WHERE page_id % 7 <> 0 AND blog AND feed IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_SLUG} ORDER BY page_id) = 1)
+ SELECT 'source' AS kind, id, feed AS detail FROM s
+ UNION ALL SELECT 'source', 'greenhouse-' || n_nationkey, 'https://boards-api.greenhouse.io/v1/boards/' || n_nationkey || '/jobs?content=true' FROM nation
+   WHERE n_nationkey >= 5 AND n_nationkey IN (SELECT p_partkey % 25 FROM part)
+ UNION ALL SELECT 'unmapped', url, coalesce(feed, '') FROM a WHERE page_id % 7 <> 0 AND NOT (blog AND feed IS NOT NULL)
+ UNION ALL SELECT 'error', url || ': HTTP 500', '' FROM a WHERE page_id % 7 = 0
+ UNION ALL SELECT 'error', 'fetch cap 15 reached; remaining references skipped', '' FROM (SELECT count(*) AS n FROM f) WHERE n > 15""")
+def discover_run(spark, d):
+    """One discovery run over all pages as references and job links of the parts: new sources, unmapped addresses, errors, the cap."""
+    p = given(spark, d, "pages")
+    k = F.col("page_id") % 3 == 0
+    html = F.when(k, '<head><link rel="alternate" type="application/rss+xml" href="/feed.xml"></head>').otherwise("<p>no feed</p>")
+    fetched = p.select("url", html.alias("html"), F.when(F.col("page_id") % 7 == 0, "HTTP 500").alias("error"))
+    refs = p.select("url", F.col("page_id").cast("string").alias("origin"), F.col("page_id").cast("long").alias("at"))
+    links = given(spark, d, "part").select(F.concat(F.lit("https://boards.greenhouse.io/"), F.col("p_partkey") % 25, F.lit("/jobs/"), "p_partkey").alias("url"),
+            F.col("p_partkey").cast("string").alias("origin"), F.col("p_partkey").cast("long").alias("at"))
+    known = p.where("page_id % 10 = 0").select(F.concat(F.lit("known-"), "page_id").alias("source_id"), "url")
+    known = known.unionByName(given(spark, d, "nation").where("n_nationkey < 5").select(F.concat(F.lit("greenhouse-"), "n_nationkey").alias("source_id"), F.lit("https://x.invalid/").alias("url")))
+    ignored = spark.sql("SELECT 'example.org' AS host")
+    new, rest, errors = discover.discover(refs, links, known, p.where("page_id % 11 = 0").select("url"), ignored, fetched, 15)
+    out = new.select(F.lit("source").alias("kind"), F.col("source_id").alias("id"), F.col("url").alias("detail"))
+    out = out.unionByName(rest.select(F.lit("unmapped").alias("kind"), F.col("url").alias("id"), F.coalesce("feed", F.lit("")).alias("detail")))
+    return out.unionByName(errors.select(F.lit("error").alias("kind"), F.col("message").alias("id"), F.lit("").alias("detail")))
+
+
 # ---- problems and value
 
 _USD = """, u AS (SELECT *, CASE WHEN stated = '' THEN NULL WHEN l_linenumber % 4 = 0 THEN floor(l_extendedprice / 1000) * 1000.0
@@ -596,6 +645,19 @@ def merge_problems_stored(spark, d):
             F.array_join("merge_log.decision", ",").alias("log"), "invalid_merges")
 
 
+@query()
+def merge_waves(spark, d):
+    """One run in three waves: each candidate's target is a problem of its market segment, if it is near enough when the wave starts."""
+    c = bound(spark, d, "candidates").withColumn("seq", F.col("doc_id"))
+    size = max(1, -(-c.count() // 3))
+    answers = c.select("candidate_id", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("prob-"), F.col("doc_id") - 1, F.lit("-r"), (F.col("doc_id") - 1) % 3 + 1,
+            F.lit("-0"))).alias("merge_with"), F.lit("same subject").alias("reason"), F.lit(None).cast("boolean").alias("evidence_verified"))
+    stored = spark.createDataFrame([], "problem_id string, revision long, statement string, evidence_verified boolean, sources array<struct<candidate_id string, source_id string>>, "
+            "merge_log array<struct<candidate_id string, decision string, reason string, evidence_verified boolean>>")
+    out = problems.merge_in_waves(c.select("candidate_id", "statement", "source_id", "seq"), answers, stored, size)
+    return out.select("problem_id", "revision", "statement", F.array_join("sources.candidate_id", ",").alias("sources"), F.array_join("merge_log.decision", ",").alias("log"), "invalid_merges")
+
+
 # ---- verification
 
 @query("SELECT b.item_id AS quote_id, d.doc_id AS text_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -631,8 +693,7 @@ _DEALT = """documents d CROSS JOIN (SELECT count(*) AS n FROM benchmark) c JOIN
 
 def _dealt(spark, d, docs, name):
     """Documents with a benchmark item each, dealt in turn over the whole benchmark."""
-    item = Window.orderBy("item_id")  # the benchmark is small beside the documents; only its ids go to this one task
-    ids = given(spark, d, "benchmark").select("item_id").distinct().withColumn("turn", F.row_number().over(item) - 1)
+    ids = ordering.numbered(given(spark, d, "benchmark").select("item_id").distinct(), "item_id", name="turn")
     n = ids.agg(F.count("*").alias("n"))
     turns = docs.crossJoin(F.broadcast(n)).withColumn("turn", F.expr("pmod(doc_id, n)")).drop("n")
     return turns.join(ids, "turn").drop("turn").join(_quotes(spark, d, name), "item_id")
@@ -874,6 +935,41 @@ def assessment_list(spark, d):
     return out.withColumn("warnings", F.array_join(counts, ","))
 
 
+@query(twin(*_STAGES) + _FUNNEL + """ SELECT problem_id, fit, high FROM f ORDER BY high DESC NULLS LAST, problem_id
+ LIMIT 50 OFFSET (SELECT least(249, (count(*) + 49) // 50 - 1) * 50 FROM f)""")
+def page_deep(spark, d):
+    """Page 250 of the problems, or the last one."""
+    return views.page(_funnel(spark, d).select("problem_id", "fit", "high"), [F.col("high").desc_nulls_last(), F.col("problem_id")], 250)[0]
+
+
+@query("""SELECT o_custkey AS problem_id, count(*)::INT AS revision, max(o_orderkey) AS run, arg_max(o_orderstatus, o_orderkey) AS state,
+ left(string_agg(o_orderstatus, '' ORDER BY o_orderkey), count(*)::INT - 1) AS history FROM orders GROUP BY 1""")
+def record_latest(spark, d):
+    """Each record as it is now, its earlier states once."""
+    runs = given(spark, d, "orders").select(F.col("o_custkey").alias("problem_id"), F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("state"))
+    return views.last_record(runs, "run", "state").withColumn("history", F.array_join("history.state", ""))
+
+
+@query(twin("triage") + """, o AS (SELECT 'prob-' || l_orderkey AS problem_id, CASE l_linenumber % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'shortlist' ELSE 'reject' END AS mark,
+   CASE WHEN l_linenumber % 2 = 0 THEN 'why ' || l_linenumber ELSE '' END AS note, l_linenumber AS pos FROM lineitem WHERE l_linenumber <= 5 AND l_orderkey % 2 = 0),
+ l AS (SELECT problem_id, arg_max(mark, {'p': pos, 'm': mark, 'n': ' ' || note}) AS mark, trim(arg_max(note, {'p': pos, 'm': mark, 'n': ' ' || note})) AS note FROM o GROUP BY 1)
+ SELECT problem_id, mark, '' AS note FROM triage ANTI JOIN l USING (problem_id) UNION ALL SELECT * FROM l WHERE mark <> 'none' OR note <> ''""")
+def triage_orders(spark, d):
+    n = F.col("l_linenumber")
+    orders = given(spark, d, "lineitem").where("l_linenumber <= 5 and l_orderkey % 2 = 0").select(F.concat(F.lit("prob-"), "l_orderkey").alias("problem_id"),
+            F.when(n % 3 == 0, "none").when(n % 3 == 1, "shortlist").otherwise("reject").alias("mark"), F.when(n % 2 == 0, F.concat(F.lit(" why "),
+                    n)).otherwise(" ").alias("note"), n.alias("at"))
+    return views.triage_set(bound(spark, d, "triage").withColumn("note", F.lit("")), orders)
+
+
+@query(f"""WITH h AS ({_HEADROOM}) SELECT p_partkey AS challenge_id, CASE WHEN p_partkey % 4 = 0 THEN 'not a finished challenge' WHEN verdict = 'solved' THEN 'found solved' END AS refusal
+ FROM part LEFT JOIN h ON h.challenge_id = p_partkey WHERE p_partkey % 3 = 0""")
+def challenge_refusal(spark, d):
+    p = given(spark, d, "part").withColumnRenamed("p_partkey", "challenge_id")
+    items_ = p.where("challenge_id % 8 <> 0").select("challenge_id", (F.col("challenge_id") % 4 != 0).alias("finished"))
+    return challenge.refusal(p.where("challenge_id % 3 = 0"), items_, headroom(spark, d))
+
+
 @query("""SELECT o_custkey AS problem_id, o_orderkey AS run, (row_number() OVER w)::INT AS revision,
   coalesce(string_agg(o_orderstatus, '') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history
  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
@@ -1207,6 +1303,37 @@ def stream_upsert(spark, d):
     return _table(feeds.current_items(spark, f"{path}/items"))
 
 
+@query(twin("scan_log") + _HEALTH + """, s AS (SELECT *, CASE user_id % 3 WHEN 0 THEN 'candidate' WHEN 1 THEN 'active' ELSE 'retired' END AS status FROM h),
+ n1 AS (SELECT source_id, min(seq) AS seq FROM s WHERE status = 'candidate' AND (consecutive_failures >= 2 OR candidates > 0 OR scans >= 5)
+   OR status = 'active' AND (consecutive_failures >= 2 OR dry_scans >= 3) GROUP BY 1),
+ t1 AS (SELECT s.*, CASE WHEN consecutive_failures >= 2 THEN 'failing' WHEN status = 'active' THEN 'dry' WHEN candidates > 0 THEN 'has a yield' ELSE 'no yield' END AS rule
+   FROM s JOIN n1 USING (source_id, seq)),
+ n2 AS (SELECT s.source_id, min(s.seq) AS seq FROM s JOIN t1 ON t1.source_id = s.source_id AND t1.rule = 'has a yield' AND s.seq > t1.seq
+   WHERE s.consecutive_failures >= 2 OR s.dry_scans >= 3 GROUP BY 1)
+ SELECT source_id, seq, status, CASE WHEN rule = 'has a yield' THEN 'active' ELSE 'retired' END AS next_status, rule FROM t1
+ UNION ALL SELECT source_id, seq, 'active', 'retired', CASE WHEN consecutive_failures >= 2 THEN 'failing' ELSE 'dry' END FROM s JOIN n2 USING (source_id, seq)""")
+def stream_lifecycle(spark, d):
+    """The scan log as a stream of three batches in mixed order, some scans twice: each change of a source's status."""
+    path, provider = staging(spark, "life"), "spark.sql.streaming.stateStore.providerClass"
+    status = F.element_at(F.array(F.lit("candidate"), F.lit("active"), F.lit("retired")), (F.col("user_id") % 3 + 1).cast("int"))
+    log = bound(spark, d, "scan_log").select("source_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "outcome", status.alias("status"), F.lit(24).alias("cadence"))
+    late = 1 + (log.agg((F.max(F.unix_timestamp("ts")) - F.min(F.unix_timestamp("ts"))) / 86_400).first()[0] or 0)
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(4):  # the last one only moves the time on
+            last = log.agg(F.lit("~").alias("source_id"), F.lit(0).cast("long").alias("seq"), (F.max("ts") + F.make_dt_interval(F.lit(int(late) + 2))).alias("ts"),
+                    F.lit("new").alias("outcome"), F.lit("retired").alias("status"), F.lit(24).alias("cadence"))
+            (last if k == 3 else log.where((F.col("seq") % 3 == 2 - k) | (F.col("seq") % 5 == k))).write.parquet(f"{path}/in/{k}")
+            scans = spark.readStream.schema(log.schema).parquet(f"{path}/in/*")
+            out = feeds.source_life(scans, f"{int(late) + 1} days", failures=2, least_scans=5, dry=3)
+            out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    found = spark.read.schema(feeds.TRANSITIONS).parquet(f"{path}/out")
+    return found.where("rule <> 'due'").select("source_id", "seq", "status", "next_status", "rule")
+
+
 @query(ORACLE["candidate_outcome"])
 def stream_superseded(spark, d):
     path, c = staging(spark, "superseded"), bound(spark, d, "candidates").select("candidate_id", "doc_id", "revision")

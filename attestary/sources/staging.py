@@ -18,8 +18,8 @@ def staging(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def staged(rows: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet to a folder of their own and read them again."""
+def staged(rows: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage: write the rows as Parquet to a folder of their own, with one in it for each value of `by`, and read them again."""
     path = staging(rows.sparkSession, what)
-    rows.write.parquet(path)
+    (rows.write.partitionBy(by) if by else rows.write).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -4,14 +4,17 @@ candidates of older item revisions. Each equals its batch form on the same rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.candidates import outcome
-from ..operators.items import first_load, last_of_each, upsert, with_identity
+from ..operators.items import first_load, upsert, with_identity
+from ..operators.sources import MAX_DRY, MAX_FAILURES, MIN_SCANS
 
 HEALTH = "source_id string, seq long, consecutive_failures long, scans long, items_seen long, candidates long, dry_scans long"
 _STATE = "seq long, failures long, scans long, items long, candidates long, dry long"
@@ -32,33 +35,164 @@ def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     yield pd.DataFrame([(key[0], last, failures, scans, items, candidates, dry)], columns=["source_id", "seq", "consecutive_failures", "scans", "items_seen", "candidates", "dry_scans"])
 
 
+TRANSITIONS = "source_id string, seq long, status string, next_status string, rule string, scans long, consecutive_failures long, candidates long, dry_scans long"
+
+
+class SourceLife(StatefulProcessor):
+    """One source: its counters and status, and the scans that have come but may still be preceded by later arrivals.
+
+    Scans wait in a list until the watermark has passed their time, then they are taken in order of seq, each once; so late and
+    doubled ones change nothing as long as they come within the watermark's delay. After each scan the rules of `lifecycle` are
+    applied, and a change of the status is an output row; so is each time that a source has not been scanned for its cadence,
+    as rule `due`, which a timer finds."""
+
+    def __init__(self, failures: int, scans: int, dry: int):
+        self.most_failures, self.least_scans, self.most_dry = failures, scans, dry
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.life = handle.getValueState("life", "status string, seq long, failures long, scans long, candidates long, dry long, due long")
+        self.waiting = handle.getListState("waiting", "seq long, at long, outcome string, status string, cadence long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.life.get() if self.life.exists() else None
+        last = known[1] if known else -1
+        new = pd.concat(list(rows))
+        at = (new["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[new["ts"].dt.unit]).tolist()
+        came = [x for x in zip(new["seq"].tolist(), at, new["outcome"].tolist(), new["status"].tolist(), new["cadence"].tolist()) if x[0] > last]
+        if came:
+            self.waiting.appendList(came)
+            for t in {x[1] for x in came}:
+                self.handle.registerTimer(t)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        life = self.life.get() if self.life.exists() else None
+        waiting = sorted(self.waiting.get())
+        ready = [x for x in waiting if x[1] <= now]
+        out = []
+        for seq, at, outcome_, first, cadence in ready:
+            status, last, failures, scans, candidates, dry, _ = life or (first, -1, 0, 0, 0, 0, 0)
+            if seq <= last:
+                continue
+            failures = failures + 1 if outcome_ == "failed" else 0
+            scans, candidates = scans + 1, candidates + (outcome_ == "candidate")
+            dry = 0 if outcome_ == "candidate" else dry + (outcome_ in ("new", "changed"))
+            rule, next_ = self._rule(status, failures, scans, candidates, dry)
+            if next_ != status:
+                out.append((key[0], seq, status, next_, rule, scans, failures, candidates, dry))
+            life = (next_, seq, failures, scans, candidates, dry, at + cadence * 3_600_000 if next_ != "retired" else 0)
+        if ready:
+            left = [x for x in waiting if x[1] > now]
+            self.waiting.put(left) if left else self.waiting.clear()
+        if life:
+            if life[6] and life[6] <= now:
+                out.append((key[0], life[1], life[0], life[0], "due", *life[3:4], life[2], *life[4:6]))
+                life = (*life[:6], 0)
+            elif life[6] and ready:
+                self.handle.registerTimer(life[6])
+            self.life.update(life)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITIONS.split(", ")])
+
+    def _rule(self, status: str, failures: int, scans: int, candidates: int, dry: int) -> tuple[str, str]:
+        if status == "retired":
+            return "stays", status
+        if failures >= self.most_failures:
+            return "failing", "retired"
+        if status == "candidate":
+            return ("has a yield", "active") if candidates else ("no yield", "retired") if scans >= self.least_scans else ("stays", status)
+        return ("dry", "retired") if dry >= self.most_dry else ("stays", status)
+
+    def close(self) -> None:
+        pass
+
+
+def source_life(scans: DataFrame, late: str = "1 hour", failures: int = MAX_FAILURES, least_scans: int = MIN_SCANS, dry: int = MAX_DRY) -> DataFrame:
+    """A stream of scans(source_id, seq, ts, outcome, status, cadence) -> its sources' changes of status and due times, as they become
+    certain. status: the one a source starts with; cadence: hours between scans. Scans may come late by `late`. Needs the RocksDB state store."""
+    rows = scans.select("source_id", "seq", "ts", "outcome", "status", F.col("cadence").cast("long").alias("cadence")).withWatermark("ts", late)
+    return rows.groupBy("source_id").transformWithStateInPandas(SourceLife(failures, least_scans, dry), TRANSITIONS, "append", "eventtime")
+
+
 def source_health(scans: DataFrame) -> DataFrame:
     """A stream of scans(source_id, seq, outcome, n_items), in seq order by source → each touched source's state after the batch."""
     return scans.groupBy("source_id").applyInPandasWithState(_advance, HEALTH, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def current_items(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The item table: each item's row of the last batch that wrote it (of those before a batch, if given).
-    Which batch that is, is found on ids alone."""
-    rows = spark.read.parquet(folder)
-    rows = rows if before is None else rows.where(F.col("batch") < before)
-    last = rows.groupBy("item_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["item_id", "batch"]).drop("batch")
+#: Folders by hash of the item id that each part of the item table is laid out in.
+BUCKETS = 16
+
+
+def _bucket(item_id: str = "item_id") -> Column:
+    return F.pmod(F.xxhash64(item_id), F.lit(BUCKETS)).cast("int")
+
+
+def live_parts(spark: SparkSession, folder: str, batch: int | None = None) -> list[tuple[int, int]]:
+    """The parts that make up the item table after a batch, or after the last one: (first batch, last batch) of each, oldest
+    first, as the batch's manifest names them."""
+    if batch is None:
+        last = spark.read.schema("first int, last int, batch int").parquet(f"{folder}/manifest").agg(F.max("batch")).first()[0]
+        return [] if last is None else live_parts(spark, folder, last)
+    if batch < 0:
+        return []
+    return sorted((r.first, r.last) for r in spark.read.parquet(f"{folder}/manifest/batch={batch}").collect())
+
+
+def _path(folder: str, part: tuple[int, int]) -> str:
+    return f"{folder}/batch={part[0]}" if part[0] == part[1] else f"{folder}/merged={part[0]}-{part[1]}"
+
+
+def stored_rows(spark: SparkSession, folder: str, parts: list[tuple[int, int]]) -> DataFrame:
+    """All rows of some parts, an item's older ones included."""
+    return reduce(DataFrame.unionByName, [spark.read.parquet(_path(folder, p)) for p in parts])
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of each item the row of the last batch that wrote it; which one that is, is found on ids alone."""
+    last = rows.groupBy("item_id").agg(F.max("written").alias("written"))
+    return rows.join(last, ["item_id", "written"])
+
+
+def _laid_out(rows: DataFrame, path: str) -> None:
+    rows.withColumn("bucket", _bucket()).repartition("bucket").sortWithinPartitions("bucket", "item_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def current_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The item table: each item's newest row in the live parts."""
+    return _newest(stored_rows(spark, folder, live_parts(spark, folder))).drop("written", "bucket")
 
 
 def upsert_stream(pages: DataFrame, folder: str, checkpoint: str):
-    """A stream of raw items(url, source_id, title, text, finished, at) upserted by micro-batch. Each batch writes only the
-    rows that it touched, in a folder of its own, from what earlier batches wrote; so its cost follows the batch, and one that
-    runs again gives the same rows. `current_items` reads the table. Starts the query."""
+    """A stream of raw items(url, source_id, title, text, finished, at) upserted by micro-batch into a table of parts.
+
+    A batch writes the rows that it touched as a part of its own, in folders by hash of the item id, and reads of earlier parts only
+    the folders that its items fall into. Then the last two parts are merged as long as the later one spans as many batches as
+    the earlier one, each item's newest row staying; so after n batches there are at most log2(n) + 1 parts, and a row is
+    written log2(n) times at most. Last comes the batch's manifest, which names the live parts: a batch that runs again
+    starts from the one before and gives the same parts. Parts that no later manifest names may be deleted at any time.
+    `current_items` reads the table. Starts the query."""
 
     def one(batch: DataFrame, n: int) -> None:
-        snapshot, now = with_identity(batch), F.timestamp_seconds(F.lit(n))
-        if n == 0:
-            touched = first_load(last_of_each(snapshot, "at"), now)
+        spark, now = batch.sparkSession, F.timestamp_seconds(F.lit(n))
+        snapshot, parts = with_identity(batch), live_parts(spark, folder, n - 1)
+        if snapshot.isEmpty():
+            touched = None
+        elif parts:
+            ids = snapshot.select("item_id", _bucket().alias("bucket")).distinct()
+            buckets = [r.bucket for r in ids.select("bucket").distinct().collect()]  # BUCKETS at most
+            known = stored_rows(spark, folder, parts).where(F.col("bucket").isin(*buckets)).join(ids.select("item_id"), "item_id", "left_semi")
+            touched = upsert(_newest(known).drop("written", "bucket"), snapshot, now, "at")
         else:
-            known = current_items(batch.sparkSession, folder, n)
-            touched = upsert(known.join(snapshot.select("item_id").distinct(), "item_id", "left_semi"), snapshot, now, "at")
-        touched.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+            touched = upsert(first_load(snapshot, now).limit(0), snapshot, now, "at")
+        if touched is not None:
+            parts.append((n, n))
+            _laid_out(touched.withColumn("written", F.lit(n)), _path(folder, parts[-1]))
+        span = lambda part: part[1] - part[0] + 1
+        while len(parts) > 1 and span(parts[-1]) >= span(parts[-2]):
+            both, parts = parts[-2:], [*parts[:-2], (parts[-2][0], parts[-1][1])]
+            _laid_out(_newest(stored_rows(spark, folder, both)).drop("bucket"), _path(folder, parts[-1]))
+        spark.createDataFrame(parts, "first int, last int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={n}")
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

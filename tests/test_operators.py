@@ -3,10 +3,11 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from attestary.operators import candidates, challenge, items, problems, sessions, sources, value, verify, views
+from attestary.operators import candidates, challenge, discover, items, ordering, problems, sessions, sources, value, verify, views
 from attestary.plans import catalog
 from attestary.plans.bindings import bound
 from attestary.sources import payloads, records
+from attestary.streaming import feeds
 
 SF = "/root/testdata/sf0.001"
 
@@ -371,3 +372,126 @@ def test_digest_of_a_profile(spark):
     files = spark.createDataFrame([("p", "b.md", "two"), ("p", "a.md", "one"), ("p", "c.md", None), ("q", "x", "y" * 21)], "profile_id string, path string, text string")
     got = {r.profile_id: (r.digest, r.chars) for r in records.digests(files, 20).collect()}
     assert got == {"p": (hashlib.sha256(b"a.md\0one\0b.md\0two\0c.md\0\0").hexdigest(), 6), "q": (None, 21)}
+
+
+def test_many_batches_leave_few_parts(spark, tmp_path, monkeypatch):
+    """The last batch reads no more rows than the first five, and the table is the one that a plain loop gives."""
+    import random
+
+    monkeypatch.setattr(feeds, "BUCKETS", 2)
+    rng, schema = random.Random(13), "url string, source_id string, title string, text string, finished boolean, at int"
+    batches = [[(f"https://x.example/{rng.randint(0, 60)}", "s", "t", f"text {rng.randint(0, 3)}", False, at) for at in range(12)] for _ in range(13)]
+    folder, parts_before, want = f"{tmp_path}/items", spark.conf.get("spark.sql.shuffle.partitions"), {}
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n:02}")
+        for url, _, _, text, _, _ in rows:
+            old = want.get(url)
+            want[url] = (text, old[1] + (old[0] != text) if old else 1, old[2] if old else n, n)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        feeds.upsert_stream(raw, folder, f"{tmp_path}/c").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts_before)
+    parts = lambda n: feeds.live_parts(spark, folder, n)
+    stored = lambda n: feeds.stored_rows(spark, folder, parts(n)).count()
+    assert parts(None) == parts(12) == [(0, 7), (8, 11), (12, 12)] and all(len(parts(n)) <= 4 for n in range(12))
+    assert stored(11) <= sum(stored(n) for n in range(4)) and stored(11) <= 2 * 61
+    seconds = lambda x: int(x.timestamp())
+    got = {r.url: (r.text, r.revision, seconds(r.first_seen), seconds(r.last_seen)) for r in feeds.current_items(spark, folder).collect()}
+    assert got == want
+
+
+def test_lifecycle_in_a_stream_with_late_and_doubled_scans(spark, tmp_path):
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = lambda minute: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=minute)
+    row = lambda s, seq, outcome, status="candidate": (s, seq, t(seq * 10), outcome, status, 5)
+    first = [row("a", 2, "new"), row("a", 1, "new"), row("b", 1, "failed", "active"), row("c", 1, "new"), row("c", 2, "candidate"), row("d", 1, "new", "retired")]
+    second = [row("a", 3, "new"), row("b", 3, "failed", "active"), row("b", 2, "failed", "active"), row("c", 3, "new"), row("c", 2, "candidate"), row("a", 2, "new")]
+    third = [row("c", 5, "changed"), row("c", 4, "new"), row("b", 4, "new", "active"), row("z", 5000, "new")]
+    schema = "source_id string, seq long, ts timestamp, outcome string, status string, cadence int"
+    for n, rows in enumerate((first, second, third)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    scans = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = feeds.source_life(scans, "1 hour", failures=3, least_scans=3, dry=3)
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    got = sorted((r.source_id, r.seq, r.next_status, r.rule) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", 3, "retired", "no yield"), ("b", 3, "retired", "failing"), ("c", 2, "active", "has a yield"), ("c", 5, "retired", "dry")]
+
+
+def test_deep_pages_and_numbers(spark):
+    rows = spark.range(2000).selectExpr("id", "id * 7919 % 1009 AS x").repartition(5)
+    order = [F.col("x").desc(), F.col("id")]
+    want = sorted(((r.id, r.x) for r in rows.collect()), key=lambda r: (-r[1], r[0]))
+    for first, size in ((0, 5), (777, 40), (1990, 50), (1998, 2)):
+        assert [tuple(r) for r in ordering.slice_of(rows, order, first, size, near=0).collect()] == want[first : first + size]
+    assert [(r.id, r.x) for r in ordering.numbered(rows, *order).orderBy("position").collect()] == want
+    assert ordering.slice_of(rows.limit(0), order, 50, 5, near=0).count() == ordering.numbered(rows.limit(0), "id").count() == 0
+
+
+def test_last_record_keeps_its_history_once(spark):
+    runs = spark.createDataFrame([("a", 3, "z"), ("a", 1, "x"), ("a", 2, "y"), ("b", 9, "w")], "problem_id string, run int, state string")
+    got = {r.problem_id: (r.revision, r.run, r.state, [tuple(h) for h in r.history]) for r in views.last_record(runs, "run", "state").collect()}
+    assert got == {"a": (3, 3, "z", [(1, "x"), (2, "y")]), "b": (1, 9, "w", [])}
+
+
+def test_waves_of_one_are_the_sequential_rule(spark):
+    said = ["robot arm planning", "robot arm planning under load", "protein folding speed", "robot arm grasping", "folding proteins with speed", "robot planning load"]
+    c = spark.createDataFrame([(f"cand-{i}", s, f"s{i}", i) for i, s in enumerate(said)], "candidate_id string, statement string, source_id string, seq long")
+    wish = [None, "prob-0", "prob-0", "prob-0", "prob-2", "prob-1"]
+    answers = spark.createDataFrame([(f"cand-{i}", w, f"r{i}", None) for i, w in enumerate(wish)], "candidate_id string, merge_with string, reason string, evidence_verified boolean")
+    stored = spark.createDataFrame([], "problem_id string, revision long, statement string, evidence_verified boolean, sources array<struct<candidate_id string, source_id string>>, "
+                                       "merge_log array<struct<candidate_id string, decision string, reason string, evidence_verified boolean>>")
+
+    def sequential(k):
+        known, log, bad = {}, {}, 0
+        for i, (s, w) in enumerate(zip(said, wish)):
+            near = []
+            if known:
+                q = spark.createDataFrame([(1, s)], "query_id int, text string")
+                near = [r.doc_id for r in problems.shortlist(q, spark.createDataFrame(list(known.items()), "doc_id string, text string"), k).collect()]
+            target = w if w in near else f"prob-{i}"
+            bad += w is not None and w not in near
+            known.setdefault(target, s)
+            log.setdefault(target, []).append(f"cand-{i}")
+        return log, bad
+
+    for k in (1, 5):
+        got = problems.merge_in_waves(c, answers, stored, 1, k).collect()
+        log, bad = sequential(k)
+        assert {r.problem_id: [x.candidate_id for x in r.sources] for r in got} == log and sum(r.invalid_merges for r in got) == bad
+    whole = {r.problem_id: [x.candidate_id for x in r.sources] for r in problems.merge_in_waves(c.repartition(3), answers, stored, 3).collect()}
+    assert whole == {"prob-0": ["cand-0", "cand-3"], "prob-1": ["cand-1"], "prob-2": ["cand-2", "cand-4"], "prob-5": ["cand-5"]} or whole["prob-1"] == ["cand-1", "cand-5"]
+    assert whole == {r.problem_id: [x.candidate_id for x in r.sources] for r in problems.merge_in_waves(c.orderBy(F.desc("seq")), answers, stored, 3).collect()}
+
+
+def test_discovery_in_one_run(spark):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    feed = '<html><head><link rel="alternate" type="application/atom+xml" href="/atom"></head></html>'
+    refs = table([(u, f"i{n}", n) for n, u in enumerate(["https://blog.fresh.example/post/1", "https://firm.example/about", "https://www.firm.example/about/", "https://known.example/other", "https://m.social.example/acme",
+                                                          "https://down.example/x", "https://old.example/page/", "https://jobs.lever.co/acme/9", "https://blog.fresh.example/post/2", "https://late.example/", "https://later.example/"])], "url string, origin string, at long")
+    links = table([("https://jobs.lever.co/acme/1", "i5", 1), ("https://jobs.lever.co/acme/2", "i6", 2), ("https://api.lever.co/v0", "i7", 3)], "url string, origin string, at long")
+    sources_ = table([("rss-known", "https://known.example/feed")], "source_id string, url string")
+    pages = table([("https://blog.fresh.example/post/1", feed, None), ("https://firm.example/about", feed, None), ("https://down.example/x", None, "HTTP 500"), ("https://late.example/", "", None), ("https://later.example/", "", None)], "url string, html string, error string")
+    ignored, known = table([("social.example",)], "host string"), table([("https://old.example/page",)], "url string")
+    run = lambda most, s=sources_, u=known: discover.discover(refs, links, s, u, ignored, pages, most)
+    new, rest, errors = run(4)
+    assert {(r.source_id, r.url, r.provenance) for r in new.collect()} == {
+        ("rss-blog-fresh-example", "https://blog.fresh.example/atom", "discovered_from:i0"), ("lever-acme", next(r.api for r in discover.job_boards(links, sources_).collect()), "discovered_from:i7")}
+    assert sorted(r.url for r in rest.collect()) == ["https://firm.example/about", "https://late.example/"]
+    assert sorted(r.message for r in errors.collect()) == ["fetch cap 4 reached; remaining references skipped", "https://down.example/x: HTTP 500"]
+    again = run(9, sources_.unionByName(new.select("source_id", "url")), known.unionByName(rest.select("url")))
+    assert again[0].count() == 0 and [r.url for r in again[1].collect()] == ["https://later.example/"]
+
+
+def test_triage_orders_and_refusals(spark):
+    now = spark.createDataFrame([("a", "reject", ""), ("b", "shortlist", "x"), ("c", "reject", "")], "problem_id string, mark string, note string")
+    orders = spark.createDataFrame([("a", "none", " ", 2), ("a", "shortlist", "", 1), ("b", "none", " keep ", 1), ("d", "reject", None, 1)], "problem_id string, mark string, note string, at int")
+    assert sorted(map(tuple, views.triage_set(now, orders).collect())) == [("b", "none", "keep"), ("c", "reject", ""), ("d", "reject", "")]
+    asked = spark.createDataFrame([(1,), (2,), (3,), (4,)], "challenge_id int")
+    known = spark.createDataFrame([(1, True), (2, True), (3, False)], "challenge_id int, finished boolean")
+    done = spark.createDataFrame([(1, "solved"), (2, "headroom"), (3, "solved")], "challenge_id int, verdict string")
+    why = lambda **k: {r.challenge_id: r.refusal for r in challenge.refusal(asked, known, done, **k).collect()}
+    assert why() == {1: "found solved", 2: None, 3: "not a finished challenge", 4: "not a finished challenge"} and why(force=True)[1] is None
