@@ -108,8 +108,9 @@ def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
     return ranged.join(parts, ["tree", "part"]).withColumn("position", F.col("at") - F.col("first") + F.col("ahead")).drop("at", "part", "first", "ahead")
 
 
-def _grown(nodes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """nodes(tree, position, total, node, …) -> (the rows with their whole witnesses, (tree, node) of the trees' roots)."""
+def _grown(nodes: DataFrame, block: int) -> tuple[list[DataFrame], DataFrame]:
+    """nodes(tree, position, total, node, …) -> (by level the rows with the witnesses of their own blocks, the leaves first;
+    (tree, node) of the trees' roots)."""
     most = nodes.agg(F.max("total")).first()[0] or 0
     levels = []
     while True:
@@ -120,17 +121,23 @@ def _grown(nodes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
             "tree", F.floor(F.col("position") / block).alias("position"), F.ceil(F.col("total") / block).alias("total"), F.col("block_root").alias("node")
         )
         if most <= block:
-            break
+            return levels, nodes.select("tree", "node")
         most = -(-most // block)
-    roots, above = nodes.select("tree", "node"), None
+
+
+def _completed(levels: list[DataFrame], block: int, crown: DataFrame | None = None) -> DataFrame:
+    """The leaves with whole witnesses, those found above added level by level. crown(tree, above, …): what stands above a tree's
+    root, and more to know of it. No level's join has more than a block of rows for a key, the crown's included, as it is
+    joined to the highest level."""
+    upper, key = crown, ["tree"]
     for rows in reversed(levels):
-        rows = rows.drop("block_root")
-        if above is not None:
-            upper = above.select("tree", F.col("position").alias("block"), F.col("witness").alias("above"))
-            rows = rows.withColumn("block", F.floor(F.col("position") / block)).join(upper, ["tree", "block"])
-            rows = rows.withColumn("witness", F.concat("witness", "above")).drop("block", "above")
-        above = rows
-    return above, roots
+        rows = rows.drop("block_root").withColumn("block", F.floor(F.col("position") / block))
+        if upper is not None:
+            rows = rows.join(upper, key).withColumn("witness", F.concat("witness", "above")).drop("above")
+        known = [c for c in (crown.columns if crown is not None else []) if c not in ("tree", "above")]
+        whole = rows.drop("block")
+        upper, key = whole.select("tree", F.col("position").alias("block"), F.col("witness").alias("above"), *known), ["tree", "block"]
+    return whole
 
 
 def manifest(leaves: DataFrame, block: int = 4096) -> DataFrame:
@@ -149,12 +156,12 @@ def manifest(leaves: DataFrame, block: int = 4096) -> DataFrame:
         F.struct("lang", "doc_id", *carried).alias("row"), F.col("doc_id").alias("key"), F.monotonically_increasing_id().alias("copy"),
     )
     # copy only parts equal rows among the ranges; written first, as the ranges' bounds come from a pass of their own
-    rows, subroots = _grown(_placed(written(rows, "leaves"), ["key", "node", "copy"]).drop("key", "copy"), block)
+    levels, subroots = _grown(_placed(written(rows, "leaves"), ["key", "node", "copy"]).drop("key", "copy"), block)
     top, root = _grown(_placed(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("own"), "node"), ["own"]), block)
-    top = top.join(root.select("tree", F.col("node").alias("root")), "tree")
-    top = top.select(F.col("own").alias("tree"), F.col("node").alias("subroot"), "root", F.col("witness").alias("above"))
-    out = rows.join(top, "tree")
-    return out.select("row.*", F.col("node").alias("leaf"), "subroot", "root", F.concat("witness", "above").alias("witness"))
+    crown = _completed(top, block).join(root.select("tree", F.col("node").alias("root")), "tree")
+    crown = crown.select(F.col("own").alias("tree"), F.col("witness").alias("above"), F.col("node").alias("subroot"), "root")
+    out = _completed(levels, block, crown)
+    return out.select("row.*", F.col("node").alias("leaf"), "subroot", "root", "witness")
 
 
 def _follow(claimed: str):
