@@ -177,19 +177,13 @@ def sections(html: str | None, base: str | None, selector: str, title: str) -> l
     return out
 
 
-def listing(html: str | None, base: str | None, selector: str, pattern: str | None, below: str | None, marker: str | None, all_finished: bool) -> list[dict]:
-    """Links in document order; finished: a heading that `below` fits stands before, or `marker` fits the link's text."""
+def outline(html: str | None, base: str | None, selector: str) -> list[dict]:
+    """The headings of a page and the links that the selector names, each with its place in the document."""
     root = tree(html)
-    wanted, out, ended = {id(n) for n in select(root, selector)}, [], all_finished
-    for node, _ in root.all():
-        if below and node.tag in HEADINGS and re.search(below, node.text()):
-            ended = True
-        elif node.tag == "a" and id(node) in wanted and (href := node.attrs.get("href")):
-            url = urldefrag(urljoin(base or "", href)).url
-            if not pattern or re.search(pattern, url):
-                text = node.text()
-                out.append({"pos": len(out), "href": url, "text": text, "finished": ended or bool(marker and re.search(marker, text))})
-    return out
+    place = {id(node): n for n, (node, _) in enumerate(root.all())}
+    heads = [{"pos": place[id(n)], "kind": "heading", "href": None, "text": n.text()} for n in select(root, ",".join(sorted(HEADINGS)))]
+    links = [n for n in select(root, selector) if n.tag == "a" and n.attrs.get("href")]
+    return heads + [{"pos": place[id(n)], "kind": "link", "href": urldefrag(urljoin(base or "", n.attrs["href"])).url, "text": n.text()} for n in links]
 
 
 def region(html: str | None, base: str | None, selector: str | None) -> dict:
@@ -255,10 +249,8 @@ def sections_column(html: Column, base: Column, selector: str, title: str) -> Co
     return _by_page(f"array<struct<id:string,{_STRUCT}>>", lambda h, b: sections(h, b, selector, title), html, base)
 
 
-def listing_column(html: Column, base: Column, selector: str = "a", pattern: str | None = None, below: str | None = None, marker: str | None = None,
-                   all_finished: bool = False) -> Column:
-    one = lambda h, b: listing(h, b, selector, pattern, below, marker, all_finished)
-    return _by_page("array<struct<pos:int,href:string,text:string,finished:boolean>>", one, html, base)
+def outline_column(html: Column, base: Column, selector: str = "a") -> Column:
+    return _by_page("array<struct<pos:int,kind:string,href:string,text:string>>", lambda h, b: outline(h, b, selector), html, base)
 
 
 def table_column(html: Column) -> Column:

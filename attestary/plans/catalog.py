@@ -647,11 +647,13 @@ def merge_problems_stored(spark, d):
 
 @query()
 def merge_waves(spark, d):
-    """One run in three waves: each candidate's target is a problem of its market segment, if it is near enough when the wave starts."""
+    """One run in three waves: every third candidate is said to be the same as the first problem of its segment, which the first wave
+    makes and the later ones find near."""
     c = bound(spark, d, "candidates").withColumn("seq", F.col("doc_id"))
     size = max(1, -(-c.count() // 3))
-    answers = c.select("candidate_id", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("prob-"), F.col("doc_id") - 1, F.lit("-r"), (F.col("doc_id") - 1) % 3 + 1,
-            F.lit("-0"))).alias("merge_with"), F.lit("same subject").alias("reason"), F.lit(None).cast("boolean").alias("evidence_verified"))
+    first = c.groupBy("category").agg(F.concat(F.lit("prob-"), F.regexp_replace(F.min("candidate_id"), "^cand-", "")).alias("first"))
+    answers = c.join(first, "category").select("candidate_id", F.when(F.col("doc_id") % 3 == 1, F.col("first")).alias("merge_with"), F.lit("same subject").alias("reason"),
+            F.lit(None).cast("boolean").alias("evidence_verified"))
     stored = spark.createDataFrame([], "problem_id string, revision long, statement string, evidence_verified boolean, sources array<struct<candidate_id string, source_id string>>, "
             "merge_log array<struct<candidate_id string, decision string, reason string, evidence_verified boolean>>")
     out = problems.merge_in_waves(c.select("candidate_id", "statement", "source_id", "seq"), answers, stored, size)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import (
-    embedded_column, extract_column, listing_column, plain_column, plain_list_column, region_column, sections_column, table_column, unescaped_column,
+    embedded_column, extract_column, outline_column, plain_column, plain_list_column, region_column, sections_column, table_column, unescaped_column,
 )
 from ..functions.urls import absolute, slug, talk_url
 
@@ -194,9 +194,14 @@ def session_items(raw: DataFrame, path: str, title: str, texts: tuple[str, ...],
 
 def page_links(raw: DataFrame, selector: str = "a", pattern: str | None = None, below: str | None = None, marker: str | None = None,
         all_finished: bool = False) -> DataFrame:
-    """(url, html) -> links(page, pos, href, text, heading_finished) of listing pages, in document order."""
-    found = listing_column(F.col("html"), F.col("url"), selector, pattern, below, marker, all_finished)
-    return raw.select(F.col("url").alias("page"), F.explode(found).alias("l")).select("page", "l.pos", "l.href", "l.text", F.col("l.finished").alias("heading_finished"))
+    """(url, html) -> links(page, pos, href, text, heading_finished) of listing pages. A link is finished if a heading that `below`
+    fits stands before it, `marker` fits its text, or all are; pattern: what addresses must fit."""
+    rows = raw.select(F.col("url").alias("page"), outline_column(F.col("html"), F.col("url"), selector).alias("all"))
+    ending = F.filter("all", lambda e: (e["kind"] == "heading") & e["text"].rlike(below)) if below else F.array()
+    rows = rows.withColumn("ends", F.array_min(F.transform(ending, lambda e: e["pos"]))) if below else rows.withColumn("ends", F.lit(None).cast("int"))
+    links = rows.select("page", "ends", F.explode(F.filter("all", lambda e: (e["kind"] == "link") & (e["href"].rlike(pattern) if pattern else F.lit(True)))).alias("l"))
+    finished = F.lit(all_finished) | F.coalesce(F.col("l.pos") > F.col("ends"), F.lit(False)) | (F.col("l.text").rlike(marker) if marker else F.lit(False))
+    return links.select("page", "l.pos", "l.href", "l.text", finished.alias("heading_finished"))
 
 
 def listing_links(links: DataFrame, pattern: str, most: int, marker: str = "finished") -> DataFrame:
