@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .verify import short_number
+
 #: (pattern, direction, ceiling) by definition of the metric, the first match decides (fixed values).
 METRIC_BOUNDS = (
     ("log ?loss|logloss|cross.?entropy", "lower_is_better", 0.0),
@@ -95,7 +97,7 @@ def challenge_view(finished: DataFrame, records: DataFrame, q: str | None = None
     investigated), where there is one: null verdict and headline without. Filtered by words in id or title, and by what the record says."""
     r = records.select(
         "challenge_id", "verdict", "headroom", headline(F.col("verdict"), F.col("headroom")).alias("headline"),
-        F.concat_ws(" ", F.format_string("%.6g", "winner_score"), "metric").alias("winner"),
+        F.concat_ws(" ", short_number(F.col("winner_score")), "metric").alias("winner"),
         (F.coalesce("investigated", F.lit(False)) if "investigated" in records.columns else F.lit(False)).alias("investigated"),
     )
     j = finished.join(r, "challenge_id", "left").withColumn("investigated", F.coalesce("investigated", F.lit(False)))

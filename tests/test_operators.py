@@ -495,3 +495,29 @@ def test_triage_orders_and_refusals(spark):
     done = spark.createDataFrame([(1, "solved"), (2, "headroom"), (3, "solved")], "challenge_id int, verdict string")
     why = lambda **k: {r.challenge_id: r.refusal for r in challenge.refusal(asked, known, done, **k).collect()}
     assert why() == {1: "found solved", 2: None, 3: "not a finished challenge", 4: "not a finished challenge"} and why(force=True)[1] is None
+
+
+def test_due_sources_by_options(spark):
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    rows = [("a", "x", "active", "2026-01-01 23:00:00", 8), ("b", "y", "active", "2025-12-01 00:00:00", 8), ("c", "x", "retired", None, 8), ("d", "z", "active", None, 8)]
+    s = spark.createDataFrame(rows, "source_id string, category string, status string, last_scanned string, cadence_hours int").withColumn("last_scanned", F.col("last_scanned").cast("timestamp"))
+    cats = spark.createDataFrame([("x", "A", True), ("y", "B", True), ("z", "A", False)], "category string, tier string, enabled boolean")
+    ids = lambda **k: {r.source_id for r in sources.due(s, cats, now, **k).collect()}
+    assert ids() == {"b"} and ids(force=True) == {"a", "b"} and ids(force=True, category="x") == {"a"} and ids(force=True, tier="B") == {"b"}
+    assert ids(ids=("c", "d")) == {"c", "d"}
+
+
+def test_views_by_options(spark):
+    works = spark.createDataFrame([("p", "verified"), ("p", "quote_not_found"), ("q", "quote_not_found")], "problem_id string, status string")
+    every = spark.createDataFrame([("p",), ("q",), ("r",)], "problem_id string")
+    assert {r.problem_id: r.verified_fraction for r in verify.verified_fraction(works, every).collect()} == {"p": 0.5, "q": 0.0, "r": 0.0}
+    done = spark.createDataFrame([(1, "Red cup"), (2, "Blue cup"), (3, "Red hat")], "challenge_id int, title string")
+    known = spark.createDataFrame([(1, "solved", 0.05, "w", 0.95, "Accuracy", True), (2, "headroom", 0.4, "v", 0.123456789, "RMSE", False)], "challenge_id int, verdict string, headroom double, winner string, winner_score double, metric string, investigated boolean")
+    view = lambda **k: {r.challenge_id for r in challenge.challenge_view(done, known, **k).collect()}
+    assert view(q="RED") == {1, 3} and view(checked=False) == {3} and view(verdict="headroom") == {2} and view(investigated=True) == {1}
+    assert {r.challenge_id: (r.winner, r.headline) for r in challenge.challenge_view(done, known, checked=True).collect()} == {1: ("0.95 Accuracy", "solved 5%"), 2: ("0.123457 RMSE", "headroom 40%")}
+    opp = spark.createDataFrame([("p", "OPP-0001", "contact"), ("q", "OPP-0002", "ignore")], "problem_id string, opportunity_id string, recommendation string")
+    stale = spark.createDataFrame([("p", ["fit"]), ("q", [])], "problem_id string, stale array<string>")
+    said = spark.createDataFrame([("p", "Robots"), ("q", "Proteins")], "problem_id string, statement string")
+    own = lambda **k: {r.opportunity_id for r in views.opportunity_view(opp, stale, said, **k).collect()}
+    assert own(q="robot") == {"OPP-0001"} and own(recommendation="ignore") == {"OPP-0002"} and own(is_stale=True) == {"OPP-0001"} and own(is_stale=False) == {"OPP-0002"}
