@@ -53,13 +53,13 @@ def latest_run(reports: DataFrame) -> DataFrame:
     return reports.agg(F.max("run_id").alias("run_id"), F.max_by(F.struct(*columns), "run_id").alias("r")).select("run_id", "r.*")
 
 
-def digests(files: DataFrame, most_chars: int = 200_000) -> DataFrame:
+def digests(files: DataFrame, most_chars: int | None = None) -> DataFrame:
     """files(profile_id, path, text) -> (profile_id, digest, chars): SHA-256 over path, NUL, text, NUL of each file in order of the
-    paths; null texts count as empty. A profile above `most_chars` characters is refused: its digest is null; so what one row
-    gathers is bounded, and the sizes are summed before any text is gathered."""
+    paths; null texts count as empty. One row gathers a profile's texts. most_chars: a profile with more characters is refused before any
+    text is gathered, its digest is null; `digests_in_levels` takes profiles of any size."""
     rows = files.select("profile_id", "path", F.coalesce("text", F.lit("")).alias("text"))
     chars = rows.groupBy("profile_id").agg(F.sum(F.length("text")).alias("chars"))
-    kept = rows.join(chars.where(F.col("chars") <= most_chars).select("profile_id"), "profile_id")
+    kept = rows if most_chars is None else rows.join(chars.where(F.col("chars") <= most_chars).select("profile_id"), "profile_id")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda f: F.concat(f["path"], F.lit("\0"), f["text"], F.lit("\0"))), "")
     own = kept.groupBy("profile_id").agg(F.sha2(whole.cast("binary"), 256).alias("digest"))
     return chars.join(own, "profile_id", "left").select("profile_id", "digest", "chars")

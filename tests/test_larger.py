@@ -25,3 +25,10 @@ def test_plain_quotes_stand_character_by_character(spark, tmp_path, name):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got, want = _as_its_sql(spark, name, tmp_path)
     assert got == want and len(got) == len(docs)
+
+
+def test_large_profiles_have_digests_too(spark, tmp_path):
+    rows = "SELECT id AS doc_id, repeat(concat('word ', id, ' '), 2500) AS text, 's' AS source FROM range(95, 115)"
+    spark.sql(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = _as_its_sql(spark, "profile_digest", tmp_path)
+    assert got == want and len(got) == 2 and all(digest for _, digest, _ in got) and max(chars for chars, *_ in got) > 200_000
