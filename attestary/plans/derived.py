@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import money
 from ..operators import sessions, sources, value, verify
 from ..sources import payloads, records
-from ..sources.staging import staging
+from ..sources.staging import spread, staging
 from .bindings import bound, given, twin
 from .catalog import query
 
@@ -24,7 +24,7 @@ _URL = "'https://p.example/' || p_partkey"
 
 
 def _made_pages(spark, d):
-    p = given(spark, d, "part")
+    p = spread(given(spark, d, "part"))
     head = _tag("head", _tag("title", F.col("p_name")), "<style>x{}</style>")
     main = _tag("div", _tag("p", F.col("p_type")), F.col("p_brand"), _tag("a", "more", href=F.concat(F.lit("/x/"), "p_partkey", F.lit("#f"))), class_="main wide")
     body = _tag("body", _tag("nav", _tag("a", "home", href="/")), main, _tag("footer", "end"), _tag("p", "aside &amp; last"))
@@ -93,7 +93,7 @@ _TALK = """CASE p_partkey % 3 WHEN 0 THEN 'https://t.example/t/' || p_partkey WH
 @query(f"SELECT 't' AS source_id, {_TALK} AS url, p_name AS title, 'M' || p_size AS published, 'text: ' || p_type || chr(10) || 'speaker.org: ' || p_brand AS text FROM part")
 def items_from_talks(spark, d):
     """Sessions of JSON that is embedded in a page, to items."""
-    p, k = given(spark, d, "part"), F.col("p_partkey") % 3
+    p, k = spread(given(spark, d, "part")), F.col("p_partkey") % 3
     talk = F.struct(F.col("p_name").alias("name"), F.when(k == 0, F.concat(F.lit("/t/"), "p_partkey")).alias("link"), F.when(k == 1,
             F.concat(F.lit("k"), "p_partkey")).alias("ref"),
         F.concat(F.lit("<p>"), "p_type", F.lit("</p>")).alias("text"), F.struct(F.col("p_brand").alias("org")).alias("speaker"), F.concat(F.lit("M"),
@@ -133,7 +133,7 @@ def feed_contents(spark, d):
     dates = F.when(k, "<pubDate>Mon</pubDate><updated>Tue</updated>").otherwise("<updated>Tue</updated>")
     item = _tag("item", _tag("link", F.concat(F.lit("https://f.example/"), "p_partkey")), _tag("title", F.col("p_name")), _tag("description",
             esc(F.col("p_brand"))), content, dates)
-    raw = given(spark, d, "part").select(F.lit("f").alias("source_id"), _tag("rss", _tag("channel", item)).alias("body"))
+    raw = spread(given(spark, d, "part")).select(F.lit("f").alias("source_id"), _tag("rss", _tag("channel", item)).alias("body"))
     return payloads.feed(raw, 5)
 
 

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from attestary.functions import html
 from attestary.plans import catalog
 
 
@@ -32,3 +33,17 @@ def test_large_profiles_have_digests_too(spark, tmp_path):
     spark.sql(rows).write.parquet(str(tmp_path / "documents.parquet"))
     got, want = _as_its_sql(spark, "profile_digest", tmp_path)
     assert got == want and len(got) == 2 and all(digest for _, digest, _ in got) and max(chars for chars, *_ in got) > 200_000
+
+
+@pytest.mark.parametrize("name", ["page_region", "pages_without_region", "visible_text", "items_from_sections", "discover_feeds"])
+def test_pages_are_read_once_by_many_tasks(spark, name):
+    rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Repartition")
+    assert rows.select(F.spark_partition_id().alias("part")).distinct().count() > 1
+
+
+def test_a_helper_holds_few_pages():
+    pages = [("x" * n,) for n in [10] * 3000 + [10**6, 10**6, 5]]
+    parts = list(html._few(iter(pages)))
+    assert [p for part in parts for p in part] == pages and len(parts) == 5 and max(map(len, parts)) <= 1024
