@@ -201,7 +201,8 @@ def load_records(spark, d):
     record = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name")).alias("name")))
     as_yaml = F.concat(F.lit("# a record\nid: "), "s_suppkey", F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("\nname: "), "s_name")).otherwise(""))
     text = F.when(F.col("s_suppkey") % 7 == 0, "{no: record: at all").when(F.col("s_suppkey") % 2 == 0, as_yaml).otherwise(record)
-    s.select(text.alias("value"), F.col("s_suppkey").alias("file")).write.partitionBy("file").text(path)
+    files = spread(s).select(text.alias("value"), F.col("s_suppkey").alias("file")).write.partitionBy("file")
+    files.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # tasks put their files in place, not the driver one by one
     good, bad = records.read_records(spark, f"{path}/*", "id bigint, name string", ("id", "name"))
     number = lambda c: F.regexp_extract(c, "file=([0-9]+)", 1).cast("long")
     none = F.lit(None).cast("string")

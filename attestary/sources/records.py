@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def _as_json(text: str | None) -> str | None:
     """A YAML record as JSON; null if it can't be read or is no mapping. JSON is YAML too."""
@@ -33,7 +35,7 @@ def read_records(spark: SparkSession, path: str, schema: str, required: tuple[st
     rows = raw.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in required])), ", ")
     why = F.when(F.col("r._bad").isNotNull() | F.col("r").isNull(), "unreadable").when(missing != "", F.concat(F.lit("missing: "), missing))
-    rows = rows.withColumn("message", why)
+    rows = staged(rows.select("file", "r", why.alias("message")), "records-read")  # each file is opened once for both
     return rows.where("message is null").select("file", "r.*").drop("_bad"), rows.where("message is not null").select("file", "message")
 
 

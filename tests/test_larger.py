@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from attestary.functions import html
 from attestary.plans import catalog
+from attestary.sources import records
 
 
 def _as_its_sql(spark, name, folder):
@@ -47,3 +48,9 @@ def test_a_helper_holds_few_pages():
     pages = [("x" * n,) for n in [10] * 3000 + [10**6, 10**6, 5]]
     parts = list(html._few(iter(pages)))
     assert [p for part in parts for p in part] == pages and len(parts) == 5 and max(map(len, parts)) <= 1024
+
+
+def test_record_files_are_opened_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "1"}')
+    for rows in records.read_records(spark, str(tmp_path), "id string", ("id",)):
+        assert "ArrowEvalPython" not in rows._jdf.queryExecution().optimizedPlan().toString()
