@@ -42,7 +42,8 @@ class SourceLife(StatefulProcessor):
     """One source: its counters and status, and the scans that have come but may still be preceded by later arrivals.
 
     Scans wait in a list until the watermark has passed their time, then they are taken in order of seq, each once; so late and
-    doubled ones change nothing as long as they come within the watermark's delay. After each scan the rules of `lifecycle` are
+    doubled ones change nothing as long as they come within the watermark's delay. A timer finds all that are ready, so one is set for the
+    first of those that came or still wait, not one for each scan. After each scan the rules of `lifecycle` are
     applied, and a change of the status is an output row; so is each time that a source has not been scanned for its cadence,
     as rule `due`, which a timer finds."""
 
@@ -62,8 +63,7 @@ class SourceLife(StatefulProcessor):
         came = [x for x in zip(new["seq"].tolist(), at, new["outcome"].tolist(), new["status"].tolist(), new["cadence"].tolist()) if x[0] > last]
         if came:
             self.waiting.appendList(came)
-            for t in {x[1] for x in came}:
-                self.handle.registerTimer(t)
+            self.handle.registerTimer(min(x[1] for x in came))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -86,6 +86,8 @@ class SourceLife(StatefulProcessor):
         if ready:
             left = [x for x in waiting if x[1] > now]
             self.waiting.put(left) if left else self.waiting.clear()
+            if left:
+                self.handle.registerTimer(min(x[1] for x in left))
         if life:
             if life[6] and life[6] <= now:
                 out.append((key[0], life[1], life[0], life[0], "due", *life[3:4], life[2], *life[4:6]))
@@ -93,7 +95,8 @@ class SourceLife(StatefulProcessor):
             elif life[6] and ready:
                 self.handle.registerTimer(life[6])
             self.life.update(life)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITIONS.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in TRANSITIONS.split(", ")])
 
     def _rule(self, status: str, failures: int, scans: int, candidates: int, dry: int) -> tuple[str, str]:
         if status == "retired":

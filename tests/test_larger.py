@@ -1,10 +1,14 @@
+from types import SimpleNamespace
+
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from attestary.functions import html
 from attestary.plans import catalog
 from attestary.sources import records
+from attestary.streaming import feeds
 
 
 def _as_its_sql(spark, name, folder):
@@ -54,3 +58,18 @@ def test_record_files_are_opened_once(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "1"}')
     for rows in records.read_records(spark, str(tmp_path), "id string", ("id",)):
         assert "ArrowEvalPython" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_source_sets_one_timer_for_many_scans():
+    kept, timers = {"life": None, "waiting": []}, []
+    life = SimpleNamespace(exists=lambda: kept["life"] is not None, get=lambda: kept["life"], update=lambda x: kept.update(life=x))
+    waiting = SimpleNamespace(get=lambda: iter(kept["waiting"]), appendList=lambda x: kept["waiting"].extend(x), put=lambda x: kept.update(waiting=x), clear=lambda: kept.update(waiting=[]))
+    source = feeds.SourceLife(3, 5, 3)
+    source.init(SimpleNamespace(getValueState=lambda *_: life, getListState=lambda *_: waiting, registerTimer=timers.append))
+    at = pd.to_datetime(pd.Series(range(1000)), unit="s").astype("datetime64[us]")
+    rows = pd.DataFrame({"seq": range(1000), "ts": at, "outcome": "new", "status": "candidate", "cadence": 24})
+    assert list(source.handleInputRows(("a",), iter([rows]), None)) == [] and timers == [0]
+    now = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    (first,) = source.handleExpiredTimer(("a",), now(499_500), None)
+    assert first.values.tolist() == [["a", 4, "candidate", "retired", "no yield", 5, 0, 0, 5]] and timers == [0, 500_000]
+    assert list(source.handleExpiredTimer(("a",), now(10**9), None)) == [] and kept["life"][1] == 999 and not kept["waiting"] and len(timers) == 2
