@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestary.functions import html
+from attestary.operators import problems
 from attestary.plans import catalog
 from attestary.sources import records
 from attestary.streaming import feeds
@@ -73,3 +74,16 @@ def test_a_source_sets_one_timer_for_many_scans():
     (first,) = source.handleExpiredTimer(("a",), now(499_500), None)
     assert first.values.tolist() == [["a", 4, "candidate", "retired", "no yield", 5, 0, 0, 5]] and timers == [0, 500_000]
     assert list(source.handleExpiredTimer(("a",), now(10**9), None)) == [] and kept["life"][1] == 999 and not kept["waiting"] and len(timers) == 2
+
+
+def test_a_shortlist_writes_no_pairs_and_meets_alike_texts_once(spark, monkeypatch):
+    written, staged = {}, problems.staged
+    monkeypatch.setattr(problems, "staged", lambda rows, what, by=None: written.setdefault(what, staged(rows, what, by)))
+    docs = spark.range(300).selectExpr("id AS doc_id", "if(id < 290, concat('robot planning ', 1000 + id), 'robot arm') AS text")
+    asked = spark.range(200).selectExpr("id AS query_id", "if(id < 190, concat('planning robot ', 5000 + id), 'robot arm arm') AS text")
+    found = problems.shortlist(asked, docs, k=2)
+    near = {(r.query_id, r["rank"]): r.doc_id for r in found.collect()}
+    assert near == {(q, n): (0 if q < 190 else 290) + n - 1 for q in range(200) for n in (1, 2)}
+    ids = lambda side: sorted(x for r in written[f"{side}-blocks"].collect() for x in r[side])
+    assert ids("doc_id") == [0, 1, 290, 291] and ids("query_id") == [0, 190]
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
