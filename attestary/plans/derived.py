@@ -79,7 +79,7 @@ def listing_pages(spark, d):
     rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("old", "o_orderkey", link.alias("li")))).alias("rows"))
     part = lambda old: F.array_join(F.transform(F.filter("rows", lambda r: r["old"] == old), lambda r: r["li"]), "")
     html = F.concat(F.lit("<h2>Now</h2><ul>"), part(False), F.lit("</ul><h2>Past <i>ones</i></h2><ul>"), part(True), F.lit("</ul>"))
-    raw = rows.select(F.concat(F.lit("https://c.example/"), "o_custkey").alias("url"), html.alias("html"))
+    raw = spread(rows).select(F.concat(F.lit("https://c.example/"), "o_custkey").alias("url"), html.alias("html"))
     links = payloads.page_links(raw, selector="li.entry a", pattern="/c/", below="^Past", marker="ended$")
     return payloads.listing_links(links, "/c/", 3, marker="has ended")
 

@@ -95,3 +95,8 @@ def test_factors_of_a_value_are_aggregated_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
     got = {r.problem_id: tuple(r)[1:] for r in out.collect()}
     assert got == {"a": (None,) * 4, "b": (24.0, 120.0, "supported", "incident"), "c": (None,) * 4}
+
+
+def test_listing_pages_are_read_by_many_tasks(spark):
+    plan = catalog.QUERIES["listing_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Repartition")
