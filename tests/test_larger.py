@@ -100,3 +100,16 @@ def test_factors_of_a_value_are_aggregated_once(spark):
 def test_listing_pages_are_read_by_many_tasks(spark):
     plan = catalog.QUERIES["listing_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Repartition")
+
+
+def test_plainly_spelled_tables_are_read_without_a_tree(spark, monkeypatch):
+    row = '<tr data-rank="{0}" title="r"><td class="num">{0}</td><td><b title="Baseline">Base&amp;line</b> team-{0}</td><td><span class="x fw-bold">B <a href="u">c</a></span> 0.5</td></tr>'
+    plain = "<html><body><p>x</p><table><thead><tr><th>#</th></tr></thead>" + "".join(map(row.format, range(3))) + "</table><table><tr><td>2</td></tr></table>"
+    others = [plain.replace("</td><td>", "<td>"), plain.replace("</tr>", ""), plain.replace('"num"', "num"), "<!-- " + plain + " -->" + plain, "<script>" + plain,
+              plain.replace("team", "<script><td></script>"), plain.replace("team", "<table><tr><td>t</table>"), plain[:200], "", None]
+    want = html._parsed_rows(plain)
+    assert [html.table_rows(x) for x in others] == [html._parsed_rows(x) for x in others]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate([plain, *others])], "k int, html string").select("k", html.table_column(F.col("html")).alias("r"))
+    assert [[c.asDict(True) for c in x.r] for x in rows.orderBy("k").collect()] == [html._parsed_rows(x) for x in [plain, *others]]
+    monkeypatch.setattr(html, "tree", None)
+    assert html.table_rows(plain) == want and len(want) == 4 and want[1]["cells"][2]["bold"] == "B c"
