@@ -143,7 +143,7 @@ def live_parts(spark: SparkSession, folder: str, batch: int | None = None) -> li
 
 
 def _path(folder: str, part: tuple[int, int]) -> str:
-    return f"{folder}/batch={part[0]}" if part[0] == part[1] else f"{folder}/merged={part[0]}-{part[1]}"
+    return f"{folder}/batch={part[1]}"  # a batch writes one part, which may hold earlier ones
 
 
 def stored_rows(spark: SparkSession, folder: str, parts: list[tuple[int, int]]) -> DataFrame:
@@ -158,43 +158,47 @@ def _newest(rows: DataFrame) -> DataFrame:
 
 
 def _laid_out(rows: DataFrame, path: str) -> None:
-    rows.withColumn("bucket", _bucket()).repartition("bucket").sortWithinPartitions("bucket", "item_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Rows as a part, in folders by hash; each task writes what it holds of a folder, so no text is shuffled for it."""
+    rows.withColumn("bucket", _bucket()).sortWithinPartitions("bucket", "item_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def current_items(spark: SparkSession, folder: str) -> DataFrame:
     """The item table: each item's newest row in the live parts."""
-    return _newest(stored_rows(spark, folder, live_parts(spark, folder))).drop("written", "bucket")
+    parts = live_parts(spark, folder)
+    rows = stored_rows(spark, folder, parts)
+    return (_newest(rows) if len(parts) > 1 else rows).drop("written", "bucket")  # a part has one row for each item
 
 
 def upsert_stream(pages: DataFrame, folder: str, checkpoint: str):
     """A stream of raw items(url, source_id, title, text, finished, at) upserted by micro-batch into a table of parts.
 
-    A batch writes the rows that it touched as a part of its own, in folders by hash of the item id, and reads of earlier parts only
-    the folders that its items fall into. Then the last two parts are merged as long as the later one spans as many batches as
-    the earlier one, each item's newest row staying; so after n batches there are at most log2(n) + 1 parts, and a row is
-    written log2(n) times at most. Last comes the batch's manifest, which names the live parts: a batch that runs again
+    A batch makes a part of the rows that it touched, in folders by hash of the item id, and reads of earlier parts only
+    the folders that its items fall into. As long as the earlier part before it spans no more batches, it takes that one in, each item's
+    newest row staying, and both are written as one part at once; so after n batches there are at most log2(n) + 1 parts, and a row is
+    written log2(n) + 1 times at most. Last comes the batch's manifest, which names the live parts: a batch that runs again
     starts from the one before and gives the same parts. Parts that no later manifest names may be deleted at any time.
     `current_items` reads the table. Starts the query."""
 
     def one(batch: DataFrame, n: int) -> None:
         spark, now = batch.sparkSession, F.timestamp_seconds(F.lit(n))
         snapshot, parts = with_identity(batch), live_parts(spark, folder, n - 1)
-        if snapshot.isEmpty():
-            touched = None
-        elif parts:
-            ids = snapshot.select("item_id", _bucket().alias("bucket")).distinct()
-            buckets = [r.bucket for r in ids.select("bucket").distinct().collect()]  # BUCKETS at most
-            known = stored_rows(spark, folder, parts).where(F.col("bucket").isin(*buckets)).join(ids.select("item_id"), "item_id", "left_semi")
-            touched = upsert(_newest(known).drop("written", "bucket"), snapshot, now, "at")
-        else:
-            touched = upsert(first_load(snapshot, now).limit(0), snapshot, now, "at")
-        if touched is not None:
-            parts.append((n, n))
-            _laid_out(touched.withColumn("written", F.lit(n)), _path(folder, parts[-1]))
-        span = lambda part: part[1] - part[0] + 1
-        while len(parts) > 1 and span(parts[-1]) >= span(parts[-2]):
-            both, parts = parts[-2:], [*parts[:-2], (parts[-2][0], parts[-1][1])]
-            _laid_out(_newest(stored_rows(spark, folder, both)).drop("bucket"), _path(folder, parts[-1]))
+        if not snapshot.isEmpty():
+            first, merged = n, []
+            while parts and n - first + 1 >= parts[-1][1] - parts[-1][0] + 1:
+                merged.append(parts.pop())
+                first = merged[-1][0]
+            known = [stored_rows(spark, folder, merged)] if merged else []
+            if parts:
+                ids = snapshot.select("item_id", _bucket().alias("bucket")).distinct()
+                buckets = [r.bucket for r in ids.select("bucket").distinct().collect()]  # BUCKETS at most
+                known.append(stored_rows(spark, folder, parts).where(F.col("bucket").isin(*buckets)).join(ids.select("item_id"), "item_id", "left_semi"))
+            if known:
+                stored = reduce(DataFrame.unionByName, known)
+                stored = (_newest(stored) if len(merged) + len(parts) > 1 else stored).drop("written", "bucket")
+            else:
+                stored = first_load(snapshot, now).limit(0)
+            parts.append((first, n))  # later than all it holds and what is left, so its rows may all be of this batch
+            _laid_out(upsert(stored, snapshot, now, "at").withColumn("written", F.lit(n)), _path(folder, parts[-1]))
         spark.createDataFrame(parts, "first int, last int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={n}")
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

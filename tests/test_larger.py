@@ -113,3 +113,18 @@ def test_plainly_spelled_tables_are_read_without_a_tree(spark, monkeypatch):
     assert [[c.asDict(True) for c in x.r] for x in rows.orderBy("k").collect()] == [html._parsed_rows(x) for x in [plain, *others]]
     monkeypatch.setattr(html, "tree", None)
     assert html.table_rows(plain) == want and len(want) == 4 and want[1]["cells"][2]["bold"] == "B c"
+
+
+def test_a_batch_writes_one_part_that_takes_earlier_ones_in(spark, tmp_path):
+    folder = f"{tmp_path}/items"
+    for n in range(4):
+        rows = [(f"https://a.example/{k}", "s", "t", f"text {k} {n if k == n else ''}", False, 1) for k in (n, n + 1)]
+        spark.createDataFrame(rows, "url string, source_id string, title string, text string, finished boolean, at int").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        raw = spark.readStream.schema("url string, source_id string, title string, text string, finished boolean, at int").parquet(f"{tmp_path}/in/*")
+        feeds.upsert_stream(raw, folder, f"{tmp_path}/c").awaitTermination()
+        assert sorted(p.name for p in (tmp_path / "items").iterdir()) == [*(f"batch={k}" for k in range(n + 1)), "manifest"]
+    assert feeds.live_parts(spark, folder) == [(0, 3)]
+    got = {r.url[-1]: (r.revision, r.first_seen.timestamp(), r.last_seen.timestamp()) for r in feeds.current_items(spark, folder).collect()}
+    assert {k: (r, b - a) for k, (r, a, b) in got.items()} == {"0": (1, 0.0), "1": (2, 1.0), "2": (2, 1.0), "3": (2, 1.0), "4": (1, 0.0)}
+    files = list((tmp_path / "items" / "batch=3").rglob("part-*"))
+    assert spark.read.parquet(f"{folder}/batch=3").count() == 5 and len(files) >= 1
