@@ -128,3 +128,16 @@ def test_a_batch_writes_one_part_that_takes_earlier_ones_in(spark, tmp_path):
     assert {k: (r, b - a) for k, (r, a, b) in got.items()} == {"0": (1, 0.0), "1": (2, 1.0), "2": (2, 1.0), "3": (2, 1.0), "4": (1, 0.0)}
     files = list((tmp_path / "items" / "batch=3").rglob("part-*"))
     assert spark.read.parquet(f"{folder}/batch=3").count() == 5 and len(files) >= 1
+
+
+def test_few_strings_of_a_batch_are_python_s_at_once():
+    made = []
+
+    class Value:
+        def as_py(self):
+            made.append(1)
+            return "x" * 100
+
+    pieces = html.in_few(str.upper, html.pa.string(), iter([[Value() for _ in range(10_000)]]))
+    assert next(pieces)[0].as_py() == "X" * 100 and len(made) <= html._ROWS_AT_ONCE
+    assert sum(map(len, pieces)) == 10_000 - html._ROWS_AT_ONCE
