@@ -141,3 +141,14 @@ def test_few_strings_of_a_batch_are_python_s_at_once():
     pieces = html.in_few(str.upper, html.pa.string(), iter([[Value() for _ in range(10_000)]]))
     assert next(pieces)[0].as_py() == "X" * 100 and len(made) <= html._ROWS_AT_ONCE
     assert sum(map(len, pieces)) == 10_000 - html._ROWS_AT_ONCE
+
+
+def test_every_line_of_a_page_is_a_quote(spark, tmp_path):
+    page = "<html><head><title>{0}</title></head><body>{1}</body></html>"
+    texts = {"a": ["the first line of it", "short", "and the last line of it"], "b": ["Title of page a", "quite another line, alone"], "c": ["nothing else is here"]}
+    pages = [(k, f"https://p.example/{u}", page.format(f"Title of page {u}", "".join(f"<p>{x}</p>" for x in lines))) for k, (u, lines) in zip((3, 40, 500), texts.items())]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.url[-1], r.quote, r.status) for r in catalog.QUERIES["verify_quotes"](spark, str(tmp_path)).collect())
+    lines = [(u, x, "quote_too_short" if x == "short" else "verified") for u in texts for x in texts[u]]
+    own = [(u, f"Title of page {u}", "quote_not_found") for u in texts]
+    assert got == sorted([*lines, *own, ("b", "Title of page a", "verified"), ("c", "Title of page b", "quote_not_found")])
