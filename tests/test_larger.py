@@ -152,3 +152,15 @@ def test_every_line_of_a_page_is_a_quote(spark, tmp_path):
     lines = [(u, x, "quote_too_short" if x == "short" else "verified") for u in texts for x in texts[u]]
     own = [(u, f"Title of page {u}", "quote_not_found") for u in texts]
     assert got == sorted([*lines, *own, ("b", "Title of page a", "verified"), ("c", "Title of page b", "quote_not_found")])
+
+
+def test_advantages_rest_on_quotes_in_normal_form_and_on_self_ratings(spark, tmp_path):
+    items = [(0, "„Große“ words — of a quote."), (1, "Two words"), (2, "**Level** of skill: 9!"), (3, "it costs $40.")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(4, 'so "GROSSE"  words - of a `quote`, it said'), (5, "two words"), (10, "level of skill : 9 and more"), (11, "It costs $40, as\nsaid"), (15, "it costs $400"), (21, "Two words"),
+            (22, "level of\nskill: 9"), (26, "level of skills: 9"), (44, "„Große“ words — of a quote."), (45, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = _as_its_sql(spark, "advantage_check", tmp_path)
+    assert got == want
+    missing = {5: "quote too short", 15: "quote not found", 21: "not a profile file", 26: "quote not found", 45: "quote too short"}
+    assert {doc: (basis, why) for basis, doc, _, why in got} == {doc: (None, missing[doc]) if doc in missing else ("self_rating" if doc % 11 == 0 else "profile", None) for doc, _ in docs}
