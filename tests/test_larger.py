@@ -1,6 +1,7 @@
 from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,42 @@ def test_advantages_rest_on_quotes_in_normal_form_and_on_self_ratings(spark, tmp
     assert got == want
     missing = {5: "quote too short", 15: "quote not found", 21: "not a profile file", 26: "quote not found", 45: "quote too short"}
     assert {doc: (basis, why) for basis, doc, _, why in got} == {doc: (None, missing[doc]) if doc in missing else ("self_rating" if doc % 11 == 0 else "profile", None) for doc, _ in docs}
+
+
+def test_a_tile_scores_few_pairs_in_full(monkeypatch):
+    rng, in_full, exact = np.random.default_rng(5), [], problems._Queries._exact
+    monkeypatch.setattr(problems._Queries, "_exact", lambda self, i, docs, *x: in_full.extend(docs) or exact(self, i, docs, *x))
+    idf, idf_q = rng.uniform(2, 9, 400), rng.uniform(0.9, 0.999, 400)
+    idf_q = idf * idf_q
+    n = lambda rows: rng.poisson(0.5 / np.arange(1, 401) ** 0.4, (rows, 400)) * (rng.random((rows, 1)) < 0.98)
+    asked, docs = n(150), n(900)
+    docs[700], docs[800] = docs[3], docs[3]  # ties
+    asked, docs = asked[asked.any(1)], docs[docs.any(1)]
+
+    def block(counts, prefix, **values):
+        at, word = np.nonzero(counts)
+        order = np.argsort(word, kind="stable")
+        return {f"{prefix}at": at[order].astype("i4"), f"{prefix}word": word[order]} | {f"{prefix}{k}": v(counts[at, word], word)[order] for k, v in values.items()}
+
+    q = block(asked, "q_", a=lambda n, w: n * idf_q[w] ** 2, b=lambda n, w: idf_q[w] ** 2 - idf[w] ** 2) | {"q_norm": ((asked * idf_q) ** 2).sum(1)}
+    norm = ((docs * idf) ** 2).sum(1)
+    more = (asked > 0) @ (docs**2 * (idf_q**2 - idf**2)).T
+    want = np.round((asked * idf_q**2) @ docs.T / np.sqrt(q["q_norm"][:, None] * (norm + more)), 12)
+    for common in (0, 0.05, 2):
+        tile, found = problems._Queries(3, common, q), {i: [] for i in range(len(asked))}
+        in_full.clear()
+        for part in (slice(0, 500), slice(500, 900)):
+            rows = block(docs[part], "", a=lambda n, w: n.astype("i4")) | {"norm": norm[part]}
+            for i, d, score in zip(*tile.meet(rows)):
+                found[i].append((-score, d + part.start))
+        for i, own in enumerate(want):
+            best = sorted((-s, d) for d, s in enumerate(own) if s > 0)[:3]
+            assert [d for _, d in sorted(found[i])[:3]] == [d for _, d in best] and np.allclose([s for s, _ in sorted(found[i])[:3]], [s for s, _ in best], rtol=0, atol=2e-12)
+        assert len(in_full) < want.size / 10
+
+
+def test_words_of_repeated_keys_are_added_up(spark):
+    rows = [(1, "The Robot robot is at 42x7"), (2, None), (3, "an"), (1, "ROBOT-arm"), (4, "ßé naïve")]
+    got = sorted(map(tuple, problems.terms(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()))
+    assert got == [(1, "42x7", 1), (1, "arm", 1), (1, "robot", 3)]
+    assert sorted(map(tuple, problems.terms(spark.createDataFrame(rows[:2], "id long, text string"), "id", "text").collect())) == [(1, "42x7", 1), (1, "robot", 2)]
